@@ -100,12 +100,10 @@ def _wins_between(cut: DataFrame, parts: int) -> DataFrame:
     all; each window below runs over one row or column of it.
     """
     counts = cut.groupBy("_block", "_cell").agg(F.count("*").alias("_n"))
-    spark = cut.sparkSession
-    axis = spark.range(parts)
-    cells = F.explode(F.sequence(F.lit(0), F.lit(max(parts - 1, 0)))).cast("long")
-    grid = axis.select(F.col("id").alias("_block"), cells.alias("_cell")).join(
-        counts, ["_block", "_cell"], "left"
-    ).fillna(0, ["_n"])
+    blocks = cut.sparkSession.range(parts).withColumnRenamed("id", "_block")
+    cells = F.sequence(F.lit(0).cast("long"), F.lit(max(parts - 1, 0)).cast("long"))
+    grid = blocks.withColumn("_cell", F.explode(cells))
+    grid = grid.join(counts, ["_block", "_cell"], "left").fillna(0, ["_n"])
     later_blocks = (
         Window.partitionBy("_cell").orderBy(F.desc("_block")).rowsBetween(Window.unboundedPreceding, -1)
     )
