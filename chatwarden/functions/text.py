@@ -48,6 +48,8 @@ def _as_text(value) -> str:
     return value
 
 
+# Not deterministic only in name: it keeps the optimizer from copying the call
+# into a filter below, which would run the Python step twice.
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def _literal_texts(cells: pd.Series) -> pd.Series:
     return cells.map(lambda cell: _literal_list(cell, _as_text))
@@ -58,20 +60,17 @@ def _literal_numbers(cells: pd.Series) -> pd.Series:
     return cells.map(lambda cell: _literal_list(cell, float))
 
 
-def parse_text_list(cell: Column) -> Column:
-    """``"['a', 'b']"`` to an array of strings; NULL if the cell is malformed.
+literal_texts = _literal_texts.asNondeterministic()
+literal_numbers = _literal_numbers.asNondeterministic()
 
-    Cells JSON reads the same way are parsed in the JVM. The others (escapes
-    only Python has, or no JSON at all) go to a batched fallback, which gets
-    NULL instead of the text for every cell already parsed.
-    """
+
+def json_texts(cell: Column) -> Column:
+    """``"['a', 'b']"`` as an array of strings where JSON reads it the same way."""
     shared = ~F.contains(F.regexp_replace(cell, _SHARED_ESCAPES, ""), F.lit("\\"))
-    parsed = F.when(shared, F.from_json(cell, T.ArrayType(T.StringType()), _JSON_OPTIONS))
-    return F.coalesce(parsed, _literal_texts(F.when(parsed.isNull(), cell)))
+    return F.when(shared, F.from_json(cell, T.ArrayType(T.StringType()), _JSON_OPTIONS))
 
 
-def parse_number_list(cell: Column) -> Column:
-    """``"[1, 2.5]"`` to an array of doubles; NULL if the cell is malformed."""
+def json_numbers(cell: Column) -> Column:
+    """``"[1, 2.5]"`` as an array of doubles where JSON reads it the same way."""
     plain = F.rlike(cell, F.lit(_PLAIN_NUMBERS))
-    parsed = F.when(plain, F.from_json(cell, T.ArrayType(T.DoubleType()), _JSON_OPTIONS))
-    return F.coalesce(parsed, _literal_numbers(F.when(parsed.isNull(), cell)))
+    return F.when(plain, F.from_json(cell, T.ArrayType(T.DoubleType()), _JSON_OPTIONS))

@@ -4,19 +4,38 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from chatwarden.functions.arrays import is_clean
-from chatwarden.functions.text import join_texts, parse_number_list, parse_text_list, strip_emoji
+from chatwarden.functions.text import (
+    join_texts,
+    json_numbers,
+    json_texts,
+    literal_numbers,
+    literal_texts,
+    strip_emoji,
+)
 
 
 def parse_windows(
     windows: DataFrame, text_columns: Sequence[str], number_columns: Sequence[str]
 ) -> DataFrame:
-    """Turns list columns stored as text into arrays; malformed cells become NULL."""
-    parsed = {c: parse_text_list(F.col(c)) for c in text_columns}
-    parsed.update({c: parse_number_list(F.col(c)) for c in number_columns})
-    return windows.withColumns(parsed)
+    """Turns list columns stored as text into arrays; malformed cells become NULL.
+
+    Cells that JSON reads the same way are parsed in the JVM. The rest (escapes
+    only Python literals have, or malformed cells) go to one batched fallback,
+    which is given NULL for every cell already parsed.
+    """
+    in_jvm = {f"_json_{c}": json_texts(F.col(c)) for c in text_columns}
+    in_jvm.update({f"_json_{c}": json_numbers(F.col(c)) for c in number_columns})
+
+    def rest(c: str, fallback) -> Column:
+        parsed = F.col(f"_json_{c}")
+        return F.coalesce(parsed, fallback(F.when(parsed.isNull(), F.col(c))))
+
+    all_cells = {c: rest(c, literal_texts) for c in text_columns}
+    all_cells.update({c: rest(c, literal_numbers) for c in number_columns})
+    return windows.withColumns(in_jvm).withColumns(all_cells).drop(*in_jvm)
 
 
 def drop_malformed(

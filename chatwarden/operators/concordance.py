@@ -10,7 +10,7 @@ Both ranks are permutations of 0..n-1. Cutting r into blocks and q into cells
 of the same size gives blocks and cells that cannot be skewed, and three kinds
 of pairs: different block and cell (from the counts alone), same block but
 different cell, and same cell. The last two are counted inside one block or
-cell, whose size is about the square root of n.
+cell, of about four times the square root of n rows (16 million for 10^13).
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from chatwarden.operators.ranks import global_rank
 
-MIN_BLOCK_ROWS = 1 << 16
+MIN_BLOCK_ROWS = 1 << 14
 
 
 def descents(values: np.ndarray) -> int:
@@ -63,7 +63,7 @@ def concordance(
     by_prediction = global_rank(labelled, [F.desc("_p"), F.col("_key")], "_r").select("_r", "_y")
     ranks = global_rank(by_prediction, [F.col("_y"), F.col("_r")], "_q")
     n = ranks.count()
-    size = block_rows or max(MIN_BLOCK_ROWS, math.isqrt(n) + 1)
+    size = block_rows or max(MIN_BLOCK_ROWS, 4 * math.isqrt(n))
     parts = -(-n // size)
     cut = ranks.select(
         F.col("_r"),
@@ -96,8 +96,8 @@ def concordance(
 def _wins_between(cut: DataFrame, parts: int) -> DataFrame:
     """Wins between different blocks and different cells, from the count grid.
 
-    The grid has at most one entry per pair of a block and a cell, about n in
-    all; each window below runs over one row or column of it.
+    The grid has one entry per pair of a block and a cell, a sixteenth of n or
+    less; each window below runs over one row or column of it.
     """
     counts = cut.groupBy("_block", "_cell").agg(F.count("*").alias("_n"))
     blocks = cut.sparkSession.range(parts).withColumnRenamed("id", "_block")

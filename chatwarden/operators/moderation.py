@@ -108,16 +108,16 @@ def chat_context(
     )
 
 
-def item_chat(items: DataFrame) -> DataFrame:
-    """The chat lines of review items, in message order."""
+def item_chat(items: DataFrame, *keep: str) -> DataFrame:
+    """The chat lines of review items, in message order, beside columns to keep."""
     lines = items.select(
         "item_id",
-        F.col("conversation.filtered_content").alias("terms"),
-        F.posexplode("conversation.texts").alias("line_no", "message"),
-    )
-    return chat_context(
-        lines, F.col("message.author"), F.col("message.text"), F.col("terms"), ["item_id", "line_no"]
+        *keep,
+        F.col("conversation.filtered_content").alias("_terms"),
+        F.posexplode("conversation.texts").alias("line_no", "_message"),
     )
+    author, text = F.col("_message.author"), F.col("_message.text")
+    return chat_context(lines, author, text, F.col("_terms"), ["item_id", "line_no", *keep])
 
 
 def trait_radar(items: DataFrame, traits: str = "conversation.messaging_traits") -> DataFrame:
@@ -139,9 +139,10 @@ def cultural_context(items: DataFrame) -> DataFrame:
     return items.withColumn("cultural_context", fn.cultural_note(F.col("region")))
 
 
-def alliance_info(items: DataFrame) -> DataFrame:
+def alliance_info(items: DataFrame, *keep: str) -> DataFrame:
     return items.select(
         "item_id",
+        *keep,
         F.col("alliance.alliance_id").alias("alliance_id"),
         F.col("alliance.moderator").alias("moderator"),
         F.col("alliance.alliance_description").alias("alliance_description"),

@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 from chatwarden.functions.arrays import list_sum, risk_label
 from chatwarden.operators import metrics, models
 from chatwarden.plans.roles import spread_split, table
+from chatwarden.session import spread
 
 DIMS = 256
 
 
 def chats(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("chat"))
+    return spread(table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("chat")))
 
 
 def labelled_chats(spark, sf_dir):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from chatwarden.functions import fixed_values as fixed
+from chatwarden.functions import fixed_values as fixed, review as fn
 from chatwarden.operators import moderation as Q
 from chatwarden.plans.roles import (
     ASSESSMENTS_SQL,
@@ -255,18 +255,14 @@ def nested_items(spark, sf_dir):
     )
     store.write_review_items(nested, path)
     back = store.read_review_items(spark, path)
-    shown = Q.item_chat(back).select("item_id", "line")
-    return (
-        Q.alliance_info(back)
-        .join(shown, "item_id")
-        .join(
-            back.select(
-                "item_id", "player_id", F.array_join("violation_type", ", ").alias("violations"),
-                F.to_date("date", "d.MM.yyyy").alias("review_date"),
-            ),
-            "item_id",
-        )
-    )
+    shown = Q.item_chat(back, "alliance", "player_id", "violation_type", "date")
+    info = Q.alliance_info(shown, "line", "player_id", "violation_type", "date")
+    return info.withColumns(
+        {
+            "violations": fn.violations_text(F.col("violation_type")),
+            "review_date": fn.review_date(F.col("date")),
+        }
+    ).drop("violation_type", "date")
 
 
 NESTED_ITEMS = f"""

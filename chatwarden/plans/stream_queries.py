@@ -18,13 +18,12 @@ FILES_PER_SLICE = 4
 def _event_files(spark, sf_dir) -> str:
     """``events`` as files that arrive one time slice after another."""
     path = scratch_path(spark, "arrivals")
-    micros = F.unix_micros(F.col("ts").cast("timestamp"))
-    events = table(spark, sf_dir, "events").select("user_id", micros.alias("ts"), "event_id", "value")
+    events = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "value")
     low, high = events.agg(F.min("ts"), F.max("ts")).first()
-    width = (high - low) // SLICES + 1
+    width = (high - low) / SLICES
     for i in range(SLICES):
-        start = low + i * width
-        arrived = events.filter((F.col("ts") >= start) & (F.col("ts") < start + width))
+        since, until = F.col("ts") >= F.lit(low + i * width), F.col("ts") < F.lit(low + (i + 1) * width)
+        arrived = events.filter(since & until if i < SLICES - 1 else since)
         arrived.repartition(FILES_PER_SLICE).write.mode("append").parquet(path)
     return path
 

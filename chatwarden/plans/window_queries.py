@@ -11,7 +11,7 @@ from chatwarden.operators import windows as W
 from chatwarden.operators.cleaning import clean_windows, drop_malformed, parse_windows
 from chatwarden.operators.vectors import risk_profile, riskiest
 from chatwarden.plans.roles import EVENT_SCORES_SQL, EVENT_TYPES, event_log, table
-from chatwarden.session import scratch_path
+from chatwarden.session import scratch_path, spread
 from chatwarden.sources import logs
 
 ORDER = ["ts", "event_id"]
@@ -200,9 +200,8 @@ PARSE_LIST_COLUMNS = """
 
 
 def tokens(spark, sf_dir):
-    found = table(spark, sf_dir, "documents").select(
-        "doc_id", word_tokens(F.col("text"), None).alias("all_tokens")
-    )
+    texts = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = texts.select("doc_id", word_tokens(F.col("text"), None).alias("all_tokens"))
     kept = F.slice("all_tokens", 1, 512)
     return found.select(
         "doc_id",

@@ -21,6 +21,8 @@ def local_session(cpus: int | str = "*", app: str = "chatwarden", **conf: str) -
         .config("spark.sql.shuffle.partitions", cores)
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        # collect_set and max_by keep more than the default 128 groups before sorting
+        .config("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", "65536")
         .config("spark.driver.memory", "8g")
     )
     for key, value in conf.items():
@@ -45,6 +47,17 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/chatwarden/{name}-{uuid.uuid4().hex}"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deals out the rows of a scan that has fewer splits than there are cores.
+
+    For scans in front of heavy work per row (tokens, embeddings): a single
+    unsplittable file would be a single task. Scans of many files stay as they
+    are, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once and read it back.
 

@@ -1,8 +1,8 @@
 """Sliding windows over a stream of messages.
 
-State per group: the last ``length - 1`` messages, how many were seen, the last
-order value, and how many came too late. A full window is emitted when its last
-message arrives; these are the batch windows with ``n_messages = length``.
+State per group: the last ``length - 1`` messages, how many were seen, and how
+many came too late. A full window is emitted when its last message arrives;
+these are the batch windows with ``n_messages = length``.
 
 The messages of a group have an order, so a group is one state and one task per
 micro-batch. What bounds that task is the trigger: ``maxFilesPerTrigger`` (or
@@ -11,14 +11,17 @@ micro-batch. What bounds that task is the trigger: ``maxFilesPerTrigger`` (or
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, types as T
+from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from chatwarden.functions.fixed_values import WINDOW_LENGTH, WINDOW_STEP
 
+_TIMES = (T.TimestampType, T.TimestampNTZType)
+
 
 def stream_windows(
     messages: DataFrame,
@@ -34,58 +37,77 @@ def stream_windows(
     one its group has already seen is left out and counted: ``late_messages``
     is the group's count so far.
     """
+    if length < 1 or step < 1:
+        raise ValueError("length and step must be at least 1")
     stride = min(step, length)
-    kept = [*order, *[c for c in columns if c not in order and c != group]]
-    fields = {name: messages.schema[name].dataType for name in kept}
+    kept = [*order, *[c for c in columns if c not in order]]
+    times = [c for c in kept if isinstance(messages.schema[c].dataType, _TIMES)]
+    # Points in time are kept as microseconds, which state and pandas hold exactly.
+    plain = messages.filter(F.col(group).isNotNull()).select(
+        F.col(group).alias("_group"),
+        *[F.unix_micros(F.col(c).cast("timestamp")).alias(c) if c in times else c for c in kept],
+    )
+    kinds = {c: T.ArrayType(plain.schema[c].dataType) for c in kept}
+    count = T.LongType()
     out = T.StructType(
         [
-            messages.schema[group],
-            T.StructField("window_start", T.LongType()),
+            T.StructField(group, messages.schema[group].dataType),
+            T.StructField("window_start", count),
             T.StructField("n_messages", T.IntegerType()),
-            T.StructField("late_messages", T.LongType()),
-            *[T.StructField(c, T.ArrayType(fields[c])) for c in columns],
+            T.StructField("late_messages", count),
+            *[T.StructField(f"_{c}", kinds[c]) for c in columns],
         ]
     )
     state_schema = T.StructType(
-        [
-            T.StructField("seen", T.LongType()),
-            T.StructField("late", T.LongType()),
-            *[T.StructField(name, T.ArrayType(kind)) for name, kind in fields.items()],
-        ]
+        [T.StructField("seen", count), T.StructField("late", count)]
+        + [T.StructField(c, kinds[c]) for c in kept]
     )
 
     def advance(
         key: tuple, batches: Iterator[pd.DataFrame], state: GroupState
     ) -> Iterator[pd.DataFrame]:
-        seen, late, *tail = state.get if state.exists else (0, 0, *[[] for _ in kept])
-        new = pd.concat(list(batches))[kept].sort_values(list(order))
-        old = pd.DataFrame(dict(zip(kept, tail)), columns=kept)
-        if len(old):
-            last = tuple(old[c].iloc[-1] for c in order)
-            is_new = [row > last for row in new[list(order)].itertuples(index=False, name=None)]
-            late += len(new) - sum(is_new)
-            new = new[is_new]
-        rows = new if old.empty else pd.concat([old, new], ignore_index=True)
-        offset = seen - len(old)  # position of rows[0] in the group
-        seen += len(new)
-        starts = [
-            i for i in range(len(rows) - length + 1)
-            if (offset + i) % stride == 0 and offset + i + length > seen - len(new)
-        ]
-        tail = rows.tail(max(length - 1, 1))
-        state.update((seen, late, *[tail[c].tolist() for c in kept]))
+        before, late, *tail = state.get if state.exists else (0, 0, *[[] for _ in kept])
+        tail = dict(zip(kept, map(list, tail)))
+        new = pd.concat(list(batches)).sort_values(list(order))
+        arrived = {c: _values(new[c]) for c in kept}
+        # In order, the late messages come first.
+        late_now = 0
+        if tail[kept[0]]:
+            last = tuple(tail[c][-1] for c in order)
+            late_now = bisect_right(list(zip(*(arrived[c] for c in order))), last)
+        rows = {c: tail[c] + arrived[c][late_now:] for c in kept}
+        offset = before - len(tail[kept[0]])  # place of rows[0] in the group
+        seen, late = offset + len(rows[kept[0]]), late + late_now
+        keep = max(length - 1, 1)
+        state.update((seen, late, *[rows[c][-keep:] for c in kept]))
+        first = -(-max(before - length + 1, 0) // stride) * stride
+        starts = list(range(first, seen - length + 1, stride))
         yield pd.DataFrame(
             {
                 group: [key[0]] * len(starts),
-                "window_start": [offset + i for i in starts],
+                "window_start": starts,
                 "n_messages": [length] * len(starts),
                 "late_messages": [late] * len(starts),
-                **{c: [rows[c].iloc[i : i + length].tolist() for i in starts] for c in columns},
+                **{f"_{c}": [rows[c][k - offset : k - offset + length] for k in starts] for c in columns},
             }
         )
 
-    return (
-        messages.filter(messages[group].isNotNull())
-        .groupBy(group)
-        .applyInPandasWithState(advance, out, state_schema, "append", GroupStateTimeout.NoTimeout)
+    windows = plain.groupBy("_group").applyInPandasWithState(
+        advance, out, state_schema, "append", GroupStateTimeout.NoTimeout
     )
+
+    def restored(c: str):
+        if c not in times:
+            return F.col(f"_{c}").alias(c)
+        kind = messages.schema[c].dataType
+        return F.transform(f"_{c}", lambda t: F.timestamp_micros(t).cast(kind)).alias(c)
+
+    head = [group, "window_start", "n_messages", "late_messages"]
+    return windows.select(*head, *[restored(c) for c in columns])
+
+
+def _values(column: pd.Series) -> list:
+    """Plain Python values, missing ones as None."""
+    if not column.isna().any():
+        return column.tolist()
+    return [None if pd.isna(v) else v for v in column.tolist()]
