@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ast
+import warnings
 
 import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
@@ -36,16 +37,18 @@ def tokens(text: Column, limit: int | None = MAX_TOKENS) -> Column:
 def _literal_list(cell: str | None, convert) -> list | None:
     if cell is None:
         return None
-    try:
-        return [convert(x) for x in ast.literal_eval(cell.strip())]
-    except (ValueError, SyntaxError, TypeError, MemoryError, RecursionError):
-        return None
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore", SyntaxWarning)  # an unknown escape is kept as it is
+        try:
+            return [convert(x) for x in ast.literal_eval(cell.strip())]
+        except (ValueError, SyntaxError, TypeError, MemoryError, RecursionError):
+            return None
 
 
 def _as_text(value) -> str:
-    if not isinstance(value, str):
-        raise TypeError("not a text")
-    return value
+    if isinstance(value, (str, int, float)):
+        return str(value)
+    raise TypeError("neither text nor number")
 
 
 # Not deterministic only in name: it keeps the optimizer from copying the call
@@ -65,7 +68,10 @@ literal_numbers = _literal_numbers.asNondeterministic()
 
 
 def json_texts(cell: Column) -> Column:
-    """``"['a', 'b']"`` as an array of strings where JSON reads it the same way."""
+    """``"['a', 'b']"`` as an array of strings where JSON reads it the same way.
+
+    A number among the texts is kept as its text.
+    """
     shared = ~F.contains(F.regexp_replace(cell, _SHARED_ESCAPES, ""), F.lit("\\"))
     return F.when(shared, F.from_json(cell, T.ArrayType(T.StringType()), _JSON_OPTIONS))
 

@@ -21,8 +21,6 @@ def local_session(cpus: int | str = "*", app: str = "chatwarden", **conf: str) -
         .config("spark.sql.shuffle.partitions", cores)
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
-        # collect_set and max_by keep more than the default 128 groups before sorting
-        .config("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", "65536")
         .config("spark.driver.memory", "8g")
     )
     for key, value in conf.items():

@@ -68,8 +68,7 @@ def stream_windows(
     ) -> Iterator[pd.DataFrame]:
         before, late, *tail = state.get if state.exists else (0, 0, *[[] for _ in kept])
         tail = dict(zip(kept, map(list, tail)))
-        new = pd.concat(list(batches)).sort_values(list(order))
-        arrived = {c: _values(new[c]) for c in kept}
+        arrived = _in_order(list(batches), kept, order)
         # In order, the late messages come first.
         late_now = 0
         if tail[kept[0]]:
@@ -106,8 +105,16 @@ def stream_windows(
     return windows.select(*head, *[restored(c) for c in columns])
 
 
+def _in_order(frames: list[pd.DataFrame], kept: list[str], order: Sequence[str]) -> dict[str, list]:
+    """The columns of a group's new messages as lists in message order."""
+    columns = {c: [v for frame in frames for v in _values(frame[c])] for c in kept}
+    keys = list(zip(*(columns[c] for c in order)))
+    places = sorted(range(len(keys)), key=keys.__getitem__)
+    return {c: [values[i] for i in places] for c, values in columns.items()}
+
+
 def _values(column: pd.Series) -> list:
     """Plain Python values, missing ones as None."""
-    if not column.isna().any():
+    if not column.hasnans:
         return column.tolist()
     return [None if pd.isna(v) else v for v in column.tolist()]
