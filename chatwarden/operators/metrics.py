@@ -119,7 +119,7 @@ def pr_curve(rows: DataFrame, label: str, score: str) -> DataFrame:
         F.sum(F.col(label).cast("long")).alias("_p"), F.count("*").alias("_n")
     )
     sums = running_sums(per_score, [F.desc("score")], {"_tp": "_p", "_seen": "_n"})
-    positives = per_score.agg(F.sum("_p")).scalar()
+    positives = sums.agg(F.sum("_p")).scalar()
     hits, seen = F.col("_tp") - F.col("_p"), F.col("_seen") - F.col("_n")
     return sums.select(
         "score",

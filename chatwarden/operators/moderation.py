@@ -46,6 +46,16 @@ def queue(
     return sort_by_risk(queue_rows(kept), descending)
 
 
+def view_totals(items: DataFrame) -> DataFrame:
+    """Items and total risk of each queue view that has any, in one pass."""
+    wanted = F.array(*[F.lit(view) for view in QUEUE_VIEWS])
+    shown_in = F.filter(wanted, lambda v: (v == "all") | F.contains(F.col("priority"), v))
+    shown = items.select(F.explode(shown_in).alias("view_name"), "assessed_risk")
+    return shown.groupBy("view_name").agg(
+        F.count("*").alias("n_items"), F.sum("assessed_risk").alias("risk")
+    )
+
+
 def register_queue_views(items: DataFrame, prefix: str = "queue_") -> list[str]:
     """The five queue views as temp views."""
     names = []

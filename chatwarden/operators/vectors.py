@@ -46,6 +46,7 @@ def nearest_rows(
     ties go to the smaller key. Fewer than k rows give fewer picks.
     """
     spark = rows.sparkSession
+    centers = materialize(centers.select("cluster_id", "center"), "centers")  # made once
     count, dims = centers.agg(F.count("*"), F.max(F.size("center"))).first()
     slices = max(1, -(-2 * count * (dims or 0) * 8 // center_bytes))
     vectors = rows.filter(F.col(vector).isNotNull()).select(key, F.col(vector))

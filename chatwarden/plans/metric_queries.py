@@ -120,7 +120,9 @@ BEST_BY_MAE = f"""
 
 
 def concordance(spark, sf_dir):
-    return _round_all(concordance_index(predictions(spark, sf_dir)), 9)
+    found = concordance_index(predictions(spark, sf_dir))
+    counts = {c: F.col(c).cast("double") for c in ("n_pairs", "wins", "ties")}
+    return _round_all(found.withColumns(counts), 9)
 
 
 CONCORDANCE = f"""
@@ -131,8 +133,8 @@ CONCORDANCE = f"""
         SELECT count(*) AS n, sum(CAST(a.y > b.y AS INTEGER)) AS wins,
                sum(CAST(a.y = b.y AS INTEGER)) AS ties
         FROM r a JOIN r b ON a.rn < b.rn)
-    SELECT CAST(n AS DECIMAL(38, 0)) AS n_pairs, CAST(wins AS DECIMAL(38, 0)) AS wins,
-           CAST(ties AS DECIMAL(38, 0)) AS ties,
+    SELECT CAST(n AS DOUBLE) AS n_pairs, CAST(wins AS DOUBLE) AS wins,
+           CAST(ties AS DOUBLE) AS ties,
            round((CAST(wins AS DOUBLE) + 0.5 * CAST(ties AS DOUBLE)) / n, 9) AS concordance
     FROM s
 """

@@ -57,21 +57,14 @@ def review_queue_violation(spark, sf_dir):
 
 def queue_views(spark, sf_dir):
     """How many items each of the five views shows, and their total risk."""
-    items = review_items(spark, sf_dir)
-    counts = None
-    for wanted in fixed.QUEUE_VIEWS:
-        view = (
-            Q.filter_priority(items, wanted)
-            .agg(F.count("*").alias("n_items"), F.round(F.sum("assessed_risk"), 2).alias("risk"))
-            .withColumn("view_name", F.lit(wanted))
-        )
-        counts = view if counts is None else counts.unionByName(view)
-    return counts
+    totals = Q.view_totals(plain_items(table(spark, sf_dir, "orders")))
+    return totals.withColumn("risk", F.round("risk", 2))
 
 
 QUEUE_VIEWS = " UNION ALL ".join(
     f"""SELECT '{v}' AS view_name, count(*) AS n_items, round(sum(assessed_risk), 2) AS risk
-        FROM ({ITEMS_SQL}) WHERE {'true' if v == 'all' else f"contains(priority, '{v}')"}"""
+        FROM ({ITEMS_SQL}) WHERE {'true' if v == 'all' else f"contains(priority, '{v}')"}
+        HAVING count(*) > 0"""
     for v in fixed.QUEUE_VIEWS
 )
 
@@ -260,7 +253,7 @@ def nested_items(spark, sf_dir):
     return info.withColumns(
         {
             "violations": fn.violations_text(F.col("violation_type")),
-            "review_date": fn.review_date(F.col("date")),
+            "review_date": fn.review_date(F.col("date")).cast("string"),
         }
     ).drop("violation_type", "date")
 
@@ -270,7 +263,7 @@ NESTED_ITEMS = f"""
            preview AS alliance_description, priority = 'low' AS is_family_friendly,
            substr(player_name, 1, 5) || ': ' || preview AS line, player_id,
            array_to_string(violation_type, ', ') AS violations,
-           CAST(strptime(date, '%d.%m.%Y') AS DATE) AS review_date
+           CAST(CAST(strptime(date, '%d.%m.%Y') AS DATE) AS VARCHAR) AS review_date
     FROM ({ITEMS_WITH_VIOLATIONS_SQL})
 """
 

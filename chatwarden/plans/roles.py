@@ -4,6 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from chatwarden.functions.arrays import list_median
+from chatwarden.operators.vectors import centroid
+from chatwarden.operators.windows import sliding_windows
+from chatwarden.session import materialize
+
 EVENT_TYPES = ("click", "error", "purchase", "signup", "view")
 
 
@@ -70,8 +75,6 @@ def spread_split_sql(key: str) -> str:
 
 def label_centers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One center per label of ``embeddings``: the mean vector of its rows."""
-    from chatwarden.operators.vectors import centroid
-
     rows = table(spark, sf_dir, "embeddings")
     return centroid(rows, by=["label"]).select(F.col("label").alias("cluster_id"), "center")
 
@@ -168,15 +171,16 @@ def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def user_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per user: the highest window median as risk, and the mean of each score."""
-    from chatwarden.functions.arrays import list_median
-    from chatwarden.operators.windows import sliding_windows
+    """Per user: the highest window median as risk, and the mean of each score.
 
+    Written once: the queries look at it more than once.
+    """
     log = event_log(spark, sf_dir)
     windows = sliding_windows(log, "user_id", ["ts", "event_id"], ["value"])
     risk = windows.groupBy("user_id").agg(F.max(list_median(F.col("value"))).alias("risk_score"))
     means = log.groupBy("user_id").agg(*[F.avg(t).alias(t) for t in EVENT_TYPES])
-    return risk.join(means, "user_id").withColumnRenamed("user_id", "vec_id")
+    scores = risk.join(means, "user_id").withColumnRenamed("user_id", "vec_id")
+    return materialize(scores, "user-risk")
 
 
 USER_RISK_SQL = f"""
