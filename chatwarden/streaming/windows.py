@@ -5,8 +5,10 @@ many came too late. A full window is emitted when its last message arrives;
 these are the batch windows with ``n_messages = length``.
 
 The messages of a group have an order, so a group is one state and one task per
-micro-batch. What bounds that task is the trigger: ``maxFilesPerTrigger`` (or
-``maxBytesPerTrigger``) caps the rows of a micro-batch, hence of any group in it.
+micro-batch. That task only orders and numbers its new messages, and hands them
+on in pieces that overlap by ``length - 1``; the windows, many times larger, are
+cut from the pieces by all tasks. What one group can bring in a micro-batch is
+bounded by the trigger (``maxFilesPerTrigger`` or ``maxBytesPerTrigger``).
 """
 
 from __future__ import annotations
@@ -21,6 +23,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from chatwarden.functions.fixed_values import WINDOW_LENGTH, WINDOW_STEP
 
 _TIMES = (T.TimestampType, T.TimestampNTZType)
+# Window starts in one piece of messages.
+_PIECE = 500
 
 
 def stream_windows(
@@ -49,11 +53,11 @@ def stream_windows(
     )
     kinds = {c: T.ArrayType(plain.schema[c].dataType) for c in kept}
     count = T.LongType()
-    out = T.StructType(
+    piece_schema = T.StructType(
         [
             T.StructField(group, messages.schema[group].dataType),
-            T.StructField("window_start", count),
-            T.StructField("n_messages", T.IntegerType()),
+            T.StructField("_first", count),
+            T.StructField("_last", count),
             T.StructField("late_messages", count),
             *[T.StructField(f"_{c}", kinds[c]) for c in columns],
         ]
@@ -80,29 +84,43 @@ def stream_windows(
         keep = max(length - 1, 1)
         state.update((seen, late, *[rows[c][-keep:] for c in kept]))
         first = -(-max(before - length + 1, 0) // stride) * stride
-        starts = list(range(first, seen - length + 1, stride))
+        starts = range(first, seen - length + 1, stride)
+        pieces = [starts[i : i + _PIECE] for i in range(0, len(starts), _PIECE)]
         yield pd.DataFrame(
             {
-                group: [key[0]] * len(starts),
-                "window_start": starts,
-                "n_messages": [length] * len(starts),
-                "late_messages": [late] * len(starts),
-                **{f"_{c}": [rows[c][k - offset : k - offset + length] for k in starts] for c in columns},
+                group: [key[0]] * len(pieces),
+                "_first": [piece[0] for piece in pieces],
+                "_last": [piece[-1] for piece in pieces],
+                "late_messages": [late] * len(pieces),
+                **{
+                    f"_{c}": [rows[c][p[0] - offset : p[-1] - offset + length] for p in pieces]
+                    for c in columns
+                },
             }
         )
 
-    windows = plain.groupBy("_group").applyInPandasWithState(
-        advance, out, state_schema, "append", GroupStateTimeout.NoTimeout
+    pieces = plain.groupBy("_group").applyInPandasWithState(
+        advance, piece_schema, state_schema, "append", GroupStateTimeout.NoTimeout
+    )
+    tasks = int(messages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    span = (F.col("_last") - F.col("_first")).cast("int")
+    dealt = pieces.withColumn("_span", span).drop("_last").repartition(tasks, group, "_first")
+    cut = dealt.withColumn("_place", F.explode(F.sequence(F.lit(0), "_span", F.lit(stride))))
+
+    def column(c: str):
+        values = F.slice(f"_{c}", F.col("_place") + 1, length)
+        if c in times:
+            kind = messages.schema[c].dataType
+            values = F.transform(values, lambda t: F.timestamp_micros(t).cast(kind))
+        return values.alias(c)
+
+    return cut.select(
+        group,
+        (F.col("_first") + F.col("_place")).alias("window_start"),
+        F.lit(length).alias("n_messages"),
+        "late_messages",
+        *[column(c) for c in columns],
     )
-
-    def restored(c: str):
-        if c not in times:
-            return F.col(f"_{c}").alias(c)
-        kind = messages.schema[c].dataType
-        return F.transform(f"_{c}", lambda t: F.timestamp_micros(t).cast(kind)).alias(c)
-
-    head = [group, "window_start", "n_messages", "late_messages"]
-    return windows.select(*head, *[restored(c) for c in columns])
 
 
 def _in_order(frames: list[pd.DataFrame], kept: list[str], order: Sequence[str]) -> dict[str, list]:
