@@ -9,10 +9,10 @@ import pyarrow as pa
 from pyspark.ml import Estimator, Pipeline, PipelineModel, Transformer
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import HashingTF, Normalizer, RegexTokenizer
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import LinearRegression
 from pyspark.ml.tuning import ParamGridBuilder, TrainValidationSplit, TrainValidationSplitModel
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from chatwarden.functions.fixed_values import EMBEDDING_DIMS, TOKEN_PATTERN
 
@@ -81,6 +81,26 @@ def train_risk_model(
     return risk_pipeline(regressor.copy({regressor.labelCol: label}), text, dims).fit(train)
 
 
+def train_on_embeddings(
+    train: DataFrame, regressor: Estimator, label: str = "label", vector: str = "embedding"
+) -> Transformer:
+    """Fits any regressor on stored vectors instead of texts."""
+    features = train.select(_as_vector(vector).alias(regressor.getFeaturesCol()), label)
+    return regressor.copy({regressor.labelCol: label}).fit(features)
+
+
+def score_embeddings(
+    model: Transformer, rows: DataFrame, keep: Sequence[str], vector: str = "embedding"
+) -> DataFrame:
+    """Predicted risk of stored vectors."""
+    features = rows.select(*keep, _as_vector(vector).alias(model.getFeaturesCol()))
+    return model.transform(features).select(*keep, F.col("prediction").alias("predicted_risk"))
+
+
+def _as_vector(vector: str) -> Column:
+    return array_to_vector(F.col(vector).cast("array<double>"))
+
+
 def score_texts(model: Transformer, texts: DataFrame, keep: Sequence[str]) -> DataFrame:
     """Predicted risk per text, for a table or a stream."""
     return model.transform(texts).select(*keep, F.col("prediction").alias("predicted_risk"))

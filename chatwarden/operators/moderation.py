@@ -46,6 +46,11 @@ def queue(
     return sort_by_risk(queue_rows(kept), descending)
 
 
+def is_queue_empty(items: DataFrame) -> bool:
+    """Whether there is nothing to review; looks for one row, counts none."""
+    return items.isEmpty()
+
+
 def view_totals(items: DataFrame) -> DataFrame:
     """Items and total risk of each queue view that has any, in one pass."""
     wanted = F.array(*[F.lit(view) for view in QUEUE_VIEWS])

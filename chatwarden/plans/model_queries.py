@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
 from chatwarden.functions.arrays import list_sum, risk_label
 from chatwarden.operators import metrics, models
-from chatwarden.plans.roles import spread_split, table
+from chatwarden.plans.roles import spread_split, spread_split_sql, table
 from chatwarden.session import spread
 
 DIMS = 256
@@ -91,6 +92,47 @@ def score(spark, sf_dir):
     return models.score_texts(fitted(spark, sf_dir), chats(spark, sf_dir), ["doc_id"])
 
 
+def vector_model(spark, sf_dir):
+    """A regressor on stored vectors: one feature, no penalty, so SQL can fit it too."""
+    documents = table(spark, sf_dir, "documents").select(
+        "doc_id", F.array(F.col("n_chars") / 1000.0).alias("embedding")
+    )
+    labels = table(spark, sf_dir, "labels").select(
+        "doc_id", F.col("quality").cast("double").alias("label")
+    )
+    plain = LinearRegression(regParam=0.0, solver="normal")
+    model = models.train_on_embeddings(documents.join(labels, "doc_id"), plain)
+    scored = models.score_embeddings(model, documents, ["doc_id"])
+    return scored.withColumn("predicted_risk", F.round("predicted_risk", 6))
+
+
+VECTOR_MODEL = """
+    WITH d AS (SELECT doc_id, n_chars / 1000.0::DOUBLE AS x FROM documents),
+    f AS (SELECT regr_slope(CAST(quality AS DOUBLE), x) AS b,
+                 regr_intercept(CAST(quality AS DOUBLE), x) AS a
+          FROM labels JOIN d USING (doc_id))
+    SELECT doc_id, round(a + b * x, 6) AS predicted_risk FROM d, f
+"""
+
+
+def baseline_labels(spark, sf_dir):
+    """The mean-label baseline on labelled chats, by split."""
+    rows = labelled_chats(spark, sf_dir).drop("chat")
+    found = metrics.mean_baseline(_part(rows, "train"), _part(rows, "test"), "label")
+    return found.select(*[F.round(c, 6).alias(c) for c in found.columns[:2]], "n_validation")
+
+
+BASELINE_LABELS = f"""
+    WITH p AS (SELECT doc_id, (((quality + toxic) / 2.0::DOUBLE) + 1) / 8 AS label,
+                      {spread_split_sql('doc_id')} AS split
+               FROM labels JOIN documents USING (doc_id)),
+    m AS (SELECT avg(label) AS mean_label FROM p WHERE split = 'train')
+    SELECT round(any_value(mean_label), 6) AS mean_label,
+           round(avg(abs(label - mean_label)), 6) AS baseline_mae, count(*) AS n_validation
+    FROM p, m WHERE split = 'test'
+"""
+
+
 def tune(spark, sf_dir):
     """Validation error of every grid point, best first."""
     train = _part(labelled_chats(spark, sf_dir), "train")
@@ -103,6 +145,8 @@ QUERIES = {
     "embed_hash": (embed_hash, EMBED_HASH),
     "embed_custom": (embed_custom, EMBED_CUSTOM),
     "risk_model": (risk_model, None),
+    "vector_model": (vector_model, VECTOR_MODEL),
+    "baseline_labels": (baseline_labels, BASELINE_LABELS),
     "score": (score, None),
     "tune": (tune, None),
 }

@@ -164,9 +164,12 @@ def kmeans_profile(spark, sf_dir):
 
 
 def kmeans_counts(spark, sf_dir):
-    """k-means run to the end: every row has one cluster; 10 labels, 10 clusters."""
-    assigned, centers, _ = V.kmeans(table(spark, sf_dir, "embeddings"), 10, KEY)
-    found = assigned.join(centers.select("cluster_id"), "cluster_id")
+    """k-means run, its model and assignment stored; every row is in one cluster."""
+    assigned, centers, model = V.kmeans(table(spark, sf_dir, "embeddings"), 10, KEY)
+    stores.save_kmeans(model, scratch_path(spark, "kmeans"))
+    path = scratch_path(spark, "assignments")
+    stores.write_assignments(assigned.join(centers.select("cluster_id"), "cluster_id"), path)
+    found = spark.read.parquet(path)
     return found.agg(F.count("*").alias("n_rows"), F.count_distinct(KEY).alias("n_keys"))
 
 

@@ -155,13 +155,16 @@ def _as_literal(texts):
 def clean_chat(spark, sf_dir):
     """Windows stored as text, read back, malformed ones dropped, emoji stripped.
 
-    Messages of the system role are written as missing values.
+    Messages of the system role are written as missing values. The cleaned
+    windows are stored with their chat.
     """
     said = F.when(F.col("role") != "system", F.concat("text", F.lit(f" {STRIPPED}!{KEPT}")))
     log = table(spark, sf_dir, "conversations").withColumn("text", said)
     found = W.sliding_windows(log, "conv_id", ["turn"], ["text"], 4, 2)
     stored = found.select("conv_id", "window_start", _as_literal(F.col("text")).alias("text"))
-    return clean_windows(stored, "text", []).select("conv_id", "window_start", "chat")
+    path = scratch_path(spark, "clean")
+    logs.write_windows(clean_windows(stored, "text", []), path)
+    return logs.read_table(spark, path).select("conv_id", "window_start", "chat")
 
 
 _RE_RANGES = "".join(rf"\x{{{lo}}}-\x{{{hi}}}" for lo, hi in EMOJI_RANGES)

@@ -47,5 +47,10 @@ def first_rows(df: DataFrame, key: str, n: int) -> DataFrame:
     return df.orderBy(key).limit(n)
 
 
+def write_windows(windows: DataFrame, path: str) -> None:
+    """Cleaned windows with their chat column, as one new table."""
+    windows.write.parquet(path)
+
+
 def append_windows(windows: DataFrame, path: str) -> None:
     windows.write.mode("append").parquet(path)

@@ -116,6 +116,14 @@ def test_kmeans_finds_separate_clouds(spark):
     assert centers.count() == 4 and len(model.clusterCenters()) == 4
 
 
+def test_kmeans_ends_at_a_fixed_point(rows, points):
+    assigned, centers, _ = V.kmeans(rows, 3)
+    middle = np.array([r.center for r in centers.orderBy("cluster_id").collect()])
+    ids = np.array([r.cluster_id for r in assigned.orderBy("sample_id").collect()])
+    distances = ((points[:, None, :] - middle[None]) ** 2).sum(axis=2)
+    assert (distances.argmin(axis=1) == ids).all()
+
+
 @pytest.mark.parametrize("n", [0, 1, 2, 3, 9, 10, 11, 25, 1000])
 def test_exact_split_sizes(spark, n):
     df = spark.range(n).withColumnRenamed("id", "k").repartition(3)
