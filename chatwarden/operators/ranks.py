@@ -23,12 +23,12 @@ def range_sorted(df: DataFrame, order: Sequence[Column], partitions: int | None
     """Adds ``_part`` and ``_row``: the range partition and the row number in it.
 
     ``order`` must be unique per row; then equal sort values cannot pile up in
-    one partition, however skewed the leading columns are.
+    one partition, however skewed the leading columns are. Without a number of
+    ``partitions``, adaptive execution sizes them.
     """
-    spark = df.sparkSession
-    partitions = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    number = () if partitions is None else (partitions,)
     numbered = (
-        df.repartitionByRange(partitions, *order)
+        df.repartitionByRange(*number, *order)
         .sortWithinPartitions(*order)
         .withColumn("_id", F.monotonically_increasing_id())
         .withColumns(

@@ -191,8 +191,8 @@ def group_summary(log: DataFrame, group: str, order: Sequence[str]) -> DataFrame
 
 
 def one_group(log: DataFrame, group: str, value) -> DataFrame:
-    """Rows of one group; a NULL value matches nothing."""
-    return log.filter(F.col(group) == F.lit(value))
+    """Rows of one group, given as a value or a scalar; NULL matches nothing."""
+    return log.filter(F.col(group) == (value if isinstance(value, Column) else F.lit(value)))
 
 
 def group_batches(

@@ -1,4 +1,4 @@
-"""The pipelines end to end, on a message log with the declared schema."""
+"""The work end to end, on a message log with the declared schema."""
 
 from __future__ import annotations
 
@@ -11,7 +11,7 @@ from chatwarden import schema
 from chatwarden.functions import fixed_values as fixed
 from chatwarden.functions.arrays import risk_label
 from chatwarden.operators import models, vectors
-from chatwarden.operators.cleaning import add_chat, clean_windows, drop_malformed
+from chatwarden.operators.cleaning import add_chat, clean_windows
 from chatwarden.operators.concordance import concordance
 from chatwarden.operators.metrics import errors, mean_baseline, regression_metrics
 from chatwarden.operators.split import exact_split, hash_split
@@ -28,11 +28,18 @@ def clean_message_windows(
 ) -> DataFrame:
     """Message log to clean windows with a chat column and typed lists.
 
-    A window with a missing text or score is dropped, as in its text form.
+    A window with a missing value in any column of the log is dropped, as it is
+    in its text form. A message carries one flag for that into its windows.
     """
-    columns = [schema.TEXT, *schema.SCORE_COLUMNS]
-    windows = sliding_windows(log, schema.ALLIANCE, schema.ORDER_COLUMNS, columns, length, step)
-    return add_chat(drop_malformed(windows, [schema.TEXT], schema.SCORE_COLUMNS))
+    missing = F.lit(False)
+    for name in schema.LOG_COLUMNS:
+        missing = missing | F.col(name).isNull()
+        if name in schema.SCORE_COLUMNS:
+            missing = missing | F.isnan(name)
+    columns = [schema.TEXT, *schema.SCORE_COLUMNS, "_missing"]
+    flagged = log.withColumn("_missing", missing)
+    windows = sliding_windows(flagged, schema.ALLIANCE, schema.ORDER_COLUMNS, columns, length, step)
+    return add_chat(windows.filter(~F.array_contains("_missing", True)).drop("_missing"))
 
 
 def clean_text_windows(windows: DataFrame) -> DataFrame:

@@ -204,19 +204,22 @@ UNION_SPLITS = f"""
 
 
 def split_store(spark, sf_dir):
-    """Embeddings stored by length and split; one split is read."""
+    """Embeddings stored by length and split; every split read by itself."""
     path = scratch_path(spark, "embeddings")
     rows = table(spark, sf_dir, "embeddings").withColumns(
         {"seq_length": F.lit(20), "split": spread_split(KEY)}
     )
     stores.write_embeddings(rows, path)
-    kept = stores.read_embeddings(spark, path, 20, "train")
-    return kept.select(KEY, F.size("embedding").alias("dims"), "split")
+    train, val, test = (
+        stores.read_embeddings(spark, path, 20, s) for s in ("train", "val", "test")
+    )
+    union = train.unionByName(val).unionByName(test)
+    return union.select(KEY, F.size("embedding").alias("dims"), "split")
 
 
 SPLIT_STORE = f"""
-    SELECT vec_id, CAST(len(embedding) AS INTEGER) AS dims, 'train' AS split
-    FROM embeddings WHERE {spread_split_sql('vec_id')} = 'train'
+    SELECT vec_id, CAST(len(embedding) AS INTEGER) AS dims, {spread_split_sql('vec_id')} AS split
+    FROM embeddings
 """
 
 

@@ -349,10 +349,16 @@ GROUP_COUNTS = """
 
 
 def one_group(spark, sf_dir):
-    return W.one_group(table(spark, sf_dir, "events"), "user_id", 7).select("event_id", "value")
+    """All messages of the group that has the highest value."""
+    events = table(spark, sf_dir, "events")
+    highest = events.agg(F.max_by("user_id", F.struct("value", "event_id"))).scalar()
+    return W.one_group(events, "user_id", highest).select("event_id", "user_id", "value")
 
 
-ONE_GROUP = "SELECT event_id, value FROM events WHERE user_id = 7"
+ONE_GROUP = """
+    SELECT event_id, user_id, value FROM events
+    WHERE user_id = (SELECT arg_max(user_id, (value, event_id)) FROM events)
+"""
 
 
 def group_batches(spark, sf_dir):

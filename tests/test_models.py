@@ -12,7 +12,7 @@ from pyspark.sql import functions as F, types as T
 from chatwarden import schema
 from chatwarden.operators import metrics, models
 from chatwarden.operators.windows import sliding_windows
-from chatwarden.plans import pipelines
+from chatwarden.plans import flows
 from chatwarden.sources import logs, stores
 from chatwarden.streaming.scoring import append_stream, score_stream
 from chatwarden.streaming.windows import stream_windows
@@ -97,32 +97,32 @@ def message_log(spark, alliances=12, messages=30):
     return spark.createDataFrame(rows, schema.MESSAGE_LOG)
 
 
-def test_pipelines_from_log_to_reports(spark, tmp_path):
+def test_flows_from_log_to_reports(spark, tmp_path):
     csv = str(tmp_path / "log")
     logs.write_csv(message_log(spark), csv)
     log = logs.read_csv(spark, csv, schema.MESSAGE_LOG)
-    windows = pipelines.clean_message_windows(log, length=5, step=1)
+    windows = flows.clean_message_windows(log, length=5, step=1)
     # one window of the first alliance holds the missing score
     assert windows.count() == 12 * 26 - 1
     assert windows.filter(F.col("chat").contains("😀")).isEmpty()
-    windows = pipelines.split_windows(windows)
+    windows = flows.split_windows(windows)
     path = str(tmp_path / "windows")
     stores.write_splits(windows, path)
     windows = stores.read_split(spark, path)
     assert stores.read_split(spark, path, "test").count() == 32
     vectors = str(tmp_path / "vectors")
-    pipelines.store_embeddings(windows, vectors, 5)
+    flows.store_embeddings(windows, vectors, 5)
     embeddings = stores.read_embeddings(spark, vectors, 5)
     assert embeddings.count() == windows.count()
-    report = pipelines.cluster_report(windows, embeddings, 4, 3).collect()
+    report = flows.cluster_report(windows, embeddings, 4, 3).collect()
     assert len(report) == 4 and all(getattr(report[0], c) is not None for c in schema.PROFILE_COLUMNS)
-    similar = {r.picks: r for r in pipelines.similar_report(windows, embeddings, 5).collect()}
+    similar = {r.picks: r for r in flows.similar_report(windows, embeddings, 5).collect()}
     assert similar["riskiest"][schema.SEED_COLUMN] >= similar["similar"][schema.SEED_COLUMN]
-    model, found = pipelines.train_and_evaluate(windows, dims=64)
+    model, found = flows.train_and_evaluate(windows, dims=64)
     rows = {r.split: r for r in found.collect()}
     assert set(rows) == {"val", "test"}
     assert all(r.mae < r.baseline_mae and r.concordance > 0.7 for r in rows.values())
-    by_alliance = pipelines.split_windows(windows.drop("split"), by_alliance=True)
+    by_alliance = flows.split_windows(windows.drop("split"), by_alliance=True)
     assert by_alliance.groupBy("alliance_id").agg(F.count_distinct("split").alias("n")).filter("n > 1").isEmpty()
 
 
@@ -132,7 +132,7 @@ def test_windows_stored_as_text(spark):
     header = {n: n for n in schema.LOG_COLUMNS}
     bad = {**good, schema.SEED_COLUMN: "[nan]"}
     rows = [tuple(r[n] for n in schema.LOG_COLUMNS) for r in (good, header, bad, good)]
-    windows = pipelines.clean_text_windows(spark.createDataFrame(rows, schema.TEXT_WINDOWS))
+    windows = flows.clean_text_windows(spark.createDataFrame(rows, schema.TEXT_WINDOWS))
     assert [r.chat for r in windows.collect()] == ["x", "x"]
 
 

@@ -37,8 +37,10 @@ def test_windows_take_one_shuffle_and_read_what_they_use(spark):
 
 
 def test_filters_reach_the_scan(spark):
-    items = entry.queries()["one_group"](spark, SF_DIR)
-    assert "PushedFilters: [IsNotNull(user_id), EqualTo(user_id,7)]" in plan_of(items)
+    log = spark.read.parquet(f"{SF_DIR}/events.parquet")
+    plan = plan_of(windows.one_group(log, "user_id", 7).select("value"))
+    assert "PushedFilters: [IsNotNull(user_id), EqualTo(user_id,7)]" in plan
+    assert read_columns(plan) == [{"user_id", "value"}]
     table = spark.read.parquet(f"{SF_DIR}/orders.parquet").withColumnsRenamed(
         {"o_orderpriority": "priority", "o_orderkey": "item_id"}
     )
@@ -48,7 +50,8 @@ def test_filters_reach_the_scan(spark):
 
 def test_one_split_reads_only_its_files(spark):
     plan = plan_of(entry.queries()["split_store"](spark, SF_DIR))
-    assert re.search(r"PartitionFilters: \[[^\]]*seq_length[^\]]*split", plan)
+    filters = re.findall(r"PartitionFilters: \[[^\]]*seq_length[^\]]*split\S* = (\w+)", plan)
+    assert sorted(filters) == ["test", "train", "val"]
 
 
 def test_exact_split_moves_no_rows(spark):
