@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from chatwarden.functions.fixed_values import SPLIT_SEED
 
-_HISTOGRAM_CELLS = 1024
+_HISTOGRAM_CELLS = 1 << 14
 _SMALL = 10_000
 
 

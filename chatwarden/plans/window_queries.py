@@ -39,7 +39,11 @@ def windows_sql(columns: str, source: str = "events", length: int = 20, step: in
 
 
 def sliding_windows(spark, sf_dir):
-    found = W.sliding_windows(event_log(spark, sf_dir), "user_id", ORDER, ["event_id", "value"])
+    log = event_log(spark, sf_dir)
+    return _shown(W.sliding_windows(log, "user_id", ORDER, ["event_id", "value"]))
+
+
+def _shown(found):
     return found.select(
         "user_id",
         "sample_id",
@@ -303,6 +307,15 @@ def csv_roundtrip(spark, sf_dir):
 CSV_ROUNDTRIP = "SELECT doc_id, lang, source, md5(text) AS text_md5 FROM documents"
 
 
+def file_order_windows(spark, sf_dir):
+    """The messages as a CSV log without order columns; its lines are the order."""
+    path = scratch_path(spark, "log")
+    events = table(spark, sf_dir, "events").orderBy(*ORDER).select("user_id", "event_id", "value")
+    logs.write_csv(events, path)
+    log = logs.read_csv_in_file_order(spark, path, events.schema, multi_line=False)
+    return _shown(W.sliding_windows(log, "user_id", logs.FILE_ORDER, ["event_id", "value"]))
+
+
 def append_windows(spark, sf_dir):
     """Windows appended twice to one table, for two lengths; read back by length."""
     log, path = event_log(spark, sf_dir), scratch_path(spark, "windows")
@@ -385,6 +398,7 @@ QUERIES = {
     "riskiest_windows": (riskiest_windows, RISKIEST_WINDOWS),
     "riskiest_profile": (riskiest_profile, RISKIEST_PROFILE),
     "csv_roundtrip": (csv_roundtrip, CSV_ROUNDTRIP),
+    "file_order_windows": (file_order_windows, SLIDING_WINDOWS),
     "append_windows": (append_windows, APPEND_WINDOWS),
     "first_rows": (first_rows, FIRST_ROWS),
     "group_counts": (group_counts, GROUP_COUNTS),

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+
+# Order of lines: file, split of the file, line within the task that reads it.
+FILE_ORDER = ("file_path", "block_start", "line_no")
 
 
 def read_csv(
@@ -25,6 +28,22 @@ def read_csv(
     )
 
 
+def read_csv_in_file_order(
+    spark: SparkSession, path: str, schema: T.StructType | str, multi_line: bool = True
+) -> DataFrame:
+    """A CSV log whose messages have no order column: adds ``FILE_ORDER``.
+
+    Ordering by these columns is the order of the lines, files by name. They
+    come from the scan itself, so nothing is shuffled to get them.
+    """
+    return read_csv(spark, path, schema, multi_line).select(
+        "*",
+        F.col("_metadata.file_path").alias("file_path"),
+        F.col("_metadata.file_block_start").alias("block_start"),
+        F.monotonically_increasing_id().alias("line_no"),
+    )
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     """CSV that :func:`read_csv` reads back unchanged; only an empty text comes back NULL."""
     (

@@ -134,7 +134,7 @@ def test_exact_split_sizes(spark, n):
     assert counts == {s: c for s, c in want.items() if c}
 
 
-@pytest.mark.parametrize("cells,small", [(2, 1), (3, 5), (1024, 10)])
+@pytest.mark.parametrize("cells,small", [(2, 1), (3, 5), (1 << 14, 10)])
 def test_exact_split_is_the_order_of_the_hash(spark, monkeypatch, cells, small):
     monkeypatch.setattr(S, "_HISTOGRAM_CELLS", cells)
     monkeypatch.setattr(S, "_SMALL", small)
