@@ -7,8 +7,7 @@ from collections.abc import Sequence
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans, KMeansModel
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from chatwarden.functions.arrays import list_mean, list_median
@@ -22,9 +21,16 @@ BROADCAST_PICKS = 100_000
 
 
 def centroid(vectors: DataFrame, vector: str = "embedding", by: Sequence[str] = ()) -> DataFrame:
-    """Mean vector, of the whole table or per group; partial sums are merged."""
-    mean = Summarizer.mean(array_to_vector(F.col(vector).cast("array<double>")))
-    return vectors.groupBy(*by).agg(vector_to_array(mean).alias("center"))
+    """Mean vector, of the whole table or per group.
+
+    Each task sums its rows by place in the vector, in generated code, and moves
+    only one sum per group and place. No rows give no center.
+    """
+    values = vectors.select(*by, F.posexplode(vector).alias("_place", "_x"))
+    means = values.groupBy(*by, "_place").agg(F.avg(F.col("_x").cast("double")).alias("_mean"))
+    packed = F.sort_array(F.collect_list(F.struct("_place", "_mean")))
+    centers = means.groupBy(*by).agg(packed.alias("_means"))
+    return centers.select(*by, F.col("_means._mean").alias("center")).filter(F.size("center") > 0)
 
 
 def nearest_rows(

@@ -100,6 +100,9 @@ def test_centroid_by_group(rows, points):
     for r in grouped:
         part = points[:100] if r.g else points[100:]
         assert np.allclose(r.center, part.astype(np.float64).mean(axis=0), atol=1e-6)
+    assert V.centroid(rows.limit(0)).isEmpty()
+    none = V.similar_to_seeds(rows, rows.select("sample_id").limit(0), 5)
+    assert none.isEmpty()
 
 
 def test_kmeans_finds_separate_clouds(spark):
