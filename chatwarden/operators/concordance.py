@@ -77,7 +77,7 @@ def concordance(
     wins = inside.unionByName(_wins_between(cut, parts)).agg(
         F.coalesce(F.sum(F.col("wins").cast("decimal(38,0)")), F.lit(0)).alias("wins")
     )
-    equal = labelled.groupBy("_y").agg(F.count("*").cast("decimal(38,0)").alias("c"))
+    equal = ranks.groupBy("_y").agg(F.count("*").cast("decimal(38,0)").alias("c"))
     ties = equal.agg(
         F.coalesce(F.sum(F.expr("c * (c - 1) / 2").cast("decimal(38,0)")), F.lit(0)).alias("ties")
     )

@@ -75,7 +75,11 @@ def regression_metrics(rows: DataFrame, y: str = "y_true", p: str = "y_pred") ->
     A metric is NULL where its denominator is zero.
     """
     y_col, p_col = F.col(y), F.col(p)
-    sums = rows.agg(F.avg(y).alias("mean"), F.sum(y_col * p_col).alias("yp"), F.sum(p_col * p_col).alias("pp"))
+    sums = rows.agg(
+        F.avg(y).alias("mean"),
+        F.sum(y_col * p_col).alias("yp"),
+        F.sum(p_col * p_col).alias("pp"),
+    )
     facts = sums.select(F.struct("mean", F.try_divide("yp", "pp").alias("slope"))).scalar()
     mean, slope = facts.getField("mean"), facts.getField("slope")
 

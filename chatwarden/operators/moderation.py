@@ -119,7 +119,9 @@ def chat_context(
 ) -> DataFrame:
     """One shown line per message, marked if it holds a filtered term."""
     return chats.select(
-        *keep, fn.chat_line(author, text).alias("line"), fn.is_highlighted(text, terms).alias("highlighted")
+        *keep,
+        fn.chat_line(author, text).alias("line"),
+        fn.is_highlighted(text, terms).alias("highlighted"),
     )
 
 

@@ -82,9 +82,8 @@ def rank_within(
     earlier = (
         Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     )
-    shifts = pieces.select(
-        "_part", group, (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first")).alias("_shift")
-    )
+    before = F.coalesce(F.sum("_n").over(earlier), F.lit(0))
+    shifts = pieces.select("_part", group, (before - F.col("_first")).alias("_shift"))
     return (
         rows.join(shifts, ["_part", group])
         .withColumn(name, F.col("_row") + F.col("_shift"))

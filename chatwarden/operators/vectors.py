@@ -12,10 +12,13 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from chatwarden.functions.arrays import list_mean, list_median
 from chatwarden.functions.fixed_values import NEAREST_PER_CLUSTER, NEAREST_TO_SEEDS
+from chatwarden.operators.ranks import global_rank
 from chatwarden.session import materialize, scratch_path
 
 # Centers are shipped to every task in slices of at most this size.
 CENTER_BYTES = 32 << 20
+# Distances a task holds at a time.
+_DISTANCES = 4_000_000
 # Picks are broadcast below this count; above, Spark chooses the join.
 BROADCAST_PICKS = 100_000
 
@@ -49,19 +52,21 @@ def nearest_rows(
     slice at a time; the answer is the same.
 
     Returns ``cluster_id``, ``pick`` (1 is the nearest), ``key``, ``distance``;
-    ties go to the smaller key. Fewer than k rows give fewer picks.
+    ties go to the smaller key. Fewer than k rows give fewer picks. A vector
+    with a missing or infinite value is near nothing.
     """
     spark = rows.sparkSession
     centers = materialize(centers.select("cluster_id", "center"), "centers")  # made once
     count, dims = centers.agg(F.count("*"), F.max(F.size("center"))).first()
-    slices = max(1, -(-2 * count * (dims or 0) * 8 // center_bytes))
+    in_slice = max(1, center_bytes // (8 * max(dims or 0, 1)))
     vectors = rows.filter(F.col(vector).isNotNull()).select(key, F.col(vector))
-    if slices == 1:
+    if count <= in_slice:
         return _best_of_all(_nearest_in_tasks(vectors, centers, k, key), k, key)
     path = scratch_path(spark, "nearest")
-    slice_of = F.pmod(F.xxhash64("cluster_id"), F.lit(slices))
-    for i in range(slices):
-        near = _nearest_in_tasks(vectors, centers.filter(slice_of == i), k, key)
+    ranked = materialize(global_rank(centers, [F.col("cluster_id")], "_rank"), "centers")
+    for start in range(0, count, in_slice):
+        part = ranked.filter(F.col("_rank").between(start, start + in_slice - 1))
+        near = _nearest_in_tasks(vectors, part, k, key)
         _best_of_all(near, k, key).write.mode("append").parquet(path)
     return spark.read.parquet(path)
 
@@ -79,17 +84,17 @@ def _nearest_in_tasks(vectors: DataFrame, centers: DataFrame, k: int, key: str)
     table = centers.select("cluster_id", "center").collect()  # one slice of centers
     ids = [row.cluster_id for row in table]
     matrix = np.array([row.center for row in table], dtype=np.float64)
-    schema = T.StructType(
-        [centers.schema["cluster_id"], vectors.schema[key], T.StructField("distance", T.DoubleType())]
-    )
+    distance = T.StructField("distance", T.DoubleType())
+    schema = T.StructType([centers.schema["cluster_id"], vectors.schema[key], distance])
 
     def task(batches):
         best: list[list[tuple]] = [[] for _ in ids]
         types = None
         for batch in batches:
             types = batch.schema.field(0).type
-            if batch.num_rows and ids:
-                _keep_nearest(best, batch, matrix, k)
+            step = max(1, _DISTANCES // max(len(ids), 1))
+            for start in range(0, batch.num_rows if ids else 0, step):
+                _keep_nearest(best, batch.slice(start, step), matrix, k)
         if types is not None:
             found = [(ids[j], row_key, d) for j, picks in enumerate(best) for d, row_key in picks]
             yield pa.RecordBatch.from_arrays(
@@ -114,14 +119,17 @@ def _keep_nearest(best, batch, matrix, k) -> None:
     One matrix product gives all squared distances up to rounding; only rows
     that could still be among the k best get their exact distance.
     """
-    keys = batch.column(0)
     flat = batch.column(1).flatten().to_numpy(zero_copy_only=False)
     x = flat.reshape(batch.num_rows, -1).astype(np.float64)
     x_norm = np.einsum("ij,ij->i", x, x)
+    finite = np.flatnonzero(np.isfinite(x_norm))
+    if not finite.size:
+        return
+    keys, x, x_norm = batch.column(0).take(pa.array(finite)), x[finite], x_norm[finite]
     c_norm = np.einsum("ij,ij->i", matrix, matrix)
     rough = x_norm[:, None] + c_norm[None, :] - 2.0 * (x @ matrix.T)
     slack = 1e-9 * (x_norm.max() + c_norm)
-    nth = min(k, batch.num_rows) - 1
+    nth = min(k, len(x)) - 1
     for j, picks in enumerate(best):
         limit = np.partition(rough[:, j], nth)[nth]
         if len(picks) == k:

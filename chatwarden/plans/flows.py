@@ -16,6 +16,7 @@ from chatwarden.operators.concordance import concordance
 from chatwarden.operators.metrics import errors, mean_baseline, regression_metrics
 from chatwarden.operators.split import exact_split, hash_split
 from chatwarden.operators.windows import sliding_windows
+from chatwarden.session import materialize
 from chatwarden.sources import stores
 
 _OTHER_COLUMNS = tuple(
@@ -95,7 +96,7 @@ def with_label(windows: DataFrame, score: str = schema.LABEL_COLUMN) -> DataFram
 
 def evaluate(model: PipelineModel, rows: DataFrame, key: str = "sample_id") -> DataFrame:
     """One row: ``mse mae concordance rm_squared`` of the model on labelled rows."""
-    scored = models.score_texts(model, rows, [key, "label"])
+    scored = materialize(models.score_texts(model, rows, [key, "label"]), "scored")
     pair = ("label", "predicted_risk")
     found = errors(scored, [pair]).select("mse", "mae")
     ranked = concordance(scored, key, *pair).select("concordance").scalar()

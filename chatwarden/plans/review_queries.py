@@ -236,7 +236,9 @@ def nested_items(spark, sf_dir):
     nested = items.select(
         "item_id", "player_id", "priority", "assessed_risk", "date", "violation_type",
         F.struct(
-            F.array(F.struct(F.col("preview").alias("text"), F.col("player_name").alias("author"))).alias("texts"),
+            F.array(
+                F.struct(F.col("preview").alias("text"), F.col("player_name").alias("author"))
+            ).alias("texts"),
             F.array().cast("array<string>").alias("filtered_content"),
         ).alias("conversation"),
         F.struct(

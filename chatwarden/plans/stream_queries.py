@@ -22,8 +22,9 @@ def _event_files(spark, sf_dir) -> str:
     low, high = events.agg(F.min("ts"), F.max("ts")).first()
     width = (high - low) / SLICES
     for i in range(SLICES):
-        since, until = F.col("ts") >= F.lit(low + i * width), F.col("ts") < F.lit(low + (i + 1) * width)
-        arrived = events.filter(since & until if i < SLICES - 1 else since)
+        arrived = events.filter(F.col("ts") >= F.lit(low + i * width))
+        if i < SLICES - 1:
+            arrived = arrived.filter(F.col("ts") < F.lit(low + (i + 1) * width))
         arrived.repartition(FILES_PER_SLICE).write.mode("append").parquet(path)
     return path
 
@@ -31,7 +32,8 @@ def _event_files(spark, sf_dir) -> str:
 def stream_windows(spark, sf_dir):
     path, out = _event_files(spark, sf_dir), scratch_path(spark, "stream-windows")
     schema = spark.read.parquet(path).schema
-    arriving = spark.readStream.schema(schema).option("maxFilesPerTrigger", FILES_PER_SLICE).parquet(path)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", FILES_PER_SLICE)
+    arriving = stream.parquet(path)
     found = windows_of(arriving, "user_id", ["ts", "event_id"], ["event_id", "value"])
     append_stream(found, out, scratch_path(spark, "stream-state")).awaitTermination()
     return spark.read.parquet(out).select(

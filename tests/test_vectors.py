@@ -57,6 +57,17 @@ def test_nearest_with_large_offsets_keeps_the_exact_order(spark):
     assert [r.sample_id for r in got] == [0, 1, 2, 3, 4]
 
 
+def test_broken_vectors_are_near_nothing_and_spoil_nothing(spark):
+    bad = [float("nan"), float("inf"), None]
+    data = [(i, [float(i), bad[i % 3] if i % 4 == 0 else 1.0]) for i in range(40)] + [(99, None)]
+    table = spark.createDataFrame(data, "sample_id INT, embedding ARRAY<DOUBLE>").coalesce(1)
+    center = spark.createDataFrame(
+        [(0, [0.0, 1.0]), (1, [39.0, 1.0])], "cluster_id INT, center ARRAY<DOUBLE>"
+    )
+    got = V.nearest_rows(table, center, 3).orderBy("cluster_id", "pick").collect()
+    assert [r.sample_id for r in got] == [1, 2, 3, 39, 38, 37]
+
+
 def test_closest_rows_and_no_rows(rows, points, centers):
     values, table = centers
     closest = {r.cluster_id: r.sample_id for r in V.closest_rows(V.nearest_rows(rows, table, 3)).collect()}
