@@ -109,39 +109,34 @@ def score_texts(model: Transformer, texts: DataFrame, keep: Sequence[str]) -> Da
 def tune_risk_model(
     train: DataFrame,
     label: str = "label",
+    regressor: Estimator | None = None,
+    grid: Sequence[dict] | None = None,
     text: str = "chat",
     dims: int = EMBEDDING_DIMS,
-    penalties: Sequence[float] = (0.01, 0.1, 1.0),
-    mixes: Sequence[float] = (0.0,),
     seed: int = 1,
     parallelism: int = 2,
-) -> tuple[TrainValidationSplitModel, list[tuple[float, float, float]]]:
-    """Grid search for the lowest validation error (mean absolute error).
+) -> tuple[TrainValidationSplitModel, list[tuple[dict[str, float], float]]]:
+    """Search for the lowest validation error (mean absolute error).
 
-    The features do not depend on the grid, so they are made once, outside it.
-    Returns the fitted search and (penalty, mix, mae) per grid point.
+    ``grid`` has the parameter maps to try, as ``ParamGridBuilder`` builds them;
+    by default penalties of a linear model. The features do not depend on them,
+    so they are made once, outside the search. Returns the fitted search and
+    (parameters, error) per point.
     """
     features = train
     for stage in hashing_stages(text, dims):
         features = stage.transform(features)
     features = features.select("features", label)
-    regressor = LinearRegression(labelCol=label)
-    grid = (
-        ParamGridBuilder()
-        .addGrid(regressor.regParam, list(penalties))
-        .addGrid(regressor.elasticNetParam, list(mixes))
-        .build()
-    )
+    if regressor is None:
+        regressor = LinearRegression()
+        grid = grid or ParamGridBuilder().addGrid(regressor.regParam, [0.01, 0.1, 1.0]).build()
     search = TrainValidationSplit(
-        estimator=regressor,
-        estimatorParamMaps=grid,
+        estimator=regressor.copy({regressor.labelCol: label}),
+        estimatorParamMaps=list(grid or [{}]),
         evaluator=RegressionEvaluator(labelCol=label, metricName="mae"),
         trainRatio=0.8,
         seed=seed,
         parallelism=parallelism,
     ).fit(features)
-    tried = [
-        (point[regressor.regParam], point[regressor.elasticNetParam], mae)
-        for point, mae in zip(grid, search.validationMetrics)
-    ]
-    return search, tried
+    points = [{p.name: value for p, value in point.items()} for point in search.getEstimatorParamMaps()]
+    return search, list(zip(points, search.validationMetrics))

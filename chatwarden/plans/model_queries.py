@@ -137,8 +137,8 @@ def tune(spark, sf_dir):
     """Validation error of every grid point, best first."""
     train = _part(labelled_chats(spark, sf_dir), "train")
     _, tried = models.tune_risk_model(train, dims=DIMS)
-    schema = "penalty DOUBLE, mix DOUBLE, mae DOUBLE"
-    return spark.createDataFrame([tuple(map(float, t)) for t in tried], schema).orderBy("mae")
+    rows = [(point["regParam"], mae) for point, mae in tried]
+    return spark.createDataFrame(rows, "penalty DOUBLE, mae DOUBLE").orderBy("mae")
 
 
 QUERIES = {

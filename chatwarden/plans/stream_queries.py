@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from chatwarden.operators.moderation import sort_by_risk
 from chatwarden.plans import model_queries
 from chatwarden.plans.roles import table
 from chatwarden.plans.window_queries import windows_sql
@@ -55,15 +56,15 @@ STREAM_WINDOWS = f"""
 
 
 def stream_scores(spark, sf_dir):
-    """Documents scored as they arrive as files."""
+    """Documents scored into the queue as they arrive as files; the queue by risk."""
     schema = table(spark, sf_dir, "documents").schema
     arriving = (
         spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(sf_dir)
     ).select("doc_id", F.col("text").alias("chat"))
     out = scratch_path(spark, "stream-scores")
-    scored = score_stream(model_queries.fitted(spark, sf_dir), arriving, ["doc_id"])
+    scored = score_stream(model_queries.fitted(spark, sf_dir), arriving, "doc_id")
     append_stream(scored, out, scratch_path(spark, "stream-state")).awaitTermination()
-    return spark.read.parquet(out)
+    return sort_by_risk(spark.read.parquet(out)).select("item_id", "assessed_risk")
 
 
 QUERIES = {

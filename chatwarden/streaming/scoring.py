@@ -1,19 +1,26 @@
-"""Scoring of new chats as they arrive."""
+"""Scoring of new chats into the review queue as they arrive."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.ml import Transformer
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from chatwarden.operators.models import score_texts
 
 
-def score_stream(model: Transformer, chats: DataFrame, keep: Sequence[str]) -> DataFrame:
-    """Predicted risk of a streaming table of chats; no state is kept."""
-    return score_texts(model, chats, keep)
+def score_stream(
+    model: Transformer, chats: DataFrame, key: str = "sample_id", text: str = "chat"
+) -> DataFrame:
+    """Queue rows of a streaming table of chats: id, preview and assessed risk.
+
+    Every chat is scored by itself, so no state is kept.
+    """
+    return score_texts(model, chats, [key, text]).select(
+        F.col(key).alias("item_id"),
+        F.col(text).alias("preview"),
+        F.col("predicted_risk").alias("assessed_risk"),
+    )
 
 
 def append_stream(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:

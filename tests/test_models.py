@@ -6,11 +6,13 @@ import random
 import numpy as np
 import pytest
 from pyspark.ml.feature import HashingTF
-from pyspark.ml.regression import GBTRegressor
+from pyspark.ml.regression import GBTRegressor, LinearRegression
+from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import functions as F, types as T
 
 from chatwarden import schema
 from chatwarden.operators import metrics, models
+from chatwarden.operators.moderation import sort_by_risk
 from chatwarden.operators.windows import sliding_windows
 from chatwarden.plans import flows
 from chatwarden.sources import logs, stores
@@ -71,9 +73,13 @@ def test_model_beats_the_mean(spark):
 
 
 def test_tuning_takes_the_lowest_error(spark):
-    search, tried = models.tune_risk_model(chat_table(spark), dims=64, penalties=(0.001, 100.0))
-    assert [t[0] for t in tried] == [0.001, 100.0] and tried[0][2] < tried[1][2]
-    assert search.bestModel.getRegParam() == 0.001
+    linear = LinearRegression()
+    grid = ParamGridBuilder().addGrid(linear.regParam, [0.001, 100.0]).build()
+    search, tried = models.tune_risk_model(chat_table(spark), "label", linear, grid, dims=64)
+    assert [point["regParam"] for point, _ in tried] == [0.001, 100.0]
+    assert tried[0][1] < tried[1][1] and search.bestModel.getRegParam() == 0.001
+    trees = GBTRegressor(maxIter=2, seed=1)
+    assert len(models.tune_risk_model(chat_table(spark, 80), "label", trees, dims=16)[1]) == 1
 
 
 def message_log(spark, alliances=12, messages=30):
@@ -211,6 +217,8 @@ def test_stream_scores_equal_batch_scores(spark, tmp_path):
         part.write.mode("append").parquet(folder)
     stream = spark.readStream.schema(chats.schema).option("maxFilesPerTrigger", 2).parquet(folder)
     out = str(tmp_path / "out")
-    append_stream(score_stream(model, stream, ["sample_id"]), out, str(tmp_path / "state")).awaitTermination()
-    want = models.score_texts(model, chats, ["sample_id"]).orderBy("sample_id").collect()
-    assert spark.read.parquet(out).orderBy("sample_id").collect() == want
+    append_stream(score_stream(model, stream, "sample_id"), out, str(tmp_path / "state")).awaitTermination()
+    want = models.score_texts(model, chats, ["sample_id", "chat"])
+    queue = sort_by_risk(spark.read.parquet(out)).collect()
+    by_risk = want.orderBy(F.desc("predicted_risk"), "sample_id").collect()
+    assert [tuple(r) for r in queue] == [(r[0], r[1], r[2]) for r in by_risk]
