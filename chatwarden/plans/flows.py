@@ -25,7 +25,10 @@ _OTHER_COLUMNS = tuple(
 
 
 def clean_message_windows(
-    log: DataFrame, length: int = fixed.WINDOW_LENGTH, step: int = fixed.WINDOW_STEP
+    log: DataFrame,
+    length: int = fixed.WINDOW_LENGTH,
+    step: int = fixed.WINDOW_STEP,
+    order: Sequence[str] = schema.ORDER_COLUMNS,
 ) -> DataFrame:
     """Message log to clean windows with a chat column and typed lists.
 
@@ -39,7 +42,7 @@ def clean_message_windows(
             missing = missing | F.isnan(name)
     columns = [schema.TEXT, *schema.SCORE_COLUMNS, "_missing"]
     flagged = log.withColumn("_missing", missing)
-    windows = sliding_windows(flagged, schema.ALLIANCE, schema.ORDER_COLUMNS, columns, length, step)
+    windows = sliding_windows(flagged, schema.ALLIANCE, order, columns, length, step)
     return add_chat(windows.filter(~F.array_contains("_missing", True)).drop("_missing"))
 
 

@@ -27,14 +27,18 @@ PROFILE_COLUMNS = tuple(_log_name(i) for i in fixed.PROFILE_POSITIONS)
 SEED_COLUMN = _log_name(fixed.SEED_POSITION)
 LABEL_COLUMN = _log_name(fixed.LABEL_POSITION)
 
-# The order of messages is data here, not the order of lines in a file.
-ORDER_COLUMNS = ("msg_ts", "msg_id")
-
-MESSAGE_LOG = T.StructType(
+# A log as exported: no order but that of its lines (sources.logs.FILE_ORDER).
+RAW_LOG = T.StructType(
     [
         T.StructField(name, T.DoubleType() if name in SCORE_COLUMNS else T.StringType())
         for name in LOG_COLUMNS
     ]
+)
+
+# A log that carries the order of its messages as data.
+ORDER_COLUMNS = ("msg_ts", "msg_id")
+MESSAGE_LOG = T.StructType(
+    RAW_LOG.fields
     + [T.StructField("msg_ts", T.TimestampType()), T.StructField("msg_id", T.LongType())]
 )
 

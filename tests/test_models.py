@@ -132,6 +132,17 @@ def test_flows_from_log_to_reports(spark, tmp_path):
     assert by_alliance.groupBy("alliance_id").agg(F.count_distinct("split").alias("n")).filter("n > 1").isEmpty()
 
 
+def test_exported_log_is_taken_in_the_order_of_its_lines(spark, tmp_path):
+    log = message_log(spark, 3, 20)
+    path = str(tmp_path / "export")
+    logs.write_csv(log.orderBy("msg_id").select(*schema.LOG_COLUMNS), path)
+    raw = logs.read_csv_in_file_order(spark, path, schema.RAW_LOG)
+    columns = ["sample_id", "chat", schema.SEED_COLUMN]
+    got = flows.clean_message_windows(raw, 4, 1, logs.FILE_ORDER).select(columns)
+    want = flows.clean_message_windows(log, 4, 1).select(columns)
+    assert sorted(got.collect()) == sorted(want.collect()) and got.count() == 3 * 17 - 1
+
+
 def test_windows_stored_as_text(spark):
     good = {n: "['x']" for n in schema.LOG_COLUMNS}
     good.update({n: "[1.0]" for n in schema.SCORE_COLUMNS})
