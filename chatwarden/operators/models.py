@@ -56,7 +56,7 @@ def encode_texts(
         encoder = None
         for batch in batches:
             encoder = encoder or load_encoder()
-            vectors = np.asarray(encoder(batch.column(1).to_pylist()), dtype=np.float32)
+            vectors = np.asarray(encoder([t or "" for t in batch.column(1).to_pylist()]), dtype=np.float32)
             width = vectors.shape[1] if vectors.ndim == 2 else 0
             offsets = np.arange(0, batch.num_rows + 1, dtype=np.int32) * width
             column = pa.ListArray.from_arrays(pa.array(offsets), pa.array(vectors.ravel()))

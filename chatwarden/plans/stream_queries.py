@@ -12,7 +12,7 @@ from chatwarden.session import scratch_path
 from chatwarden.streaming.scoring import append_stream, score_stream
 from chatwarden.streaming.windows import stream_windows as windows_of
 
-SLICES = 4
+SLICES = 2
 FILES_PER_SLICE = 4
 
 
