@@ -104,12 +104,11 @@ def _wins_between(cut: DataFrame, parts: int) -> DataFrame:
     cells = F.sequence(F.lit(0).cast("long"), F.lit(max(parts - 1, 0)).cast("long"))
     grid = blocks.withColumn("_cell", F.explode(cells))
     grid = grid.join(counts, ["_block", "_cell"], "left").fillna(0, ["_n"])
-    later_blocks = (
-        Window.partitionBy("_cell").orderBy(F.desc("_block")).rowsBetween(Window.unboundedPreceding, -1)
-    )
-    smaller_cells = (
-        Window.partitionBy("_block").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
-    )
+    all_before = (Window.unboundedPreceding, -1)
+    down_blocks = Window.partitionBy("_cell").orderBy(F.desc("_block"))
+    up_cells = Window.partitionBy("_block").orderBy("_cell")
+    later_blocks = down_blocks.rowsBetween(*all_before)
+    smaller_cells = up_cells.rowsBetween(*all_before)
     return (
         grid.withColumn("_later", F.coalesce(F.sum("_n").over(later_blocks), F.lit(0)))
         .withColumn("_beaten", F.coalesce(F.sum("_later").over(smaller_cells), F.lit(0)))

@@ -41,7 +41,10 @@ def embed_texts(texts: DataFrame, text: str = "chat", dims: int = EMBEDDING_DIMS
 
 
 def encode_texts(
-    texts: DataFrame, load_encoder: Callable[[], Encoder], key: str = "sample_id", text: str = "chat"
+    texts: DataFrame,
+    load_encoder: Callable[[], Encoder],
+    key: str = "sample_id",
+    text: str = "chat",
 ) -> DataFrame:
     """``key`` and ``embedding`` with an encoder of the caller's.
 
@@ -56,7 +59,8 @@ def encode_texts(
         encoder = None
         for batch in batches:
             encoder = encoder or load_encoder()
-            vectors = np.asarray(encoder([t or "" for t in batch.column(1).to_pylist()]), dtype=np.float32)
+            chats = [chat or "" for chat in batch.column(1).to_pylist()]
+            vectors = np.asarray(encoder(chats), dtype=np.float32)
             width = vectors.shape[1] if vectors.ndim == 2 else 0
             offsets = np.arange(0, batch.num_rows + 1, dtype=np.int32) * width
             column = pa.ListArray.from_arrays(pa.array(offsets), pa.array(vectors.ravel()))
@@ -138,5 +142,5 @@ def tune_risk_model(
         seed=seed,
         parallelism=parallelism,
     ).fit(features)
-    points = [{p.name: value for p, value in point.items()} for point in search.getEstimatorParamMaps()]
-    return search, list(zip(points, search.validationMetrics))
+    tried = [{p.name: v for p, v in point.items()} for point in search.getEstimatorParamMaps()]
+    return search, list(zip(tried, search.validationMetrics))

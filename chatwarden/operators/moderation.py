@@ -167,7 +167,9 @@ def alliance_info(items: DataFrame, *keep: str) -> DataFrame:
     )
 
 
-def item_details(items: DataFrame, assessments: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+def item_details(
+    items: DataFrame, assessments: DataFrame, wanted: DataFrame | None = None
+) -> DataFrame:
     """The detail record of each item, or of the ``item_id`` values in ``wanted``."""
     if wanted is not None:
         items = items.join(wanted.select("item_id"), "item_id", "left_semi")

@@ -19,7 +19,9 @@ from chatwarden.session import materialize
 _ROW_BITS = 33
 
 
-def range_sorted(df: DataFrame, order: Sequence[Column], partitions: int | None = None) -> DataFrame:
+def range_sorted(
+    df: DataFrame, order: Sequence[Column], partitions: int | None = None
+) -> DataFrame:
     """Adds ``_part`` and ``_row``: the range partition and the row number in it.
 
     ``order`` must be unique per row; then equal sort values cannot pile up in

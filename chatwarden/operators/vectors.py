@@ -232,8 +232,10 @@ def kmeans(
 ) -> tuple[DataFrame, DataFrame, KMeansModel]:
     """Euclidean k-means: (key, cluster_id), (cluster_id, center) and the model."""
     spark = rows.sparkSession
-    points = rows.select(key, array_to_vector(F.col(vector).cast("array<double>")).alias("features"))
-    model = KMeans(k=k, seed=seed, distanceMeasure="euclidean", predictionCol="cluster_id").fit(points)
+    features = array_to_vector(F.col(vector).cast("array<double>")).alias("features")
+    points = rows.select(key, features)
+    clustering = KMeans(k=k, seed=seed, distanceMeasure="euclidean", predictionCol="cluster_id")
+    model = clustering.fit(points)
     centers = spark.createDataFrame(
         [(i, [float(v) for v in c]) for i, c in enumerate(model.clusterCenters())],
         "cluster_id INT, center ARRAY<DOUBLE>",

@@ -97,10 +97,8 @@ def run_windows(
         )
     )
     starts = flagged.groupBy("_part").agg(F.max("_start").alias("_last_start"))
-    carried = starts.select(
-        "_part",
-        F.max("_last_start").over(by_part.rowsBetween(Window.unboundedPreceding, -1)).alias("_carried"),
-    )
+    earlier = by_part.rowsBetween(Window.unboundedPreceding, -1)
+    carried = starts.select("_part", F.max("_last_start").over(earlier).alias("_carried"))
     runs = (
         flagged.join(F.broadcast(carried), "_part")
         .withColumn(
@@ -141,9 +139,10 @@ def _starts_window(length: int, step: int) -> Column:
 
 
 def _finish(framed: DataFrame, group: str, keys, columns) -> DataFrame:
+    key_texts = [F.col(k).cast("string") for k in keys]
     return framed.select(
         *keys,
-        F.concat_ws(":", *[F.col(k).cast("string") for k in keys], "window_start").alias("sample_id"),
+        F.concat_ws(":", *key_texts, "window_start").alias("sample_id"),
         "window_start",
         F.size("_window").alias("n_messages"),
         *[F.col("_window")[c].alias(c if c not in keys else f"{c}s") for c in columns],
@@ -208,5 +207,5 @@ def group_batches(
     laid_out = running_sums(
         summary, [F.col(f"first_{c}") for c in order] + [F.col(group)], {"_through": "n_rows"}
     )
-    before = F.col("_through") - F.col("n_rows")
-    return laid_out.select(group, "n_rows", F.floor(before / batch_rows).cast("long").alias("batch_id"))
+    batch = F.expr(f"(_through - n_rows) div {batch_rows}")
+    return laid_out.select(group, "n_rows", batch.alias("batch_id"))

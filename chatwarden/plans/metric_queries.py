@@ -148,7 +148,8 @@ def _pr_area_sql(source: str) -> str:
             SELECT score, sum(p) OVER w AS tp, sum(n) OVER w AS seen, sum(p) OVER () AS pos
             FROM per_score WINDOW w AS (ORDER BY score DESC)),
         pr AS (
-            SELECT score, tp / seen AS precision, CASE WHEN pos > 0 THEN tp / pos END AS recall FROM c)
+            SELECT score, tp / seen AS precision,
+                   CASE WHEN pos > 0 THEN tp / pos END AS recall FROM c)
         SELECT round(sum((recall - r0) * (precision + p0) / 2), 6) AS pr_area
         FROM (SELECT recall, precision, lag(recall, 1, 0) OVER o AS r0,
                      lag(precision, 1, 1) OVER o AS p0

@@ -272,7 +272,9 @@ NESTED_ITEMS = f"""
 QUERIES = {
     "review_queue": (review_queue, _queue_sql()),
     "review_queue_high": (review_queue_high, _queue_sql("contains(priority, 'high')")),
-    "review_queue_violation": (review_queue_violation, _queue_sql("list_contains(violation_type, 'R-F')")),
+    "review_queue_violation": (
+        review_queue_violation, _queue_sql("list_contains(violation_type, 'R-F')")
+    ),
     "queue_views": (queue_views, QUEUE_VIEWS),
     "chat_context": (chat_context, CHAT_CONTEXT),
     "trait_radar": (trait_radar, TRAIT_RADAR),

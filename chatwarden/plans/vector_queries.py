@@ -228,7 +228,8 @@ def centers_store(spark, sf_dir):
     path = scratch_path(spark, "centers")
     stores.write_centers(label_centers(spark, sf_dir), path)
     values = stores.read_centers(spark, path).select("cluster_id", F.posexplode("center"))
-    return values.select("cluster_id", (F.col("pos") + 1).alias("pos"), F.round("col", 6).alias("x"))
+    place = (F.col("pos") + 1).alias("pos")
+    return values.select("cluster_id", place, F.round("col", 6).alias("x"))
 
 
 CENTERS_STORE = f"""

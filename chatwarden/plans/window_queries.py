@@ -322,11 +322,9 @@ def append_windows(spark, sf_dir):
     for length in (5, 10):
         found = W.sliding_windows(log, "user_id", ORDER, ["value"], length, length)
         logs.append_windows(found.withColumn("seq_length", F.lit(length)), path)
-    return (
-        logs.read_table(spark, path)
-        .groupBy("seq_length")
-        .agg(F.count("*").alias("n_windows"), F.round(F.sum(list_sum(F.col("value"))), 4).alias("total"))
-    )
+    total = F.round(F.sum(list_sum(F.col("value"))), 4).alias("total")
+    stored = logs.read_table(spark, path).groupBy("seq_length")
+    return stored.agg(F.count("*").alias("n_windows"), total)
 
 
 def _append_sql(length: int) -> str:
