@@ -50,8 +50,10 @@ def test_filters_reach_the_scan(spark):
 
 def test_one_split_reads_only_its_files(spark):
     plan = plan_of(entry.queries()["split_store"](spark, SF_DIR))
-    filters = re.findall(r"PartitionFilters: \[[^\]]*seq_length[^\]]*split\S* = (\w+)", plan)
-    assert sorted(filters) == ["test", "train", "val"]
+    filters = re.findall(r"PartitionFilters: \[([^\]]*)\]", plan)
+    splits = [re.search(r"\(split#\d+ = (\w+)\)", f).group(1) for f in filters]
+    assert sorted(splits) == ["test", "train", "val"]
+    assert all(re.search(r"\(seq_length#\d+ = 20\)", f) for f in filters)
 
 
 def test_exact_split_moves_no_rows(spark):
