@@ -12,6 +12,14 @@ SF_DIR = "/root/testdata/sf0.001"
 QUERIES = [n for n in entry.queries() if not n.startswith("stream_")]
 
 
+@pytest.fixture(autouse=True)
+def whole_plans(spark):
+    """Lists in plans are cut at 100 characters otherwise."""
+    spark.conf.set("spark.sql.maxMetadataStringLength", "5000")
+    yield
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+
+
 def plan_of(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
