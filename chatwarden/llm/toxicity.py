@@ -34,7 +34,7 @@ from chatwarden.llm.words import ALNUM, Words, blocks, find_words, mix
 SAMPLE = 1500
 #: A feature is looked at if at least one in so many toxic texts has it: their number is bounded by this.
 SUPPORT = 1000
-_PRECISION = 0.75
+_PRECISION = 0.85
 _STRENGTH = 30.0  # least log-likelihood ratio
 _PREFIXES = (0, 4, 5)  # 0: the whole word
 _STEPS, _RATE, _DECAY = 120, 0.3, 1e-3
