@@ -12,11 +12,13 @@ of its own that no rule takes, so each document is a slice of the shard's
 symbols and can be decoded alone; the stored expansion lengths lead to any
 token of it without decoding what is before.
 
-Encoding works word by word: a single space between other characters always
-starts a new piece of the vocabulary's pattern, so the ids of a text are those
-of its words, one after the other. Words are found and looked up by 64-bit
-hashes in blocks; only words that a worker has not met yet go through the
-tokenizer. Texts with other runs of white space are encoded whole.
+Encoding works piece by piece: a single space between other characters always
+starts a new piece of the vocabulary's pattern, and so does a change between
+ASCII letters, digits and signs (but not behind an apostrophe). The ids of a text
+are those of its pieces, one after the other. Pieces are found and looked up by
+64-bit hashes in blocks; only pieces that a worker has not met yet go through
+the tokenizer. Texts with other runs of white space or with a special token's
+string are encoded whole.
 
 Defined cases: a NULL or empty text is the end id alone; documents of one id
 stand in order of a hash of their text, a NULL id stands first; repeated rows
@@ -37,17 +39,52 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types a
 
 from chatwarden.session import scratch_path
 from chatwarden.llm.common import as_bytes, fields
-from chatwarden.llm.words import blocks, find_words, mix, worker_cache
+from chatwarden.llm.words import Words, blocks, find_words, mix, worker_cache
 
 SHARD_TOKENS = 1 << 21
 END_ID = 0
 ROUNDS = 6
 MIN_PAIR = 24  # rarer pairs get no rule
 _SHORT = 1 << 16  # symbols below this take two bytes; rules stop there if the vocabulary leaves room
-_MAX_WORDS = 400_000  # words that a worker remembers; then it starts anew
-_NOT_SPACE = np.array([b != 0x20 for b in range(256)], dtype=np.int8)
+_BLOCK = 3 << 20
+_SLOT_BITS = 20
+_SLOTS = 1 << _SLOT_BITS  # counters of a round
+_MAX_WORDS = 1_500_000  # words that a worker remembers; then it starts anew
 _UNEVEN = re.compile(r"\s |^ | $")  # spaces that may not start a piece
 
+
+def _piece_class(byte: int) -> int:
+    """0 space, 1 letter, 2 digit, 3 sign, 4 no piece starts here or behind, 5 white space."""
+    char = chr(byte)
+    if byte == 0x20:
+        return 0
+    if 0x09 <= byte <= 0x0D:
+        return 5
+    if byte < 0x20 or byte >= 0x7F:
+        return 4
+    return 1 if char.isalpha() else 2 if char.isdigit() else 3
+
+
+_CLASS = np.array([_piece_class(b) for b in range(256)], dtype=np.int8)
+#: Whether a new piece starts between a byte of the first class and one of the second.
+_CUT = np.zeros((6, 6), bool)
+for _a in (1, 2, 3):
+    for _b in (1, 2, 3, 5):
+        _CUT[_a, _b] = _a != _b
+
+
+def find_pieces(texts: list[bytes]) -> Words:
+    """Runs without spaces, cut where the class of their bytes changes."""
+    data = np.frombuffer(b" ".join(texts), np.uint8)
+    kind = _CLASS[data]
+    cut = np.zeros(len(data), bool)
+    if len(data):
+        cut[1:] = _CUT[kind[:-1], kind[1:]] & (data[:-1] != 0x27)
+    return find_words(texts, _NOT_SPACE, lower=False, cut=cut)
+
+
+_NOT_SPACE = (_CLASS != 0).astype(np.int8)
+
 _SHARD = fields(
     part=T.LongType(),
     shard=T.LongType(),
@@ -74,6 +111,8 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
+        (self.line_end,) = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.special = [str(t.content).encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self._forget()
 
     def _forget(self) -> None:
@@ -84,14 +123,15 @@ class WordEncoder:
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray] | tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, bounds per text)."""
-        uneven = [bool(_UNEVEN.search(t.decode())) for t in texts]
+        uneven = [bool(_UNEVEN.search(t.decode())) or any(x in t for x in self.special) for t in texts]
         even = [b"" if u else t for t, u in zip(texts, uneven)]
-        found = find_words(even, _NOT_SPACE, lower=False)
+        found = find_pieces(even)
         keys = found.hash.copy()
-        counts = np.diff(found.first)
-        firsts = found.first[:-1][counts > 0]
-        keys[firsts] = mix(keys[firsts] + np.uint64(1))  # a first word has no space before it
-        slots = self._slots(found, keys, firsts)
+        bare = np.ones(len(keys), bool)  # without a space before it
+        bare[1:] = found.start[1:] == found.end[:-1]
+        bare[found.first[:-1][np.diff(found.first) > 0]] = True
+        keys[bare] = mix(keys[bare] + np.uint64(1))
+        slots = self._slots(found, keys, bare)
         sizes = np.diff(self.start)[slots]
         ends = np.concatenate([[0], np.cumsum(sizes)])
         ids = self.ids[np.repeat(self.start[slots] - ends[:-1], sizes) + np.arange(ends[-1])]
@@ -108,24 +148,23 @@ class WordEncoder:
         made = self.tokenizer.encode_batch([t.decode() for t in texts], add_special_tokens=False)
         return [np.array(e.ids, np.uint32) for e in made]
 
-    def _slots(self, found, keys: np.ndarray, firsts: np.ndarray) -> np.ndarray:
+    def _slots(self, found, keys: np.ndarray, bare: np.ndarray) -> np.ndarray:
         distinct, first_at, inverse = np.unique(keys, return_index=True, return_inverse=True)
         slot = self._lookup(distinct)
         new = np.flatnonzero(slot < 0)
         if len(new):
             if len(self.keys) + len(new) > _MAX_WORDS and len(self.keys):
                 self._forget()
-                return self._slots(found, keys, firsts)
+                return self._slots(found, keys, bare)
             at = first_at[new]
-            is_first = np.isin(at, firsts)
             words = [found.data[found.start[i] : found.end[i]].decode() for i in at.tolist()]
-            ids = self._encode_words(words, is_first)
+            ids = self._encode_pieces(words, bare[at])
             self.start = np.concatenate([self.start, self.start[-1] + np.cumsum([len(x) for x in ids])])
             self.ids = np.concatenate([self.ids, *ids])
             slot[new] = len(self.keys) + np.arange(len(new))
             all_keys = np.concatenate([self.keys, distinct[new]])
             all_slots = np.concatenate([self.slots, slot[new]])
-            order = np.argsort(all_keys)
+            order = np.argsort(all_keys, kind="stable")  # merges two sorted runs
             self.keys, self.slots = all_keys[order], all_slots[order]
         return slot[inverse]
 
@@ -135,22 +174,21 @@ class WordEncoder:
         at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
         return np.where(self.keys[at] == keys, self.slots[at], -1)
 
-    def _encode_words(self, words: list[str], is_first: np.ndarray, together: int = 256) -> list[np.ndarray]:
-        """Ids of each word; words behind a space are encoded as long lines and cut apart."""
-        out: list = [None] * len(words)
-        alone = is_first | np.fromiter((w[-1].isspace() for w in words), bool, len(words))
+    def _encode_pieces(self, pieces: list[str], bare: np.ndarray, together: int = 256) -> list[np.ndarray]:
+        """Ids of each piece. Pieces behind a space are encoded as lines: the end of a line
+        is an id of its own in front of a space, and the ids are cut there."""
+        out: list = [None] * len(pieces)
+        alone = bare | np.fromiter(("\n" in p or p[-1].isspace() for p in pieces), bool, len(pieces))
         plain = np.flatnonzero(~alone).tolist()
-        lines = [plain[i : i + together] for i in range(0, len(plain), together)]
-        made = self.tokenizer.encode_batch(["".join(" " + words[i] for i in line) for line in lines], add_special_tokens=False)
-        for line, encoded in zip(lines, made):
-            starts = np.cumsum([0] + [len(words[i]) + 1 for i in line[:-1]])
-            begin = np.fromiter((o[0] for o in encoded.offsets), np.int64, len(encoded.ids))
+        parts = [plain[i : i + together] for i in range(0, len(plain), together)]
+        texts = ["".join(f" {pieces[i]}\n" for i in part) + " " for part in parts]
+        for part, encoded in zip(parts, self.tokenizer.encode_batch(texts, add_special_tokens=False)):
             ids = np.array(encoded.ids, np.uint32)
-            cut = np.searchsorted(begin, starts)
-            for i, s, e in zip(line, cut, np.append(cut[1:], len(ids))):
+            ends = np.flatnonzero(ids == self.line_end)
+            for i, s, e in zip(part, np.concatenate([[0], ends[:-1] + 1]).tolist(), ends.tolist()):
                 out[i] = ids[s:e]
         rest = np.flatnonzero(alone).tolist()
-        texts = [words[i] if is_first[i] else " " + words[i] for i in rest]
+        texts = [pieces[i] if bare[i] else " " + pieces[i] for i in rest]
         for i, encoded in zip(rest, self.tokenizer.encode_batch(texts, add_special_tokens=False)):
             out[i] = np.array(encoded.ids, np.uint32)
         return out
@@ -213,32 +251,34 @@ def _copy(flat: np.ndarray, to: np.ndarray, source: np.ndarray, sizes: np.ndarra
 def repair(ids: np.ndarray, end: int, rounds: int = ROUNDS, min_pair: int = MIN_PAIR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(symbols, rules, lengths) of ``ids``; the symbol ``end`` is in no rule and is the
     largest terminal."""
-    symbols = ids.astype(np.int64)
+    symbols = ids.astype(np.uint32)
     rules: list[np.ndarray] = []
     size = np.ones(end + 1, np.int64)
-    bits = 22
+    owner, rule_of = np.zeros(_SLOTS, np.uint64), np.zeros(_SLOTS, np.int32)
     for _ in range(rounds):
         n_symbols = len(size)
         left, right = symbols[:-1], symbols[1:]
-        slot = ((left * 0x9E3779B1 + right * 0x85EBCA77) >> 4) & ((1 << bits) - 1)
-        # Slots count pairs from above; only pairs of full slots are counted exactly.
-        full = np.bincount(slot, minlength=1 << bits) >= min_pair
-        at = np.flatnonzero(full[slot] & (left != end) & (right != end))
-        pairs, counts = np.unique(left[at] * n_symbols + right[at], return_counts=True)
-        often = counts >= min_pair
-        pairs, counts = pairs[often], counts[often]
-        room = _SHORT - n_symbols if end < _SHORT // 8 * 7 else len(pairs)
-        chosen = _sides(pairs, counts, n_symbols, room)
+        slot = (left * np.uint32(0x9E3779B1) + right * np.uint32(0x85EBCA77)) >> np.uint32(32 - _SLOT_BITS)
+        code = left.astype(np.uint64) << np.uint64(32) | right
+        # A slot counts the pair that owns it; pairs that lose theirs wait for the next round.
+        owner[slot] = code
+        owned = (owner[slot] == code) & (left != end) & (right != end)
+        counts = np.bincount(slot[owned], minlength=_SLOTS)
+        often = np.flatnonzero(counts >= min_pair)
+        room = _SHORT - n_symbols if end < _SHORT // 8 * 7 else len(often)
+        chosen = _sides(owner[often], counts[often], often, room)
         if not len(chosen):
             break
-        fresh = np.stack([chosen // n_symbols, chosen % n_symbols], axis=1)
-        code = left[at] * n_symbols + right[at]
-        place = np.minimum(np.searchsorted(chosen, code), len(chosen) - 1)
-        hit = chosen[place] == code
-        at, place = at[hit], place[hit]
+        rule_of[:] = -1
+        rule_of[chosen] = np.arange(len(chosen))
+        place = rule_of[slot]
+        at = np.flatnonzero(owned & (place >= 0))
+        place = place[at]
+        pairs = owner[chosen]
+        fresh = np.stack([pairs >> np.uint64(32), pairs & np.uint64(0xFFFFFFFF)], axis=1).astype(np.int64)
         # Only pairs of one symbol twice can follow each other closely: every second one counts.
-        run = np.cumsum(np.diff(at, prepend=-2) != 1)
-        first_of_run = np.searchsorted(run, run)
+        new_run = np.diff(at, prepend=-2) != 1
+        first_of_run = np.flatnonzero(new_run)[np.cumsum(new_run) - 1]
         even = (np.arange(len(at)) - first_of_run) % 2 == 0
         at, place = at[even], place[even]
         symbols[at] = n_symbols + place
@@ -248,24 +288,26 @@ def repair(ids: np.ndarray, end: int, rounds: int = ROUNDS, min_pair: int = MIN_
         rules.append(fresh)
         size = np.concatenate([size, size[fresh[:, 0]] + size[fresh[:, 1]]])
     table = np.concatenate(rules) if rules else np.zeros((0, 2), np.int64)
-    return symbols.astype(np.uint32), table.astype(np.uint32), size[end + 1 :].astype(np.uint32)
+    return symbols, table.astype(np.uint32), size[end + 1 :].astype(np.uint32)
 
 
-def _sides(pairs: np.ndarray, counts: np.ndarray, n_symbols: int, room: int) -> np.ndarray:
-    """The most frequent pairs first; a symbol stays on the side that it got first."""
+def _sides(pairs: np.ndarray, counts: np.ndarray, slots: np.ndarray, room: int) -> np.ndarray:
+    """Slots of the pairs of a round, the most frequent first; a symbol stays on the side
+    that it got first, so no two of the pairs can overlap."""
     side: dict[int, int] = {}
     chosen = []
     order = np.lexsort((pairs, -counts))
-    for pair in pairs[order].tolist():
-        a, b = divmod(pair, n_symbols)
+    for slot, a, b in zip(slots[order].tolist(), (pairs[order] >> np.uint64(32)).tolist(), (pairs[order] & np.uint64(0xFFFFFFFF)).tolist()):
+        if len(chosen) >= room:
+            break
         if a == b:
             if a not in side:
                 side[a] = 3
-                chosen.append(pair)
+                chosen.append(slot)
         elif side.get(a, 1) == 1 and side.get(b, 2) == 2:
             side[a], side[b] = 1, 2
-            chosen.append(pair)
-    return np.sort(np.array(chosen[: max(0, room)], np.int64))
+            chosen.append(slot)
+    return np.array(chosen, np.int64)
 
 
 # --- files --------------------------------------------------------------------------
@@ -311,7 +353,7 @@ def write_token_files(
         for batch in batches:
             doc_ids = batch.column(0).to_pylist()
             part = batch.column(1)[0].as_py() if len(doc_ids) else part
-            for at, texts in blocks(as_bytes(batch.column(2))):
+            for at, texts in blocks(as_bytes(batch.column(2)), _BLOCK):
                 ids, bounds = words.encode(texts)
                 held_ids.append(np.insert(ids, bounds[1:], end))
                 sizes = np.diff(bounds) + 1

@@ -100,7 +100,8 @@ class Words:
         return hashes, text[:n] == text[length - 1 :]
 
 
-def find_words(texts: list[bytes], kind: np.ndarray, lower: bool) -> Words:
+def find_words(texts: list[bytes], kind: np.ndarray, lower: bool, cut: np.ndarray | None = None) -> Words:
+    """Runs of bytes of a ``kind``; ``cut`` marks bytes that start a word inside a run."""
     data = b" ".join(texts)
     raw = np.frombuffer(data, np.uint8)
     if lower:
@@ -108,7 +109,11 @@ def find_words(texts: list[bytes], kind: np.ndarray, lower: bool) -> Words:
         data = raw.tobytes()
     inside = kind[raw]
     edge = np.diff(inside, prepend=np.int8(0), append=np.int8(0))
-    start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    starts, ends = edge == 1, edge == -1
+    if cut is not None:
+        starts[:-1] |= cut
+        ends[:-1] |= cut
+    start, end = np.flatnonzero(starts), np.flatnonzero(ends)
     up, down = powers(_BYTE_BASE, len(raw) + 1)
     sums = np.zeros(len(raw) + 1, np.uint64)
     np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[:-1], out=sums[1:])
