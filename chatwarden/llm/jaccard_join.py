@@ -43,7 +43,7 @@ SIMILARITY = (80, 100)
 GROUP_ROWS = 8192
 #: Share of the hash range whose shingles are in the bitmaps, and bits per shingle there.
 _SAMPLE = 0.35
-_BITS_PER_SHINGLE = 6
+_BITS_PER_SHINGLE = 4
 _LEAF = 32
 
 
@@ -212,10 +212,19 @@ def _group_pairs(shared: DataFrame, nodes: DataFrame, labels: DataFrame) -> Data
     )
     open_groups = (
         member.groupBy("h")
-        .agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("size"))
-        .where("x < y").select("h", "size")
-    )
-    rows = member.join(open_groups, "h").join(nodes.select("node", "n", "sampled", "bitmap"), "node")
+        .agg(
+            F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("size"),
+            F.min("node").alias("a"), F.max("node").alias("b"),
+        )
+        .where("x < y")
+    )
+    open_groups = materialize(open_groups, "open-groups")
+    bitmaps = nodes.select("node", "n", "sampled", "bitmap")
+    # A group of two is a pair; many groups have the same two, so pairs are told apart first.
+    twos = open_groups.where("size = 2").select("a", "b").distinct().withColumn("task", F.xxhash64("a", "b"))
+    ends = twos.select("task", F.col("a").alias("node")).union(twos.select("task", F.col("b").alias("node")))
+    ends = ends.join(bitmaps, "node").select("task", "node", F.col("node").alias("component"), "n", "sampled", "bitmap")
+    rows = member.join(open_groups.where("size > 2").select("h", "size"), "h").join(bitmaps, "node")
     a, b = SIMILARITY
     band = F.floor(F.log(F.col("n")) / F.log(F.lit(b / a))).cast("int")
     # Linked sizes differ by at most b / a, so a link lies in one band or in neighboring ones.
@@ -227,7 +236,7 @@ def _group_pairs(shared: DataFrame, nodes: DataFrame, labels: DataFrame) -> Data
         .withColumn("other", F.explode(F.sequence(F.lit(0), pieces - 1)))
         .withColumn("task", F.xxhash64("h", "band", F.least(piece, "other"), F.greatest(piece, "other")))
     )
-    sent = rows.select("task", "node", "component", "n", "sampled", "bitmap")
+    sent = rows.select("task", "node", "component", "n", "sampled", "bitmap").unionByName(ends)
     found = sent.repartition("task").sortWithinPartitions("task", "component", "n").mapInArrow(
         _traverse_groups, fields(a=T.LongType(), b=T.LongType())
     )
@@ -264,7 +273,7 @@ def _trees(rows: pa.Table) -> Iterator[pa.RecordBatch]:
     for size in set(sizes[(sizes > 1) & (sizes <= _LEAF)].tolist()):
         starts = bounds[:-1][sizes == size]
         left, right = np.triu_indices(size, 1)
-        for part in np.array_split(starts, max(1, len(starts) * len(left) >> 18)):
+        for part in np.array_split(starts, max(1, len(starts) * len(left) >> 16)):
             found.append(sets.linkable((part[:, None] + left).ravel(), (part[:, None] + right).ravel()))
     for s, e in zip(bounds[:-1][sizes > _LEAF], bounds[1:][sizes > _LEAF]):
         for band in np.unique(sets.band[s:e]):
@@ -311,7 +320,7 @@ class Signatures:
         fine = np.zeros(len(i), bool)
         least = np.minimum(self.width[i], self.width[j])
         for w in np.unique(least).tolist():
-            for at in np.array_split(np.flatnonzero(least == w), max(1, int((least == w).sum()) * w >> 24)):
+            for at in np.array_split(np.flatnonzero(least == w), max(1, int((least == w).sum()) * w >> 23)):
                 x, y = i[at], j[at]
                 m, o = self.matrix(x, w), self.matrix(y, w)
                 rest_x = self.sampled[x] - np.bitwise_count(m).sum(axis=1, dtype=np.int64)
@@ -352,8 +361,9 @@ class SignatureTree:
             cut = np.arange(0, len(self.levels[-1][0]), fanout)
             self.levels.append(tuple(f.reduceat(x, cut, axis=0) for f, x in zip(joins, self.levels[-1])))
 
-    def pairs(self, chunk: int = 1 << 15) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def pairs(self, chunk_bytes: int = 1 << 23) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Dual traversal from (root, root): pairs of rows that may link, of different components."""
+        chunk = max(64, chunk_bytes // (8 * self.levels[0][0].shape[1]))
         todo = [(len(self.levels) - 1, np.zeros(1, np.int64), np.zeros(1, np.int64))]
         while todo:
             level, i, j = todo.pop()

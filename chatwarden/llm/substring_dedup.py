@@ -36,7 +36,7 @@ from chatwarden.llm.common import as_bytes, fields, map_texts
 from chatwarden.llm.words import SPACED, blocks, find_words
 
 WINDOW_WORDS = 13
-_BLOCK = 3 << 20
+_BLOCK = 2_000_000
 _NO_ID = (1 << 63) - 1
 _AT_BITS = 40  # of a place: word number; the bits above tell texts of one id apart
 _PIECE = 5  # bytes of a window's hash that travel

@@ -16,7 +16,7 @@ from types import ModuleType
 import numpy as np
 
 #: Bytes of text that are handled as one block; a longer text is a block of its own.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1_000_000
 
 _BYTE_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _WINDOW_BASES = (np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F))
@@ -53,7 +53,7 @@ def _powers(base: int, size: int) -> tuple[np.ndarray, np.ndarray]:
 def powers(base: np.uint64, size: int) -> tuple[np.ndarray, np.ndarray]:
     key, cache = f"powers {base}", worker_cache()
     if key not in cache or len(cache[key][0]) < size:
-        cache[key] = _powers(int(base), 1 << max(size, BLOCK_BYTES + 2).bit_length())
+        cache[key] = _powers(int(base), 1 << max(size, 1 << 16).bit_length())
     up, down = cache[key]
     return up[:size], down[:size]
 
