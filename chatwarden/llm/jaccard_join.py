@@ -5,10 +5,11 @@ Documents link if their sets of 5-word shingles have a Jaccard similarity of
 
 1. Equal sets become one node. A node keeps the smallest shingle hashes of its
    set, so many that linked nodes share at least one of them.
-2. Nodes that share such a hash form its group. Hashes of a single node fall
-   out by a partial aggregate.
-3. Each node is held against one leader, the node with which it shares most
-   groups. Links to leaders join the many copies of one text without pairs.
+2. Nodes that share such a hash meet under its leader, the smallest id that has
+   it; hashes of one leader make one group. Hashes of a single node fall out by
+   a partial aggregate.
+3. Each node is held against the leader with which it shares most hashes. Links
+   to leaders join the many copies of one text without pairs.
 4. In each group that is not one component by then, a signature tree finds the
    rest: leaves are nodes with a bitmap of their shingles, inner nodes hold the
    OR of the bitmaps below and their range of sizes, and a dual traversal drops
@@ -41,10 +42,9 @@ SHINGLE_WORDS = 5
 SIMILARITY = (80, 100)
 #: Larger groups are cut into bands of sizes, and bands by hash into pieces of about this size.
 GROUP_ROWS = 8192
-#: Share of the hash range whose shingles are in the bitmaps, and bits per shingle there.
-_SAMPLE = 0.35
-_BITS_PER_SHINGLE = 4
+_BITS_PER_SHINGLE = 6  # of the bitmaps, at least
 _LEAF = 32
+_NO_ID = (1 << 63) - 1
 
 
 def shingles(found: Words, length: int = SHINGLE_WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -74,21 +74,20 @@ def _needed(n: np.ndarray, a: int, b: int) -> np.ndarray:
     return -(-n * a // b)
 
 
-def _bitmap(sample: np.ndarray, n: int) -> bytes:
-    """Bits of the sampled shingles; sets of about one size get the same number of bits."""
+def _bitmap(hashes: np.ndarray) -> bytes:
+    """Bits of the shingles; sets of about one size get the same number of bits."""
     bits = 64
-    while bits < _BITS_PER_SHINGLE * _SAMPLE * n:
+    while bits < _BITS_PER_SHINGLE * len(hashes):
         bits *= 2
     out = np.zeros(bits, np.uint8)
-    out[(sample % np.uint64(bits)).astype(np.int64)] = 1
+    out[(hashes % np.uint64(bits)).astype(np.int64)] = 1
     return np.packbits(out).tobytes()
 
 
 def signatures(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """``doc_id, row, n, node, low`` (smallest hashes), ``top`` (the largest of those),
-    ``sampled`` (shingles in the bitmap) and ``bitmap`` of every row."""
+    """``doc_id, row, n, node, low`` (smallest hashes), ``top`` (the largest of those)
+    and ``bitmap`` of every row."""
     a, b = SIMILARITY
-    limit = np.uint64(int(_SAMPLE * 2.0**64))
     # Signed order of the hashes, as Spark compares them, is the order used everywhere.
     flip = np.uint64(1 << 63)
 
@@ -99,19 +98,16 @@ def signatures(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
         total = np.concatenate([[np.uint64(0)], np.cumsum(mix(h))])
         node = mix((total[bounds[1:]] - total[bounds[:-1]]) ^ mix(n.astype(np.uint64)))
         signed = (h ^ flip).view(np.int64)
-        sampled = np.searchsorted(bounds, np.arange(len(h)), "right") - 1
-        sampled = np.bincount(sampled[h < limit], minlength=len(texts)) if len(h) else np.zeros(len(texts), int)
         low = [signed[s : s + p] for s, p in zip(bounds[:-1], prefix)]
         top = [int(x[-1]) if len(x) else None for x in low]
-        maps = [_bitmap(h[s : s + k], int(m)) for s, k, m in zip(bounds[:-1], sampled, n)]
-        return n, node.view(np.int64), low, top, sampled, maps
+        maps = [_bitmap(h[s:e]) for s, e in zip(bounds[:-1], bounds[1:])]
+        return n, node.view(np.int64), low, top, maps
 
     added = fields(
         n=T.LongType(),
         node=T.LongType(),
         low=T.ArrayType(T.LongType()),
         top=T.LongType(),
-        sampled=T.LongType(),
         bitmap=T.BinaryType(),
     )
     source = docs.select(F.col(doc_id).alias("doc_id"), row_key(doc_id, text).alias("row"), F.col(text).alias("text"))
@@ -127,15 +123,17 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     rows = materialize(signatures(docs, doc_id, text), "signatures")
     nodes = rows.where("n > 0").groupBy("node").agg(
         F.min("doc_id").alias("doc_id"),
-        *[F.any_value(c).alias(c) for c in ("n", "top", "sampled", "bitmap")],
+        *[F.any_value(c).alias(c) for c in ("n", "top", "bitmap")],
     )
     nodes = materialize(nodes, "nodes")
     shared = materialize(_shared_groups(rows), "groups")
 
+    # The leader of a group is its smallest id: an original more often than a copy of it.
+    places = nodes.select(F.col("node").alias("b"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("lead"))
     leaders = (
-        shared.where("node != leader").groupBy("node", "leader").agg(F.count("*").alias("common"))
-        .groupBy("node").agg(F.max(F.struct("common", -F.col("leader"), "leader")).alias("m"))
-        .select(F.col("node").alias("a"), F.col("m.leader").alias("b"), "m.common")
+        shared.join(places, "lead").where("node != b")
+        .groupBy("node").agg(F.max(F.struct("common", -F.col("lead"), "b")).alias("m"))
+        .select(F.col("node").alias("a"), F.col("m.b").alias("b"), "m.common")
     )
     likely = _possible(leaders, nodes)
     first = materialize(verified(docs, likely, nodes, doc_id, text), "leader-links")
@@ -163,10 +161,13 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
 
 
 def _shared_groups(rows: DataFrame) -> DataFrame:
-    """``h, node, leader``: the hashes that two or more nodes keep, with those nodes."""
-    kept = rows.where("n > 0").select("node", F.explode("low").alias("h"))
-    groups = kept.groupBy("h").agg(F.min("node").alias("leader"), F.max("node").alias("other"))
-    groups = materialize(groups.where("leader < other").select("h", "leader"), "shared-hashes")
+    """``node, lead, common``: nodes that keep a hash which others keep too, the smallest id
+    among those that keep it, and how many such hashes there are."""
+    kept = rows.where("n > 0").select(
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("id"), "node", F.explode("low").alias("h")
+    )
+    groups = kept.groupBy("h").agg(F.min("id").alias("lead"), F.min("node").alias("x"), F.max("node").alias("y"))
+    groups = materialize(groups.where("x < y").select("h", "lead"), "shared-hashes")
     bits = rows.sparkSession.sparkContext.broadcast(bit_table(groups.select("h"), "h", BIT_TABLE_BITS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,7 +181,7 @@ def _shared_groups(rows: DataFrame) -> DataFrame:
 
     source = rows.where("n > 0").select("node", "low")
     maybe = source.mapInArrow(run, fields(node=T.LongType(), h=T.LongType()))
-    return maybe.distinct().join(groups, "h")
+    return maybe.distinct().join(groups, "h").groupBy("node", "lead").agg(F.count("*").alias("common"))
 
 
 def _overlap_needed(n: Column, m: Column) -> Column:
@@ -208,10 +209,10 @@ def _group_pairs(shared: DataFrame, nodes: DataFrame, labels: DataFrame) -> Data
     """Pairs of nodes of different components that the signature trees of their groups leave."""
     member = (
         shared.join(labels, "node", "left")
-        .select("h", "node", F.coalesce("label", "node").alias("component"))
+        .select("lead", "node", F.coalesce("label", "node").alias("component"))
     )
     open_groups = (
-        member.groupBy("h")
+        member.groupBy("lead")
         .agg(
             F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("size"),
             F.min("node").alias("a"), F.max("node").alias("b"),
@@ -219,12 +220,12 @@ def _group_pairs(shared: DataFrame, nodes: DataFrame, labels: DataFrame) -> Data
         .where("x < y")
     )
     open_groups = materialize(open_groups, "open-groups")
-    bitmaps = nodes.select("node", "n", "sampled", "bitmap")
+    bitmaps = nodes.select("node", "n", "bitmap")
     # A group of two is a pair; many groups have the same two, so pairs are told apart first.
     twos = open_groups.where("size = 2").select("a", "b").distinct().withColumn("task", F.xxhash64("a", "b"))
     ends = twos.select("task", F.col("a").alias("node")).union(twos.select("task", F.col("b").alias("node")))
-    ends = ends.join(bitmaps, "node").select("task", "node", F.col("node").alias("component"), "n", "sampled", "bitmap")
-    rows = member.join(open_groups.where("size > 2").select("h", "size"), "h").join(bitmaps, "node")
+    ends = ends.join(bitmaps, "node").select("task", "node", F.col("node").alias("component"), "n", "bitmap")
+    rows = member.join(open_groups.where("size > 2").select("lead", "size"), "lead").join(bitmaps, "node")
     a, b = SIMILARITY
     band = F.floor(F.log(F.col("n")) / F.log(F.lit(b / a))).cast("int")
     # Linked sizes differ by at most b / a, so a link lies in one band or in neighboring ones.
@@ -234,9 +235,9 @@ def _group_pairs(shared: DataFrame, nodes: DataFrame, labels: DataFrame) -> Data
     rows = (
         rows.withColumn("band", F.explode(F.when(cut, F.array(band, band + 1)).otherwise(F.array(F.lit(0)))))
         .withColumn("other", F.explode(F.sequence(F.lit(0), pieces - 1)))
-        .withColumn("task", F.xxhash64("h", "band", F.least(piece, "other"), F.greatest(piece, "other")))
+        .withColumn("task", F.xxhash64("lead", "band", F.least(piece, "other"), F.greatest(piece, "other")))
     )
-    sent = rows.select("task", "node", "component", "n", "sampled", "bitmap").unionByName(ends)
+    sent = rows.select("task", "node", "component", "n", "bitmap").unionByName(ends)
     found = sent.repartition("task").sortWithinPartitions("task", "component", "n").mapInArrow(
         _traverse_groups, fields(a=T.LongType(), b=T.LongType())
     )
@@ -266,7 +267,7 @@ def _trees(rows: pa.Table) -> Iterator[pa.RecordBatch]:
     if not rows.num_rows:
         return
     task, node = rows["task"].to_numpy(), rows["node"].to_numpy()
-    sets = Signatures(*(rows[c].to_numpy() for c in ("component", "n", "sampled")), rows["bitmap"].to_pylist())
+    sets = Signatures(*(rows[c].to_numpy() for c in ("component", "n")), rows["bitmap"].to_pylist())
     bounds = np.concatenate([[0], np.flatnonzero(np.diff(task)) + 1, [len(task)]])
     sizes = np.diff(bounds)
     found = []
@@ -286,11 +287,11 @@ def _trees(rows: pa.Table) -> Iterator[pa.RecordBatch]:
 
 
 class Signatures:
-    """Component, size, sampled shingles and bitmap of each row of a group."""
+    """Component, size and bitmap of each row of a group."""
 
-    def __init__(self, component, n, sampled, bitmaps: list[bytes]):
+    def __init__(self, component, n, bitmaps: list[bytes]):
         a, b = SIMILARITY
-        self.component, self.n, self.sampled, self.bitmaps = component, n, sampled, bitmaps
+        self.component, self.n = component, n
         self.band = np.floor(np.log(n) / np.log(b / a)).astype(int)
         self.width = np.fromiter((len(m) for m in bitmaps), np.int64, len(bitmaps))
         self.by_width = {
@@ -323,40 +324,35 @@ class Signatures:
             for at in np.array_split(np.flatnonzero(least == w), max(1, int((least == w).sum()) * w >> 23)):
                 x, y = i[at], j[at]
                 m, o = self.matrix(x, w), self.matrix(y, w)
-                rest_x = self.sampled[x] - np.bitwise_count(m).sum(axis=1, dtype=np.int64)
-                rest_y = self.sampled[y] - np.bitwise_count(o).sum(axis=1, dtype=np.int64)
+                rest_x = self.n[x] - np.bitwise_count(m).sum(axis=1, dtype=np.int64)
+                rest_y = self.n[y] - np.bitwise_count(o).sum(axis=1, dtype=np.int64)
                 overlap = np.bitwise_count(m & o).sum(axis=1, dtype=np.int64) + np.minimum(rest_x, rest_y)
-                fine[at] = _within_slack(overlap, self.sampled[x], self.n[x], self.n[y]) & _within_slack(
-                    overlap, self.sampled[y], self.n[y], self.n[x]
-                )
+                fine[at] = overlap >= _least_overlap(self.n[x], self.n[y])
         return i[fine], j[fine]
 
 
-def _within_slack(overlap, sampled, n, other):
-    """Whether the shingles that a set surely misses leave the overlap that a link needs.
-
-    Linked sets share t = ceil((n + other) a / (a + b)), so of n at most n - t are
-    missing, in the sample as well.
-    """
+def _least_overlap(n, other):
+    """Shingles that sets of two sizes share if they link: of the union, a in b."""
     a, b = SIMILARITY
-    return sampled - overlap <= n - np.ceil((n + other) * a / (a + b))
+    return np.ceil((n + other) * a / (a + b))
 
 
 class SignatureTree:
     """A tree over some rows; rows of one component stand together.
 
     Level 0 holds the rows, each level above joins ``fanout`` neighbors: OR of
-    the bitmaps, range of sizes, fewest sampled shingles, most shingles without
-    a bit of their own, and the range of components.
+    the bitmaps, range of sizes, most shingles without a bit of their own, and
+    the range of components. Sets below two tree nodes share at most as many
+    shingles as the nodes have bits in common, plus those without an own bit.
     """
 
     def __init__(self, sets: Signatures, rows: np.ndarray, fanout: int = 8):
         self.rows, self.fanout = rows, fanout
         folded = sets.matrix(rows, int(sets.width[rows].min()))
-        sampled, n, component = sets.sampled[rows], sets.n[rows], sets.component[rows]
-        rest = sampled - np.bitwise_count(folded).sum(axis=1, dtype=np.int64)
-        self.levels = [(folded, n, n, sampled, rest, component, component)]
-        joins = (np.bitwise_or, np.minimum, np.maximum, np.minimum, np.maximum, np.minimum, np.maximum)
+        n, component = sets.n[rows], sets.component[rows]
+        rest = n - np.bitwise_count(folded).sum(axis=1, dtype=np.int64)
+        self.levels = [(folded, n, n, rest, component, component)]
+        joins = (np.bitwise_or, np.minimum, np.maximum, np.maximum, np.minimum, np.maximum)
         while len(self.levels[-1][0]) > 1:
             cut = np.arange(0, len(self.levels[-1][0]), fanout)
             self.levels.append(tuple(f.reduceat(x, cut, axis=0) for f, x in zip(joins, self.levels[-1])))
@@ -386,12 +382,12 @@ class SignatureTree:
 
     def _may_link(self, level: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         a, b = SIMILARITY
-        bitmap, low, high, sampled, rest, least, most = self.levels[level]
+        bitmap, low, high, rest, least, most = self.levels[level]
         one = (least[i] == most[j]) & (most[i] == least[j])
         near = np.flatnonzero((high[i] * b >= low[j] * a) & (high[j] * b >= low[i] * a) & ~one)
         x, y = i[near], j[near]
         overlap = np.bitwise_count(bitmap[x] & bitmap[y]).sum(axis=1, dtype=np.int64) + np.minimum(rest[x], rest[y])
-        fine = _within_slack(overlap, sampled[x], high[x], low[y]) & _within_slack(overlap, sampled[y], high[y], low[x])
+        fine = overlap >= _least_overlap(low[x], low[y])
         return near[fine]
 
 

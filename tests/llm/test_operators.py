@@ -419,11 +419,8 @@ def test_signature_tree_keeps_links():
         own = sets[i % 40].copy()
         own[draw.integers(0, len(own), draw.integers(0, 9))] = draw.integers(0, 2**63, dtype=np.uint64)
         sets.append(np.unique(own))
-    limit = np.uint64(int(jaccard_join._SAMPLE * 2.0**64))
     n = np.array([len(s) for s in sets])
-    sampled = np.array([(s < limit).sum() for s in sets])
-    bitmaps = [jaccard_join._bitmap(np.sort(s)[:k], len(s)) for s, k in zip(sets, sampled)]
-    rows = jaccard_join.Signatures(np.arange(len(sets)), n, sampled, bitmaps)
+    rows = jaccard_join.Signatures(np.arange(len(sets)), n, [jaccard_join._bitmap(s) for s in sets])
     tree = jaccard_join.SignatureTree(rows, np.arange(len(sets)))
     found = {(int(a), int(b)) for i, j in tree.pairs() for a, b in zip(i, j)}
     for i, j in itertools.combinations(range(len(sets)), 2):
