@@ -135,7 +135,7 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
         .groupBy("node").agg(F.max(F.struct("common", -F.col("lead"), "b")).alias("m"))
         .select(F.col("node").alias("a"), F.col("m.b").alias("b"), "m.common")
     )
-    likely = _possible(leaders, nodes)
+    likely = _without_far(_pair_rows(_possible(leaders, nodes), nodes))
     first = materialize(verified(docs, likely, nodes, doc_id, text), "leader-links")
     labels = materialize(components(first), "components")
 
@@ -222,9 +222,7 @@ def _group_pairs(shared: DataFrame, nodes: DataFrame, labels: DataFrame) -> Data
     open_groups = materialize(open_groups, "open-groups")
     bitmaps = nodes.select("node", "n", "bitmap")
     # A group of two is a pair; many groups have the same two, so pairs are told apart first.
-    twos = open_groups.where("size = 2").select("a", "b").distinct().withColumn("task", F.xxhash64("a", "b"))
-    ends = twos.select("task", F.col("a").alias("node")).union(twos.select("task", F.col("b").alias("node")))
-    ends = ends.join(bitmaps, "node").select("task", "node", F.col("node").alias("component"), "n", "bitmap")
+    ends = _pair_rows(open_groups.where("size = 2").select("a", "b").distinct(), nodes)
     rows = member.join(open_groups.where("size > 2").select("lead", "size"), "lead").join(bitmaps, "node")
     a, b = SIMILARITY
     band = F.floor(F.log(F.col("n")) / F.log(F.lit(b / a))).cast("int")
@@ -238,7 +236,21 @@ def _group_pairs(shared: DataFrame, nodes: DataFrame, labels: DataFrame) -> Data
         .withColumn("task", F.xxhash64("lead", "band", F.least(piece, "other"), F.greatest(piece, "other")))
     )
     sent = rows.select("task", "node", "component", "n", "bitmap").unionByName(ends)
-    found = sent.repartition("task").sortWithinPartitions("task", "component", "n").mapInArrow(
+    return _without_far(sent)
+
+
+def _pair_rows(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Pairs ``a, b`` as groups of two."""
+    pairs = pairs.withColumn("task", F.xxhash64("a", "b"))
+    ends = pairs.select("task", F.col("a").alias("node")).union(pairs.select("task", F.col("b").alias("node")))
+    return ends.join(nodes.select("node", "n", "bitmap"), "node").select(
+        "task", "node", F.col("node").alias("component"), "n", "bitmap"
+    )
+
+
+def _without_far(rows: DataFrame) -> DataFrame:
+    """The pairs of each task that sizes and bitmaps do not rule out."""
+    found = rows.repartition("task").sortWithinPartitions("task", "component", "n").mapInArrow(
         _traverse_groups, fields(a=T.LongType(), b=T.LongType())
     )
     return found.distinct()
