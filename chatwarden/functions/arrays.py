@@ -15,12 +15,16 @@ def list_mean(values: Column) -> Column:
 
 
 def list_median(values: Column) -> Column:
-    """Median of a list, the mean of the middle two when the size is even."""
+    """Median of a list, the mean of the middle two when the size is even.
+
+    NULL for an empty list and for a list with a missing value (NULL or NaN).
+    """
     ordered = F.sort_array(values)
     size = F.size(values)
     lower = F.element_at(ordered, F.floor((size + 1) / 2).cast("int"))
     upper = F.element_at(ordered, (F.floor(size / 2) + 1).cast("int"))
-    return F.when(size > 0, (lower + upper) / 2)
+    missing = F.exists(values, lambda x: x.isNull() | F.isnan(x.cast("double")))
+    return F.when((size > 0) & ~missing, (lower + upper) / 2)
 
 
 def risk_label(scores: Column) -> Column:

@@ -1,12 +1,7 @@
 """They have to be exactly these for results to agree."""
 
-# Code point ranges of the emoji that are stripped from chats.
-EMOJI_RANGES = (
-    ("1F600", "1F64F"),  # faces
-    ("1F300", "1F5FF"),  # symbols and pictographs
-    ("1F680", "1F6FF"),  # transport and maps
-    ("1F1E0", "1F1FF"),  # flags
-)
+# Emoji that are stripped from chats (faces, symbols, transport, flags).
+EMOJI_PATTERN = r"[\x{1F600}-\x{1F64F}\x{1F300}-\x{1F5FF}\x{1F680}-\x{1F6FF}\x{1F1E0}-\x{1F1FF}]+"
 
 # Word tokens (runs of letters and digits, or one other sign)
 # and the token limit of the text encoder.
@@ -46,39 +41,9 @@ TRAIT_LABELS = (
     "Extremism",
 )
 
-# Options of the violation filter; "All" switches it off.
-VIOLATION_FILTERS = (
-    "All",
-    "Bullying",
-    "Sexual Content",
-    "Vulgarity",
-    "Drugs / Alcohol",
-    "Fraud",
-    "Public Threat",
-    "Extremism",
-)
-
 # Queue views, as the text each one looks for in the priority.
 QUEUE_VIEWS = ("all", "high", "medium", "standard", "low")
 
-# Actions a moderator may choose.
-MODERATOR_ACTIONS = (
-    "Spamming / Scamming",
-    "Political Identity",
-    "Unintended",
-    "Pll",
-    "Aggravation",
-    "Habuku",
-    "Abuse of Play",
-    "Harassment",
-    "Hate",
-    "Inappropriate sharing",
-    "Dangerous Speech",
-    "Extremism",
-    "Criminal or Predatory",
-    "Ignore",
-)
-
 # Notes shown beside items from a region, and the text elsewhere.
 REGION_NOTES = {
     "South East Asia": (

@@ -8,14 +8,15 @@ import warnings
 import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
 
-from chatwarden.functions.fixed_values import EMOJI_RANGES, MAX_TOKENS, TOKEN_PATTERN
-
-EMOJI_PATTERN = "[" + "".join(rf"\x{{{lo}}}-\x{{{hi}}}" for lo, hi in EMOJI_RANGES) + "]+"
+from chatwarden.functions.fixed_values import EMOJI_PATTERN, MAX_TOKENS, TOKEN_PATTERN
 
 _JSON_OPTIONS = {"allowSingleQuotes": "true", "allowBackslashEscapingAnyCharacter": "true"}
 # Escapes that mean the same in a Python literal and in JSON.
 _SHARED_ESCAPES = r"""\\(?:[\\'"nrtbf]|u[0-9a-fA-F]{4})"""
-_PLAIN_NUMBERS = r"^[\s\[\]0-9eE+.,-]*$"
+# One list of numbers and of quoted texts (each replaced by one sign), nothing around it.
+_QUOTED = r"""'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*\""""
+_ONE_LIST = r"""^\s*\[(?:\s*(?:"|[0-9+.-][0-9eE+.-]*)\s*(?:,|(?=\])))*\s*\]\s*$"""
+_PLAIN_NUMBERS = r"^\s*\[[\s0-9eE+.,-]*\]\s*$"
 
 
 def join_texts(texts: Column) -> Column:
@@ -70,10 +71,13 @@ literal_numbers = _literal_numbers.asNondeterministic()
 def json_texts(cell: Column) -> Column:
     """``"['a', 'b']"`` as an array of strings where JSON reads it the same way.
 
+    Cells that are not one list of texts and numbers are left to the fallback.
+
     A number among the texts is kept as its text.
     """
     shared = ~F.contains(F.regexp_replace(cell, _SHARED_ESCAPES, ""), F.lit("\\"))
-    return F.when(shared, F.from_json(cell, T.ArrayType(T.StringType()), _JSON_OPTIONS))
+    one_list = F.rlike(F.regexp_replace(cell, _QUOTED, '"'), F.lit(_ONE_LIST))
+    return F.when(shared & one_list, F.from_json(cell, T.ArrayType(T.StringType()), _JSON_OPTIONS))
 
 
 def json_numbers(cell: Column) -> Column:

@@ -56,10 +56,15 @@ def concordance(
     y_pred: str = "y_pred",
     block_rows: int | None = None,
 ) -> DataFrame:
-    """One row: ``n_pairs``, ``wins``, ``ties`` and ``concordance`` (NULL if n < 2)."""
+    """One row: ``n_pairs``, ``wins``, ``ties`` and ``concordance`` (NULL if n < 2).
+
+    Rows with a missing label or prediction (NULL or NaN) are in no pair.
+    """
     labelled = pairs.select(
         F.col(key).alias("_key"), F.col(y_true).alias("_y"), F.col(y_pred).alias("_p")
     )
+    for c in ("_y", "_p"):
+        labelled = labelled.where(F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")))
     by_prediction = global_rank(labelled, [F.desc("_p"), F.col("_key")], "_r").select("_r", "_y")
     ranks = global_rank(by_prediction, [F.col("_y"), F.col("_r")], "_q")
     n = ranks.count()

@@ -49,14 +49,18 @@ def drop_short_batch(rows: DataFrame, key: str, batch_size: int = BATCH_SIZE) ->
     """Leaves out the rows after the last full batch in key order.
 
     They are fewer than a batch, so they are found with a top-k by key; the
-    table is neither numbered nor sorted.
+    table is neither numbered nor sorted. The key has to tell rows apart: NULL
+    keys, and a key at the limit that repeats, are refused.
     """
     n = rows.count()
     extra = n % batch_size
     if extra == 0:
         return rows
     first_left_out = rows.orderBy(F.desc(key)).limit(extra).agg(F.min(key)).first()[0]
-    return rows.filter(F.col(key) < F.lit(first_left_out))
+    kept = rows.filter(F.col(key) < F.lit(first_left_out))
+    if kept.count() != n - extra:
+        raise ValueError(f"{key} is NULL or repeated, so the last batch is not defined")
+    return kept
 
 
 def epoch_errors(

@@ -119,6 +119,9 @@ def _keep_nearest(best, batch, matrix, k) -> None:
     One matrix product gives all squared distances up to rounding; only rows
     that could still be among the k best get their exact distance.
     """
+    sizes = np.diff(batch.column(1).offsets.to_numpy())
+    if (sizes != matrix.shape[1]).any():
+        raise ValueError(f"vectors and centers need {matrix.shape[1]} values each")
     flat = batch.column(1).flatten().to_numpy(zero_copy_only=False)
     x = flat.reshape(batch.num_rows, -1).astype(np.float64)
     x_norm = np.einsum("ij,ij->i", x, x)

@@ -58,8 +58,9 @@ STREAM_WINDOWS = f"""
 def stream_scores(spark, sf_dir):
     """Documents scored into the queue as they arrive as files; the queue by risk."""
     schema = table(spark, sf_dir, "documents").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet")
-    arriving = stream.parquet(sf_dir).select("doc_id", F.col("text").alias("chat"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 64)
+    # A pattern stands for the table as one file and as a folder of files.
+    arriving = stream.parquet(f"{sf_dir}/documents.parque[t]").select("doc_id", F.col("text").alias("chat"))
     out = scratch_path(spark, "stream-scores")
     scored = score_stream(model_queries.fitted(spark, sf_dir), arriving, "doc_id")
     append_stream(scored, out, scratch_path(spark, "stream-state")).awaitTermination()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from chatwarden.functions.arrays import list_mean, list_median, list_sum, risk_label
-from chatwarden.functions.fixed_values import EMOJI_RANGES
+from chatwarden.functions.fixed_values import EMOJI_PATTERN
 from chatwarden.functions.text import tokens as word_tokens
 from chatwarden.operators import windows as W
 from chatwarden.operators.cleaning import clean_windows, drop_malformed, parse_windows
@@ -171,10 +171,9 @@ def clean_chat(spark, sf_dir):
     return logs.read_table(spark, path).select("conv_id", "window_start", "chat")
 
 
-_RE_RANGES = "".join(rf"\x{{{lo}}}-\x{{{hi}}}" for lo, hi in EMOJI_RANGES)
 CLEAN_CHAT = f"""
     SELECT conv_id, pos AS window_start,
-           regexp_replace(array_to_string(texts, ' '), '[{_RE_RANGES}]+', '', 'g') AS chat
+           regexp_replace(array_to_string(texts, ' '), '{EMOJI_PATTERN}', '', 'g') AS chat
     FROM ({_conversation_windows_sql(
         f"list(text || ' {STRIPPED}!{KEPT}') OVER f AS texts, list(role) OVER f AS roles")})
     WHERE NOT list_contains(roles, 'system')

@@ -19,9 +19,11 @@ def read_split(spark: SparkSession, path: str, wanted: str | None = None) -> Dat
     return table if wanted is None else table.filter(F.col("split") == wanted)
 
 
-def write_embeddings(embeddings: DataFrame, path: str, mode: str = "append") -> None:
-    """Embeddings in folders by sequence length and split."""
-    embeddings.write.mode(mode).partitionBy("seq_length", "split").parquet(path)
+def write_embeddings(embeddings: DataFrame, path: str) -> None:
+    """Embeddings in folders by sequence length and split; the folders written replace
+    what was stored there, others stay."""
+    replacing = embeddings.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    replacing.partitionBy("seq_length", "split").parquet(path)
 
 
 def read_embeddings(
