@@ -34,8 +34,8 @@ from chatwarden.llm.words import ALNUM, Words, blocks, find_words, mix
 SAMPLE = 1500
 #: A feature is looked at if at least one in so many toxic texts has it: their number is bounded by this.
 SUPPORT = 1000
-_PRECISION = 0.85
-_STRENGTH = 8.0  # least log-likelihood ratio, beyond what the best of as many chance features reaches
+_PRECISION = 0.92
+_STRENGTH = 30.0  # least log-likelihood ratio
 _PREFIXES = (0, 4, 5)  # 0: the whole word
 _STEPS, _RATE, _DECAY = 120, 0.3, 1e-3
 
@@ -110,7 +110,7 @@ def toxic_features(rows: DataFrame, n_toxic: int, n_clean: int) -> np.ndarray:
     expected = (toxic + clean) / (n_toxic + n_clean)
     part = lambda n, of: np.where(n > 0, n * np.log(np.maximum(n, 1) / np.maximum(expected * of, 1e-12)), 0)
     strength = 2 * (part(toxic, n_toxic) + part(clean, n_clean))
-    return table[precise & (strength >= _STRENGTH + 2 * np.log(max(len(table), 1)))]
+    return table[precise & (strength >= _STRENGTH)]
 
 
 @dataclass
