@@ -8,7 +8,7 @@ import warnings
 import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
 
-from chatwarden.functions.fixed_values import EMOJI_PATTERN, MAX_TOKENS, TOKEN_PATTERN
+from chatwarden.functions.fixed_values import EMOJI_PATTERN, TOKEN_PATTERN
 
 _JSON_OPTIONS = {"allowSingleQuotes": "true", "allowBackslashEscapingAnyCharacter": "true"}
 # Escapes that mean the same in a Python literal and in JSON.
@@ -29,8 +29,8 @@ def strip_emoji(text: Column) -> Column:
     return F.regexp_replace(text, EMOJI_PATTERN, "")
 
 
-def tokens(text: Column, limit: int | None = MAX_TOKENS) -> Column:
-    """Word tokens of the text; ``limit=None`` keeps them all."""
+def tokens(text: Column, limit: int | None = None) -> Column:
+    """Word tokens of the text; all of them, unless a ``limit`` is asked for."""
     found = F.regexp_extract_all(text, F.lit(TOKEN_PATTERN), F.lit(0))
     return found if limit is None else F.slice(found, 1, limit)
 

@@ -23,6 +23,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from chatwarden.functions.fixed_values import WINDOW_LENGTH, WINDOW_STEP
 
 _TIMES = (T.TimestampType, T.TimestampNTZType)
+_WHOLE = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 # Window starts in one piece of messages.
 _PIECE = 500
 
@@ -52,6 +53,9 @@ def stream_windows(
         *[F.unix_micros(F.col(c).cast("timestamp")).alias(c) if c in times else c for c in kept],
     )
     kinds = {c: T.ArrayType(plain.schema[c].dataType) for c in kept}
+    # pandas turns whole numbers beside a NULL into floats, so they travel as text.
+    whole = [c for c in kept if isinstance(plain.schema[c].dataType, _WHOLE)]
+    plain = plain.withColumns({c: F.col(c).cast("string") for c in whole})
     count = T.LongType()
     piece_schema = T.StructType(
         [
@@ -72,7 +76,7 @@ def stream_windows(
     ) -> Iterator[pd.DataFrame]:
         before, late, *tail = state.get if state.exists else (0, 0, *[[] for _ in kept])
         tail = dict(zip(kept, map(list, tail)))
-        arrived = _in_order(list(batches), kept, order)
+        arrived = _in_order(list(batches), kept, order, whole)
         # In order, the late messages come first.
         late_now = 0
         if tail[kept[0]]:
@@ -123,9 +127,13 @@ def stream_windows(
     )
 
 
-def _in_order(frames: list[pd.DataFrame], kept: list[str], order: Sequence[str]) -> dict[str, list]:
+def _in_order(
+    frames: list[pd.DataFrame], kept: list[str], order: Sequence[str], whole: Sequence[str]
+) -> dict[str, list]:
     """The columns of a group's new messages as lists in message order."""
     columns = {c: [v for frame in frames for v in _values(frame[c])] for c in kept}
+    for c in whole:
+        columns[c] = [None if v is None else int(v) for v in columns[c]]
     keys = list(zip(*(columns[c] for c in order)))
     places = sorted(range(len(keys)), key=keys.__getitem__)
     return {c: [values[i] for i in places] for c, values in columns.items()}

@@ -12,6 +12,8 @@ from chatwarden.operators.metrics import drop_short_batch
 from chatwarden.operators.vectors import nearest_rows
 from chatwarden.plans.stream_queries import stream_scores
 from chatwarden.sources import stores
+from chatwarden.streaming.scoring import append_stream
+from chatwarden.streaming.windows import stream_windows
 
 CELLS = {
     "['a'] x": None, "['a']['b']": None, "['a', NaN]": None, "[NaN]": None, "['a', true]": None,
@@ -70,3 +72,16 @@ def test_stream_reads_a_table_of_many_files(spark, tmp_path):
     for name in ("labels", "embeddings", "events", "customer", "conversations", "orders", "lineitem"):
         spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet").write.parquet(str(tmp_path / f"{name}.parquet"))
     assert stream_scores(spark, str(tmp_path)).count() == docs.count()
+
+
+def test_streamed_whole_numbers_stay_exact_beside_missing_ones(spark, tmp_path):
+    big = 9007199254740993  # no double is equal to it
+    rows = [("g", 1, big), ("g", 2, None), ("g", 3, big + 2)]
+    table = spark.createDataFrame(rows, "grp string, id long, n long")
+    table.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(table.schema).parquet(str(tmp_path / "in"))
+    found = stream_windows(stream, "grp", ["id"], ["n"], 2, 1)
+    out = str(tmp_path / "out")
+    append_stream(found, out, str(tmp_path / "state")).awaitTermination()
+    got = [list(r.n) for r in spark.read.parquet(out).orderBy("window_start").collect()]
+    assert got == [[big, None], [None, big + 2]]

@@ -6,6 +6,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from chatwarden.functions.fixed_values import MAX_TOKENS
 from chatwarden.functions import text as fn
 from chatwarden.functions.arrays import euclidean, list_mean, list_median, risk_label
 from chatwarden.operators.cleaning import add_chat, clean_windows, parse_windows
@@ -76,10 +77,10 @@ def test_only_the_four_emoji_ranges_go(spark):
 
 def test_tokens(spark):
     df = spark.createDataFrame([("Hé llo, wörld42! 😀x_y",), ("",), ("a " * 600,)], "t STRING")
-    got = [r[0] for r in df.select(fn.tokens(F.col("t"))).collect()]
+    got = [r[0] for r in df.select(fn.tokens(F.col("t"), MAX_TOKENS)).collect()]
     assert got[0] == ["Hé", "llo", ",", "wörld42", "!", "😀", "x", "_", "y"]
     assert got[1] == [] and len(got[2]) == 512
-    assert len(df.select(fn.tokens(F.col("t"), None)).collect()[2][0]) == 600
+    assert len(df.select(fn.tokens(F.col("t"))).collect()[2][0]) == 600
 
 
 @pytest.mark.parametrize(
