@@ -19,7 +19,7 @@ from chatwarden.session import materialize, scratch_path
 CENTER_BYTES = 32 << 20
 # Distances a task holds at a time.
 _DISTANCES = 4_000_000
-# Picks are broadcast below this count; above, Spark chooses the join.
+# Picks are counted, and broadcast up to this number; above, Spark chooses the join.
 BROADCAST_PICKS = 100_000
 
 
@@ -152,27 +152,47 @@ def closest_rows(picks: DataFrame, key: str = "sample_id") -> DataFrame:
     )
 
 
-def risk_profile(rows: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+def risk_profile(
+    rows: DataFrame, columns: Sequence[str], by: Sequence[str] = (), counted: str | None = None
+) -> DataFrame:
     """Mean over rows of each row's mean score, for every listed column.
 
-    A column holds a row's list of scores, or its mean score already.
+    A column holds a row's list of scores, or its mean score already. ``counted``
+    names a column for the number of rows.
     """
     lists = {f.name for f in rows.schema if isinstance(f.dataType, T.ArrayType)}
     means = {c: list_mean(F.col(c)) if c in lists else F.col(c) for c in columns}
-    return rows.groupBy(*by).agg(*[F.avg(mean).alias(c) for c, mean in means.items()])
+    profile = [F.avg(mean).alias(c) for c, mean in means.items()]
+    if counted is not None:
+        profile.append(F.count("*").alias(counted))
+    return rows.groupBy(*by).agg(*profile)
+
+
+def _hinted(picks: DataFrame) -> DataFrame:
+    """Written rows, with a broadcast hint if they are few by count."""
+    few = picks.limit(BROADCAST_PICKS + 1).count() <= BROADCAST_PICKS
+    return F.broadcast(picks) if few else picks
 
 
-def join_picks(picks: DataFrame, scores: DataFrame, key: str, max_picks: int) -> DataFrame:
-    """Scores of picked rows. ``max_picks`` is the proven number of picks."""
-    small = F.broadcast(picks) if max_picks <= BROADCAST_PICKS else picks
-    return scores.join(small, key)
+def join_picks(picks: DataFrame, scores: DataFrame, key: str) -> DataFrame:
+    """Scores of picked rows. ``picks`` are counted first and should be written ones."""
+    return scores.join(_hinted(picks), key)
 
 
 def cluster_profile(
-    picks: DataFrame, scores: DataFrame, columns: Sequence[str], key: str, max_picks: int
+    picks: DataFrame, scores: DataFrame, columns: Sequence[str], key: str
 ) -> DataFrame:
-    """Risk profile of each cluster's picks."""
-    return risk_profile(join_picks(picks, scores, key, max_picks), columns, ["cluster_id"])
+    """Risk profile of each cluster's picks: ``n_picks``, ``n_scored`` and the columns.
+
+    Picks without scores are counted in ``n_picks`` only; a cluster of none but
+    those keeps its row, with no means.
+    """
+    picks = materialize(picks.select("cluster_id", key), "picks")
+    picked = picks.groupBy("cluster_id").agg(F.count("*").alias("n_picks"))
+    scored = risk_profile(join_picks(picks, scores, key), columns, ["cluster_id"], "n_scored")
+    return picked.join(scored, "cluster_id", "left").withColumn(
+        "n_scored", F.coalesce("n_scored", F.lit(0).cast("long"))
+    )
 
 
 def riskiest(rows: DataFrame, score: str, k: int, key: str) -> DataFrame:
@@ -186,26 +206,22 @@ def riskiest(rows: DataFrame, score: str, k: int, key: str) -> DataFrame:
     return rows.withColumn("risk", risk).orderBy(F.desc_nulls_last("risk"), key).limit(k)
 
 
-def without(rows: DataFrame, seeds: DataFrame, key: str, max_seeds: int) -> DataFrame:
-    """Rows that are no seeds. ``max_seeds`` is the proven number of seeds."""
-    seeds = seeds.select(key)
-    if max_seeds <= BROADCAST_PICKS:
-        seeds = F.broadcast(seeds)
-    return rows.join(seeds, key, "left_anti")
+def without(rows: DataFrame, seeds: DataFrame, key: str) -> DataFrame:
+    """Rows that are no seeds."""
+    return rows.join(_hinted(seeds.select(key)), key, "left_anti")
 
 
 def similar_to_seeds(
     embeddings: DataFrame,
     seeds: DataFrame,
-    max_seeds: int,
     k: int = NEAREST_TO_SEEDS,
     key: str = "sample_id",
     vector: str = "embedding",
 ) -> DataFrame:
     """The k rows nearest to the seeds' centroid, the seeds themselves left out."""
-    seed_vectors = join_picks(seeds.select(key), embeddings, key, max_seeds)
+    seed_vectors = join_picks(seeds.select(key), embeddings, key)
     center = centroid(seed_vectors, vector).withColumn("cluster_id", F.lit(0))
-    rest = without(embeddings, seeds, key, max_seeds)
+    rest = without(embeddings, seeds, key)
     return nearest_rows(rest, center, k, key, vector).drop("cluster_id")
 
 
@@ -218,16 +234,23 @@ def riskiest_and_similar(
     key: str = "sample_id",
     vector: str = "embedding",
 ) -> DataFrame:
-    """Risk profile of the k riskiest rows and of the rows most like them."""
+    """Risk profile of the k riskiest rows and of the rows most like them.
+
+    ``n_picks`` counts all of them, ``n_scored`` those that have scores.
+    """
     embedded = scores.join(embeddings.select(key), key, "left_semi")
     # k rows, needed three times: taken once.
     seeds = materialize(riskiest(embedded, score, k, key).select(key), "seeds")
-    near = similar_to_seeds(embeddings, seeds, k, key=key, vector=vector).select(key)
+    near = similar_to_seeds(embeddings, seeds, key=key, vector=vector).select(key)
     picked = seeds.withColumn("picks", F.lit("riskiest")).unionByName(
         near.withColumn("picks", F.lit("similar"))
     )
-    joined = join_picks(picked, scores, key, k + NEAREST_TO_SEEDS)
-    return risk_profile(joined, profile_columns, ["picks"])
+    picked = materialize(picked, "picks")
+    picks = picked.groupBy("picks").agg(F.count("*").alias("n_picks"))
+    scored = risk_profile(join_picks(picked, scores, key), profile_columns, ["picks"], "n_scored")
+    return picks.join(scored, "picks", "left").withColumn(
+        "n_scored", F.coalesce("n_scored", F.lit(0).cast("long"))
+    )
 
 
 def kmeans(

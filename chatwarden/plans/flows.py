@@ -80,7 +80,7 @@ def cluster_report(
     train = embeddings.filter(F.col("split") == "train")
     _, centers, _ = vectors.kmeans(train, clusters)
     picks = vectors.nearest_rows(embeddings, centers, k)
-    return vectors.cluster_profile(picks, windows, profile, "sample_id", clusters * k)
+    return vectors.cluster_profile(picks, windows, profile, "sample_id")
 
 
 def similar_report(

@@ -24,7 +24,6 @@ from chatwarden.sources import stores
 K = 5
 SEEDS = 20
 KEY = "vec_id"
-MAX_LABEL_PICKS = 10 * K
 
 
 def _rounded(columns, digits=6):
@@ -96,13 +95,14 @@ LABEL_DISTANCES = f"""
 
 def cluster_profile(spark, sf_dir):
     scores = user_risk(spark, sf_dir)
-    profile = V.cluster_profile(_picks(spark, sf_dir), scores, EVENT_TYPES, KEY, MAX_LABEL_PICKS)
-    return profile.select("cluster_id", *_rounded(EVENT_TYPES))
+    profile = V.cluster_profile(_picks(spark, sf_dir), scores, EVENT_TYPES, KEY)
+    return profile.select("cluster_id", "n_picks", "n_scored", *_rounded(EVENT_TYPES))
 
 
 CLUSTER_PROFILE = f"""
-    SELECT cluster_id, {', '.join(f'round(avg({t}), 6) AS {t}' for t in EVENT_TYPES)}
-    FROM ({_PICKS_SQL}) JOIN ({USER_RISK_SQL}) USING (vec_id) GROUP BY cluster_id
+    SELECT cluster_id, count(*) AS n_picks, count(risk_score) AS n_scored,
+           {', '.join(f'round(avg({t}), 6) AS {t}' for t in EVENT_TYPES)}
+    FROM ({_PICKS_SQL}) LEFT JOIN ({USER_RISK_SQL}) USING (vec_id) GROUP BY cluster_id
 """
 
 _SEEDS_SQL = f"""
@@ -128,7 +128,7 @@ def similar_rows(spark, sf_dir):
     rows, scores = table(spark, sf_dir, "embeddings"), user_risk(spark, sf_dir)
     embedded = scores.join(rows.select(KEY), KEY, "left_semi")
     seeds = V.materialize(V.riskiest(embedded, "risk_score", SEEDS, KEY).select(KEY), "seeds")
-    near = V.similar_to_seeds(rows, seeds, SEEDS, key=KEY)
+    near = V.similar_to_seeds(rows, seeds, key=KEY)
     return near.select(KEY, F.round("distance", 6).alias("distance"))
 
 
@@ -144,14 +144,15 @@ def similar_to_risky(spark, sf_dir):
         SEEDS,
         KEY,
     )
-    return profiles.select("picks", *_rounded(EVENT_TYPES))
+    return profiles.select("picks", "n_picks", "n_scored", *_rounded(EVENT_TYPES))
 
 
 SIMILAR_TO_RISKY = f"""
-    SELECT picks, {', '.join(f'round(avg({t}), 6) AS {t}' for t in EVENT_TYPES)}
+    SELECT picks, count(*) AS n_picks, count(risk_score) AS n_scored,
+           {', '.join(f'round(avg({t}), 6) AS {t}' for t in EVENT_TYPES)}
     FROM (SELECT 'riskiest' AS picks, vec_id FROM ({_SEEDS_SQL})
           UNION ALL SELECT 'similar', vec_id FROM ({_SIMILAR_SQL}))
-    JOIN ({USER_RISK_SQL}) USING (vec_id) GROUP BY picks
+    LEFT JOIN ({USER_RISK_SQL}) USING (vec_id) GROUP BY picks
 """
 
 
@@ -160,7 +161,7 @@ def kmeans_profile(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings")
     _, centers, _ = V.kmeans(rows, 10, KEY)
     picks = V.nearest_rows(rows, centers, K, KEY)
-    return V.cluster_profile(picks, user_risk(spark, sf_dir), EVENT_TYPES, KEY, MAX_LABEL_PICKS)
+    return V.cluster_profile(picks, user_risk(spark, sf_dir), EVENT_TYPES, KEY)
 
 
 def kmeans_counts(spark, sf_dir):

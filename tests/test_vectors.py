@@ -83,7 +83,11 @@ def test_profiles(spark, rows, centers):
         F.lit(2.0).alias("b"),
     )
     picks = V.nearest_rows(rows, centers[1], 4)
-    got = {r.cluster_id: (r.a, r.b) for r in V.cluster_profile(picks, scores, ["a", "b"], "sample_id", 28).collect()}
+    found = V.cluster_profile(picks, scores, ["a", "b"], "sample_id").collect()
+    got = {r.cluster_id: (r.a, r.b) for r in found}
+    assert all(r.n_picks == r.n_scored == 4 for r in found)
+    none = V.cluster_profile(picks, scores.limit(0), ["a", "b"], "sample_id").collect()
+    assert len(none) == len(found) and all((r.n_picks, r.n_scored, r.a) == (4, 0, None) for r in none)
     members = {}
     for r in picks.collect():
         members.setdefault(r.cluster_id, []).append((1.0 + int(r.sample_id[1:])) / 2)
@@ -112,7 +116,7 @@ def test_centroid_by_group(rows, points):
         part = points[:100] if r.g else points[100:]
         assert np.allclose(r.center, part.astype(np.float64).mean(axis=0), atol=1e-6)
     assert V.centroid(rows.limit(0)).isEmpty()
-    none = V.similar_to_seeds(rows, rows.select("sample_id").limit(0), 5)
+    none = V.similar_to_seeds(rows, rows.select("sample_id").limit(0))
     assert none.isEmpty()
 
 
