@@ -38,6 +38,8 @@ _PRECISION = 0.92
 _STRENGTH = 30.0  # least log-likelihood ratio
 _PREFIXES = (0, 4, 5)  # 0: the whole word
 _STEPS, _RATE, _DECAY = 120, 0.3, 1e-3
+#: Weights that all tokens share; their slopes are taken by a difference of this size.
+SHARED, _NUDGE = ("bias", "into", "out", "stay"), 1e-4
 
 
 def token_features(found: Words) -> np.ndarray:
@@ -113,6 +115,16 @@ def toxic_features(rows: DataFrame, n_toxic: int, n_clean: int) -> np.ndarray:
     return table[precise & (strength >= _STRENGTH)]
 
 
+def _times(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Products of many 2 x 2 matrices."""
+    return x[:, 0, None] * y[None, 0] + x[:, 1, None] * y[None, 1]
+
+
+def _apply(x: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Products of many 2 x 2 matrices and vectors."""
+    return x[:, 0] * v[0] + x[:, 1] * v[1]
+
+
 @dataclass
 class Field:
     """Two states, 0 and 1 (toxic); a text starts from state 0. ``into, out, stay`` are the
@@ -136,46 +148,55 @@ class Field:
         at = np.flatnonzero(hit.any(axis=0))
         return Chains(found, at, place[:, at], hit[:, at])
 
-    def marginals(self, c: "Chains") -> tuple[np.ndarray, np.ndarray]:
-        """(probability of state 1 of each token of the chains, log of the normaliser per text)."""
+    def _moves(self, c: "Chains") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The 2 x 2 matrix of each token with the neutral ones before it, (2, 2, tokens); the vector
+        after the last token of each text, (2, texts); the log of the scale of the neutral tokens."""
         step = self._step()
         values, vectors = np.linalg.eig(step * np.exp([0.0, self.bias]))
         order = np.argsort(-values.real)
         values, vectors = values.real[order], vectors.real[:, order]
         inverse = np.linalg.inv(vectors)
+        large, little = (vectors[:, i : i + 1] * inverse[i : i + 1, :] for i in (0, 1))
 
         def power(n: np.ndarray) -> np.ndarray:  # scaled by the largest value's power
             small = (values[1] / values[0]) ** np.minimum(n, 1 << 20)
-            return vectors[None, :, :1] * inverse[None, :1, :] + small[:, None, None] * (vectors[None, :, 1:] * inverse[None, 1:, :])
-
-        gap = power(c.gap)
-        emission = np.exp(self.bias + (self.weights[c.place] * c.hit).sum(axis=0))
-        state = np.stack([np.ones(len(emission)), np.minimum(emission, 1e30)], axis=1)
-        move = np.einsum("nij,jk->nik", gap, step) * state[:, None, :]  # neutral tokens, then this one
-        forward = np.zeros((len(emission), 2))
-        log_norm = c.n_neutral * np.log(values[0])
-        alpha = np.tile([1.0, 0.0], (c.n_texts, 1))
-        for rank in range(c.longest):
-            at = c.by_rank[rank]
-            text = c.text[at]
-            alpha[text] = np.einsum("ni,nij->nj", alpha[text], move[at])
-            scale = alpha[text].sum(axis=1)
-            alpha[text] /= scale[:, None]
-            log_norm[text] += np.log(scale)
-            forward[at] = alpha[text]
-        beta = power(c.tail) @ np.ones(2)
-        total = (alpha * beta).sum(axis=1)
-        log_norm += np.log(np.maximum(total, 1e-300))
-        beta /= beta.sum(axis=1, keepdims=True)
-        probability = np.zeros(len(emission))
-        for rank in reversed(range(c.longest)):
-            at = c.by_rank[rank]
-            text = c.text[at]
-            both = forward[at] * beta[text]
-            probability[at] = both[:, 1] / np.maximum(both.sum(axis=1), 1e-300)
-            beta[text] = np.einsum("nij,nj->ni", move[at], beta[text])
-            beta[text] /= beta[text].sum(axis=1, keepdims=True)
-        return probability, log_norm
+            return large[:, :, None] + small * little[:, :, None]
+
+        emission = np.minimum(np.exp(self.bias + (self.weights[c.place] * c.hit).sum(axis=0)), 1e30)
+        move = _times(power(c.gap), step[:, :, None])
+        move[:, 1] *= emission
+        return move, power(c.tail).sum(axis=1), c.n_neutral * np.log(values[0])
+
+    def marginals(self, c: "Chains", slopes: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """(probability of state 1 of each token of the chains, log of the normaliser per text;
+        with ``slopes`` the derivatives of the sum of those logs by the ``SHARED`` weights instead)."""
+        move, tail, neutral = self._moves(c)
+        product, log = c.products(move)
+        alpha = product[0]  # a text starts from state 0
+        back, _ = c.products(move, backward=True)
+        beta = tail[:, c.text]
+        inner = np.flatnonzero(c.rank_from_end > 0)
+        beta[:, inner] = _apply(back[:, :, inner + 1], beta[:, inner])
+        both = alpha * beta
+        p = both[1] / np.maximum(both.sum(axis=0), 1e-300)
+        end = np.tile([[1.0], [0.0]], (1, c.n_texts))
+        end[:, c.last_text] = alpha[:, c.last]
+        total = (end * tail).sum(axis=0)
+        if not slopes:
+            log_norm = neutral + np.log(np.maximum(total, 1e-300))
+            log_norm[c.last_text] += log[c.last]
+            return p, log_norm
+        before = np.tile([[1.0], [0.0]], (1, len(p)))
+        later = np.flatnonzero(c.rank > 0)
+        before[:, later] = alpha[:, later - 1]
+        whole = (before * _apply(move, beta)).sum(axis=0)
+        found = np.zeros(len(SHARED))
+        for i, name in enumerate(SHARED):
+            moved, ends, steps = Field(**{**vars(self), name: getattr(self, name) + _NUDGE})._moves(c)
+            change = ((before * _apply(moved, beta)).sum(axis=0) / whole - 1).sum()
+            change += ((end * ends).sum(axis=0) / total - 1).sum() + (steps - neutral).sum()
+            found[i] = change / _NUDGE
+        return p, found
 
     def evidence(self, c: "Chains") -> tuple[np.ndarray, np.ndarray]:
         """(log-odds that any token of the text is toxic, the tokens' marginals)."""
@@ -202,10 +223,28 @@ class Chains:
         last[self.text] = at - begin  # the last of each text is written last
         self.tail = sizes - 1 - last
         self.n_neutral = (sizes - counts).astype(float)
-        rank = np.arange(len(at)) - np.flatnonzero(new)[np.cumsum(new) - 1] if len(at) else at
+        self.rank = np.arange(len(at)) - np.flatnonzero(new)[np.cumsum(new) - 1] if len(at) else at
+        self.rank_from_end = counts[self.text] - 1 - self.rank
         self.longest = int(counts.max()) if len(at) else 0
-        order = np.argsort(rank, kind="stable")
-        self.by_rank = np.split(order, np.cumsum(np.bincount(rank))[:-1]) if len(at) else []
+        self.last = np.flatnonzero(self.rank_from_end == 0)
+        self.last_text = self.text[self.last]
+
+    def products(self, move: np.ndarray, backward: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """Products of the matrices of a text up to each token (``backward``: from each token
+        on), scaled, and the logs of the scales. Spans double: a text of n tokens takes log2(n) steps."""
+        product, log = move.copy(), np.zeros(len(self.at))
+        rank, side = (self.rank_from_end, 1) if backward else (self.rank, -1)
+        span = 1
+        while span < self.longest:
+            here = np.flatnonzero(rank >= span)
+            there = here + side * span
+            left, right = (here, there) if backward else (there, here)
+            joined = _times(product[:, :, left], product[:, :, right])
+            scale = joined.sum(axis=(0, 1))
+            log[here] = log[left] + log[right] + np.log(scale)
+            product[:, :, here] = joined / scale
+            span *= 2
+        return product, log
 
 
 def fit(texts: list[bytes], labels: np.ndarray, features: np.ndarray) -> Field:
@@ -217,9 +256,7 @@ def fit(texts: list[bytes], labels: np.ndarray, features: np.ndarray) -> Field:
         c = field.chains(found)
         toxic = labels[at + c.text] == 1
         parts.append((c, toxic, labels[at : at + len(block)]))
-    # Weights of the tokens' features; bias, into, out and stay follow by differences.
-    names = ("bias", "into", "out", "stay")
-    gold = np.zeros(4)
+    gold = np.zeros(len(SHARED))  # how often the labels take each of the shared weights
     n_texts = sum(c.n_texts for c, _, _ in parts) or 1
     for c, toxic, _ in parts:
         after_toxic = np.zeros(len(toxic), bool)
@@ -230,21 +267,19 @@ def fit(texts: list[bytes], labels: np.ndarray, features: np.ndarray) -> Field:
             is_last = np.append(c.text[1:] != c.text[:-1], True)
             ends_text = is_last & (c.tail[c.text] == 0)
         gold += (toxic.sum(), toxic.sum() - stays, toxic.sum() - stays - (toxic & ends_text).sum(), stays)
-    squares = np.full(len(features), 1e-6), np.full(4, 1e-6)
+    squares = np.full(len(features), 1e-6), np.full(len(SHARED), 1e-6)
     for _ in range(_STEPS):
         gradient = -_DECAY * n_texts * field.weights
-        expected = np.zeros(4)
+        expected = np.zeros(len(SHARED))
         for c, toxic, _ in parts:
-            p, norm = field.marginals(c)
+            p, slopes = field.marginals(c, slopes=True)
+            expected += slopes
             np.add.at(gradient, c.place[c.hit], np.broadcast_to(toxic - p, c.hit.shape)[c.hit])
-            for i, name in enumerate(names):
-                nudged = Field(**{**vars(field), name: getattr(field, name) + 1e-4})
-                expected[i] += (nudged.marginals(c)[1] - norm).sum() / 1e-4
-        shared = gold - expected - _DECAY * n_texts * np.array([getattr(field, n) for n in names])
+        shared = gold - expected - _DECAY * n_texts * np.array([getattr(field, n) for n in SHARED])
         for s, g in zip(squares, (gradient, shared)):
             s += (g / n_texts) ** 2
         field.weights = field.weights + _RATE * gradient / n_texts / np.sqrt(squares[0])
-        for name, move in zip(names, _RATE * shared / n_texts / np.sqrt(squares[1])):
+        for name, move in zip(SHARED, _RATE * shared / n_texts / np.sqrt(squares[1])):
             setattr(field, name, float(np.clip(getattr(field, name) + move, -12, 6)))
     evidence = np.concatenate([field.evidence(c)[0] for c, _, _ in parts]) if parts else np.zeros(0)
     field.a, field.b = platt(evidence, np.concatenate([y for _, _, y in parts]) if parts else np.zeros(0, int))
