@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from chatwarden.session import materialize
@@ -25,6 +26,12 @@ def as_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     return [b"" if t is None else t for t in column.cast(pa.binary()).to_pylist()]
 
 
+def expanded(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
+    """UTF-8 bytes of the compressed texts of :func:`labelled_texts`."""
+    expand = zstandard.ZstdDecompressor()
+    return [expand.decompress(z) for z in column.to_pylist()]
+
+
 def map_texts(
     docs: DataFrame,
     text: str,
@@ -112,6 +119,8 @@ def held_out(doc_id: str) -> Column:
 def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``id, text, label`` of the rows that a classifier may learn from, written once.
 
+    Texts are compressed for their way through the shuffle and the written
+    table, NULL as an empty one; :func:`expanded` reads them.
     Of contradictory labels of one id the larger counts; labels other than 0 and
     1 and held-out rows are left out. A bit table of the labelled ids keeps most
     other texts out of the shuffle.
@@ -123,14 +132,16 @@ def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, doc_id: str =
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shrink = zstandard.ZstdCompressor()
         for batch in batches:
-            found = in_bit_table(bits.value, batch.column(2).to_numpy())
-            yield batch.filter(pa.array(found))
+            batch = batch.filter(pa.array(in_bit_table(bits.value, batch.column(2).to_numpy())))
+            packed = pa.array([shrink.compress(t) for t in as_bytes(batch.column(1))], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), packed], names=["id", "text"])
 
     source = docs.where(~held_out(doc_id)).select(
         F.col(doc_id).alias("id"), F.col(text).alias("text"), F.xxhash64(doc_id).alias("k")
     )
-    maybe = source.mapInArrow(run, source.schema).drop("k")
+    maybe = source.mapInArrow(run, T.StructType([source.schema["id"], T.StructField("text", T.BinaryType())]))
     return materialize(maybe.join(known, "id"), "labelled")
 
 

@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from chatwarden.llm.common import as_bytes, fields, labelled_texts, map_texts, platt, sample_per_class, sigmoid
+from chatwarden.llm.common import expanded, fields, labelled_texts, map_texts, platt, sample_per_class, sigmoid
 from chatwarden.llm.words import SPACED, blocks, find_words
 
 SAMPLE = 2000
@@ -94,7 +94,7 @@ def log_ratios(rows: DataFrame) -> np.ndarray:
         counts = np.zeros((2, DIM), np.int64)
         for batch in batches:
             labels = batch.column(1).to_numpy()
-            for at, texts in blocks(as_bytes(batch.column(0))):
+            for at, texts in blocks(expanded(batch.column(0))):
                 for label, features in zip(labels[at:], indicators(texts)):
                     counts[label, features] += 1
         at = np.flatnonzero(counts.any(axis=0))
@@ -145,7 +145,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", doc_id: st
         features, signs = [], []
         for batch in batches:
             order = batch.column(1).to_numpy()
-            for at, texts in blocks(as_bytes(batch.column(0))):
+            for at, texts in blocks(expanded(batch.column(0))):
                 features.extend(indicators(texts))
                 signs.extend((2 * order[at : at + len(texts)] - 1).tolist())
         signs = np.array(signs, float)

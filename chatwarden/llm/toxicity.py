@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from chatwarden.llm.common import as_bytes, fields, labelled_texts, map_texts, platt, sample_per_class, sigmoid
+from chatwarden.llm.common import expanded, fields, labelled_texts, map_texts, platt, sample_per_class, sigmoid
 from chatwarden.llm.words import ALNUM, Words, blocks, find_words, mix
 
 SAMPLE = 1500
@@ -79,7 +79,7 @@ def toxic_features(rows: DataFrame, n_toxic: int, n_clean: int) -> np.ndarray:
 
     def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, texts in blocks(as_bytes(batch.column(0)), 4 << 20):
+            for _, texts in blocks(expanded(batch.column(0)), 4 << 20):
                 _, features = _distinct_per_text(find_words(texts, ALNUM, lower=True))
                 keys, counts = np.unique(features, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts)], names=["f", "n"])
@@ -94,7 +94,7 @@ def toxic_features(rows: DataFrame, n_toxic: int, n_clean: int) -> np.ndarray:
         counts = np.zeros((2, len(sent.value)), np.int64)
         for batch in batches:
             labels = batch.column(1).to_numpy()
-            for at, texts in blocks(as_bytes(batch.column(0))):
+            for at, texts in blocks(expanded(batch.column(0))):
                 text, place = _distinct_per_text(find_words(texts, ALNUM, lower=True), sent.value)
                 np.add.at(counts, (labels[at + text], place.astype(np.int64)), 1)
         at = np.flatnonzero(counts.any(axis=0))
@@ -297,7 +297,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", doc_id: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts, marks = [], []
         for batch in batches:
-            texts.extend(as_bytes(batch.column(0)))
+            texts.extend(expanded(batch.column(0)))
             marks.append(batch.column(1).to_numpy())
         field = fit(texts, np.concatenate(marks) if marks else np.zeros(0, int), sent.value)
         shared = [field.bias, field.into, field.out, field.stay, field.a, field.b]
