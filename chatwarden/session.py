@@ -41,7 +41,9 @@ def scratch_path(spark: SparkSession, name: str) -> str:
         if not spark.conf.get("spark.master", "").startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
         app = spark.conf.get("spark.app.id", "local")
-        base = _local_scratch.setdefault(app, tempfile.mkdtemp(prefix="chatwarden-"))
+        if app not in _local_scratch:
+            _local_scratch[app] = tempfile.mkdtemp(prefix="chatwarden-")
+        base = _local_scratch[app]
     return f"{base.rstrip('/')}/chatwarden/{name}-{uuid.uuid4().hex}"
 
 
