@@ -3,8 +3,9 @@
 Three fixed patterns find assigned secrets, access keys and long hex strings.
 The method adds strings that a tokenizer's vocabulary cannot shorten: a run of
 key characters whose number of characters per token is low is random. Known
-digests, identifiers and words are excluded first, and so is what a pattern has
-found already.
+digests and UUIDs are cut out first. Parts of a run that the vocabulary does
+shorten are words; a run that mostly consists of them is no key as a whole, and
+only its stretches without words are tested.
 
 Defined cases: a NULL or empty text has no spans; texts are scanned whole;
 repeated rows get the same result each; an empty table gives an empty result;
@@ -16,6 +17,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+from collections.abc import Iterable
 
 import numpy as np
 from pyspark.sql import DataFrame, types as T
@@ -37,10 +39,15 @@ ASSIGN_CHARS, ACCESS_CHARS, HEX_CHARS = 8, 16, 32
 CANDIDATE_CHARS = 20
 CHARS_PER_TOKEN = 2.0
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % CANDIDATE_CHARS)
-#: Lengths in hex digits of common digests, and the form of a UUID.
-_DIGEST = re.compile(r"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128})", re.I)
-_UUID = re.compile(r"[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}", re.I)
-_PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
+#: Parts of at least so many letters and characters per token are words.
+WORD_CHARS, WORD_CHARS_PER_TOKEN = 4, 3.0
+#: Common digests by their lengths in hex digits, and UUIDs; nothing else of letters or digits beside them.
+_KNOWN = re.compile(
+    r"(?<![0-9a-z])(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128}"
+    r"|[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12})(?![0-9a-z])",
+    re.I,
+)
+_PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 
 _KEY_BYTE = np.array([chr(b).isascii() and (chr(b).isalnum() or chr(b) in "+/_=-") for b in range(256)])
 _HEX_BYTE = np.array([chr(b) in "0123456789abcdef" for b in range(256)])
@@ -77,22 +84,36 @@ class TokenTest:
     def ratio(self, text: str) -> float:
         return len(text) / max(1, len(self.encoding.encode_ordinary(text)))
 
-    def random(self, text: str) -> bool:
-        """A candidate is random if it mixes letters with digits, or cases inside its
-        parts, is no digest, UUID or identifier, and has few characters per token."""
-        if _DIGEST.fullmatch(text) or _UUID.fullmatch(text) or _identifier(text):
-            return False
-        return self.ratio(text) < CHARS_PER_TOKEN
-
-
-def _identifier(text: str) -> bool:
-    """snake_case, kebab-case, CamelCase, paths, plain words and rules: joined parts that
-    are words or numbers, of which few are so short that only chance joins them."""
-    letters = sum(c.isalpha() for c in text)
-    if letters < len(text) / 2 and not any(c.isalpha() for c in text):
-        return True
-    parts = _PART.findall(text)
-    return len(text) / max(1, len(parts)) >= 4 or letters == 0
+    def word(self, part: str) -> bool:
+        """Whether the vocabulary shortens letters as it does a word's, behind a space or not."""
+        return len(part) >= WORD_CHARS and max(self.ratio(part), len(part) / len(self.encoding.encode_ordinary(" " + part.lower()))) >= WORD_CHARS_PER_TOKEN
+
+    def random_parts(self, text: str) -> list[tuple[int, int]]:
+        """(start, end) of what is random in a run of key characters: all between digests and
+        UUIDs if few of its characters are in words, or else its stretches without words."""
+        return [found for start, end in _between(0, len(text), _KNOWN.finditer(text)) for found in self._random(text, start, end)]
+
+    def _random(self, text: str, start: int, end: int) -> list[tuple[int, int]]:
+        piece = text[start:end]
+        words = [m for m in _PART.finditer(piece) if self.word(m[0])]
+        signs = len(piece) - sum(c.isalnum() for c in piece)
+        letters = any(c.isalpha() for c in piece)
+        if letters and 2 * sum(len(m[0]) for m in words) < len(piece) - signs:
+            return [(start, end)] if self.ratio(piece) < CHARS_PER_TOKEN else []
+        # Numbers joined by signs (dates, telephone numbers) are no key, so each is looked at alone.
+        breaks = words if letters else list(re.finditer("[^0-9]+", piece))
+        return [
+            (start + a, start + b) for a, b in _between(0, len(piece), breaks) if self.ratio(piece[a:b]) < CHARS_PER_TOKEN
+        ]
+
+
+def _between(start: int, end: int, breaks: Iterable[re.Match]) -> list[tuple[int, int]]:
+    """What is left of a run without the breaks, if long enough for a candidate."""
+    out = []
+    for m in breaks:
+        out.append((start, m.start()))
+        start = max(start, m.end())
+    return [(a, b) for a, b in [*out, (start, end)] if b - a >= CANDIDATE_CHARS]
 
 
 def _test(rank_file: str, pattern: str) -> TokenTest:
@@ -113,8 +134,8 @@ def _scan(raw: bytes, test: TokenTest) -> list[tuple[int, int, int]]:
     if may_key:
         taken = found
         for m in _CANDIDATE.finditer(text):
-            if not any(s < m.end() and m.start() < e for s, _, e in taken) and test.random(m[0]):
-                found = [*found, (m.start(), 3, m.end())]
+            if not any(s < m.end() and m.start() < e for s, _, e in taken):
+                found = [*found, *((m.start() + a, 3, m.start() + b) for a, b in test.random_parts(m[0]))]
     return sorted(found)
 
 

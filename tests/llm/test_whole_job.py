@@ -1,0 +1,42 @@
+"""Cases that a shortcut would leave out."""
+
+from __future__ import annotations
+
+import random
+import string
+
+import public_tokenizers
+import pytest
+
+from chatwarden.llm import secrets
+from chatwarden.llm.queries import tokenizer_path
+
+# 4
+
+
+@pytest.fixture(scope="module")
+def token_test():
+    return secrets.TokenTest(tokenizer_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+@pytest.mark.parametrize(
+    "letters", [string.ascii_lowercase, string.ascii_uppercase, string.ascii_uppercase + "234567", string.ascii_lowercase + string.digits]
+)
+def test_random_keys_of_one_case(token_test, letters):
+    draw = random.Random(6)
+    for size in (20, 32, 64):
+        keys = ["".join(draw.choice(letters) for _ in range(size)) for _ in range(300)]
+        assert sum(token_test.random_parts(k) == [(0, size)] for k in keys) >= 0.85 * len(keys)
+
+
+def test_words_numbers_and_digests_are_no_keys(token_test):
+    for text in (
+        "snake_case_identifier_of_words", "getUserByIdAndNameOrThrow", "MAX_CONNECTION_TIMEOUT_SECONDS", "/usr/lib/python3/dist-packages/numpy",
+        "2024-01-15-10-30-00-000", "=" * 30, "Donaudampfschifffahrtsgesellschaft", "DA39A3EE5E6B4B0D3255BFEF95601890AFD80709",
+        "/users/123e4567-e89b-12d3-a456-426614174000/",
+    ):
+        assert token_test.random_parts(text) == [], text
+    key = "xkqzvwpjhgfdbncmtrlsyq"
+    text = f"configuration_of_the_production_environment_{key}"
+    (start, end), = token_test.random_parts(text)
+    assert text[start:end].endswith(key) and end - start <= len(key) + 1
