@@ -3,7 +3,8 @@
 Three fixed patterns find assigned secrets, access keys and long hex strings.
 The method adds strings that a tokenizer's vocabulary cannot shorten: a run of
 key characters whose number of characters per token is low is random. Known
-digests and UUIDs are cut out first. Parts of a run that the vocabulary does
+digests and UUIDs are cut out first, and so is what a pattern has found already;
+each remaining piece is a run of its own. Parts of a run that the vocabulary does
 shorten are words; a run that mostly consists of them is no key as a whole, and
 only its stretches without words are tested.
 
@@ -16,6 +17,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import itertools
 import re
 from collections.abc import Iterable
 
@@ -91,7 +93,7 @@ class TokenTest:
     def random_parts(self, text: str) -> list[tuple[int, int]]:
         """(start, end) of what is random in a run of key characters: all between digests and
         UUIDs if few of its characters are in words, or else its stretches without words."""
-        return [found for start, end in _between(0, len(text), _KNOWN.finditer(text)) for found in self._random(text, start, end)]
+        return [found for start, end in _between(0, len(text), _spans(_KNOWN, text)) for found in self._random(text, start, end)]
 
     def _random(self, text: str, start: int, end: int) -> list[tuple[int, int]]:
         piece = text[start:end]
@@ -101,18 +103,22 @@ class TokenTest:
         if letters and 2 * sum(len(m[0]) for m in words) < len(piece) - signs:
             return [(start, end)] if self.ratio(piece) < CHARS_PER_TOKEN else []
         # Numbers joined by signs (dates, telephone numbers) are no key, so each is looked at alone.
-        breaks = words if letters else list(re.finditer("[^0-9]+", piece))
+        breaks = [m.span() for m in words] if letters else _spans(re.compile("[^0-9]+"), piece)
         return [
             (start + a, start + b) for a, b in _between(0, len(piece), breaks) if self.ratio(piece[a:b]) < CHARS_PER_TOKEN
         ]
 
 
-def _between(start: int, end: int, breaks: Iterable[re.Match]) -> list[tuple[int, int]]:
+def _spans(pattern: re.Pattern, text: str) -> list[tuple[int, int]]:
+    return [m.span() for m in pattern.finditer(text)]
+
+
+def _between(start: int, end: int, breaks: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
     """What is left of a run without the breaks, if long enough for a candidate."""
     out = []
-    for m in breaks:
-        out.append((start, m.start()))
-        start = max(start, m.end())
+    for a, b in breaks:
+        out.append((start, a))
+        start = max(start, b)
     return [(a, b) for a, b in [*out, (start, end)] if b - a >= CANDIDATE_CHARS]
 
 
@@ -132,10 +138,14 @@ def _scan(raw: bytes, test: TokenTest) -> list[tuple[int, int, int]]:
     text = raw.decode()
     found = base_spans(text)
     if may_key:
-        taken = found
+        taken, at, rest = found, 0, []
         for m in _CANDIDATE.finditer(text):
-            if not any(s < m.end() and m.start() < e for s, _, e in taken):
-                found = [*found, *((m.start() + a, 3, m.start() + b) for a, b in test.random_parts(m[0]))]
+            while at < len(taken) and taken[at][2] <= m.start():
+                at += 1
+            inside = itertools.takewhile(lambda x: x[0] < m.end(), taken[at:])
+            for start, end in _between(m.start(), m.end(), ((s, e) for s, _, e in inside)):
+                rest += [(start + a, 3, start + b) for a, b in test.random_parts(text[start:end])]
+        found = found + rest
     return sorted(found)
 
 
