@@ -32,8 +32,6 @@ from chatwarden.llm.common import expanded, fields, labelled_texts, map_texts, p
 from chatwarden.llm.words import ALNUM, Words, blocks, find_words, mix
 
 SAMPLE = 1500
-#: A feature is looked at if at least one in so many toxic texts has it: their number is bounded by this.
-SUPPORT = 1000
 _PRECISION = 0.92
 _STRENGTH = 30.0  # least log-likelihood ratio
 _PREFIXES = (0, 4, 5)  # 0: the whole word
@@ -51,13 +49,10 @@ def token_features(found: Words) -> np.ndarray:
     return np.stack(rows)
 
 
-def _distinct_per_text(found: Words, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(text, feature) once for each text that has the feature; ``wanted`` is sorted."""
+def _distinct_per_text(found: Words) -> tuple[np.ndarray, np.ndarray]:
+    """(text, feature) once for each text that has the feature."""
     features = token_features(found)
     text = np.broadcast_to(found.text_of_word(), features.shape)
-    if wanted is not None:
-        place, hit = _places(features, wanted)
-        features, text = place[hit], text[hit]
     features, text = features.ravel(), text.ravel()
     order = np.lexsort((features, text))
     features, text = features[order], text[order]
@@ -75,44 +70,33 @@ def _places(features: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def toxic_features(rows: DataFrame, n_toxic: int, n_clean: int) -> np.ndarray:
-    """Sorted hashes of the features that stand out in toxic texts, counted over all rows."""
+    """Sorted hashes of the features that stand out in toxic texts, counted over all rows.
 
-    def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for _, texts in blocks(expanded(batch.column(0)), 4 << 20):
-                _, features = _distinct_per_text(find_words(texts, ALNUM, lower=True))
-                keys, counts = np.unique(features, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts)], names=["f", "n"])
-
-    least = max(3, -(-n_toxic // SUPPORT))
-    counted = rows.where("label = 1").select("text").mapInArrow(frequent, fields(f=T.LongType(), n=T.LongType()))
-    often = counted.groupBy("f").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("f")
-    table = np.sort(np.fromiter((r.f for r in often.toLocalIterator()), np.int64).view(np.uint64))
-    sent = rows.sparkSession.sparkContext.broadcast(table)
+    Every feature is judged where its counts are, however rare it is; only those
+    that stand out reach the driver."""
 
     def by_class(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((2, len(sent.value)), np.int64)
         for batch in batches:
             labels = batch.column(1).to_numpy()
-            for at, texts in blocks(expanded(batch.column(0))):
-                text, place = _distinct_per_text(find_words(texts, ALNUM, lower=True), sent.value)
-                np.add.at(counts, (labels[at + text], place.astype(np.int64)), 1)
-        at = np.flatnonzero(counts.any(axis=0))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(at), pa.array(counts[0, at]), pa.array(counts[1, at])], names=["f", "n0", "n1"]
-        )
+            for at, texts in blocks(expanded(batch.column(0)), 4 << 20):
+                text, features = _distinct_per_text(find_words(texts, ALNUM, lower=True))
+                keys, place = np.unique(features, return_inverse=True)
+                n_all = np.bincount(place, minlength=len(keys))
+                n1 = np.bincount(place[labels[at + text] == 1], minlength=len(keys))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(keys.view(np.int64)), pa.array(n_all - n1), pa.array(n1)], names=["f", "n0", "n1"]
+                )
 
     counted = rows.select("text", "label").mapInArrow(by_class, fields(f=T.LongType(), n0=T.LongType(), n1=T.LongType()))
-    clean, toxic = np.zeros(len(table)), np.zeros(len(table))
-    for r in counted.groupBy("f").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toLocalIterator():
-        clean[r.f], toxic[r.f] = r.n0, r.n1
+    clean, toxic = F.col("n0"), F.col("n1")
     # Shares of the classes are set against each other, as the classes differ in size.
-    share_toxic, share_clean = toxic / n_toxic, clean / n_clean
-    precise = share_toxic >= _PRECISION / (1 - _PRECISION) * share_clean
+    precise = toxic / n_toxic >= _PRECISION / (1 - _PRECISION) * (clean / n_clean)
     expected = (toxic + clean) / (n_toxic + n_clean)
-    part = lambda n, of: np.where(n > 0, n * np.log(np.maximum(n, 1) / np.maximum(expected * of, 1e-12)), 0)
+    part = lambda n, of: F.when(n > 0, n * F.log(n / F.greatest(expected * of, F.lit(1e-12)))).otherwise(0.0)
     strength = 2 * (part(toxic, n_toxic) + part(clean, n_clean))
-    return table[precise & (strength >= _STRENGTH)]
+    found = counted.groupBy("f").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    found = found.where((toxic > 0) & precise & (strength >= _STRENGTH)).select("f")
+    return np.sort(np.fromiter((r.f for r in found.toLocalIterator()), np.int64).view(np.uint64))
 
 
 def _times(x: np.ndarray, y: np.ndarray) -> np.ndarray:

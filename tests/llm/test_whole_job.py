@@ -5,11 +5,15 @@ from __future__ import annotations
 import random
 import string
 
+import numpy as np
 import public_tokenizers
 import pytest
+import zstandard
+from pyspark.sql import functions as F
 
-from chatwarden.llm import secrets
+from chatwarden.llm import secrets, toxicity
 from chatwarden.llm.queries import tokenizer_path
+from chatwarden.llm.words import ALNUM, find_words
 
 # 4
 
@@ -54,3 +58,18 @@ def test_what_is_beside_a_found_secret_is_tested(token_test):
         spans = secrets._scan(text.encode(), token_test)
         assert [k for _, k, _ in spans] == kinds
         assert all(key in text[s:e] for s, k, e in spans if k == 3)
+
+
+# 6
+
+
+def test_rare_words_of_toxic_texts_are_features(spark):
+    """A word of 7 in 8,000 toxic texts and of no clean one stands out; one of both classes does not."""
+    pack = lambda text: bytearray(zstandard.ZstdCompressor().compress(text))
+    some = [(pack(b"grumpfel of"), 1)] * 7 + [(pack(b"of"), 0)] * 60
+    rest = spark.range(80_000 - len(some)).select(
+        F.lit(pack(b"")).alias("text"), F.when(F.col("id") < 8000 - 7, 1).otherwise(0).alias("label")
+    )
+    rows = spark.createDataFrame(some, "text binary, label int").unionByName(rest)
+    wanted = toxicity.token_features(find_words([b"grumpfel"], ALNUM, lower=True))
+    assert toxicity.toxic_features(rows, 8000, 72_000).tolist() == np.sort(wanted.ravel()).tolist()
