@@ -12,7 +12,13 @@ so further levels would have no candidate that removes another word.
 A 13-word window travels with the 7 words that it names, so one shuffle serves
 both levels. Before it, windows that repeat within a block of a task are marked
 on the spot and only one of them is sent on: a passage of very many documents
-arrives once per block of texts and not once per document.
+arrives once per block of texts and not once per document. Of equal windows of
+one text the first is sent; the others are marked with it at the end.
+
+Seven words that stand among many others (a short line of very many documents)
+would be one key with very many windows. Keys are counted first over a sample
+of the windows, drawn by their hash; a frequent one is sent by itself and the
+window, so that its windows spread over all tasks.
 
 Words are runs of other characters than space and \\x09-\\x0D, compared as they
 are. Windows are compared by 64 bits of the 7 words and 40 more of the window.
@@ -30,15 +36,19 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from chatwarden.llm.common import as_bytes, fields, map_texts
-from chatwarden.llm.words import SPACED, blocks, find_words
+from chatwarden.llm.words import SPACED, blocks, find_words, mix
 
 WINDOW_WORDS = 13
 _BLOCK = 2_000_000
 _NO_ID = (1 << 63) - 1
 _AT_BITS = 40  # of a place: word number; the bits above tell texts of one id apart
+#: A key of more different windows is split by them; so many keys at most, the most frequent ones.
+HOT_WINDOWS, HOT_KEYS = 20_000, 1 << 18
+HOT_SAMPLE = 64  # one in so many windows is counted
 _PIECE = 5  # bytes of a window's hash that travel
 
 _SENT = fields(key=T.LongType(), doc=T.LongType(), place=T.LongType(), done=T.IntegerType(), windows=T.BinaryType())
@@ -57,8 +67,9 @@ def _named(hashes: np.ndarray, choices: int, count: int) -> np.ndarray:
     return place
 
 
-def _send(ids: np.ndarray, tags: np.ndarray, texts: list[bytes], length: int, half: int):
-    """Rows of the first level for one block: candidates and windows marked on the spot."""
+def _send(ids: np.ndarray, tags: np.ndarray, texts: list[bytes], length: int, half: int, hot: np.ndarray):
+    """Rows of the first level for one block: candidates and windows marked on the spot.
+    ``hot`` has the sorted keys that are split."""
     found = find_words(texts, SPACED, lower=False)
     whole, inside = found.windows(length)
     at = np.flatnonzero(inside)
@@ -67,7 +78,7 @@ def _send(ids: np.ndarray, tags: np.ndarray, texts: list[bytes], length: int, ha
     owner = found.text_of_word()[at]
     doc = ids[owner]
     hashes = whole[at]
-    order = np.lexsort((doc, hashes))
+    order = np.lexsort((owner, doc, hashes))
     new = np.ones(len(order), bool)
     new[1:] = hashes[order][1:] != hashes[order][:-1]
     smallest = doc[order][np.flatnonzero(new)][np.cumsum(new) - 1]
@@ -75,13 +86,19 @@ def _send(ids: np.ndarray, tags: np.ndarray, texts: list[bytes], length: int, ha
     marked[order] = doc[order] > smallest
     inner, _ = found.windows(half, seed=1)
     named = _named(inner, length - half + 1, len(whole))[at]
-    # A row: neighboring windows of one text that name the same place and are equally done.
+    once = np.ones(len(at), bool)
+    once[order[1:]] = new[1:] | (owner[order][1:] != owner[order][:-1])
+    at, owner, doc, hashes, marked, named = (x[once] for x in (at, owner, doc, hashes, marked, named))
+    keys = inner[named]
+    split = np.isin(keys.view(np.int64), hot)
+    keys[split] = mix(keys[split] ^ hashes[split])
+    # A row: neighboring windows of one text that name the same place, are equally done and go the same way.
     starts = np.ones(len(at), bool)
-    starts[1:] = (np.diff(at) != 1) | (np.diff(named) != 0) | (marked[1:] != marked[:-1])
+    starts[1:] = (np.diff(at) != 1) | (np.diff(named) != 0) | (marked[1:] != marked[:-1]) | split[1:] | split[:-1]
     first = np.flatnonzero(starts)
     sizes = np.diff(np.append(first, len(at)))
     place = (at - found.first[owner])[first] | (tags[owner[first]] << _AT_BITS)
-    keys = inner[named[first]].view(np.int64)
+    keys = keys[first].view(np.int64)
     done = np.where(marked[first], sizes, 0)
     pieces = hashes.view(np.uint8).reshape(-1, 8)[:, :_PIECE].copy()
     kept = ~marked
@@ -89,13 +106,38 @@ def _send(ids: np.ndarray, tags: np.ndarray, texts: list[bytes], length: int, ha
     return keys, doc[first], place, done, bounds, pieces[kept].tobytes()
 
 
-def _sender(length: int, half: int):
+def _counter(length: int, half: int, sample: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, texts in blocks(as_bytes(batch.column(0)), _BLOCK):
+                found = find_words(texts, SPACED, lower=False)
+                whole, inside = found.windows(length)
+                at = np.flatnonzero(inside & (whole % np.uint64(sample) == 0))
+                if not len(at):
+                    continue
+                at = at[np.unique(whole[at], return_index=True)[1]]  # a block sends equal windows once
+                inner, _ = found.windows(half, seed=1)
+                named = np.min([inner[at + k] for k in range(length - half + 1)], axis=0)
+                keys, counts = np.unique(named, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts)], names=["key", "n"])
+
+    return run
+
+
+def _hot_keys(rows: DataFrame, length: int, half: int) -> np.ndarray:
+    """Sorted keys of very many different windows, by a sample."""
+    counted = rows.select("_text").mapInArrow(_counter(length, half, HOT_SAMPLE), fields(key=T.LongType(), n=T.LongType()))
+    many = counted.groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") * HOT_SAMPLE > HOT_WINDOWS)
+    return np.array(sorted(r.key for r in many.orderBy(F.desc("n"), "key").limit(HOT_KEYS).collect()), np.int64)
+
+
+def _sender(length: int, half: int, hot: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             tags = batch.column(1).to_numpy(zero_copy_only=False)
             for at, texts in blocks(as_bytes(batch.column(2)), _BLOCK):
-                rows = _send(ids[at : at + len(texts)], tags[at : at + len(texts)], texts, length, half)
+                rows = _send(ids[at : at + len(texts)], tags[at : at + len(texts)], texts, length, half, hot.value)
                 if rows is None:
                     continue
                 keys, doc, place, done, bounds, data = rows
@@ -175,15 +217,23 @@ def _numbered(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     )
 
 
-def repeated_windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = WINDOW_WORDS) -> DataFrame:
-    """``_doc, _tag, at, mask``: bit ``i`` says that the window at word ``at + i`` of
-    the document also starts in a document with a smaller id."""
+def _sent(docs: DataFrame, doc_id: str, text: str, length: int) -> DataFrame:
+    """Windows with the key under which they are compared."""
     half = (length + 1) // 2
-    rows = _numbered(docs, doc_id, text).select("_doc", "_tag", "_text").mapInArrow(_sender(length, half), _SENT)
+    rows = _numbered(docs, doc_id, text).select("_doc", "_tag", "_text")
+    hot = docs.sparkSession.sparkContext.broadcast(_hot_keys(rows, length, half))
+    rows = rows.mapInArrow(_sender(length, half, hot), _SENT)
     # Windows that are done need no partner: they are spread by place.
     key = F.when(F.col("done") > 0, F.xxhash64("doc", "place")).otherwise(F.col("key"))
+    return rows.withColumn("key", key)
+
+
+def repeated_windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = WINDOW_WORDS) -> DataFrame:
+    """``_doc, _tag, at, mask``: bit ``i`` says that the window at word ``at + i`` of
+    the document also starts in a document with a smaller id. Of equal windows of a
+    text only the first is told."""
     marks = (
-        rows.withColumn("key", key)
+        _sent(docs, doc_id, text, length)
         .repartition("key")
         .sortWithinPartitions("key", "doc")
         .mapInArrow(_mark, _MARKS)
@@ -231,6 +281,8 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                     cover = np.zeros(len(words) + 1, np.int64)
                     start = np.array(at)[:, None] + np.arange(length - length // 2 + 1)
                     hit = start[(np.array(mask)[:, None] >> np.arange(length - length // 2 + 1)) & 1 > 0]
+                    whole, _ = find_words([text_], SPACED, lower=False).windows(length)
+                    hit = np.flatnonzero(np.isin(whole, whole[hit]))  # equal windows of the text with them
                     np.add.at(cover, hit, 1)
                     np.add.at(cover, hit + length, -1)
                     keep = np.cumsum(cover[:-1]) == 0

@@ -11,7 +11,7 @@ import pytest
 import zstandard
 from pyspark.sql import functions as F
 
-from chatwarden.llm import secrets, toxicity
+from chatwarden.llm import secrets, substring_dedup, toxicity
 from chatwarden.llm.queries import tokenizer_path
 from chatwarden.llm.words import ALNUM, find_words
 
@@ -73,3 +73,36 @@ def test_rare_words_of_toxic_texts_are_features(spark):
     rows = spark.createDataFrame(some, "text binary, label int").unionByName(rest)
     wanted = toxicity.token_features(find_words([b"grumpfel"], ALNUM, lower=True))
     assert toxicity.toxic_features(rows, 8000, 72_000).tolist() == np.sort(wanted.ravel()).tolist()
+
+
+# 9
+
+
+def test_a_short_line_of_many_documents_is_split(spark, monkeypatch):
+    """Twelve words among others, a document of one word, and repeats inside documents: no key
+    has many rows, and words are removed as by brute force."""
+    monkeypatch.setattr(substring_dedup, "HOT_WINDOWS", 50)
+    monkeypatch.setattr(substring_dedup, "HOT_SAMPLE", 1)
+    monkeypatch.setattr(substring_dedup, "_BLOCK", 3000)
+    draw = random.Random(9)
+    word = lambda: f"w{draw.randrange(10**6)}"
+    line = [f"line{i}" for i in range(12)]
+    texts = [[*(word() for _ in range(9)), *line, *(word() for _ in range(9))] for _ in range(300)]
+    texts += [texts[3][5:] + [word()] + texts[3][:22] for _ in range(3)]
+    texts += [["same"] * 3000, [word(), *["same"] * 40], texts[0][2:20] * 5]
+    rows = [(i, " ".join(w)) for i, w in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    sent = substring_dedup._sent(docs, "doc_id", "text", 13)
+    numbered = substring_dedup._numbered(docs, "doc_id", "text")
+    assert len(substring_dedup._hot_keys(numbered, 13, 7)) > 0
+    assert max(r["count"] for r in sent.groupBy("key").count().collect()) <= 50
+    first: dict = {}
+    for i, w in enumerate(texts):
+        for k in range(len(w) - 12):
+            first.setdefault(tuple(w[k : k + 13]), i)
+    want = []
+    for i, w in enumerate(texts):
+        gone = {j for k in range(len(w) - 12) if first[tuple(w[k : k + 13])] < i for j in range(k, k + 13)}
+        want.append((i, len(w), len(gone), " ".join(x for j, x in enumerate(w) if j not in gone)))
+    assert sum(w[2] > 0 for w in want) > 3
+    assert sorted(map(tuple, substring_dedup.remove_repeats(docs).collect())) == want
