@@ -6,15 +6,18 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from chatwarden.llm import (
     decontamination,
+    fingerprints,
     jaccard_join,
     mixing,
     nearest,
     quality,
+    resampling,
     secrets,
     substring_dedup,
     token_files,
     tool_calls,
     toxicity,
+    vector_codes,
 )
 from chatwarden.llm.common import held_out, table
 
@@ -195,6 +198,76 @@ SELECT doc_id, size, source_size, target,
   CAST(size * (floor(rate) + CASE WHEN draw < rate - floor(rate) THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM m
 """
 
+
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.coded(table(spark, sf_dir, "embeddings"))
+
+
+def _op11_sql(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """Rounds are written out: c0, a0, c1, a1, ..."""
+    steps = [
+        """v AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id, embedding) AS r, vec_id, label,
+    [CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT) for x in embedding] AS x FROM embeddings
+  WHERE len(embedding) > 0 AND len([x for x in embedding if x IS NULL OR isnan(x) OR isinf(x)]) = 0)""",
+        f"""w AS MATERIALIZED (SELECT r, p, x[p * (len(x) // {parts}) + 1 : (p + 1) * (len(x) // {parts})] AS x
+  FROM v, range({parts}) AS t(p))""",
+        f"c0 AS MATERIALIZED (SELECT p, r - 1 AS j, x AS c FROM w WHERE r <= {entries})",
+    ]
+    for i in range(rounds + 1):
+        steps.append(f"""a{i} AS MATERIALIZED (SELECT r, p, min(d * {entries} + j) AS m FROM (
+    SELECT r, w.p, j, CAST(list_sum([(x[k] - c[k]) * (x[k] - c[k]) for k in range(1, len(x) + 1)]) AS BIGINT) AS d
+    FROM w JOIN c{i} ON c{i}.p = w.p) GROUP BY r, p)""")
+        if i < rounds:
+            steps.append(f"""c{i + 1} AS MATERIALIZED (SELECT c{i}.p, c{i}.j, coalesce(n.c, c{i}.c) AS c FROM c{i} LEFT JOIN (
+    SELECT p, j, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY k) AS c FROM (
+      SELECT p, j, k, CAST(sum(e) AS BIGINT) AS s, count(*) AS n FROM (
+        SELECT w.p, m % {entries} AS j, unnest(x) AS e, generate_subscripts(x, 1) AS k FROM w JOIN a{i} USING (r, p))
+      GROUP BY p, j, k) GROUP BY p, j) n ON n.p = c{i}.p AND n.j = c{i}.j)""")
+    steps.append(f"""coded AS (SELECT r, string_agg(printf('%02x', m % {entries}), '' ORDER BY p) AS code,
+    CAST(sum(m // {entries}) AS BIGINT) AS error FROM a{rounds} GROUP BY r)""")
+    steps.append(f"digest AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, j)) AS h FROM c{rounds})")
+    return "WITH " + ",\n".join(steps) + """
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, h AS codebooks_sha256
+FROM coded JOIN v USING (r), digest
+"""
+
+
+def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+# The checksum of a word goes byte by byte through the table of the reversed polynomial 0xEDB88320.
+OP13_SQL = r"""
+WITH RECURSIVE bits(b, c, i) AS (SELECT range, range, 0 FROM range(256)
+  UNION ALL SELECT b, CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i + 1 FROM bits WHERE i < 8),
+crc AS MATERIALIZED (SELECT list(c ORDER BY b) AS t FROM bits WHERE i = 8),
+dw AS MATERIALIZED (SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS words FROM documents),
+bw AS (SELECT unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM benchmark),
+fw AS MATERIALIZED (SELECT doc_id, unnest(words) AS w FROM dw),
+names AS (SELECT DISTINCT w, hex(encode(w)) AS h FROM (SELECT w FROM fw UNION SELECT w FROM bw)),
+steps(w, h, c) AS (SELECT w, h, 4294967295 FROM names
+  UNION ALL SELECT w, substr(h, 3), xor(c >> 8, t[xor(c & 255, CAST('0x' || substr(h, 1, 2) AS BIGINT)) + 1]) FROM steps, crc WHERE h <> ''),
+named AS MATERIALIZED (SELECT w, xor(c, 4294967295) % 10000 AS b FROM steps WHERE h = ''),
+s AS (SELECT b, count(*) AS n FROM fw JOIN named USING (w) GROUP BY b),
+t AS (SELECT b, count(*) AS n FROM bw JOIN named USING (w) GROUP BY b),
+gains AS MATERIALIZED (SELECT b, CAST(floor(1000 * ln(CAST((coalesce(t.n, 0) + 1) * ((SELECT count(*) FROM fw) + 10000) AS DOUBLE)
+    / CAST((coalesce(s.n, 0) + 1) * ((SELECT count(*) FROM bw) + 10000) AS DOUBLE))) AS BIGINT) AS g
+  FROM (SELECT DISTINCT b FROM named) LEFT JOIN s USING (b) LEFT JOIN t USING (b)),
+weights AS (SELECT doc_id, CAST(sum(g) AS BIGINT) AS weight FROM fw JOIN named USING (w) JOIN gains USING (b) GROUP BY doc_id),
+scored AS (SELECT dw.doc_id, len(words) AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + CAST(floor(-1000.0 * ln(-ln((CAST('0x' || substr(sha256('2024:' || dw.doc_id), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296.0::DOUBLE))) AS BIGINT) AS score
+  FROM dw LEFT JOIN weights ON weights.doc_id = dw.doc_id),
+drawn AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r, count(*) OVER () AS n FROM scored WHERE n_features >= 20)
+SELECT scored.doc_id, n_features, weight, score, CASE WHEN r <= n * 10 // 100 THEN r END AS rank
+FROM scored LEFT JOIN drawn ON drawn.doc_id = scored.doc_id
+"""
+
 QUERIES = {
     "op1_nearest": (op1_nearest, OP1_SQL),
     "op2_tool_calls": (op2_tool_calls, OP2_SQL),
@@ -206,4 +279,7 @@ QUERIES = {
     "op8_decontamination": (op8_decontamination, OP8_SQL),
     "op9_substring_dedup": (op9_substring_dedup, OP9_SQL),
     "op10_mixing": (op10_mixing, OP10_SQL),
+    "op11_vector_codes": (op11_vector_codes, _op11_sql()),
+    "op12_fingerprints": (op12_fingerprints, None),
+    "op13_resampling": (op13_resampling, OP13_SQL),
 }
