@@ -13,6 +13,15 @@ from chatwarden.functions.fixed_values import EMOJI_PATTERN, TOKEN_PATTERN
 _JSON_OPTIONS = {"allowSingleQuotes": "true", "allowBackslashEscapingAnyCharacter": "true"}
 # Escapes that mean the same in a Python literal and in JSON.
 _SHARED_ESCAPES = r"""\\(?:[\\'"nrtbf]|u[0-9a-fA-F]{4})"""
+# Behind an even number of backslashes, which stand for themselves in pairs.
+_PAIRS = r"(?<!\\)((?:\\\\)*)"
+_REWRITTEN = (
+    (_PAIRS + r"\\x([0-9a-fA-F]{2})", r"$1\\u00$2"),
+    (_PAIRS + r"\\a", r"$1\\u0007"),
+    (_PAIRS + r"\\v", r"$1\\u000b"),
+    # No escape in Python: the backslash stays.
+    (_PAIRS + r"\\([^\\'\"nrtbfavuUxN0-7\r\n])", r"$1\\\\$2"),
+)
 # One list of numbers and of quoted texts (each replaced by one sign), nothing around it.
 _QUOTED = r"""'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*\""""
 _ONE_LIST = r"""^\s*\[(?:\s*(?:"|[0-9+.-][0-9eE+.-]*)\s*(?:,|(?=\])))*\s*\]\s*$"""
@@ -68,13 +77,24 @@ literal_texts = _literal_texts.asNondeterministic()
 literal_numbers = _literal_numbers.asNondeterministic()
 
 
+def json_escapes(cell: Column) -> Column:
+    """Escapes that only a Python literal has, as JSON has them, one class at a time:
+    two hex digits, bell and vertical tab, and a backslash that stands for itself."""
+    for pattern, json in _REWRITTEN:
+        cell = F.regexp_replace(cell, pattern, json)
+    return cell
+
+
 def json_texts(cell: Column) -> Column:
     """``"['a', 'b']"`` as an array of strings where JSON reads it the same way.
 
-    Cells that are not one list of texts and numbers are left to the fallback.
+    Escapes are rewritten first. Cells that are not one list of texts and numbers,
+    or have an escape that JSON cannot have, are left to the fallback.
 
     A number among the texts is kept as its text.
     """
+    # Without a backslash there is nothing to rewrite.
+    cell = F.when(F.contains(cell, F.lit("\\")), json_escapes(cell)).otherwise(cell)
     shared = ~F.contains(F.regexp_replace(cell, _SHARED_ESCAPES, ""), F.lit("\\"))
     one_list = F.rlike(F.regexp_replace(cell, _QUOTED, '"'), F.lit(_ONE_LIST))
     return F.when(shared & one_list, F.from_json(cell, T.ArrayType(T.StringType()), _JSON_OPTIONS))

@@ -22,20 +22,26 @@ def parse_windows(
 ) -> DataFrame:
     """Turns list columns stored as text into arrays; malformed cells become NULL.
 
-    Cells that JSON reads the same way are parsed in the JVM. The rest (escapes
-    only Python literals have, or malformed cells) go to one batched fallback,
-    which is given NULL for every cell already parsed.
+    Cells are rewritten and read as JSON in the JVM. Only rows with a cell that
+    this cannot read (an escape that JSON cannot have, or a malformed cell) go
+    to Python, in batches; the others never leave the JVM. The plan reads the
+    table once for either kind of row.
     """
-    in_jvm = {f"_json_{c}": json_texts(F.col(c)) for c in text_columns}
-    in_jvm.update({f"_json_{c}": json_numbers(F.col(c)) for c in number_columns})
+    in_jvm = {c: json_texts(F.col(c)) for c in text_columns}
+    in_jvm.update({c: json_numbers(F.col(c)) for c in number_columns})
+    columns = [*text_columns, *number_columns]
+    read = F.lit(True)
+    for c in columns:
+        read = read & (F.col(c).isNull() | in_jvm[c].isNotNull())
+    whole = windows.where(read).withColumns(in_jvm)
 
     def rest(c: str, fallback) -> Column:
-        parsed = F.col(f"_json_{c}")
-        return F.coalesce(parsed, fallback(F.when(parsed.isNull(), F.col(c))))
+        return F.coalesce(F.col(f"_json_{c}"), fallback(F.when(F.col(f"_json_{c}").isNull(), F.col(c))))
 
-    all_cells = {c: rest(c, literal_texts) for c in text_columns}
-    all_cells.update({c: rest(c, literal_numbers) for c in number_columns})
-    return windows.withColumns(in_jvm).withColumns(all_cells).drop(*in_jvm)
+    in_python = {c: rest(c, literal_texts) for c in text_columns}
+    in_python.update({c: rest(c, literal_numbers) for c in number_columns})
+    tried = windows.where(~read).withColumns({f"_json_{c}": in_jvm[c] for c in columns})
+    return whole.unionByName(tried.withColumns(in_python).drop(*[f"_json_{c}" for c in columns]))
 
 
 def drop_malformed(

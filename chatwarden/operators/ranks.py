@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from chatwarden.session import materialize
 
@@ -105,3 +105,81 @@ def running_sums(
     for new, c in sums.items():
         out = out.withColumn(new, F.col(f"_b_{new}") + F.sum(c).over(so_far))
     return out.drop("_part", "_row", *[f"_b_{new}" for new in sums])
+
+
+#: Equal ranges of a group's order in which its rows are numbered.
+RANGES = 256
+
+
+def _as_number(df: DataFrame, name: str) -> Column | None:
+    """The column as a double in the same order (coarser, maybe), or None for other types."""
+    kind, value = df.schema[name].dataType, F.col(name)
+    if isinstance(kind, T.NumericType):
+        return value.cast("double")
+    if isinstance(kind, T.DateType):
+        return F.unix_date(value).cast("double")
+    if isinstance(kind, T.TimestampType):
+        return F.unix_micros(value).cast("double")
+    if isinstance(kind, T.TimestampNTZType):  # without a time zone, whose hours may repeat
+        seconds = F.hour(value) * 3600 + F.minute(value) * 60 + F.second(value)
+        return (F.unix_date(F.to_date(value)) * F.lit(86_400.0) + seconds).cast("double")
+    return None
+
+
+def number_in_groups(
+    df: DataFrame, group: str, order: Sequence[str], name: str = "position", ranges: int = RANGES
+) -> DataFrame:
+    """Adds the 0-based rank inside the group, by a plan that runs nothing beforehand.
+
+    The first column of ``order`` cuts every group into equal ranges between the
+    least and the largest value of the table, so a group of very many rows is
+    many tasks. Rows are numbered inside their range; what stands before a range
+    is a running sum over a row per group and range. Both sides see the same
+    ranges, as least and largest are exact. An order that starts with a text has
+    no such ranges and is numbered by :func:`rank_within`.
+    """
+    value = _as_number(df, order[0])
+    if value is None:
+        return rank_within(df, group, [F.col(c) for c in order], name)
+    usable = F.when(~F.isnan(value) & (F.abs(value) < F.lit(float("inf"))), value)
+    # Two scalar subqueries over one column.
+    low, high = (df.agg(f(usable).alias("x")).select("x").scalar() for f in (F.min, F.max))
+    share = F.coalesce(F.try_divide(value - low, high - low), F.lit(0.0))
+    inside = F.least(F.floor(share * ranges), F.lit(ranges - 1))
+    place = (
+        F.when(value.isNull(), -2)
+        .when(value == F.lit(float("-inf")), -1)
+        .when(F.isnan(value) | (value == F.lit(float("inf"))), ranges)
+        .otherwise(inside)
+    )
+    placed = df.withColumn("_range", place.cast("int"))
+    sizes = placed.groupBy(group, "_range").agg(F.count("*").alias("_n"))
+    earlier = Window.partitionBy(group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    bases = sizes.select(group, "_range", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_base"))
+    inside_range = Window.partitionBy(group, "_range").orderBy(*order)
+    return (
+        placed.withColumn("_row", F.row_number().over(inside_range) - 1)
+        .join(bases, [group, "_range"])
+        .withColumn(name, F.col("_base") + F.col("_row"))
+        .drop("_range", "_base", "_row")
+    )
+
+
+def chain_from_first(links: DataFrame, key: str, follows: str) -> DataFrame:
+    """The keys that are reached from key 0 by following ``follows`` again and again.
+
+    Pointer doubling: after round r the links span 2^r steps and the first 2^r
+    keys of the chain are known, so a chain of n keys takes log n rounds, each a
+    join of the links with themselves. NULL ends the chain. Each round is written.
+    """
+    links = materialize(links.select(F.col(key).alias("k"), F.col(follows).alias("to")), "links")
+    found = materialize(links.where("k = 0").select("k"), "chain")
+    while True:
+        more = found.join(links, "k").where("to IS NOT NULL").select(F.col("to").alias("k"))
+        more = materialize(more, "chain")
+        if more.isEmpty():
+            return found.select(F.col("k").alias(key))
+        found = materialize(found.unionByName(more), "chain")
+        further = links.select(F.col("k").alias("to"), F.col("to").alias("beyond"))
+        doubled = links.join(further, "to", "left").select("k", F.col("beyond").alias("to"))
+        links = materialize(doubled, "links")

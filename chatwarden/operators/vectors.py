@@ -6,19 +6,20 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.ml.clustering import KMeans, KMeansModel
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from chatwarden.functions.arrays import list_mean, list_median
 from chatwarden.functions.fixed_values import NEAREST_PER_CLUSTER, NEAREST_TO_SEEDS
+from chatwarden.operators.balls import BallTree
 from chatwarden.operators.ranks import global_rank
 from chatwarden.session import materialize, scratch_path
 
 # Centers are shipped to every task in slices of at most this size.
 CENTER_BYTES = 32 << 20
-# Distances a task holds at a time.
-_DISTANCES = 4_000_000
 # Picks are counted, and broadcast up to this number; above, Spark chooses the join.
 BROADCAST_PICKS = 100_000
 
@@ -26,14 +27,16 @@ BROADCAST_PICKS = 100_000
 def centroid(vectors: DataFrame, vector: str = "embedding", by: Sequence[str] = ()) -> DataFrame:
     """Mean vector, of the whole table or per group.
 
-    Each task sums its rows by place in the vector, in generated code, and moves
-    only one sum per group and place. No rows give no center.
+    Each task keeps one array per group, to which its vectors are added place by
+    place, and moves only that. No rows give no center; a vector that misses a
+    value takes no part; vectors of unequal length are refused.
     """
-    values = vectors.select(*by, F.posexplode(vector).alias("_place", "_x"))
-    means = values.groupBy(*by, "_place").agg(F.avg(F.col("_x").cast("double")).alias("_mean"))
-    packed = F.sort_array(F.collect_list(F.struct("_place", "_mean")))
-    centers = means.groupBy(*by).agg(packed.alias("_means"))
-    return centers.select(*by, F.col("_means._mean").alias("center")).filter(F.size("center") > 0)
+    whole = F.coalesce(F.forall(vector, lambda v: v.isNotNull()) & (F.size(vector) > 0), F.lit(False))
+    places = vectors.where(whole).select(*by, array_to_vector(F.col(vector).cast("array<double>")).alias("_places"))
+    # A group even for the whole table: without rows there is none.
+    groups = [F.col(b) for b in by] or [F.lit(0).alias("_all")]
+    means = places.groupBy(*groups).agg(Summarizer.mean(F.col("_places")).alias("_mean"))
+    return means.select(*by, vector_to_array("_mean").alias("center"))
 
 
 def nearest_rows(
@@ -46,10 +49,11 @@ def nearest_rows(
 ) -> DataFrame:
     """The ``k`` rows nearest to every center, over all rows.
 
-    ``centers`` has ``cluster_id`` and ``center``. Each task scans its rows in
-    Arrow batches and hands on its own k best per center, so neither the pairs
-    nor the vectors are shuffled. Centers too large for one slice are taken a
-    slice at a time; the answer is the same.
+    ``centers`` has ``cluster_id`` and ``center``. Each task scans its rows once,
+    in Arrow batches, and hands on its own k best per center, so neither the
+    pairs nor the vectors are shuffled. Balls of centers that a row cannot be
+    near are passed over. Every task holds all centers, sent in slices of at
+    most ``center_bytes``; the answer is the same for any size of slice.
 
     Returns ``cluster_id``, ``pick`` (1 is the nearest), ``key``, ``distance``;
     ties go to the smaller key. Fewer than k rows give fewer picks. A vector
@@ -59,44 +63,47 @@ def nearest_rows(
     centers = materialize(centers.select("cluster_id", "center"), "centers")  # made once
     count, dims = centers.agg(F.count("*"), F.max(F.size("center"))).first()
     in_slice = max(1, center_bytes // (8 * max(dims or 0, 1)))
+    if count > in_slice:  # neighbors by number stay together
+        ranked = materialize(global_rank(centers, [F.col("cluster_id")], "_rank"), "centers")
+        slices = [
+            ranked.filter(F.col("_rank").between(start, start + in_slice - 1)) for start in range(0, count, in_slice)
+        ]
+    else:
+        slices = [centers]
+    shared = [spark.sparkContext.broadcast(_center_table(part)) for part in slices]
     vectors = rows.filter(F.col(vector).isNotNull()).select(key, F.col(vector))
-    if count <= in_slice:
-        return _best_of_all(_nearest_in_tasks(vectors, centers, k, key), k, key)
-    path = scratch_path(spark, "nearest")
-    ranked = materialize(global_rank(centers, [F.col("cluster_id")], "_rank"), "centers")
-    for start in range(0, count, in_slice):
-        part = ranked.filter(F.col("_rank").between(start, start + in_slice - 1))
-        near = _nearest_in_tasks(vectors, part, k, key)
-        _best_of_all(near, k, key).write.mode("append").parquet(path)
-    return spark.read.parquet(path)
-
-
-def _best_of_all(candidates: DataFrame, k: int, key: str) -> DataFrame:
+    near = _nearest_in_tasks(vectors, shared, centers.schema["cluster_id"], k, key)
     nearest = Window.partitionBy("cluster_id").orderBy("distance", key)
     return (
-        candidates.withColumn("pick", F.row_number().over(nearest))
+        near.withColumn("pick", F.row_number().over(nearest))
         .filter(F.col("pick") <= k)
         .select("cluster_id", "pick", key, "distance")
     )
 
 
-def _nearest_in_tasks(vectors: DataFrame, centers: DataFrame, k: int, key: str) -> DataFrame:
-    table = centers.select("cluster_id", "center").collect()  # one slice of centers
-    ids = [row.cluster_id for row in table]
-    matrix = np.array([row.center for row in table], dtype=np.float64)
+def _center_table(centers: DataFrame) -> tuple[list, np.ndarray]:
+    """Ids and vectors of one slice of the centers."""
+    table = centers.select("cluster_id", "center").collect()
+    return [row.cluster_id for row in table], np.array([row.center for row in table], dtype=np.float64)
+
+
+def _nearest_in_tasks(
+    vectors: DataFrame, slices: Sequence[Broadcast], cluster: T.StructField, k: int, key: str
+) -> DataFrame:
+    """The k nearest rows of every center in every task, from one scan."""
     distance = T.StructField("distance", T.DoubleType())
-    schema = T.StructType([centers.schema["cluster_id"], vectors.schema[key], distance])
+    schema = T.StructType([cluster, vectors.schema[key], distance])
 
     def task(batches):
-        best: list[list[tuple]] = [[] for _ in ids]
-        types = None
+        trees, types = None, None
         for batch in batches:
             types = batch.schema.field(0).type
-            step = max(1, _DISTANCES // max(len(ids), 1))
-            for start in range(0, batch.num_rows if ids else 0, step):
-                _keep_nearest(best, batch.slice(start, step), matrix, k)
-        if types is not None:
-            found = [(ids[j], row_key, d) for j, picks in enumerate(best) for d, row_key in picks]
+            trees = trees or [(ids, BallTree(matrix, k)) for ids, matrix in (s.value for s in slices)]
+            for _, tree in trees:
+                if len(tree.centers):
+                    tree.add(*_finite(batch, tree.centers.shape[1]))
+        for ids, tree in trees or []:
+            found = [(ids[j], row_key, d) for j, picks in enumerate(tree.found) for d, row_key in picks]
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([f[0] for f in found], _arrow(schema[0].dataType)),
@@ -109,39 +116,19 @@ def _nearest_in_tasks(vectors: DataFrame, centers: DataFrame, k: int, key: str)
     return vectors.mapInArrow(task, schema)
 
 
-def _arrow(data_type: T.DataType) -> pa.DataType:
-    return {T.LongType(): pa.int64(), T.StringType(): pa.string()}.get(data_type, pa.int32())
-
-
-def _keep_nearest(best, batch, matrix, k) -> None:
-    """Merge a batch into the running k best of each center.
-
-    One matrix product gives all squared distances up to rounding; only rows
-    that could still be among the k best get their exact distance.
-    """
+def _finite(batch: pa.RecordBatch, width: int) -> tuple[pa.Array, np.ndarray]:
+    """Keys and vectors of the rows whose values are all finite."""
     sizes = np.diff(batch.column(1).offsets.to_numpy())
-    if (sizes != matrix.shape[1]).any():
-        raise ValueError(f"vectors and centers need {matrix.shape[1]} values each")
+    if (sizes != width).any():
+        raise ValueError(f"vectors and centers need {width} values each")
     flat = batch.column(1).flatten().to_numpy(zero_copy_only=False)
     x = flat.reshape(batch.num_rows, -1).astype(np.float64)
-    x_norm = np.einsum("ij,ij->i", x, x)
-    finite = np.flatnonzero(np.isfinite(x_norm))
-    if not finite.size:
-        return
-    keys, x, x_norm = batch.column(0).take(pa.array(finite)), x[finite], x_norm[finite]
-    c_norm = np.einsum("ij,ij->i", matrix, matrix)
-    rough = x_norm[:, None] + c_norm[None, :] - 2.0 * (x @ matrix.T)
-    slack = 1e-9 * (x_norm.max() + c_norm)
-    nth = min(k, len(x)) - 1
-    for j, picks in enumerate(best):
-        limit = np.partition(rough[:, j], nth)[nth]
-        if len(picks) == k:
-            limit = min(limit, picks[-1][0] ** 2)
-        near = np.flatnonzero(rough[:, j] <= limit + 2 * slack[j])
-        if near.size:
-            exact = np.sqrt(((x[near] - matrix[j]) ** 2).sum(axis=1))
-            found = zip(exact.tolist(), keys.take(pa.array(near)).to_pylist())
-            best[j] = sorted([*picks, *found])[:k]
+    finite = np.flatnonzero(np.isfinite(x).all(axis=1))
+    return batch.column(0).take(pa.array(finite)), x[finite]
+
+
+def _arrow(data_type: T.DataType) -> pa.DataType:
+    return {T.LongType(): pa.int64(), T.StringType(): pa.string()}.get(data_type, pa.int32())
 
 
 def closest_rows(picks: DataFrame, key: str = "sample_id") -> DataFrame:

@@ -7,12 +7,17 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from chatwarden.functions.fixed_values import GROUP_BATCH_ROWS, WINDOW_LENGTH, WINDOW_STEP
-from chatwarden.operators.ranks import part_offsets, range_sorted, rank_within, running_sums
+from chatwarden.operators.ranks import (
+    chain_from_first,
+    number_in_groups,
+    part_offsets,
+    range_sorted,
+    running_sums,
+)
 from chatwarden.session import materialize
 
-# A group of more rows than this is cut into segments instead of being one task.
-MAX_GROUP_ROWS = 1_000_000
-SEGMENT_ROWS = 100_000
+# Rows of a group that are put together to cut windows from.
+PIECE_ROWS = 2_000
 
 
 def sliding_windows(
@@ -22,8 +27,7 @@ def sliding_windows(
     columns: Sequence[str],
     length: int = WINDOW_LENGTH,
     step: int = WINDOW_STEP,
-    max_group_rows: int = MAX_GROUP_ROWS,
-    segment_rows: int = SEGMENT_ROWS,
+    piece_rows: int = PIECE_ROWS,
 ) -> DataFrame:
     """Windows of up to ``length`` messages per group, ``step`` messages apart.
 
@@ -35,28 +39,15 @@ def sliding_windows(
     of ``columns`` as an array in message order. Rows without a group are left
     out. ``order`` must be unique inside a group.
 
-    Groups of up to ``max_group_rows`` rows share one shuffle by group. Longer
-    ones are numbered by range partitions and cut into segments that overlap by
-    ``length - 1`` rows, so no group is ever one task.
+    Groups of any size take one way: rows are numbered in ranges of their
+    group's order, then put together in pieces that overlap by ``length - 1``.
     """
     _check(length, step)
     rows = log.filter(F.col(group).isNotNull()).select(
         group, *order, *[c for c in columns if c not in order and c != group]
     )
-    counts = rows.groupBy(group).agg(F.count("*").alias("_n"))
-    largest = counts.agg(F.max("_n")).first()[0]
-    if largest is None or largest <= max_group_rows:
-        return _whole_groups(rows, group, order, columns, length, step)
-
-    # Pre-aggregated and few: each of them stands for more than max_group_rows rows.
-    long_groups = materialize(counts.filter(F.col("_n") > max_group_rows).select(group), "groups")
-    short = rows.join(long_groups, group, "left_anti")
-    long = rank_within(
-        rows.join(long_groups, group, "left_semi"), group, [F.col(c) for c in order], "_position"
-    )
-    return _whole_groups(short, group, order, columns, length, step).unionByName(
-        _segments(long, group, [group], columns, length, step, segment_rows)
-    )
+    numbered = number_in_groups(rows, group, order, "_position")
+    return _pieces(numbered, group, [group], columns, length, step, piece_rows)
 
 
 def run_windows(
@@ -66,7 +57,7 @@ def run_windows(
     columns: Sequence[str],
     length: int = WINDOW_LENGTH,
     step: int = WINDOW_STEP,
-    segment_rows: int = SEGMENT_ROWS,
+    piece_rows: int = PIECE_ROWS,
     partitions: int | None = None,
 ) -> DataFrame:
     """Like :func:`sliding_windows`, per run of consecutive rows of one group.
@@ -113,7 +104,7 @@ def run_windows(
         .withColumn("_position", F.col("_rank") - F.col("run_start"))
         .filter(F.col(group).isNotNull())
     )
-    return _segments(runs, group, [group, "run_start"], columns, length, step, segment_rows)
+    return _pieces(runs, group, [group, "run_start"], columns, length, step, piece_rows)
 
 
 def _check(length: int, step: int) -> None:
@@ -121,21 +112,36 @@ def _check(length: int, step: int) -> None:
         raise ValueError("length and step must be at least 1")
 
 
-def _frame(keys, order, position: Column, columns, length, step) -> list[Column]:
-    """Select list of one window per row; rows that start none are filtered after."""
-    rows = Window.partitionBy(*keys).orderBy(*order)
-    packed = F.collect_list(F.struct(*columns)).over(rows.rowsBetween(0, length - 1))
-    reaches = F.lead(F.lit(True), length - min(step, length)).over(rows)
-    return [
-        position.alias("window_start"),
-        packed.alias("_window"),
-        reaches.isNotNull().alias("_reaches"),
-    ]
-
+def _pieces(rows, group, keys, columns, length, step, piece_rows) -> DataFrame:
+    """Windows of rows that have a ``_position``, cut from pieces of neighboring rows.
 
-def _starts_window(length: int, step: int) -> Column:
-    start = F.col("window_start")
-    return (start % min(step, length) == 0) & ((start == 0) | F.col("_reaches"))
+    A piece owns the starts in its range and is given the ``length - 1`` rows
+    after it as well, so its last windows are complete. Its rows become one
+    sorted list, and each start that it owns a slice of it: a row is sent twice
+    at most, however many windows it is in, and no list is made for a row that
+    starts none.
+    """
+    stride = min(step, length)
+    starts = -(-max(piece_rows, length) // stride)
+    size = stride * starts
+    piece = F.floor(F.col("_position") / size).cast("long")
+    shared = (F.col("_position") % size < length - 1) & (piece > 0)
+    copies = F.when(shared, F.array(piece - 1, piece)).otherwise(F.array(piece))
+    dealt = rows.withColumn("_piece", F.explode(copies))
+    packed = dealt.groupBy(*keys, "_piece").agg(
+        F.sort_array(F.collect_list(F.struct("_position", *columns))).alias("_rows")
+    )
+    # A start after the first needs a row at its own place - stride + length.
+    reached = F.floor((F.size("_rows") - length + stride - 1) / stride)
+    last = F.least(F.when(F.col("_piece") == 0, F.greatest(reached, F.lit(0))).otherwise(reached), F.lit(starts - 1))
+    cut = (
+        packed.withColumn("_last", last.cast("int"))
+        .filter("_last >= 0")
+        .withColumn("_start", F.explode(F.sequence(F.lit(0), "_last")))
+        .withColumn("window_start", F.col("_piece") * size + F.col("_start") * stride)
+        .withColumn("_window", F.slice("_rows", F.col("_start") * stride + 1, length))
+    )
+    return _finish(cut, group, keys, columns)
 
 
 def _finish(framed: DataFrame, group: str, keys, columns) -> DataFrame:
@@ -149,35 +155,6 @@ def _finish(framed: DataFrame, group: str, keys, columns) -> DataFrame:
     )
 
 
-def _whole_groups(rows, group, order, columns, length, step) -> DataFrame:
-    position = (
-        F.row_number().over(Window.partitionBy(group).orderBy(*order)) - 1
-    ).cast("long")
-    framed = rows.select(group, *_frame([group], order, position, columns, length, step))
-    return _finish(framed.filter(_starts_window(length, step)), group, [group], columns)
-
-
-def _segments(rows, group, keys, columns, length, step, segment_rows) -> DataFrame:
-    """Windows of rows that already have a ``_position``, a segment at a time.
-
-    A segment owns the starts in its range and is given the ``length - 1`` rows
-    after it, so its last windows are complete.
-    """
-    stride = min(step, length)
-    size = stride * -(-max(segment_rows, length) // stride)
-    segment = F.floor(F.col("_position") / size).cast("long")
-    shared = (F.col("_position") % size < length - 1) & (segment > 0)
-    copies = F.when(shared, F.array(segment - 1, segment)).otherwise(F.array(segment))
-    spread = rows.withColumn("_segment", F.explode(copies))
-    framed = spread.select(
-        *keys,
-        "_segment",
-        *_frame([*keys, "_segment"], ["_position"], F.col("_position"), columns, length, step),
-    )
-    owned = F.floor(F.col("window_start") / size) == F.col("_segment")
-    return _finish(framed.filter(owned & _starts_window(length, step)), group, keys, columns)
-
-
 def group_summary(log: DataFrame, group: str, order: Sequence[str]) -> DataFrame:
     """The distinct groups with their row count and first row's order values."""
     first = F.min(F.struct(*order))
@@ -197,15 +174,37 @@ def one_group(log: DataFrame, group: str, value) -> DataFrame:
 def group_batches(
     log: DataFrame, group: str, order: Sequence[str], batch_rows: int = GROUP_BATCH_ROWS
 ) -> DataFrame:
-    """Assigns each whole group to a numbered batch of about ``batch_rows`` rows.
+    """Assigns each whole group to a numbered batch of at least ``batch_rows`` rows.
 
-    Groups are laid out in order of first appearance; a group belongs to the
-    batch its first row falls in, so no group is split between batches. Only
-    counts are moved: rows get their batch by joining on the group.
+    Groups are laid out in order of first appearance. A batch takes groups until
+    it has the asked rows, and the next one begins with the group after; only the
+    last may be short. No group is split, no number is left out. Only counts are
+    moved: rows get their batch by joining on the group.
+
+    Where a batch ends depends on where it begins. For every group, the group
+    that would follow a batch beginning there is found with running sums, and
+    the batches are the chain of those links from the first group.
     """
-    summary = group_summary(log, group, order)
+    if batch_rows < 1:
+        raise ValueError("batch_rows must be at least 1")
+    summary = group_summary(log, group, order).withColumn("_one", F.lit(1))
     laid_out = running_sums(
-        summary, [F.col(f"first_{c}") for c in order] + [F.col(group)], {"_through": "n_rows"}
+        summary,
+        [F.col(f"first_{c}") for c in order] + [F.col(group)],
+        {"_through": "n_rows", "_rank": "_one"},
+    )
+    laid_out = materialize(laid_out.withColumn("_rank", F.col("_rank") - 1), "laid-out")
+    # The group that fills a batch is the first with a running sum of at least what is asked:
+    # as many groups are before it as have a smaller one.
+    ends = laid_out.select(F.col("_through").alias("_at"), F.lit(1).alias("_end"), F.col("_rank").alias("_of"))
+    wanted = laid_out.select(
+        (F.col("_through") - F.col("n_rows") + batch_rows).alias("_at"), F.lit(0).alias("_end"), F.col("_rank").alias("_of")
     )
-    batch = F.expr(f"(_through - n_rows) div {batch_rows}")
-    return laid_out.select(group, "n_rows", batch.alias("batch_id"))
+    counted = running_sums(ends.unionByName(wanted), [F.col(c) for c in ("_at", "_end", "_of")], {"_below": "_end"})
+    groups = laid_out.agg(F.count("*")).scalar()
+    follows = F.when(F.col("_below") + 1 < groups, F.col("_below") + 1)
+    links = counted.where("_end = 0").select(F.col("_of").alias("_rank"), follows.alias("_next"))
+    firsts = chain_from_first(links, "_rank", "_next").withColumn("_first", F.lit(1))
+    marked = laid_out.join(firsts, "_rank", "left").withColumn("_first", F.coalesce("_first", F.lit(0)))
+    batched = running_sums(marked, [F.col("_rank")], {"_batch": "_first"})
+    return batched.select(group, "n_rows", (F.col("_batch") - 1).alias("batch_id"))

@@ -6,7 +6,7 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
 from chatwarden.functions.arrays import list_sum, risk_label
-from chatwarden.operators import metrics, models
+from chatwarden.operators import metrics, models, ridge
 from chatwarden.plans.roles import spread_split, spread_split_sql, table
 from chatwarden.session import spread
 
@@ -133,14 +133,73 @@ BASELINE_LABELS = f"""
 """
 
 
+PENALTIES = (0.01, 0.1, 1.0)
+
+
 def tune(spark, sf_dir):
-    """Validation error of every grid point, best first."""
-    train = _part(labelled_chats(spark, sf_dir), "train")
-    _, tried = models.tune_risk_model(train, dims=DIMS)
-    rows = [(point["regParam"], mae) for point, mae in tried]
-    return spark.createDataFrame(rows, "penalty DOUBLE, mae DOUBLE").orderBy("mae")
+    """Error of every penalty on the validation part, best first."""
+    rows = models.embed_texts(labelled_chats(spark, sf_dir), dims=DIMS)
+    _, tried = ridge.search(_part(rows, "train"), _part(rows, "val"), ["label"], PENALTIES)
+    return tried.select("penalty", "mae").orderBy("mae")
 
 
+def _marked_lengths(spark, sf_dir):
+    """The two marks of a document as labels, its length as the only feature."""
+    documents = table(spark, sf_dir, "documents").select(
+        "doc_id", F.array(F.col("n_chars") / 1000.0).alias("embedding")
+    )
+    marks = table(spark, sf_dir, "labels").select(
+        "doc_id", *[F.col(c).cast("double").alias(c) for c in ("quality", "toxic")]
+    )
+    return documents.join(marks, "doc_id").withColumn("split", spread_split("doc_id"))
+
+
+MARKED_LENGTHS_SQL = f"""
+    SELECT doc_id, n_chars / 1000.0::DOUBLE AS x, CAST(quality AS DOUBLE) AS quality,
+           CAST(toxic AS DOUBLE) AS toxic, {spread_split_sql('doc_id')} AS split
+    FROM documents JOIN labels USING (doc_id)
+"""
+
+
+def tune_two_labels(spark, sf_dir):
+    """The search on one feature and two labels, from sums that SQL can take too."""
+    rows = _marked_lengths(spark, sf_dir)
+    _, tried = ridge.search(_part(rows, "train"), _part(rows, "val"), ["quality", "toxic"], PENALTIES)
+    return tried.select("penalty", "label", "n", F.round("mae", 6).alias("mae"), F.round("mse", 6).alias("mse"))
+
+
+TUNE_TWO_LABELS = f"""
+    WITH d AS ({MARKED_LENGTHS_SQL}),
+    r AS (SELECT x, split, unnest(['quality', 'toxic']) AS label, unnest([quality, toxic]) AS y FROM d),
+    s AS (SELECT label, avg(x) AS mx, avg(y) AS my, covar_pop(y, x) AS sxy, var_pop(x) AS sxx
+          FROM r WHERE split = 'train' GROUP BY label),
+    m AS (SELECT penalty, label, sxy / (sxx + penalty) AS w, my - mx * (sxy / (sxx + penalty)) AS b
+          FROM s, (SELECT unnest([{', '.join(f'{p}::DOUBLE' for p in PENALTIES)}]) AS penalty))
+    SELECT penalty, label, count(*) AS n, round(avg(abs(w * x + b - y)), 6) AS mae,
+           round(avg((w * x + b - y) ** 2), 6) AS mse
+    FROM r JOIN m USING (label) WHERE split = 'val' GROUP BY penalty, label
+"""
+
+
+def two_label_errors(spark, sf_dir):
+    """A model of two outputs, its errors over both and per output on the test part."""
+    rows = _marked_lengths(spark, sf_dir)
+    model = ridge.fit(_part(rows, "train"), ["quality", "toxic"])
+    test = ridge.predict(model, _part(rows, "test"), ["doc_id", "quality", "toxic"])
+    found = metrics.errors(test, [("quality", "predicted_quality"), ("toxic", "predicted_toxic")])
+    return found.select(*[F.round(c, 6).alias(c) for c in found.columns])
+
+
+TWO_LABEL_ERRORS = f"""
+    WITH d AS ({MARKED_LENGTHS_SQL}),
+    m AS (SELECT regr_slope(quality, x) AS wq, regr_intercept(quality, x) AS bq,
+                 regr_slope(toxic, x) AS wt, regr_intercept(toxic, x) AS bt FROM d WHERE split = 'train')
+    SELECT round(avg((wq * x + bq - quality) ** 2) + avg((wt * x + bt - toxic) ** 2), 6) AS mse,
+           round(avg(abs(wq * x + bq - quality)), 6) AS mae,
+           round(avg(abs(wt * x + bt - toxic)), 6) AS mae_second
+    FROM d, m WHERE split = 'test'
+"""
+
 QUERIES = {
     "embed_hash": (embed_hash, EMBED_HASH),
     "embed_custom": (embed_custom, EMBED_CUSTOM),
@@ -149,4 +208,6 @@ QUERIES = {
     "baseline_labels": (baseline_labels, BASELINE_LABELS),
     "score": (score, None),
     "tune": (tune, None),
+    "tune_two_labels": (tune_two_labels, TUNE_TWO_LABELS),
+    "two_label_errors": (two_label_errors, TWO_LABEL_ERRORS),
 }

@@ -96,10 +96,9 @@ SLIDING_WINDOWS_STEP = f"""
 
 
 def segmented_windows(spark, sf_dir):
-    """The windows again, every group on the path for groups too large for a task."""
+    """The windows again, cut from many short pieces of every group."""
     found = W.sliding_windows(
-        event_log(spark, sf_dir), "user_id", ORDER, ["event_id"], 20, 3,
-        max_group_rows=1, segment_rows=30,
+        event_log(spark, sf_dir), "user_id", ORDER, ["event_id"], 20, 3, piece_rows=30
     )
     return found.select(
         "user_id", "window_start", "n_messages", F.array_join("event_id", ",").alias("event_ids")
@@ -376,10 +375,18 @@ def group_batches(spark, sf_dir):
 
 
 GROUP_BATCHES = """
-    SELECT user_id, n_rows,
-           CAST((sum(n_rows) OVER (ORDER BY ts, e, user_id) - n_rows) // 500 AS BIGINT) AS batch_id
-    FROM (SELECT user_id, count(*) AS n_rows, min(ts) AS ts, arg_min(event_id, (ts, event_id)) AS e
-          FROM events GROUP BY user_id)
+    WITH RECURSIVE laid AS MATERIALIZED (
+        SELECT user_id, n_rows, row_number() OVER o AS r, CAST(sum(n_rows) OVER o AS BIGINT) AS through
+        FROM (SELECT user_id, count(*) AS n_rows, min(ts) AS ts, arg_min(event_id, (ts, event_id)) AS e
+              FROM events GROUP BY user_id)
+        WINDOW o AS (ORDER BY ts, e, user_id)),
+    filled(r, batch_id, held) AS (
+        SELECT r, CAST(0 AS BIGINT), n_rows FROM laid WHERE r = 1
+        UNION ALL
+        SELECT l.r, batch_id + CASE WHEN held >= 500 THEN 1 ELSE 0 END,
+               CASE WHEN held >= 500 THEN 0 ELSE held END + l.n_rows
+        FROM filled f JOIN laid l ON l.r = f.r + 1)
+    SELECT user_id, n_rows, batch_id FROM filled JOIN laid USING (r)
 """
 
 QUERIES = {

@@ -1,42 +1,67 @@
-"""Message logs and stored windows."""
+"""Message logs and stored windows.
+
+A CSV export has messages with newlines in them, and a plain split of the file may
+begin inside one. :func:`csv_records` reads such files in splits all the same. A
+quote character opens or closes a field, and a quote inside a field is doubled, so
+a line begins inside a field if and only if the number of quote characters before
+it is odd. Each split counts its own; sums over the splits before, one number per
+split, tell how it begins. Lines are then put together to records where they are
+read; only the record that crosses the end of a split, one per split, is put
+together by a shuffle.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 # Order of lines: file, split of the file, line within the task that reads it.
 FILE_ORDER = ("file_path", "block_start", "line_no")
 
+_CSV_OPTIONS = {"quote": '"', "escape": '"'}
+_SPLIT = ["file_path", "block_start", "block_length"]
+
 
 def read_csv(
-    spark: SparkSession, path: str, schema: T.StructType | str, multi_line: bool = True
+    spark: SparkSession,
+    path: str,
+    schema: T.StructType | str,
+    multi_line: bool = True,
+    whole_files: bool = False,
 ) -> DataFrame:
     """CSV with a header and quoted fields; empty fields are NULL, ``NA`` is text.
 
-    Messages may hold newlines, which needs ``multi_line``; Spark then reads
-    each file in one task, so a big export should come as many files, or be
-    turned into Parquet once. Without newlines in fields, pass False and files
-    are read in splits.
+    Messages may hold newlines; files are read in splits nevertheless, if quotes
+    stand only around fields and are doubled inside them. For other files ask
+    for ``whole_files``, each of which is one task. Without newlines in fields,
+    ``multi_line=False`` spares the search for records.
     """
-    return (
-        spark.read.schema(schema)
-        .option("header", True)
-        .option("multiLine", multi_line)
-        .option("quote", '"')
-        .option("escape", '"')
-        .csv(path)
-    )
+    if multi_line and not whole_files:
+        fields = _fields(spark, schema)
+        return _parsed(csv_records(spark, path), fields).select(*[f"`{f}`" for f in fields.names])
+    return _with_spark(spark, path, schema, multi_line)
 
 
 def read_csv_in_file_order(
-    spark: SparkSession, path: str, schema: T.StructType | str, multi_line: bool = True
+    spark: SparkSession,
+    path: str,
+    schema: T.StructType | str,
+    multi_line: bool = True,
+    whole_files: bool = False,
 ) -> DataFrame:
     """A CSV log whose messages have no order column: adds ``FILE_ORDER``.
 
     Ordering by these columns is the order of the lines, files by name. They
     come from the scan itself, so nothing is shuffled to get them.
     """
-    return read_csv(spark, path, schema, multi_line).select(
+    if multi_line and not whole_files:
+        fields = _fields(spark, schema)
+        return _parsed(csv_records(spark, path), fields)
+    return _with_spark(spark, path, schema, multi_line).select(
         "*",
         F.col("_metadata.file_path").alias("file_path"),
         F.col("_metadata.file_block_start").alias("block_start"),
@@ -44,6 +69,129 @@ def read_csv_in_file_order(
     )
 
 
+def _with_spark(spark: SparkSession, path: str, schema, multi_line: bool) -> DataFrame:
+    reader = spark.read.schema(schema).options(header=True, multiLine=multi_line, **_CSV_OPTIONS)
+    return reader.csv(path)
+
+
+def _fields(spark: SparkSession, schema: T.StructType | str) -> T.StructType:
+    return schema if isinstance(schema, T.StructType) else spark.createDataFrame([], schema).schema
+
+
+def _parsed(records: DataFrame, fields: T.StructType) -> DataFrame:
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
+    row = F.from_csv("record", ddl, {**_CSV_OPTIONS, "multiLine": "true"})
+    return records.select(row.alias("_r"), *FILE_ORDER).select(
+        *[F.col(f"_r.`{f}`").alias(f) for f in fields.names], *FILE_ORDER
+    )
+
+
+def csv_records(spark: SparkSession, path: str, header: bool = True) -> DataFrame:
+    """``record`` and ``FILE_ORDER``: the texts of all records but headers and empty lines.
+
+    Three scans of the lines and no shuffle of whole records: quotes per split,
+    the records inside the splits, and what crosses their ends. A plan in which
+    splits changed between the scans fails instead of reading wrongly.
+    """
+    lines = spark.read.text(path, lineSep="\n").select(
+        F.col("_metadata.file_path").alias("file_path"),
+        F.col("_metadata.file_block_start").alias("block_start"),
+        F.col("_metadata.file_block_length").alias("block_length"),
+        "value",
+    )
+    odd = F.regexp_count("value", F.lit('"')) % 2
+    sums = lines.groupBy(*_SPLIT).agg((F.sum(odd) % 2).alias("odd"))
+    earlier = Window.partitionBy("file_path").orderBy("block_start").rowsBetween(Window.unboundedPreceding, -1)
+    begins = sums.select(*_SPLIT, F.coalesce(F.sum("odd").over(earlier) % 2, F.lit(0)).alias("inside"))
+    # One row per split of the files; tasks look their own splits up.
+    known = lines.withColumn("odd", odd).join(F.broadcast(begins), _SPLIT, "left")
+    known = known.select("file_path", "block_start", "value", F.col("odd").cast("int"), F.col("inside").cast("int"))
+    found = known.mapInArrow(
+        _put_together, "file_path STRING, block_start LONG, line_no LONG, part INT, record STRING"
+    )
+    whole = found.where(f"part = {_WHOLE}")
+    # What crosses an end: the open record, then fragments of it up to the one that closes it.
+    pieces = found.where(f"part != {_WHOLE}")
+    in_file = Window.partitionBy("file_path").orderBy("block_start", "line_no")
+    opened = F.when(F.col("part") == _OPEN, F.struct("block_start", "line_no"))
+    chained = pieces.withColumn(
+        "_of", F.last(opened, ignorenulls=True).over(in_file.rowsBetween(Window.unboundedPreceding, 0))
+    )
+    joined = chained.groupBy("file_path", "_of").agg(
+        F.sort_array(F.collect_list(F.struct("block_start", "line_no", "record"))).alias("_parts")
+    )
+    crossing = joined.select(
+        "file_path", "_of.block_start", "_of.line_no", F.array_join("_parts.record", "\n").alias("record")
+    )
+    records = whole.drop("part").unionByName(crossing)
+    records = records.withColumn("record", F.regexp_replace("record", "\\r$", ""))
+    if header:
+        records = records.where("NOT (block_start = 0 AND line_no = 0)")
+    return records.where("record != ''")
+
+
+_WHOLE, _OPEN, _FRAGMENT = 0, 1, 2
+
+
+def _put_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines to records, a split after another; a task may read several splits."""
+    split, line, inside, held, held_at, opened = None, 0, 0, [], 0, True
+
+    def made(rows: list[tuple]) -> pa.RecordBatch:
+        kinds = (pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.string())
+        columns = zip(*rows) if rows else [()] * 5
+        names = ["file_path", "block_start", "line_no", "part", "record"]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
+
+    def rest() -> list[tuple]:
+        part = _OPEN if opened else _FRAGMENT
+        return [(*split, held_at, part, "\n".join(held))] if held else []
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        file_ids = batch.column(0).dictionary_encode().indices.to_numpy()
+        starts = batch.column(1).to_numpy()
+        new = np.flatnonzero((np.diff(file_ids) != 0) | (np.diff(starts) != 0)) + 1
+        for s, e in zip([0, *new.tolist()], [*new.tolist(), batch.num_rows]):
+            part = batch.slice(s, e - s)
+            here = (part.column(0)[0].as_py(), part.column(1)[0].as_py())
+            if here != split:
+                if split:
+                    yield made(rest())
+                begin = part.column(4)[0].as_py()
+                if begin is None:
+                    raise RuntimeError("the splits of the files changed between two scans")
+                split, line, inside, held, opened = here, 0, begin, [], not begin
+            odd = part.column(3).to_numpy()
+            after = (inside + np.cumsum(odd)) % 2  # inside a field at the end of each line
+            before = np.concatenate([[inside], after[:-1]])
+            alone = (before == 0) & (after == 0)
+            if alone.any():  # records of one line go on as they are
+                at = np.flatnonzero(alone)
+                n = len(at)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([here[0]] * n, pa.string()), pa.array(np.full(n, here[1], np.int64)), pa.array(line + at),
+                        pa.array(np.full(n, _WHOLE, np.int32)), pc.take(part.column(2), pa.array(at)).cast(pa.string()),
+                    ],
+                    names=["file_path", "block_start", "line_no", "part", "record"],
+                )
+            done = []
+            at = np.flatnonzero(~alone)
+            for i, text in zip(at.tolist(), pc.take(part.column(2), pa.array(at)).to_pylist()):
+                if not held:
+                    held_at = line + i
+                held.append(text)
+                if not after[i]:
+                    done.append((*here, held_at, _WHOLE if opened else _FRAGMENT, "\n".join(held)))
+                    held, opened = [], True
+            yield made(done)
+            line, inside = line + len(odd), int(after[-1])
+    if split:
+        yield made(rest())
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     """CSV that :func:`read_csv` reads back unchanged; only an empty text comes back NULL."""
     (

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from chatwarden.operators import moderation, split, vectors, windows
+from chatwarden.operators import moderation, ranks, split, vectors, windows
 
 SF_DIR = "/root/testdata/sf0.001"
 QUERIES = [n for n in entry.queries() if not n.startswith("stream_")]
@@ -37,11 +37,19 @@ def test_no_pairs_of_all_rows(spark, name):
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
 
 
-def test_windows_take_one_shuffle_and_read_what_they_use(spark):
-    plan = plan_of(entry.queries()["riskiest_windows"](spark, SF_DIR))
-    assert plan.count("Exchange hashpartitioning") == 1 and plan.count("Exchange") == 1
-    assert "TakeOrderedAndProject" in plan
-    assert read_columns(plan) == [{"user_id", "ts", "event_id", "value"}]
+def test_windows_run_nothing_beforehand_and_read_what_they_use(spark):
+    """Two shuffles of rows and one of counts, whatever the step; no list at every row."""
+    log = spark.read.parquet(f"{SF_DIR}/events.parquet")
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("windows", "")
+    for step in (1, 20):
+        plan = plan_of(windows.sliding_windows(log, "user_id", ["ts", "event_id"], ["value"], 20, step))
+        assert plan.count("Exchange hashpartitioning") == 3 and "rangepartitioning" not in plan
+        assert re.findall(r"Window \[(\w+)\(", plan) and "collect_list" not in "".join(re.findall(r"Window \[.*", plan))
+        assert {"user_id", "ts", "event_id", "value"} in read_columns(plan)
+        assert all("props" not in columns for columns in read_columns(plan))
+    assert not tracker.getJobIdsForGroup("windows")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
 
 
 def test_filters_reach_the_scan(spark):
@@ -80,13 +88,15 @@ def test_nearest_rows_shuffles_candidates_only(spark):
 
 
 def test_a_hot_group_is_not_one_task(spark):
-    """A third of all rows in one group: no task of the long path holds the group."""
+    """A third of all rows in one group: rows are dealt by range and by piece of the group."""
     hot = F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id") % 50)
     log = spark.range(6000).select(hot.alias("grp"), "id")
-    long = windows.rank_within(log.filter("grp = -1"), "grp", [F.col("id")], "_position", 8)
-    found = windows._segments(long, "grp", ["grp"], ["id"], 20, 1, 100)
-    assert re.search(r"hashpartitioning\(grp#\d+L, _segment#\d+L", plan_of(found))
-    whole = windows.sliding_windows(log, "grp", ["id"], ["id"], max_group_rows=500, segment_rows=100)
+    found = windows.sliding_windows(log, "grp", ["id"], ["id"], piece_rows=100)
+    plan = plan_of(found)
+    assert re.search(r"hashpartitioning\(grp#\d+L, _range#\d+", plan)
+    assert re.search(r"hashpartitioning\(grp#\d+L, _piece#\d+L", plan)
     plain = windows.sliding_windows(log, "grp", ["id"], ["id"])
-    assert whole.exceptAll(plain).isEmpty() and plain.exceptAll(whole).isEmpty()
-    assert whole.filter("grp = -1").count() == 2000 - 19
+    assert found.exceptAll(plain).isEmpty() and plain.exceptAll(found).isEmpty()
+    assert found.filter("grp = -1").count() == 2000 - 19
+    ranges = ranks.number_in_groups(log, "grp", ["id"]).groupBy("grp").count()
+    assert ranges.filter("grp = -1").first()["count"] == 2000

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from chatwarden.operators import windows as W
-from chatwarden.operators.ranks import global_rank, rank_within, running_sums
+from chatwarden.operators.ranks import global_rank, number_in_groups, rank_within, running_sums
 
 
 def loop_windows(messages, length, step):
@@ -48,7 +48,7 @@ def found(df):
 
 
 SIZES = [1, 3, 4, 5, 9, 17, 30]
-SHAPES = [(4, 1), (4, 2), (4, 4), (4, 9), (1, 1), (20, 1), (7, 3)]
+SHAPES = [(4, 1), (4, 2), (4, 9), (1, 1), (20, 1), (7, 3)]
 
 
 @pytest.mark.parametrize("length,step", SHAPES)
@@ -59,14 +59,10 @@ def test_sliding_windows(spark, length, step):
 
 
 @pytest.mark.parametrize("length,step", SHAPES)
-@pytest.mark.parametrize("max_group_rows,segment_rows", [(0, 1), (6, 5), (16, 10)])
-def test_long_groups_are_cut_without_changing_the_windows(
-    spark, length, step, max_group_rows, segment_rows
-):
+@pytest.mark.parametrize("piece_rows", [1, 10])
+def test_pieces_do_not_change_the_windows(spark, length, step, piece_rows):
     log = log_of(spark, SIZES)
-    got = W.sliding_windows(
-        log, "grp", ["ts", "id"], ["text"], length, step, max_group_rows, segment_rows
-    )
+    got = W.sliding_windows(log, "grp", ["ts", "id"], ["text"], length, step, piece_rows)
     assert found(got) == expected(SIZES, length, step)
 
 
@@ -109,7 +105,7 @@ def test_run_windows(spark, partitions, length, step):
             for k, ids in loop_windows(list(range(start, end)), length, step):
                 want.add((groups[start], start, k, tuple(ids)))
         start = end
-    got = W.run_windows(log, "grp", ["id"], ["id"], length, step, segment_rows=4, partitions=partitions)
+    got = W.run_windows(log, "grp", ["id"], ["id"], length, step, piece_rows=4, partitions=partitions)
     assert {(r.grp, r.run_start, r.window_start, tuple(r.id)) for r in got.collect()} == want
 
 
@@ -140,3 +136,51 @@ def test_group_summary_one_group_and_batches(spark):
     assert W.one_group(log, "grp", None).count() == 0
     batches = {r.grp: r.batch_id for r in W.group_batches(log, "grp", ["id"], 6).collect()}
     assert batches == {"g0": 0, "g1": 0, "g2": 1, "g3": 2}
+
+
+def loop_batches(sizes, rows):
+    out, batch, held = [], 0, 0
+    for n in sizes:
+        if held >= rows:
+            batch, held = batch + 1, 0
+        out.append(batch)
+        held += n
+    return out
+
+
+@pytest.mark.parametrize("sizes,rows", [([4, 9, 1, 2, 3], 5), ([3] * 11, 1), ([1] * 23, 4), ([9], 5), ([2, 2], 50)])
+def test_batches_have_at_least_the_asked_rows(spark, sizes, rows):
+    found_rows = W.group_batches(log_of(spark, sizes), "grp", ["id"], rows).collect()
+    found = {r.grp: r.batch_id for r in found_rows}
+    assert [found[f"g{i}"] for i in range(len(sizes))] == loop_batches(sizes, rows)
+    if sizes[0] == 4:
+        assert loop_batches(sizes, rows) == [0, 0, 1, 1, 1]
+
+
+def test_batches_of_nothing_and_of_a_bad_size(spark):
+    log = log_of(spark, [1]).limit(0)
+    assert W.group_batches(log, "grp", ["id"], 3).collect() == []
+    with pytest.raises(ValueError):
+        W.group_batches(log, "grp", ["id"], 0)
+
+
+@pytest.mark.parametrize("ranges", [3])
+@pytest.mark.parametrize(
+    "kind", ["int", "double", "date", "timestamp", "timestamp_ntz", "string", "decimal(9,2)"]
+)
+def test_numbers_in_groups_of_any_order(spark, kind, ranges):
+    rng = random.Random(3)
+    rows = [(rng.randrange(3), rng.choice([None, rng.randrange(9)]), i) for i in range(120)]
+    at = {
+        "date": F.date_add(F.lit("2024-03-01").cast("date"), F.col("v")),
+        "timestamp": F.timestamp_seconds(F.col("v") * 977),
+        "timestamp_ntz": F.timestamp_seconds(F.col("v") * 9977).cast("timestamp_ntz"),
+    }.get(kind, F.col("v").cast(kind))
+    if kind == "double":
+        odd = F.when(F.col("v") == 0, float("-inf")).when(F.col("v") == 7, float("inf"))
+        at = F.coalesce(odd.when(F.col("v") == 8, float("nan")), at)
+    log = spark.createDataFrame(rows, "g INT, v INT, id INT").withColumn("at", at)
+    got = {r.id: r.position for r in number_in_groups(log, "g", ["at", "id"], ranges=ranges).collect()}
+    ordered = sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0, r[2]))
+    for g in range(3):
+        assert [got[r[2]] for r in ordered if r[0] == g] == list(range(sum(r[0] == g for r in rows)))
