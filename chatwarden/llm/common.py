@@ -28,6 +28,14 @@ def remove(spark: SparkSession, path: str) -> None:
     folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def fresh(rows: DataFrame, name: str) -> str:
+    """A column name that begins with ``name`` and is none of the table's, in any case."""
+    taken = {c.lower() for c in rows.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def as_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     """UTF-8 bytes of a text column; NULL is an empty text."""
     return [b"" if t is None else t for t in column.cast(pa.binary()).to_pylist()]
@@ -49,13 +57,13 @@ def map_texts(
     """Adds columns that ``work`` computes from the texts of one block.
 
     ``work`` gets the texts of about a megabyte and returns one sequence for
-    each added column. A column of ``docs`` with the name of an added one is
-    replaced; ``keep`` names the columns to pass on (default: all others).
+    each added column. A column of ``docs`` with the name of an added one, in any
+    case, is replaced; ``keep`` names the columns to pass on (default: all others).
     """
-    new = set(added.names)
-    kept = [c for c in (docs.columns if keep is None else keep) if c not in new]
+    new = {c.lower() for c in added.names}
+    kept = [c for c in (docs.columns if keep is None else keep) if c.lower() not in new]
     schema = T.StructType([*(docs.schema[c] for c in kept), *added.fields])
-    source = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").alias("__text"))
+    source = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").alias(fresh(docs, "__text")))
     types = [_arrow_type(f.dataType) for f in added.fields]
     names = [*kept, *added.names]
 

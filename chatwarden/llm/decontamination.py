@@ -11,7 +11,7 @@ Defined cases: a NULL or empty text has no words and is never contaminated; an
 item without words matches nothing; an item shorter than the window is one
 window of its own length; repeated rows get the same result each; an empty
 table on either side gives no hits; rows with a NULL id are judged like others;
-an input column with the name of a result column is not looked at.
+a NULL item id counts as an item with an empty name; an input column with the name of a result column is not looked at.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from chatwarden.session import materialize
-from chatwarden.llm.common import as_bytes, bit_table, fields, in_bit_table, map_texts, row_key
+from chatwarden.llm.common import as_bytes, bit_table, fields, fresh, in_bit_table, map_texts, row_key
 from chatwarden.llm.words import ALNUM, blocks, find_words
 
 WINDOW_WORDS = 13
@@ -148,6 +148,8 @@ def contamination(
 
 def decontaminate(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", **kw) -> DataFrame:
     """The rows of ``docs`` that are not contaminated, with all their columns."""
-    bad = contamination(docs, items, doc_id, text, **kw).where("contaminated").select(F.col("doc_id").alias("__id"), F.col("_row").alias("__row")).distinct()
-    same = F.col(f"`{doc_id}`").eqNullSafe(F.col("__id")) & (row_key(doc_id, text) == F.col("__row"))
+    own_id, own_row = fresh(docs, "__id"), fresh(docs, "__row")
+    bad = contamination(docs, items, doc_id, text, **kw).where("contaminated")
+    bad = bad.select(F.col("doc_id").alias(own_id), F.col("_row").alias(own_row)).distinct()
+    same = F.col(f"`{doc_id}`").eqNullSafe(F.col(own_id)) & (row_key(doc_id, text) == F.col(own_row))
     return docs.join(bad, same, "left_anti")

@@ -12,7 +12,8 @@ above is shared out again by weight until no target is above.
 Defined cases: a NULL or empty text has size 0 and is taken 0 times if its
 source has no words, else like any other; a NULL id draws by the text's hash;
 repeated rows draw alike; an empty table gives an empty result; columns of the
-input that have the name of an added one are replaced.
+input that have the name of an added one, in any case, are replaced in ``mix``
+and stay as they are in ``emit``.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from chatwarden.operators.ranks import global_rank
+from chatwarden.llm.common import fresh
 from chatwarden.session import materialize
 
 WEIGHTS = (5, 2, 1)
@@ -34,7 +36,7 @@ BROADCAST_SOURCES = 20_000
 
 def n_words(text: str) -> Column:
     """Runs of other characters than space and \\x09-\\x0D."""
-    return F.coalesce(F.regexp_count(F.col(text), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
+    return F.coalesce(F.regexp_count(F.col(f"`{text}`"), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, share=SHARE, max_rate: int = MAX_RATE) -> DataFrame:
@@ -63,26 +65,28 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, share=SHA
     return ranked.select("source", "source_size", target.alias("target"))
 
 
-def _mixed(docs, doc_id, text, source, weights, share, max_rate, seed) -> DataFrame:
-    """``docs`` with ``__size, __source_size, __target, __copies``."""
-    sized = docs.withColumns({"__source": F.col(source), "__size": n_words(text)})
+def _mixed(docs, doc_id, text, source, weights, share, max_rate, seed) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with size, source_size, target and copies, and the columns that hold them."""
+    own = {n: fresh(docs, f"__{n}") for n in ("source", "of", "size", "source_size", "target", "copies", "seat", "salt")}
+    column = {n: F.col(f"`{c}`") for n, c in own.items()}
+    sized = docs.withColumns({own["source"]: F.col(f"`{source}`"), own["size"]: n_words(text)})
     targets = source_targets(
-        sized.select(F.col("__source").alias("source"), F.col("__size").alias("size")), weights, share, max_rate
+        sized.select(column["source"].alias("source"), column["size"].alias("size")), weights, share, max_rate
     )
-    targets = materialize(targets.toDF("__of", "__source_size", "__target"), "targets")
-    same = F.col("__source").eqNullSafe(F.col("__of"))
-    name = F.coalesce(F.col(doc_id).cast("string"), F.md5(F.coalesce(F.col(text), F.lit(""))))
+    targets = materialize(targets.toDF(own["of"], own["source_size"], own["target"]), "targets")
+    same = column["source"].eqNullSafe(column["of"])
+    name = F.coalesce(F.col(f"`{doc_id}`").cast("string"), F.md5(F.coalesce(F.col(f"`{text}`"), F.lit(""))))
     if targets.count() <= BROADCAST_SOURCES:
         joined = sized.join(F.broadcast(targets), same)
     else:  # a hot source is spread over salts
-        salted = targets.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
-        sized = sized.withColumn("__seat", F.pmod(F.xxhash64(name), F.lit(_SALTS)).cast("int"))
-        joined = sized.join(salted, same & (F.col("__seat") == F.col("__salt")))
-    share_of = F.when(F.col("__source_size") > 0, F.col("__target") / F.col("__source_size"))
+        salted = targets.withColumn(own["salt"], F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+        sized = sized.withColumn(own["seat"], F.pmod(F.xxhash64(name), F.lit(_SALTS)).cast("int"))
+        joined = sized.join(salted, same & (column["seat"] == column["salt"]))
+    share_of = F.when(column["source_size"] > 0, column["target"] / column["source_size"])
     rate = F.least(F.coalesce(share_of, F.lit(0.0)), F.lit(float(max_rate)))
     drawn = F.conv(F.substring(F.md5(F.concat(name, F.lit(f"#{seed}"))), 1, 8), 16, 10).cast("double")
     once_more = drawn / F.lit(float(1 << 32)) < rate - F.floor(rate)
-    return joined.withColumn("__copies", (F.floor(rate) + once_more.cast("long")).cast("long"))
+    return joined.withColumn(own["copies"], (F.floor(rate) + once_more.cast("long")).cast("long")), own
 
 
 def mix(
@@ -97,9 +101,9 @@ def mix(
 ) -> DataFrame:
     """All rows of ``docs`` with ``size, source_size, target, copies``."""
     added = ("size", "source_size", "target", "copies")
-    kept = [F.col(f"`{c}`") for c in docs.columns if c not in added]
-    mixed = _mixed(docs, doc_id, text, source, weights, share, max_rate, seed)
-    return mixed.select(*kept, *[F.col(f"__{c}").alias(c) for c in added])
+    kept = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in added]
+    mixed, own = _mixed(docs, doc_id, text, source, weights, share, max_rate, seed)
+    return mixed.select(*kept, *[F.col(f"`{own[c]}`").alias(c) for c in added])
 
 
 def emit(
@@ -113,6 +117,7 @@ def emit(
     seed: int = 0,
 ) -> DataFrame:
     """The mix itself: each row of ``docs`` as many times as it is taken, columns unchanged."""
-    mixed = _mixed(docs, doc_id, text, source, weights, share, max_rate, seed)
-    again = mixed.where("__copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))))
+    mixed, own = _mixed(docs, doc_id, text, source, weights, share, max_rate, seed)
+    copies = F.col(f"`{own['copies']}`")
+    again = mixed.where(copies > 0).withColumn(fresh(mixed, "__copy"), F.explode(F.sequence(F.lit(1), copies.cast("int"))))
     return again.select(*[F.col(f"`{c}`") for c in docs.columns])
