@@ -3,8 +3,12 @@
 Documents link if their sets of 5-word shingles have a Jaccard similarity of
 0.8 or more. No link between different sets is lost:
 
-1. Equal sets become one node. A node keeps the smallest shingle hashes of its
-   set, so many that linked nodes share at least one of them.
+1. Equal sets become one node. A node keeps the first shingles of its set in one
+   order of all shingles, so many that linked nodes share at least one of them,
+   whatever the order is. Shingles go by their hashes, but those that very many
+   texts have come last: all hashes are counted in a fixed number of cells first,
+   and a full cell makes its hashes frequent. A line or template
+   that many pages share then is no key as long as they have enough of their own.
 2. Nodes that share such a hash meet under its leader, the smallest id that has
    it; hashes of one leader make one group. Hashes of a single node fall out by
    a partial aggregate.
@@ -31,17 +35,25 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+import zstandard
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from chatwarden.session import materialize
-from chatwarden.llm.common import BIT_TABLE_BITS, as_bytes, bit_table, fields, in_bit_table, map_texts, row_key
+from chatwarden.llm.common import as_bytes, fields, fresh, in_bit_table, map_texts, row_key
 from chatwarden.llm.words import SPACED, Words, blocks, find_words, mix
 
 SHINGLE_WORDS = 5
 SIMILARITY = (80, 100)
 #: Larger groups are cut into bands of sizes, and bands by hash into pieces of about this size.
-GROUP_ROWS = 8192
+GROUP_ROWS = 2048
+#: Cells in which hashes are counted; one of so many, and of four times the mean, is frequent.
+CELLS, FREQUENT = 1 << 26, 64
+_CELL_BITS = 18  # of a cell's place in its bucket
+_HELD_CELLS = 4_000_000
+#: Bits of a table that is sent to every task: about 16 for each key, so many at most.
+MOST_BITS = 1 << 29
 _BITS_PER_SHINGLE = 6  # of the bitmaps, at least
 _LEAF = 32
 _NO_ID = (1 << 63) - 1
@@ -84,21 +96,118 @@ def _bitmap(hashes: np.ndarray) -> bytes:
     return np.packbits(out).tobytes()
 
 
+def _kept(n: np.ndarray) -> np.ndarray:
+    """Shingles that a set of ``n`` keeps."""
+    return np.where(n > 0, n - _needed(n, *SIMILARITY) + 1, 0)
+
+
+def sized_bits(keys: DataFrame, key: str) -> np.ndarray:
+    """A bit table as :func:`common.bit_table` has it, of about 16 bits for each of the written
+    keys up to ``MOST_BITS``; beyond, more of what is tested passes. Keys are dealt by their
+    place first, so that each piece of the table is made once."""
+    bits = 1 << 20
+    wanted = 16 * keys.count()
+    while bits < min(wanted, MOST_BITS):
+        bits *= 2
+    place = F.col(key).bitwiseAND(F.lit(bits - 1))
+    rows = (
+        keys.select(place.alias("p"), F.shiftright(place, 15).alias("b"))
+        .repartition("b")
+        .groupBy("b")
+        .agg(F.bitmap_construct_agg(F.col("p").bitwiseAND(F.lit((1 << 15) - 1))).alias("m"))
+        .toLocalIterator()
+    )
+    out = np.zeros(bits // 8, np.uint8)
+    for row in rows:
+        out[row.b << 12 : (row.b + 1) << 12] = np.frombuffer(row.m, np.uint8)
+    return out
+
+
+def frequent_cells(docs: DataFrame, text: str) -> np.ndarray:
+    """A bit table of the cells (low bits of a hash) that the hashes of very many texts fall into.
+
+    Tasks count cells in the sets they see, and send a bucket of neighboring cells as
+    one compressed row: about a byte per cell. What reaches the driver has one bit per cell."""
+    inside = (1 << _CELL_BITS) - 1
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        shrink = zstandard.ZstdCompressor(level=1)
+
+        def packed(gaps: np.ndarray, counts: np.ndarray) -> bytes:
+            # Byte by byte of all numbers: their upper bytes are nearly all zero.
+            both = np.concatenate([gaps, counts]).astype(np.uint32)
+            return shrink.compress(both.view(np.uint8).reshape(-1, 4).T.tobytes())
+
+        def sent() -> pa.RecordBatch:
+            cells, n = np.unique(np.concatenate(held), return_counts=True)
+            held.clear()
+            bucket, first = np.unique(cells >> _CELL_BITS, return_index=True)
+            cuts = [*first.tolist(), len(cells)]
+            parts = [
+                packed(np.diff(cells[s:e] & inside, prepend=0), np.minimum(n[s:e], (1 << 31) - 1)) for s, e in zip(cuts, cuts[1:])
+            ]
+            return pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(parts, pa.binary())], names=["bucket", "cells"])
+
+        for batch in batches:
+            for _, texts in blocks(as_bytes(batch.column(0))):
+                h, _ = shingles(find_words(texts, SPACED, lower=True))
+                held.append((h & np.uint64(CELLS - 1)).astype(np.int64))
+                if sum(map(len, held)) > _HELD_CELLS:
+                    yield sent()
+        if sum(map(len, held)):
+            yield sent()
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, total = None, np.zeros(inside + 1, np.int64)
+        expand = zstandard.ZstdDecompressor()
+
+        def made() -> pa.RecordBatch:
+            full = total >= max(FREQUENT, 4 * total.mean())
+            bits = np.packbits(full, bitorder="little").tobytes()
+            return pa.RecordBatch.from_arrays([pa.array([bucket]), pa.array([bits], pa.binary())], names=["bucket", "cells"])
+
+        for batch in batches:
+            for number, cells in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if number != bucket:
+                    if bucket is not None:
+                        yield made()
+                    bucket, total = number, np.zeros(inside + 1, np.int64)
+                both = np.frombuffer(expand.decompress(cells), np.uint8).reshape(4, -1).T.copy().view(np.uint32).ravel()
+                gaps, counts = np.split(both.astype(np.int64), 2)
+                total[np.cumsum(gaps)] += counts  # a cell stands once in a row
+        if bucket is not None:
+            yield made()
+
+    schema = fields(bucket=T.LongType(), cells=T.BinaryType())
+    counted = docs.select(F.col(text).alias("t")).mapInArrow(count, schema)
+    added = counted.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(add, schema)
+    out = np.zeros(CELLS // 8, np.uint8)
+    size = (inside + 1) // 8
+    for row in added.toLocalIterator():
+        out[row.bucket * size : (row.bucket + 1) * size] = np.frombuffer(row.cells, np.uint8)
+    return out
+
+
 def signatures(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """``doc_id, row, n, node, low`` (smallest hashes), ``top`` (the largest of those)
-    and ``bitmap`` of every row."""
-    a, b = SIMILARITY
-    # Signed order of the hashes, as Spark compares them, is the order used everywhere.
-    flip = np.uint64(1 << 63)
+    """``doc_id, row, n, node, low`` (first shingles), ``top`` (the last of those)
+    and ``bitmap`` of every row.
+
+    A shingle's key has its hash without two bits, and above it whether it is frequent:
+    the order of keys, as whole numbers without sign, is the order of shingles."""
+    frequent = docs.sparkSession.sparkContext.broadcast(frequent_cells(docs, text))
 
     def work(texts: list[bytes]):
         h, bounds = shingles(find_words(texts, SPACED, lower=True))
         n = np.diff(bounds)
-        prefix = np.where(n > 0, n - _needed(n, a, b) + 1, 0)
+        prefix = _kept(n)
         total = np.concatenate([[np.uint64(0)], np.cumsum(mix(h))])
         node = mix((total[bounds[1:]] - total[bounds[:-1]]) ^ mix(n.astype(np.uint64)))
-        signed = (h ^ flip).view(np.int64)
-        low = [signed[s : s + p] for s, p in zip(bounds[:-1], prefix)]
+        often = in_bit_table(frequent.value, h)
+        # Hashes of a text are sorted: the frequent ones are moved behind the others.
+        order = np.argsort(2 * np.repeat(np.arange(len(texts)), n) + often, kind="stable")
+        keys = ((h >> np.uint64(2)) | (often.astype(np.uint64) << np.uint64(62)))[order].view(np.int64)
+        low = [keys[s : s + p] for s, p in zip(bounds[:-1], prefix)]
         top = [int(x[-1]) if len(x) else None for x in low]
         maps = [_bitmap(h[s:e]) for s, e in zip(bounds[:-1], bounds[1:])]
         return n, node.view(np.int64), low, top, maps
@@ -168,7 +277,7 @@ def _shared_groups(rows: DataFrame) -> DataFrame:
     )
     groups = kept.groupBy("h").agg(F.min("id").alias("lead"), F.min("node").alias("x"), F.max("node").alias("y"))
     groups = materialize(groups.where("x < y").select("h", "lead"), "shared-hashes")
-    bits = rows.sparkSession.sparkContext.broadcast(bit_table(groups.select("h"), "h", BIT_TABLE_BITS))
+    bits = rows.sparkSession.sparkContext.broadcast(sized_bits(groups.select("h"), "h"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -410,7 +519,7 @@ def verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, doc_id: str, t
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     wanted = materialize(wanted.join(nodes.select("node", "doc_id"), "node"), "wanted")
     hashed = wanted.select(F.xxhash64("doc_id").alias("k"))
-    bits = docs.sparkSession.sparkContext.broadcast(bit_table(hashed, "k", 1 << 23))
+    bits = docs.sparkSession.sparkContext.broadcast(sized_bits(hashed, "k"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -466,14 +575,35 @@ def components(links: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Of each group of linked documents one row, with all its columns: the smallest id,
     of rows with one id the smallest text hash, of repeated rows any. Texts without
-    words stay, all of them."""
+    words stay, all of them.
+
+    Rows that go are known by their keys; a bit table of those keeps most other rows
+    out of the join that decides, so texts that stay are not shuffled.
+    """
+    found = jaccard_components(docs, doc_id, text).where("n_shingles > 0").select("doc_id", "row", "component")
+    found = materialize(found, "classes")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("m")
-    kept = jaccard_components(docs, doc_id, text).where("n_shingles > 0").groupBy("component").agg(first)
-    kept = kept.select(F.col("m.doc_id").alias("__id"), F.col("m.row").alias("__row"), F.lit(True).alias("__kept"))
-    keyed = docs.withColumn("__row", row_key(doc_id, text))
-    joined = keyed.join(kept.drop("__id"), "__row", "left")
-    # Only rows of one id and one text share a key.
-    copy = F.row_number().over(Window.partitionBy("__row").orderBy("__row"))
-    blank = ~F.coalesce(F.col(text).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    numbered = joined.withColumn("__copy", copy)
-    return numbered.where(blank | (F.col("__kept") & (F.col("__copy") == 1))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    chosen = found.groupBy("component").agg(first).select(F.col("m.row").alias("row"), F.lit(True).alias("stays"))
+    copies = found.groupBy("row").agg(F.count("*").alias("n")).join(chosen, "row", "left")
+    own, other = fresh(docs, "__row"), fresh(docs, "__marked")
+    marked = copies.where("stays IS NULL OR n > 1").select(F.col("row").alias(other), "stays")
+    marked = materialize(marked, "marked")
+    bits = docs.sparkSession.sparkContext.broadcast(sized_bits(marked, other))
+
+    @F.pandas_udf("boolean")
+    def may_go(row: pd.Series) -> pd.Series:
+        return pd.Series(in_bit_table(bits.value, row.to_numpy()))
+
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    keyed = docs.withColumn(own, row_key(doc_id, text))
+    same = F.col(own) == F.col(other)
+    stay = keyed.where(~may_go(own)).select(*columns)
+    spared = keyed.where(may_go(own)).join(marked.select(other), same, "left_anti").select(*columns)
+    out = stay.unionByName(spared)
+    repeated = marked.where("stays").select(other)
+    if repeated.isEmpty():
+        return out
+    # Only rows of one id and one text share a key; any of them stands for all.
+    whole = fresh(docs, "__whole")
+    again = keyed.join(repeated, same, "left_semi").groupBy(own).agg(F.any_value(F.struct(*columns)).alias(whole))
+    return out.unionByName(again.select(*[F.col(f"{whole}.`{c}`").alias(c) for c in docs.columns]))
