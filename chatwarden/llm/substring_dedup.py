@@ -25,7 +25,8 @@ are. Windows are compared by 64 bits of the 7 words and 40 more of the window.
 
 Defined cases: a NULL or empty text has no words; a document with fewer words
 than the window keeps all; a NULL id counts as larger than every id; rows with
-one id never mark each other, whatever their texts; repeats inside one document
+one id never mark each other, whatever their texts, and are told apart by 64 bits
+of their texts, which travel only if ids repeat; repeats inside one document
 stay; an empty table gives an empty result.
 """
 
@@ -53,6 +54,11 @@ _PIECE = 5  # bytes of a window's hash that travel
 
 _SENT = fields(key=T.LongType(), doc=T.LongType(), place=T.LongType(), done=T.IntegerType(), windows=T.BinaryType())
 _MARKS = fields(doc=T.LongType(), place=T.LongType(), mask=T.LongType())
+_ROW = fields(row=T.LongType())  # of tables in which ids repeat
+
+
+def _with_row(schema: T.StructType, wide: bool) -> T.StructType:
+    return T.StructType([*schema.fields, *_ROW.fields]) if wide else schema
 
 
 def _named(hashes: np.ndarray, choices: int, count: int) -> np.ndarray:
@@ -103,7 +109,7 @@ def _send(ids: np.ndarray, tags: np.ndarray, texts: list[bytes], length: int, ha
     pieces = hashes.view(np.uint8).reshape(-1, 8)[:, :_PIECE].copy()
     kept = ~marked
     bounds = np.concatenate([[0], np.cumsum(np.where(done > 0, 0, sizes) * _PIECE)])
-    return keys, doc[first], place, done, bounds, pieces[kept].tobytes()
+    return keys, doc[first], place, done, bounds, pieces[kept].tobytes(), owner[first]
 
 
 def _counter(length: int, half: int, sample: int):
@@ -131,7 +137,7 @@ def _hot_keys(rows: DataFrame, length: int, half: int) -> np.ndarray:
     return np.array(sorted(r.key for r in many.orderBy(F.desc("n"), "key").limit(HOT_KEYS).collect()), np.int64)
 
 
-def _sender(length: int, half: int, hot: Broadcast):
+def _sender(length: int, half: int, hot: Broadcast, wide: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
@@ -140,14 +146,14 @@ def _sender(length: int, half: int, hot: Broadcast):
                 rows = _send(ids[at : at + len(texts)], tags[at : at + len(texts)], texts, length, half, hot.value)
                 if rows is None:
                     continue
-                keys, doc, place, done, bounds, data = rows
+                keys, doc, place, done, bounds, data, owner = rows
                 windows = pa.Array.from_buffers(
                     pa.binary(), len(keys), [None, pa.py_buffer(bounds.astype(np.int32).tobytes()), pa.py_buffer(data)]
                 )
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys), pa.array(doc), pa.array(place), pa.array(done.astype(np.int32)), windows],
-                    names=_SENT.names,
-                )
+                made = [pa.array(keys), pa.array(doc), pa.array(place), pa.array(done.astype(np.int32)), windows]
+                if wide:
+                    made.append(batch.column(3).take(pa.array(at + owner)))
+                yield pa.RecordBatch.from_arrays(made, names=_with_row(_SENT, wide).names)
 
     return run
 
@@ -202,41 +208,52 @@ def _mark_groups(rows: pa.Table) -> Iterator[pa.RecordBatch]:
         hit = order[d > smallest]
         np.bitwise_or.at(masks, at[owner[hit]], np.int64(1) << offset[hit])
     out = np.flatnonzero(masks)
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(doc[out]), pa.array(place[out]), pa.array(masks[out])], names=_MARKS.names
-    )
+    made = [pa.array(doc[out]), pa.array(place[out]), pa.array(masks[out])]
+    wide = "row" in rows.column_names
+    if wide:
+        made.append(pa.array(rows["row"].to_numpy()[out]))
+    yield pa.RecordBatch.from_arrays(made, names=_with_row(_MARKS, wide).names)
+
+
+def _repeating(docs: DataFrame, doc_id: str) -> bool:
+    """Whether any id, or none, stands in several rows; reads the ids alone."""
+    counts = docs.groupBy(F.col(doc_id).alias("id")).agg(F.count("*").alias("n"))
+    return not counts.where("n > 1").isEmpty()
 
 
 def _numbered(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    tag = F.xxhash64(text).bitwiseAND(F.lit((1 << (63 - _AT_BITS)) - 1))
+    row = F.xxhash64(text)
+    tag = row.bitwiseAND(F.lit((1 << (63 - _AT_BITS)) - 1))
     return docs.select(
         F.coalesce(F.col(doc_id).cast("long"), F.lit(_NO_ID)).alias("_doc"),
         F.coalesce(tag, F.lit(0).cast("long")).alias("_tag"),
         F.col(text).alias("_text"),
+        row.alias("_row"),
         F.col(doc_id).alias("_id"),
     )
 
 
-def _sent(docs: DataFrame, doc_id: str, text: str, length: int) -> DataFrame:
+def _sent(docs: DataFrame, doc_id: str, text: str, length: int, wide: bool = False) -> DataFrame:
     """Windows with the key under which they are compared."""
     half = (length + 1) // 2
-    rows = _numbered(docs, doc_id, text).select("_doc", "_tag", "_text")
+    rows = _numbered(docs, doc_id, text).select("_doc", "_tag", "_text", *(["_row"] if wide else []))
     hot = docs.sparkSession.sparkContext.broadcast(_hot_keys(rows, length, half))
-    rows = rows.mapInArrow(_sender(length, half, hot), _SENT)
+    rows = rows.mapInArrow(_sender(length, half, hot, wide), _with_row(_SENT, wide))
     # Windows that are done need no partner: they are spread by place.
     key = F.when(F.col("done") > 0, F.xxhash64("doc", "place")).otherwise(F.col("key"))
     return rows.withColumn("key", key)
 
 
 def repeated_windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = WINDOW_WORDS) -> DataFrame:
-    """``_doc, _tag, at, mask``: bit ``i`` says that the window at word ``at + i`` of
-    the document also starts in a document with a smaller id. Of equal windows of a
-    text only the first is told."""
+    """``_doc, _tag, at, mask`` and, if ids repeat, ``_row``: bit ``i`` says that the
+    window at word ``at + i`` of the document also starts in a document with a
+    smaller id. Of equal windows of a text only the first is told."""
+    wide = _repeating(docs, doc_id)
     marks = (
-        _sent(docs, doc_id, text, length)
+        _sent(docs, doc_id, text, length, wide)
         .repartition("key")
         .sortWithinPartitions("key", "doc")
-        .mapInArrow(_mark, _MARKS)
+        .mapInArrow(_mark, _with_row(_MARKS, wide))
     )
     low = F.lit((1 << _AT_BITS) - 1)
     return marks.select(
@@ -244,23 +261,23 @@ def repeated_windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
         F.shiftright("place", _AT_BITS).alias("_tag"),
         F.col("place").bitwiseAND(low).alias("at"),
         "mask",
+        *([F.col("row").alias("_row")] if wide else []),
     )
 
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = WINDOW_WORDS) -> DataFrame:
     """One row per document: ``doc_id, n_words, n_removed, kept`` (kept words, one space between)."""
-    marks = (
-        repeated_windows(docs, doc_id, text, length)
-        .groupBy("_doc", "_tag")
-        .agg(F.collect_list("at").alias("_at"), F.collect_list("mask").alias("_mask"))
-    )
+    marks = repeated_windows(docs, doc_id, text, length)
+    same = [c for c in ("_doc", "_tag", "_row") if c in marks.columns]
+    marks = marks.groupBy(*same).agg(F.collect_list("at").alias("_at"), F.collect_list("mask").alias("_mask"))
+
     def pack(texts: list[bytes]):
         shrink = zstandard.ZstdCompressor(level=3)
         return ([shrink.compress(t) for t in texts],)
 
     # Texts travel to their marks; compressed well, they take half of what a shuffle makes of them.
-    packed = map_texts(_numbered(docs, doc_id, text), "_text", fields(_zip=T.BinaryType()), pack, ["_doc", "_tag", "_id"])
-    joined = packed.join(marks, ["_doc", "_tag"], "left")
+    packed = map_texts(_numbered(docs, doc_id, text), "_text", fields(_zip=T.BinaryType()), pack, [*same, "_id"])
+    joined = packed.join(marks, same, "left")
     schema = T.StructType(
         [
             T.StructField("doc_id", docs.schema[doc_id].dataType),
