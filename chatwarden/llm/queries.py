@@ -48,8 +48,7 @@ SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, score FROM ranked WHERE r <
 
 
 def op2_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    calls, results, schemas = tool_calls.exchanges(table(spark, sf_dir, "conversations"))
-    linked = tool_calls.link_tool_calls(calls, results, schemas)
+    linked = tool_calls.chat_rows(table(spark, sf_dir, "conversations"))
     return linked.select(
         "conv_id", "call_id", "turn", "result_turn", "level", "status",
         F.array_join("errors", "; ").alias("errors"), "message",
@@ -60,15 +59,24 @@ OP2_SQL = """
 WITH users AS (SELECT conv_id, turn, min(text) AS text FROM conversations
   WHERE role = 'user' AND conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY ALL),
 answers AS (SELECT conv_id, turn, min(text) AS text FROM conversations WHERE role = 'assistant' GROUP BY ALL),
-first AS (SELECT conv_id, min(turn) AS turn FROM users GROUP BY ALL)
-SELECT u.conv_id, u.conv_id || ':' || u.turn AS call_id, u.turn, a.turn AS result_turn,
-  CAST(CASE WHEN u.turn > f.turn THEN 1 ELSE 0 END AS INTEGER) AS level,
-  CASE WHEN a.turn IS NULL THEN 'unanswered' WHEN u.text IS NULL THEN 'invalid' ELSE 'linked' END AS status,
-  CASE WHEN u.text IS NULL THEN 'missing prompt' ELSE '' END AS errors,
-  '{"arguments":{' || CASE WHEN u.text IS NULL THEN '' ELSE '"prompt":' || to_json(u.text)::VARCHAR || ',' END
-    || '"turn":' || u.turn || '},"id":"' || u.conv_id || ':' || u.turn || '","name":"reply","result":'
+calls AS (SELECT *, lag(turn) OVER w AS prior, row_number() OVER w - 1 AS level FROM users
+  WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+checked AS (SELECT *, CASE WHEN text IS NULL THEN 'missing prompt' WHEN len(text) > 300 THEN 'too long: prompt' ELSE '' END AS errors
+  FROM calls)
+SELECT u.conv_id, u.conv_id || ':' || u.turn AS call_id, u.turn, a.turn AS result_turn, CAST(level AS INTEGER) AS level,
+  CASE WHEN a.turn IS NULL THEN 'unanswered' WHEN errors <> '' THEN 'invalid' ELSE 'linked' END AS status, errors,
+  '{"arguments":{' || CASE WHEN prior IS NULL THEN '' ELSE '"after":' || prior || ',' END
+    || CASE WHEN u.text IS NULL THEN '' ELSE '"prompt":' || to_json(u.text)::VARCHAR || ',' END
+    || '"turn":' || u.turn || '},"id":"' || u.conv_id || ':' || u.turn || '","name":"'
+    || CASE WHEN prior IS NULL THEN 'open' ELSE 'reply' END || '","result":'
     || coalesce(to_json(a.text)::VARCHAR, 'null') || '}' AS message
-FROM users u JOIN first f USING (conv_id) LEFT JOIN answers a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1
+FROM checked u LEFT JOIN answers a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1
+UNION ALL
+SELECT conv_id, conv_id || ':' || turn, turn, NULL, NULL, 'orphan', '',
+  '{"content":' || coalesce(to_json(text)::VARCHAR, 'null') || ',"role":' || coalesce(to_json(role)::VARCHAR, 'null') || '}'
+FROM conversations c
+WHERE NOT coalesce(role = 'user' AND conv_id IS NOT NULL AND turn IS NOT NULL, false)
+  AND NOT coalesce(role = 'assistant' AND EXISTS (SELECT 1 FROM users u WHERE u.conv_id = c.conv_id AND u.turn + 1 = c.turn), false)
 """
 
 
