@@ -16,13 +16,16 @@ the other, so its memory does not follow the input.
 Defined cases: vectors that are NULL, empty, zero or hold NULL or a non-finite
 number take no part, nor do rows with a NULL id; only vectors of one length are
 compared; rows with the query's own id are no candidates; repeated rows of
-another id are candidates each; ties go to the smaller id; a query without any
-candidate has no rows; an empty table gives an empty result.
+another id are candidates each; ties go to the smaller id; a query row that
+stands several times is one query, query rows of one id with different vectors
+are one query each, with ranks of their own; a query without any candidate has
+no rows; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import heapq
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,7 +40,7 @@ BLOCK_ROWS = 4096
 QUERY_ROWS = 1024
 
 _BLOCK = fields(dim=T.LongType(), ids=T.BinaryType(), data=T.BinaryType())
-_HITS = fields(query_id=T.LongType(), vec_id=T.LongType(), score=T.DoubleType())
+_HITS = fields(query_id=T.LongType(), query_row=T.LongType(), vec_id=T.LongType(), score=T.DoubleType())
 
 
 def _usable(vector: Column) -> Column:
@@ -141,7 +144,7 @@ def nearest(
     numbered = materialize(
         blocks.select("dim", F.xxhash64("ids").alias("block"), F.lit(0).alias("side"), "ids", "data"), "blocks"
     )
-    queries = _packed(rows.where("q").select("id", "v").repartition("id"), QUERY_ROWS)
+    queries = _packed(rows.where("q").select("id", "v").dropDuplicates(), QUERY_ROWS)
     wanted = numbered.select("dim", "block").distinct()
     sent = queries.join(wanted, "dim").select("dim", "block", F.lit(1).alias("side"), "ids", "data")
 
@@ -156,11 +159,14 @@ def nearest(
                     held.append(_Tile(row["dim"], row["ids"], row["data"]))
                     continue
                 queries = _Tile(row["dim"], row["ids"], row["data"])
+                # Tells query rows of one id apart.
+                own_rows = [zlib.crc32(v) | zlib.adler32(v) << 32 for v in map(bytes, queries.data)]
                 for rows in held:
                     found = list(_best(queries, rows, k))
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array([int(queries.ids[q]) for q, _, _ in found], pa.int64()),
+                            pa.array([own_rows[q] for q, _, _ in found], pa.uint64()).cast(pa.int64(), safe=False),
                             pa.array([i for _, _, i in found], pa.int64()),
                             pa.array([s for _, s, _ in found], pa.float64()),
                         ],
@@ -173,6 +179,6 @@ def nearest(
         .sortWithinPartitions("block", "dim", "side")
         .mapInArrow(run, _HITS)
     )
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    order = Window.partitionBy("query_id", "query_row").orderBy(F.desc("score"), "vec_id")
     ranked = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
