@@ -6,7 +6,11 @@ key characters whose number of characters per token is low is random. Known
 digests and UUIDs are cut out first, and so is what a pattern has found already;
 each remaining piece is a run of its own. Parts of a run that the vocabulary does
 shorten are words; a run that mostly consists of them is no key as a whole, and
-only its stretches without words are tested.
+only its stretches without words are tested. Nor is a run that signs cut into
+short parts of letters of one case or of digits (paths, names of many words,
+versions), whatever the vocabulary makes of them, or one of few different
+characters. Digests in base64 are known by the name of their kind before them;
+without it they cannot be told from keys of the same length, and are reported.
 
 Defined cases: a NULL or empty text has no spans; texts are scanned whole;
 repeated rows get the same result each; an empty table gives an empty result;
@@ -46,9 +50,15 @@ WORD_CHARS, WORD_CHARS_PER_TOKEN = 4, 3.0
 #: Common digests by their lengths in hex digits, and UUIDs; nothing else of letters or digits beside them.
 _KNOWN = re.compile(
     r"(?<![0-9a-z])(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128}"
-    r"|[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12})(?![0-9a-z])",
+    r"|[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12})(?![0-9a-z])"
+    r"|(?<![0-9a-z])(?:md5|sha1|sha256|sha384|sha512)-[0-9a-z+/]{22,86}={0,2}(?![0-9a-z+/=])",
     re.I,
 )
+#: A key has so many different characters at least.
+DISTINCT_CHARS = 6
+#: Parts between signs that are no longer than this and of one kind are those of a name.
+NAME_CHARS = 12
+_NAME_PART = re.compile(r"[A-Z]+|[A-Z]?[a-z]+|[0-9]+")
 _PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 
 _KEY_BYTE = np.array([chr(b).isascii() and (chr(b).isalnum() or chr(b) in "+/_=-") for b in range(256)])
@@ -97,6 +107,8 @@ class TokenTest:
 
     def _random(self, text: str, start: int, end: int) -> list[tuple[int, int]]:
         piece = text[start:end]
+        if len(set(piece)) < DISTINCT_CHARS or _is_name(piece):
+            return []
         words = [m for m in _PART.finditer(piece) if self.word(m[0])]
         signs = len(piece) - sum(c.isalnum() for c in piece)
         letters = any(c.isalpha() for c in piece)
@@ -109,6 +121,13 @@ class TokenTest:
         ]
 
 
+def _is_name(piece: str) -> bool:
+    """Whether two thirds of the letters and digits are in short parts of one kind, three parts or more."""
+    parts = [p for p in re.split("[^A-Za-z0-9]+", piece) if p]
+    named = sum(len(p) for p in parts if len(p) <= NAME_CHARS and _NAME_PART.fullmatch(p))
+    return len(parts) >= 3 and 3 * named >= 2 * sum(map(len, parts))
+
+
 def _spans(pattern: re.Pattern, text: str) -> list[tuple[int, int]]:
     return [m.span() for m in pattern.finditer(text)]
 
