@@ -32,6 +32,8 @@ from chatwarden.llm.common import expanded, fields, labelled_texts, map_texts, p
 from chatwarden.llm.words import ALNUM, Words, blocks, find_words, mix
 
 SAMPLE = 1500
+#: The strongest features that a field can have, 16 bytes each; the only ones that reach the driver.
+FEATURES = 1 << 20
 _PRECISION = 0.92
 _STRENGTH = 30.0  # least log-likelihood ratio
 _PREFIXES = (0, 4, 5)  # 0: the whole word
@@ -73,7 +75,7 @@ def toxic_features(rows: DataFrame, n_toxic: int, n_clean: int) -> np.ndarray:
     """Sorted hashes of the features that stand out in toxic texts, counted over all rows.
 
     Every feature is judged where its counts are, however rare it is; only those
-    that stand out reach the driver."""
+    that stand out reach the driver, the ``FEATURES`` strongest of them at most."""
 
     def by_class(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -95,7 +97,8 @@ def toxic_features(rows: DataFrame, n_toxic: int, n_clean: int) -> np.ndarray:
     part = lambda n, of: F.when(n > 0, n * F.log(n / F.greatest(expected * of, F.lit(1e-12)))).otherwise(0.0)
     strength = 2 * (part(toxic, n_toxic) + part(clean, n_clean))
     found = counted.groupBy("f").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    found = found.where((toxic > 0) & precise & (strength >= _STRENGTH)).select("f")
+    found = found.where((toxic > 0) & precise & (strength >= _STRENGTH))
+    found = found.orderBy(F.desc(strength), "f").limit(FEATURES).select("f")
     return np.sort(np.fromiter((r.f for r in found.toLocalIterator()), np.int64).view(np.uint64))
 
 
