@@ -21,9 +21,9 @@ def test_query_agrees_with_its_sql(spark, name):
     assert not problem and rows
 
 
-def test_eleven_queries_are_registered():
+def test_fourteen_queries_are_registered():
     names = [n for n in entry.queries() if n.startswith("op") or n == "pipeline"]
-    assert len(names) == 11 and {n.split("_")[0] for n in names} == {"pipeline", *(f"op{i}" for i in range(1, 11))}
+    assert len(names) == 14 and {n.split("_")[0] for n in names} == {"pipeline", *(f"op{i}" for i in range(1, 14))}
 
 
 def test_stages_take_effect(spark, tmp_path):
@@ -53,3 +53,39 @@ def test_near_duplicates_keep_one_of_each_group(spark):
     kept = [r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, SMALL).collect()]
     assert sorted(kept) == sorted(want)
     assert isinstance(connection, duckdb.DuckDBPyConnection)
+
+
+ODD = "doc_id long, text string, lang string, source string, n_chars long, SCORE double, __row string, Size int, __copy int, __text int"
+
+
+def odd_docs(spark):
+    """NULLs in every column, empty, blank and very long texts, repeated rows and ids, clashing names."""
+    words = [f"w{i % 97}x{i % 13}" for i in range(400)]
+    texts = [" ".join(words[i : i + 40]) for i in range(60)] + [None, "", " \n", "one", "a b", "x " * 400_000]
+    rows = [(i, t, "en", f"s{i % 3}", 1, 0.5, "r", 1, 2, 3) for i, t in enumerate(texts)]
+    rows += [(None, texts[2], None, None, None, None, None, None, None, None)] * 2 + [(None,) * 10, rows[5], rows[5], (5, "other", *rows[5][2:])]
+    return spark.createDataFrame(rows, ODD).repartition(3)
+
+
+def test_stages_on_an_odd_table(spark, tmp_path):
+    docs = odd_docs(spark)
+    columns, n = docs.columns, docs.count()
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SMALL)
+        assert out.columns == columns
+        out.write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+        if name == "near_duplicates":
+            rows = docs.collect()
+            assert len(rows) < n and len([r for r in rows if r.doc_id == 5 and r.text != "other"]) <= 1
+            assert sum(not (r.text or "").split() for r in rows) == 4  # all texts without words stay
+    last = corpus_pipeline.STAGES[-1][1](spark, docs, SMALL)
+    assert last.count() == docs.count()
+
+
+def test_stages_on_an_empty_table(spark):
+    docs = table(spark, SMALL, "documents").limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, SMALL)
+        assert out.count() == 0
+        docs = out if out.columns == docs.columns else docs

@@ -11,7 +11,7 @@ import pytest
 import zstandard
 from pyspark.sql import functions as F
 
-from chatwarden.llm import secrets, substring_dedup, toxicity
+from chatwarden.llm import decontamination, jaccard_join, mixing, secrets, substring_dedup, toxicity
 from chatwarden.llm.queries import tokenizer_path
 from chatwarden.llm.words import ALNUM, find_words
 
@@ -46,6 +46,17 @@ def test_words_numbers_and_digests_are_no_keys(token_test):
     assert text[start:end].endswith(key) and end - start <= len(key) + 1
 
 
+NAMES = (
+    "https/www/example/com/a/b/c/d/e/f/g", "x86_64-linux-gnu-gcc-7-fpic-o2", "tmp_buf_ptr_idx_len_cnt_val",
+    "v1-2-3-rc4-5-6-7-8-9-10-11", "NATO-UNESCO-UNICEF-WHO-IMF-WTO", "zdravstvuyte-kak-dela-u-vas", "zzzzzzzzzzzzzzzzzzzzzzz",
+    "sha256-47DEQpj8HBSa+/TImW+5JCeuQeRkm5NMpJWZG3hSuFU=", "01010101010101010101010101", "a/b/c/d/e/f/g/h/i/j/k/l/m/n",
+)
+
+
+def test_names_of_many_parts_are_no_keys(token_test):
+    assert [n for n in NAMES if token_test.random_parts(n)] == []
+
+
 def test_what_is_beside_a_found_secret_is_tested(token_test):
     key = "q9Zr7XkP2mVb8LwT4nYc6HsJq1RtU5eW0aGdFx3B"
     for text, kinds in (
@@ -75,9 +86,81 @@ def test_rare_words_of_toxic_texts_are_features(spark):
     assert toxicity.toxic_features(rows, 8000, 72_000).tolist() == np.sort(wanted.ravel()).tolist()
 
 
+# 7
+
+
+def test_a_template_of_many_pages_makes_no_pairs(spark, monkeypatch):
+    """A line that all texts share is no key, however many they are; near copies among them are found."""
+    draw = random.Random(7)
+    word = lambda: f"w{draw.randrange(10**6)}"
+    line = [word() for _ in range(45)]
+    rows = [(i, " ".join([word() for _ in range(30)] + line + [word() for _ in range(30)])) for i in range(600)]
+    rows += [(1000 + i, rows[i][1].rsplit(" ", 2)[0]) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    shared = jaccard_join._shared_groups(jaccard_join.materialize(jaccard_join.signatures(docs, "doc_id", "text"), "t"))
+    assert shared.count() < 3 * 80  # copies and what they were made of, hardly more
+    found = {r.doc_id: r.component_id for r in jaccard_join.jaccard_components(docs).collect()}
+    assert found == {i: i % 1000 for i, _ in rows}
+
+
+def test_keep_one_with_clashing_names_and_repeated_rows(spark):
+    text = " ".join(f"w{i}" for i in range(30))
+    rows = [(1, text, "a", 1, True)] * 3 + [(2, text + " more", "b", 2, False), (3, "", "c", 3, None), (3, "", "c", 3, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __row string, __MARKED int, __kept boolean")
+    kept = jaccard_join.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert sorted(map(repr, kept.collect())) == sorted(map(repr, spark.createDataFrame([rows[0], *rows[4:]], docs.schema).collect()))
+
+
+# 8 and 10
+
+
+def test_clashing_names_stay_as_they_are(spark):
+    docs = spark.createDataFrame(
+        [(i, "w " * (i + 1), f"s{i % 2}", i, "k", 0.5) for i in range(20)],
+        "doc_id long, text string, source string, __size long, __source string, Size double",
+    ).withColumns({"__row": F.lit("r"), "__copy": F.lit(7)})
+    emitted = mixing.emit(docs).distinct()
+    assert emitted.exceptAll(docs).isEmpty()
+    mixed = mixing.mix(docs)
+    assert mixed.columns == ["doc_id", "text", "source", "__size", "__source", "__row", "__copy", "size", "source_size", "target", "copies"]
+    assert [r["size"] for r in mixed.orderBy("doc_id").collect()] == list(range(1, 21))
+    items = spark.createDataFrame([(None, "w w w w w w w w w w w w w w")], "item_id string, text string")
+    clean = decontamination.decontaminate(docs, items)
+    assert clean.columns == docs.columns and [r.doc_id for r in clean.orderBy("doc_id").collect()] == list(range(12))
+
+
+def test_added_names_in_another_case(spark, token_test):
+    docs = spark.createDataFrame([(1, "a b", 0.5, "x")], "doc_id long, text string, SCORE double, Spans string")
+    field = toxicity.Field(np.zeros(0, np.uint64), np.zeros(0))
+    assert toxicity.score(docs, field).columns == ["doc_id", "text", "Spans", "score", "predicted", "toxic_spans"]
+    found = secrets.find_secrets(docs, tokenizer_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    assert found.columns.count("spans") == 1 and "Spans" not in found.columns and found.count() == 1
+
+
 # 9
 
 
+def test_rows_without_an_id_are_told_apart_by_all_bits(spark):
+    """Two texts without an id whose hashes agree in the bits that travel with a place."""
+    passage = " ".join(f"p{i}" for i in range(14))
+    made = spark.range(40_000).select(F.concat(F.lit("t"), F.col("id"), F.lit(" x" * 3)).alias("text"))
+    tag = F.xxhash64("text").bitwiseAND((1 << (63 - substring_dedup._AT_BITS)) - 1)
+    long = F.concat(F.col("text"), F.lit(" " + "y " * 60 + passage))
+    both = made.select(F.lit(1).alias("kind"), "text", tag.alias("tag")).unionByName(
+        made.select(F.lit(2).alias("kind"), long.alias("text")).withColumn("tag", tag)
+    )
+    pairs = both.where("kind = 1").alias("a").join(both.where("kind = 2").alias("b"), "tag").select("a.text", F.col("b.text").alias("other"))
+    short, longer = pairs.first()
+    rows = [(1, passage), (None, short), (None, longer)]
+    found = substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    n = len(longer.split())
+    assert sorted((r.n_words, r.n_removed) for r in found) == sorted([(14, 0), (len(short.split()), 0), (n, 14)])
+    repeated = spark.createDataFrame([(1, passage), (7, short), (7, longer), (7, longer)], "doc_id long, text string")
+    got = sorted((r.n_words, r.n_removed) for r in substring_dedup.remove_repeats(repeated).collect())
+    assert got == sorted([(14, 0), (len(short.split()), 0), (n, 14), (n, 14)])
+
+
 def test_a_short_line_of_many_documents_is_split(spark, monkeypatch):
     """Twelve words among others, a document of one word, and repeats inside documents: no key
     has many rows, and words are removed as by brute force."""
