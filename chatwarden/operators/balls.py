@@ -14,7 +14,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-LEAF = 64  # centers
+LEAF = 16  # centers
 _DISTANCES = 4_000_000  # held at a time
 
 

@@ -167,10 +167,7 @@ def alliance_info(items: DataFrame, *keep: str) -> DataFrame:
     )
 
 
-def item_details(
-    items: DataFrame, assessments: DataFrame, wanted: DataFrame | None = None
-) -> DataFrame:
-    """The detail record of each item, or of the ``item_id`` values in ``wanted``."""
+def _details(items: DataFrame, assessments: DataFrame, wanted: DataFrame | None, *more: Column) -> DataFrame:
     if wanted is not None:
         items = items.join(wanted.select("item_id"), "item_id", "left_semi")
     return with_assessment(items, assessments).select(
@@ -186,6 +183,55 @@ def item_details(
         fn.cultural_note(F.col("region")).alias("cultural_context"),
         "suggested_action",
         fn.confirmation(F.col("suggested_action")).alias("confirmation"),
+        *more,
+    )
+
+
+def item_details(
+    items: DataFrame, assessments: DataFrame, wanted: DataFrame | None = None
+) -> DataFrame:
+    """The detail record of each item, or of the ``item_id`` values in ``wanted``."""
+    return _details(items, assessments, wanted)
+
+
+def item_records(
+    items: DataFrame, assessments: DataFrame, wanted: DataFrame | None = None
+) -> DataFrame:
+    """All that the detail panel shows of an item, as one nested record.
+
+    Beside :func:`item_details`: ``player_id``, ``chat`` (shown lines, marked if
+    they hold a filtered term), ``traits`` (slot, label and score of every
+    player's chart) and ``alliance``. Everything stands in the item already, so
+    nothing is exploded or joined for it.
+    """
+    terms = F.col("conversation.filtered_content")
+    chat = F.transform(
+        "conversation.texts",
+        lambda m: F.struct(
+            fn.chat_line(m["author"], m["text"]).alias("line"),
+            fn.is_highlighted(m["text"], terms).alias("highlighted"),
+        ),
+    )
+    labels = F.array(*[F.lit(label) for label in TRAIT_LABELS])
+    charts = F.transform(
+        "conversation.messaging_traits",
+        lambda player, slot: F.transform(
+            player["data"],
+            lambda score, axis: F.struct(
+                slot.alias("player_slot"),
+                F.try_element_at(labels, axis + 1).alias("trait"),
+                score.alias("score"),
+            ),
+        ),
+    )
+    return _details(
+        items,
+        assessments,
+        wanted,
+        F.col("player_id"),
+        chat.alias("chat"),
+        F.flatten(charts).alias("traits"),
+        F.col("alliance"),
     )
 
 

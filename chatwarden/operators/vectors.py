@@ -131,6 +131,16 @@ def _arrow(data_type: T.DataType) -> pa.DataType:
     return {T.LongType(): pa.int64(), T.StringType(): pa.string()}.get(data_type, pa.int32())
 
 
+def with_center(rows: DataFrame, centers: DataFrame, on: str, center_bytes: int = CENTER_BYTES) -> DataFrame:
+    """Adds the ``center`` of each row's group. Centers are few for the groups of most tables:
+    they are written, and broadcast if their bytes are at most ``center_bytes``; else Spark joins
+    them, and splits groups of very many rows."""
+    centers = materialize(centers, "centers")
+    count, dims = centers.agg(F.count("*"), F.max(F.size("center"))).first()
+    small = count * 8 * (dims or 0) <= center_bytes
+    return rows.join(F.broadcast(centers) if small else centers, on)
+
+
 def closest_rows(picks: DataFrame, key: str = "sample_id") -> DataFrame:
     """The closest row of every cluster and its distance."""
     return picks.groupBy("cluster_id").agg(

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from functools import reduce
+
+from pyspark.sql import DataFrame, functions as F
 
 from chatwarden.functions import fixed_values as fixed, review as fn
 from chatwarden.operators import moderation as Q
@@ -68,6 +70,38 @@ QUEUE_VIEWS = " UNION ALL ".join(
     for v in fixed.QUEUE_VIEWS
 )
 
+def queue_view_rows(spark, sf_dir):
+    """The rows of the five views, each read from its registered view."""
+    items = review_items(spark, sf_dir)
+    names = Q.register_queue_views(items, "shown_")
+    views = [spark.table(name).withColumn("view_name", F.lit(name.removeprefix("shown_"))) for name in names]
+    return reduce(DataFrame.unionByName, views)
+
+
+QUEUE_VIEW_ROWS = " UNION ALL ".join(
+    f"""SELECT *, '{v}' AS view_name FROM ({_queue_sql('true' if v == 'all' else f"contains(priority, '{v}')")})"""
+    for v in fixed.QUEUE_VIEWS
+)
+
+
+def empty_views(spark, sf_dir):
+    """Whether there is nothing to review in each view, and among items of a violation that none has."""
+    items = review_items(spark, sf_dir)
+    views = {v: Q.filter_priority(items, v) for v in fixed.QUEUE_VIEWS}
+    views["no such violation"] = Q.filter_violation(items, "Z-Z")
+    rows = [(name, Q.is_queue_empty(shown)) for name, shown in views.items()]
+    return spark.createDataFrame(rows, "view_name STRING, is_empty BOOLEAN")
+
+
+EMPTY_VIEWS = " UNION ALL ".join(
+    f"""SELECT '{v}' AS view_name, count(*) = 0 AS is_empty FROM ({ITEMS_WITH_VIOLATIONS_SQL})
+        WHERE {'true' if v == 'all' else f"contains(priority, '{v}')"}"""
+    for v in fixed.QUEUE_VIEWS
+) + f"""
+    UNION ALL SELECT 'no such violation', count(*) = 0 FROM ({ITEMS_WITH_VIOLATIONS_SQL})
+    WHERE list_contains(violation_type, 'Z-Z')
+"""
+
 # Filtered terms beside the chats; system messages come with none.
 _TERMS = ("tion", "Der")
 
@@ -145,9 +179,9 @@ CULTURAL_CONTEXT = f"""
 """
 
 
-def _detail_items(spark, sf_dir):
+def _detail_items(spark, sf_dir, wanted=None):
     region = F.when(F.col("priority") == "high", "South East Asia").otherwise("Europe")
-    return review_items(spark, sf_dir).withColumns(
+    return review_items(spark, sf_dir, wanted).withColumns(
         {"amount_of_times_reported": F.size("violation_type"), "region": region}
     )
 
@@ -178,7 +212,60 @@ def _detail_sql(condition: str = "true") -> str:
 def item_lookup(spark, sf_dir):
     """Details of the items that decisions speak of."""
     wanted = decision_events(spark, sf_dir).select("item_id").distinct()
-    return Q.item_details(_detail_items(spark, sf_dir), player_assessments(spark, sf_dir), wanted)
+    return Q.item_details(_detail_items(spark, sf_dir, wanted), player_assessments(spark, sf_dir))
+
+
+def item_records(spark, sf_dir):
+    """The whole record of the items that decisions speak of, its nested parts as texts."""
+    wanted = decision_events(spark, sf_dir).select("item_id").distinct()
+
+    def message(text, author):
+        return F.struct(text.alias("text"), author.alias("author"))
+
+    scores = F.transform(F.sequence(F.lit(1), F.lit(6)), lambda i: F.floor(F.col("assessed_risk") * i).cast("double"))
+    items = _detail_items(spark, sf_dir, wanted).withColumns(
+        {
+            "conversation": F.struct(
+                F.array(
+                    message(F.col("preview"), F.col("player_name")),
+                    message(F.col("suggested_action"), F.lit("Moderator")),
+                ).alias("texts"),
+                F.array(F.lit("order 1"), F.lit("Hate")).alias("filtered_content"),
+                F.array(F.struct(scores.alias("data"))).alias("messaging_traits"),
+            ),
+            "alliance": F.struct(
+                F.col("game_id").alias("alliance_id"),
+                F.col("preview").alias("alliance_description"),
+                F.col("player_name").alias("moderator"),
+                (F.col("priority") == "low").alias("is_family_friendly"),
+            ),
+        }
+    )
+    found = Q.item_records(items, player_assessments(spark, sf_dir))
+    mark = lambda c: F.concat(c["line"], F.when(c["highlighted"], "*").otherwise(""))
+    chart = lambda t: F.concat_ws("=", t["player_slot"], t["trait"], t["score"].cast("bigint"))
+    return found.withColumns(
+        {
+            "chat": F.array_join(F.transform("chat", mark), "|"),
+            "traits": F.array_join(F.transform("traits", chart), "|"),
+            "alliance": F.concat_ws("|", "alliance.alliance_id", "alliance.moderator", "alliance.alliance_description"),
+        }
+    )
+
+
+def _records_sql() -> str:
+    traits = " || '|' || ".join(
+        f"'0={label}=' || CAST(floor(assessed_risk * {i}) AS BIGINT)" for i, label in enumerate(fixed.TRAIT_LABELS, 1)
+    )
+    return f"""
+        SELECT d.*, player_id, substr(player_name, 1, 5) || ': ' || i.preview
+                   || CASE WHEN contains(i.preview, 'order 1') THEN '*' ELSE '' END
+                   || '|Moder: ' || i.suggested_action
+                   || CASE WHEN i.suggested_action = 'Hate' THEN '*' ELSE '' END AS chat,
+               {traits} AS traits, i.game_id || '|' || player_name || '|' || i.preview AS alliance
+        FROM ({_detail_sql("item_id IN (SELECT user_id FROM events)")}) d
+        JOIN ({ITEMS_SQL}) i ON i.item_id = d.item_id
+    """
 
 
 def assessment_lookup(spark, sf_dir):
@@ -214,6 +301,26 @@ DECISIONS = f"""
 """
 
 
+def stored_decisions(spark, sf_dir):
+    """Decisions and assessments from their stores: the queue after decisions appended in two parts."""
+    path, known = scratch_path(spark, "decisions"), scratch_path(spark, "assessments")
+    events = decision_events(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
+    early = F.hour("ts") < 12
+    for part in (events.filter(early), events.filter(~early)):
+        store.append_decisions(part, path)
+    player_assessments(spark, sf_dir).write.parquet(known)
+    items = plain_items(table(spark, sf_dir, "orders"))
+    left = Q.open_items(items, store.read_decisions(spark, path))
+    assessed = Q.with_assessment(left, store.read_assessments(spark, known))
+    return assessed.select("item_id", "suggested_action", "escalated", "assessment")
+
+
+STORED_DECISIONS = f"""
+    SELECT item_id, d.suggested_action, escalated, assessment
+    FROM ({DECISIONS}) d JOIN ({ASSESSMENT_LOOKUP}) USING (item_id)
+"""
+
+
 def decision_state(spark, sf_dir):
     """Where every item stands after all decisions."""
     return Q.decision_state(decision_events(spark, sf_dir))
@@ -276,13 +383,17 @@ QUERIES = {
         review_queue_violation, _queue_sql("list_contains(violation_type, 'R-F')")
     ),
     "queue_views": (queue_views, QUEUE_VIEWS),
+    "queue_view_rows": (queue_view_rows, QUEUE_VIEW_ROWS),
+    "empty_views": (empty_views, EMPTY_VIEWS),
     "chat_context": (chat_context, CHAT_CONTEXT),
     "trait_radar": (trait_radar, TRAIT_RADAR),
     "cultural_context": (cultural_context, CULTURAL_CONTEXT),
     "item_detail": (item_detail, _detail_sql()),
     "item_lookup": (item_lookup, _detail_sql("item_id IN (SELECT user_id FROM events)")),
+    "item_records": (item_records, _records_sql()),
     "assessment_lookup": (assessment_lookup, ASSESSMENT_LOOKUP),
     "decisions": (decisions, DECISIONS),
+    "stored_decisions": (stored_decisions, STORED_DECISIONS),
     "decision_state": (decision_state, DECISION_STATE),
     "nested_items": (nested_items, NESTED_ITEMS),
 }

@@ -89,13 +89,17 @@ LABEL_CENTERS_SQL = """
 """
 
 
-def review_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+def review_items(spark: SparkSession, sf_dir: str, wanted: DataFrame | None = None) -> DataFrame:
     """``orders`` as review items; the violations come from the order's lines.
 
-    Lines are reduced to a few distinct types per order before the join.
+    Lines are reduced to a few distinct types per order before the join, and
+    before that to the orders whose ``item_id`` is ``wanted``.
     """
     orders = table(spark, sf_dir, "orders")
     lines = table(spark, sf_dir, "lineitem")
+    if wanted is not None:
+        orders = orders.join(wanted, F.col("o_orderkey") == wanted["item_id"], "left_semi")
+        lines = lines.join(wanted, F.col("l_orderkey") == wanted["item_id"], "left_semi")
     violations = lines.groupBy(F.col("l_orderkey").alias("item_id")).agg(
         F.sort_array(F.collect_set(F.concat("l_returnflag", F.lit("-"), "l_linestatus"))).alias(
             "violation_type"

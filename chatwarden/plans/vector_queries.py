@@ -82,7 +82,7 @@ def label_distances(spark, sf_dir):
     """Distance of every row to the mean of its own label."""
     rows = table(spark, sf_dir, "embeddings")
     centers = label_centers(spark, sf_dir).withColumnRenamed("cluster_id", "label")
-    return rows.join(centers, "label").select(
+    return V.with_center(rows, centers, "label").select(
         KEY, "label", F.round(euclidean(F.col("embedding"), F.col("center")), 6).alias("distance")
     )
 
@@ -177,6 +177,36 @@ def kmeans_counts(spark, sf_dir):
 KMEANS_COUNTS = "SELECT count(*) AS n_rows, count(DISTINCT vec_id) AS n_keys FROM embeddings"
 
 
+def kmeans_groups(spark, sf_dir):
+    """k-means on vectors moved apart by label, model and assignment stored: a cluster per label."""
+    moved = F.concat(
+        F.transform("embedding", lambda x: x.cast("double")),
+        F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: F.when(F.col("label") % 10 == i, 1000.0).otherwise(0.0)),
+    )
+    rows = table(spark, sf_dir, "embeddings").select(KEY, "label", moved.alias("embedding"))
+    groups = rows.select(F.count_distinct(F.col("label") % 10)).first()[0]
+    assigned, _, model = V.kmeans(rows, groups, KEY)
+    stored, path = scratch_path(spark, "kmeans"), scratch_path(spark, "assignments")
+    stores.save_kmeans(model, stored)
+    stores.write_assignments(assigned, path)
+    centers = [(i, c.tolist()) for i, c in enumerate(stores.load_kmeans(stored).clusterCenters())]
+    centers = spark.createDataFrame(centers, "cluster_id INT, center ARRAY<DOUBLE>")
+    found = spark.read.parquet(path).join(rows.select(KEY, "label"), KEY).join(centers, "cluster_id")
+    by_label = found.groupBy((F.col("label") % 10).alias("label"))
+    return by_label.agg(
+        F.count("*").alias("n_rows"),
+        F.count_distinct("cluster_id").alias("n_clusters"),
+        F.round(F.max(F.element_at("center", F.col("label") % 10 + 65)), 4).alias("own_axis"),
+    )
+
+
+KMEANS_GROUPS = """
+    SELECT CAST(label % 10 AS INTEGER) AS label, count(*) AS n_rows, CAST(1 AS BIGINT) AS n_clusters,
+           1000.0::DOUBLE AS own_axis
+    FROM embeddings GROUP BY label % 10
+"""
+
+
 def split_sets(spark, sf_dir):
     documents = table(spark, sf_dir, "documents").select("doc_id")
     return S.exact_split(documents, "doc_id", spread_hash("doc_id"))
@@ -215,11 +245,13 @@ def split_store(spark, sf_dir):
         stores.read_embeddings(spark, path, 20, s) for s in ("train", "val", "test")
     )
     union = train.unionByName(val).unionByName(test)
-    return union.select(KEY, F.size("embedding").alias("dims"), "split")
+    total = F.aggregate("embedding", F.lit(0.0), lambda t, x: t + x.cast("double"))
+    return union.select(KEY, F.size("embedding").alias("dims"), "split", F.round(total, 6).alias("x_sum"))
 
 
 SPLIT_STORE = f"""
-    SELECT vec_id, CAST(len(embedding) AS INTEGER) AS dims, {spread_split_sql('vec_id')} AS split
+    SELECT vec_id, CAST(len(embedding) AS INTEGER) AS dims, {spread_split_sql('vec_id')} AS split,
+           round(list_sum(embedding::DOUBLE[]), 6) AS x_sum
     FROM embeddings
 """
 
@@ -249,6 +281,7 @@ QUERIES = {
     "similar_to_risky": (similar_to_risky, SIMILAR_TO_RISKY),
     "kmeans_profile": (kmeans_profile, None),
     "kmeans_counts": (kmeans_counts, KMEANS_COUNTS),
+    "kmeans_groups": (kmeans_groups, KMEANS_GROUPS),
     "split_sets": (split_sets, SPLIT_SETS),
     "union_splits": (union_splits, UNION_SPLITS),
     "split_store": (split_store, SPLIT_STORE),

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from chatwarden import schema
+from chatwarden.functions import fixed_values as fixed
 from chatwarden.functions.arrays import list_mean, list_median, list_sum, risk_label
 from chatwarden.functions.fixed_values import EMOJI_PATTERN
 from chatwarden.functions.text import tokens as word_tokens
 from chatwarden.operators import windows as W
 from chatwarden.operators.cleaning import clean_windows, drop_malformed, parse_windows
 from chatwarden.operators.vectors import risk_profile, riskiest
+from chatwarden.plans import flows
 from chatwarden.plans.roles import EVENT_SCORES_SQL, EVENT_TYPES, event_log, table
 from chatwarden.session import scratch_path, spread
 from chatwarden.sources import logs
@@ -389,7 +392,54 @@ GROUP_BATCHES = """
     SELECT user_id, n_rows, batch_id FROM filled JOIN laid USING (r)
 """
 
+def _whole_log(spark, sf_dir):
+    """``events`` as a log of all 29 columns; some messages miss a value in one of them."""
+    events = table(spark, sf_dir, "events")
+    columns = {}
+    for i, name in enumerate(schema.LOG_COLUMNS):
+        if name in schema.SCORE_COLUMNS:
+            columns[name] = F.col("value") + float(i)
+        else:
+            columns[name] = F.concat(F.lit(f"f{i} "), F.col("event_id"))
+    columns[schema.ALLIANCE] = F.col("user_id").cast("string")
+    columns[schema.TEXT] = F.concat("event_type", F.lit(STRIPPED), F.col("event_id"))
+    columns["field_0"] = F.when(F.col("event_id") % 97 > 0, columns["field_0"])
+    columns["score_28"] = F.when(F.col("event_id") % 101 == 0, float("nan")).otherwise(columns["score_28"])
+    return events.select(
+        *[c.alias(name) for name, c in columns.items()],
+        F.col("ts").cast("timestamp").alias("msg_ts"),
+        F.col("event_id").alias("msg_id"),
+    )
+
+
+def whole_log(spark, sf_dir):
+    """Clean, labelled windows of a log with all its columns."""
+    windows = flows.with_label(flows.clean_message_windows(_whole_log(spark, sf_dir), 20, 5))
+    return windows.select(
+        schema.ALLIANCE,
+        "window_start",
+        "n_messages",
+        F.md5(schema.CHAT).alias("chat_md5"),
+        F.round("label", 9).alias("label"),
+        *[F.round(list_sum(F.col(c)), 4).alias(c) for c in schema.SCORE_COLUMNS],
+    )
+
+
+def _whole_log_sql() -> str:
+    scores = [int(c.removeprefix("score_")) for c in schema.SCORE_COLUMNS]
+    sums = ", ".join(f"round(list_sum(value) + {i} * len(value), 4) AS score_{i}" for i in scores)
+    log = "SELECT *, event_id % 97 = 0 OR event_id % 101 = 0 AS lost, event_type || event_id AS said FROM events"
+    label = fixed.LABEL_POSITION
+    return f"""
+        SELECT CAST(user_id AS VARCHAR) AS alliance_id, pos AS window_start,
+               CAST(len(value) AS INTEGER) AS n_messages, md5(array_to_string(said, ' ')) AS chat_md5,
+               round((list_aggregate(value, 'avg') + {label} + 1) / 8, 9) AS label, {sums}
+        FROM ({windows_sql('value lost said', f'({log})', 20, 5)}) WHERE NOT list_contains(lost, true)
+    """
+
+
 QUERIES = {
+    "whole_log": (whole_log, _whole_log_sql()),
     "sliding_windows": (sliding_windows, SLIDING_WINDOWS),
     "sliding_windows_step": (sliding_windows_step, SLIDING_WINDOWS_STEP),
     "segmented_windows": (segmented_windows, SEGMENTED_WINDOWS),

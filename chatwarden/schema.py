@@ -45,15 +45,6 @@ MESSAGE_LOG = T.StructType(
 # Windows as text: every cell is a list written as a literal.
 TEXT_WINDOWS = T.StructType([T.StructField(name, T.StringType()) for name in LOG_COLUMNS])
 
-EMBEDDINGS = T.StructType(
-    [
-        T.StructField("sample_id", T.StringType()),
-        T.StructField("seq_length", T.IntegerType()),
-        T.StructField("split", T.StringType()),
-        T.StructField("embedding", T.ArrayType(T.FloatType())),
-    ]
-)
-
 CENTERS = T.StructType(
     [
         T.StructField("cluster_id", T.IntegerType()),
@@ -61,14 +52,6 @@ CENTERS = T.StructType(
     ]
 )
 
-PREDICTIONS = T.StructType(
-    [
-        T.StructField("key", T.LongType()),
-        T.StructField("y_true", T.DoubleType()),
-        T.StructField("y_pred", T.DoubleType()),
-    ]
-)
-
 # DDL text, as spark.read.schema() takes it.
 REVIEW_ITEM = """
     item_id BIGINT, region STRING, player_assessment STRING, player_id STRING,
