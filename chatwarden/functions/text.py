@@ -14,7 +14,7 @@ _JSON_OPTIONS = {"allowSingleQuotes": "true", "allowBackslashEscapingAnyCharacte
 # Escapes that mean the same in a Python literal and in JSON.
 _SHARED_ESCAPES = r"""\\(?:[\\'"nrtbf]|u[0-9a-fA-F]{4})"""
 # Behind an even number of backslashes, which stand for themselves in pairs.
-_PAIRS = r"(?<!\\)((?:\\\\)*)"
+_PAIRS = r"(?<!\\)((?:\\\\)*+)"
 _REWRITTEN = (
     (_PAIRS + r"\\x([0-9a-fA-F]{2})", r"$1\\u00$2"),
     (_PAIRS + r"\\a", r"$1\\u0007"),
@@ -22,9 +22,10 @@ _REWRITTEN = (
     # No escape in Python: the backslash stays.
     (_PAIRS + r"\\([^\\'\"nrtbfavuUxN0-7\r\n])", r"$1\\\\$2"),
 )
+# Repetitions are possessive: the engine goes through texts of any length in a loop, not by recursion.
 # One list of numbers and of quoted texts (each replaced by one sign), nothing around it.
-_QUOTED = r"""'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*\""""
-_ONE_LIST = r"""^\s*\[(?:\s*(?:"|[0-9+.-][0-9eE+.-]*)\s*(?:,|(?=\])))*\s*\]\s*$"""
+_QUOTED = r"""'(?:[^'\\]|\\.)*+'|"(?:[^"\\]|\\.)*+\""""
+_ONE_LIST = r"""^\s*\[(?:\s*(?:"|[0-9+.-][0-9eE+.-]*)\s*(?:,|(?=\])))*+\s*\]\s*$"""
 _PLAIN_NUMBERS = r"^\s*\[[\s0-9eE+.,-]*\]\s*$"
 
 

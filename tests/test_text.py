@@ -97,3 +97,11 @@ def test_list_statistics(spark, values, mean, median):
 def test_euclidean(spark):
     df = spark.createDataFrame([([0.0, 3.0], [4.0, 0.0])], "a ARRAY<FLOAT>, b ARRAY<DOUBLE>")
     assert math.isclose(df.select(euclidean(F.col("a"), F.col("b"))).first()[0], 5.0)
+
+
+def test_very_long_cells(spark):
+    """Regular expressions go through them without recursion."""
+    texts = ["x" * 300_000, "\n" * 100_000 + "'", "\\" * 100_000, 'it\'s "' * 30_000]
+    rows = spark.createDataFrame([(i, repr([t, "end"])) for i, t in enumerate(texts)] + [(9, repr(texts * 500)[:400_000])], "id INT, text STRING")
+    found = {r.id: r.text for r in parse_windows(rows, ["text"], []).collect()}
+    assert all(found[i] == [t, "end"] for i, t in enumerate(texts)) and found[9] is None
