@@ -51,6 +51,9 @@ _SLOT_BITS = 20
 _SLOTS = 1 << _SLOT_BITS  # counters of a round
 _MAX_WORDS = 1_500_000  # words that a worker remembers; then it starts anew
 _UNEVEN = re.compile(r"\s |^ | $")  # spaces that may not start a piece
+#: Bytes that are, or may end, a character of white space.
+_MAY_BE_SPACE = np.zeros(256, bool)
+_MAY_BE_SPACE[[c.encode()[-1] for c in map(chr, range(0x110000)) if c.isspace()]] = True
 
 
 def _piece_class(byte: int) -> int:
@@ -123,7 +126,7 @@ class WordEncoder:
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray] | tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, bounds per text)."""
-        uneven = [bool(_UNEVEN.search(t.decode())) or any(x in t for x in self.special) for t in texts]
+        uneven = self._uneven(texts)
         even = [b"" if u else t for t, u in zip(texts, uneven)]
         found = find_pieces(even)
         keys = found.hash.copy()
@@ -144,6 +147,24 @@ class WordEncoder:
             ids = np.concatenate(parts)
         return ids, bounds
 
+    def _uneven(self, texts: list[bytes]) -> list[bool]:
+        """Which texts have runs of white space or a special token's string. Most are ruled
+        out together: no space of theirs stands behind a byte that may be white space."""
+        data = b" ".join([*texts, b""])
+        raw = np.frombuffer(data, np.uint8)
+        behind = np.ones(len(raw), bool)  # as the first text has no space before it
+        behind[1:] = _MAY_BE_SPACE[raw[:-1]]
+        at = np.flatnonzero((raw == 0x20) & behind)
+        ends = np.cumsum(np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts)))
+        maybe = np.zeros(len(texts), bool)
+        # The space itself or, where it only parts two texts, the byte before it.
+        maybe[np.searchsorted(ends, at, "right")] = True
+        out = [bool(m and _UNEVEN.search(t.decode())) for t, m in zip(texts, maybe.tolist())]
+        for x in self.special:
+            if x in data:
+                out = [u or x in t for t, u in zip(texts, out)]
+        return out
+
     def _whole(self, texts: list[bytes]) -> list[np.ndarray]:
         made = self.tokenizer.encode_batch([t.decode() for t in texts], add_special_tokens=False)
         return [np.array(e.ids, np.uint32) for e in made]
@@ -259,11 +280,15 @@ def repair(ids: np.ndarray, end: int, rounds: int = ROUNDS, min_pair: int = MIN_
         n_symbols = len(size)
         left, right = symbols[:-1], symbols[1:]
         slot = (left * np.uint32(0x9E3779B1) + right * np.uint32(0x85EBCA77)) >> np.uint32(32 - _SLOT_BITS)
-        code = left.astype(np.uint64) << np.uint64(32) | right
+        slot = slot.astype(np.intp)  # as an index is used, once for all uses
+        code = left.astype(np.uint64)
+        code <<= np.uint64(32)
+        code |= right
         # A slot counts the pair that owns it; pairs that lose theirs wait for the next round.
         owner[slot] = code
-        owned = (owner[slot] == code) & (left != end) & (right != end)
-        counts = np.bincount(slot[owned], minlength=_SLOTS)
+        plain = symbols != end
+        owned = (owner.take(slot) == code) & plain[:-1] & plain[1:]
+        counts = np.bincount(slot.compress(owned), minlength=_SLOTS)
         often = np.flatnonzero(counts >= min_pair)
         room = _SHORT - n_symbols if end < _SHORT // 8 * 7 else len(often)
         chosen = _sides(owner[often], counts[often], often, room)
@@ -271,9 +296,9 @@ def repair(ids: np.ndarray, end: int, rounds: int = ROUNDS, min_pair: int = MIN_
             break
         rule_of[:] = -1
         rule_of[chosen] = np.arange(len(chosen))
-        place = rule_of[slot]
+        place = rule_of.take(slot)
         at = np.flatnonzero(owned & (place >= 0))
-        place = place[at]
+        place = place.take(at)
         pairs = owner[chosen]
         fresh = np.stack([pairs >> np.uint64(32), pairs & np.uint64(0xFFFFFFFF)], axis=1).astype(np.int64)
         # Only pairs of one symbol twice can follow each other closely: every second one counts.
@@ -284,7 +309,7 @@ def repair(ids: np.ndarray, end: int, rounds: int = ROUNDS, min_pair: int = MIN_
         symbols[at] = n_symbols + place
         keep = np.ones(len(symbols), bool)
         keep[at + 1] = False
-        symbols = symbols[keep]
+        symbols = symbols.compress(keep)
         rules.append(fresh)
         size = np.concatenate([size, size[fresh[:, 0]] + size[fresh[:, 1]]])
     table = np.concatenate(rules) if rules else np.zeros((0, 2), np.int64)
