@@ -108,7 +108,7 @@ def bit_table(keys: DataFrame, key: str, bits: int = BIT_TABLE_BITS) -> np.ndarr
         keys.select(place.alias("p"))
         .groupBy(F.shiftright("p", 15).alias("b"))
         .agg(F.bitmap_construct_agg(F.col("p").bitwiseAND(F.lit(_BUCKET - 1))).alias("m"))
-        .toLocalIterator()
+        .collect()  # of fixed size in all; an iterator would run a job for each partition
     )
     out = np.zeros(bits // 8, np.uint8)
     for row in rows:

@@ -56,6 +56,7 @@ _HELD_CELLS = 4_000_000
 MOST_BITS = 1 << 29
 _BITS_PER_SHINGLE = 6  # of the bitmaps, at least
 _LEAF = 32
+_OF_NODE = ("n", "top", "bitmap")  # what tells whether a pair may link
 _NO_ID = (1 << 63) - 1
 
 
@@ -115,7 +116,7 @@ def sized_bits(keys: DataFrame, key: str) -> np.ndarray:
         .repartition("b")
         .groupBy("b")
         .agg(F.bitmap_construct_agg(F.col("p").bitwiseAND(F.lit((1 << 15) - 1))).alias("m"))
-        .toLocalIterator()
+        .collect()  # of MOST_BITS in all; an iterator would run a job for each partition
     )
     out = np.zeros(bits // 8, np.uint8)
     for row in rows:
@@ -140,19 +141,23 @@ def frequent_cells(docs: DataFrame, text: str) -> np.ndarray:
             return shrink.compress(both.view(np.uint8).reshape(-1, 4).T.tobytes())
 
         def sent() -> pa.RecordBatch:
-            cells, n = np.unique(np.concatenate(held), return_counts=True)
+            every = np.concatenate(held)
             held.clear()
-            bucket, first = np.unique(cells >> _CELL_BITS, return_index=True)
+            every.sort()
+            at = np.flatnonzero(np.diff(every, prepend=~every[0])).astype(np.uint32)
+            cells, n = every[at], np.diff(at, append=np.uint32(len(every)))
+            first = np.flatnonzero(np.diff(cells >> _CELL_BITS, prepend=np.uint32(CELLS)))
+            bucket = (cells[first] >> _CELL_BITS).astype(np.int64)
             cuts = [*first.tolist(), len(cells)]
             parts = [
-                packed(np.diff(cells[s:e] & inside, prepend=0), np.minimum(n[s:e], (1 << 31) - 1)) for s, e in zip(cuts, cuts[1:])
+                packed(np.diff(cells[s:e] & inside, prepend=np.uint32(0)), n[s:e]) for s, e in zip(cuts, cuts[1:])
             ]
             return pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(parts, pa.binary())], names=["bucket", "cells"])
 
         for batch in batches:
             for _, texts in blocks(as_bytes(batch.column(0))):
                 h, _ = shingles(find_words(texts, SPACED, lower=True))
-                held.append((h & np.uint64(CELLS - 1)).astype(np.int64))
+                held.append((h & np.uint64(CELLS - 1)).astype(np.uint32))
                 if sum(map(len, held)) > _HELD_CELLS:
                     yield sent()
         if sum(map(len, held)):
@@ -184,7 +189,7 @@ def frequent_cells(docs: DataFrame, text: str) -> np.ndarray:
     added = counted.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(add, schema)
     out = np.zeros(CELLS // 8, np.uint8)
     size = (inside + 1) // 8
-    for row in added.toLocalIterator():
+    for row in added.collect():  # one bit per cell, in one job
         out[row.bucket * size : (row.bucket + 1) * size] = np.frombuffer(row.cells, np.uint8)
     return out
 
@@ -244,12 +249,11 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
         .groupBy("node").agg(F.max(F.struct("common", -F.col("lead"), "b")).alias("m"))
         .select(F.col("node").alias("a"), F.col("m.b").alias("b"), "m.common")
     )
-    likely = _without_far(_pair_rows(_possible(leaders, nodes), nodes))
+    likely = _near_pairs(_possible(_sided(leaders, nodes)))
     first = materialize(verified(docs, likely, nodes, doc_id, text), "leader-links")
     labels = materialize(components(first), "components")
 
-    pairs = materialize(_group_pairs(shared, nodes, labels), "pairs")
-    second = verified(docs, pairs, nodes, doc_id, text)
+    second = verified(docs, _group_pairs(shared, nodes, labels), nodes, doc_id, text)
     links = materialize(first.select("a", "b").unionByName(second.select("a", "b")), "links")
     labels = materialize(components(links), "components")
 
@@ -298,20 +302,41 @@ def _overlap_needed(n: Column, m: Column) -> Column:
     return F.ceil((n + m) * a / (a + b))
 
 
-def _possible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs whose number of common kept hashes does not rule a link out.
+def _sided(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Pairs ``a, b`` with size, last kept hash and bitmap of both."""
+    for side in ("a", "b"):
+        pairs = pairs.join(nodes.select(*[F.col(c).alias(o) for c, o in (("node", side), *((c, f"{c}_{side}") for c in _OF_NODE))]), side)
+    return pairs
+
+
+def _possible(pairs: DataFrame) -> DataFrame:
+    """Pairs of :func:`_sided` whose number of common kept hashes does not rule a link out.
 
     Of the two, the node whose kept hashes end first has all of them in the hash
     range that both keep, so those that are not common are missing in the other set.
     """
     a, b = SIMILARITY
-    out = pairs
-    for side in ("a", "b"):
-        kept = nodes.select(F.col("node").alias(side), F.col("n").alias(f"n_{side}"), F.col("top").alias(f"top_{side}"))
-        out = out.join(kept, side)
     n = F.when(F.col("top_a") <= F.col("top_b"), F.col("n_a")).otherwise(F.col("n_b"))
     prefix = n - F.ceil(n * a / b) + 1
-    return out.where(prefix - F.col("common") <= n - _overlap_needed(F.col("n_a"), F.col("n_b"))).select("a", "b")
+    return pairs.where(prefix - F.col("common") <= n - _overlap_needed(F.col("n_a"), F.col("n_b")))
+
+
+def _near_pairs(pairs: DataFrame) -> DataFrame:
+    """The pairs of :func:`_sided` that sizes and bitmaps do not rule out, the smaller node first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ends = [batch.column(i).to_numpy() for i in (0, 1)]
+            n = np.concatenate([batch.column(i).to_numpy() for i in (2, 3)])
+            sets = Signatures(np.concatenate(ends), n, batch.column(4).to_pylist() + batch.column(5).to_pylist())
+            i, j = sets.linkable(np.arange(batch.num_rows), np.arange(batch.num_rows, 2 * batch.num_rows))
+            x, y = ends[0][i], ends[1][j - batch.num_rows]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+
+    rows = pairs.select("a", "b", "n_a", "n_b", "bitmap_a", "bitmap_b")
+    return rows.mapInArrow(run, fields(a=T.LongType(), b=T.LongType()))
 
 
 def _group_pairs(shared: DataFrame, nodes: DataFrame, labels: DataFrame) -> DataFrame:
@@ -331,7 +356,7 @@ def _group_pairs(shared: DataFrame, nodes: DataFrame, labels: DataFrame) -> Data
     open_groups = materialize(open_groups, "open-groups")
     bitmaps = nodes.select("node", "n", "bitmap")
     # A group of two is a pair; many groups have the same two, so pairs are told apart first.
-    ends = _pair_rows(open_groups.where("size = 2").select("a", "b").distinct(), nodes)
+    two = _near_pairs(_sided(open_groups.where("size = 2").select("a", "b").distinct(), nodes))
     rows = member.join(open_groups.where("size > 2").select("lead", "size"), "lead").join(bitmaps, "node")
     a, b = SIMILARITY
     band = F.floor(F.log(F.col("n")) / F.log(F.lit(b / a))).cast("int")
@@ -344,25 +369,14 @@ def _group_pairs(shared: DataFrame, nodes: DataFrame, labels: DataFrame) -> Data
         .withColumn("other", F.explode(F.sequence(F.lit(0), pieces - 1)))
         .withColumn("task", F.xxhash64("lead", "band", F.least(piece, "other"), F.greatest(piece, "other")))
     )
-    sent = rows.select("task", "node", "component", "n", "bitmap").unionByName(ends)
-    return _without_far(sent)
-
-
-def _pair_rows(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs ``a, b`` as groups of two."""
-    pairs = pairs.withColumn("task", F.xxhash64("a", "b"))
-    ends = pairs.select("task", F.col("a").alias("node")).union(pairs.select("task", F.col("b").alias("node")))
-    return ends.join(nodes.select("node", "n", "bitmap"), "node").select(
-        "task", "node", F.col("node").alias("component"), "n", "bitmap"
-    )
+    return two.unionByName(_without_far(rows.select("task", "node", "component", "n", "bitmap")))
 
 
 def _without_far(rows: DataFrame) -> DataFrame:
     """The pairs of each task that sizes and bitmaps do not rule out."""
-    found = rows.repartition("task").sortWithinPartitions("task", "component", "n").mapInArrow(
+    return rows.repartition("task").sortWithinPartitions("task", "component", "n").mapInArrow(
         _traverse_groups, fields(a=T.LongType(), b=T.LongType())
     )
-    return found.distinct()
 
 
 def _traverse_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from types import SimpleNamespace
 
-from chatwarden.llm import token_files
+import pytest
+from pyspark.sql import functions as F
+
+from chatwarden.llm import common, jaccard_join, token_files
 from chatwarden.llm.queries import tokenizer_path
 
 
@@ -20,3 +23,24 @@ def test_only_texts_that_may_be_uneven_are_looked_at_one_by_one(monkeypatch):
     monkeypatch.setattr(token_files, "_UNEVEN", SimpleNamespace(search=looked.append))
     words.encode([b"one plain text"] * 1000 + [b"two  spaces"])
     assert looked == ["two  spaces"]
+
+
+@pytest.mark.parametrize("made", ["sized", "fixed", "cells"])
+def test_bit_tables_run_no_job_for_each_partition(spark, made):
+    context, conf = spark.sparkContext, spark.conf
+    held = {c: conf.get(c) for c in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    conf.set("spark.sql.shuffle.partitions", "40")
+    conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    context.setJobGroup(made, made)
+    try:
+        keys = spark.range(200).select(F.xxhash64("id").alias("k"), F.concat_ws(" ", *[F.col("id") + i for i in range(9)]).alias("t"))
+        if made == "cells":
+            jaccard_join.frequent_cells(keys, "t")
+        else:
+            bits = jaccard_join.sized_bits(keys, "k") if made == "sized" else common.bit_table(keys, "k")
+            assert common.in_bit_table(bits, keys.toPandas()["k"].to_numpy()).all()
+        assert len(context.statusTracker().getJobIdsForGroup(made)) < 10
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+        for c, value in held.items():
+            conf.set(c, value)
