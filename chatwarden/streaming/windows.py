@@ -20,8 +20,7 @@ from __future__ import annotations
 from bisect import bisect_right
 from collections.abc import Iterator, Sequence
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Row, functions as F, types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from chatwarden.functions.fixed_values import WINDOW_LENGTH, WINDOW_STEP
@@ -40,6 +39,8 @@ class _Cutter(StatefulProcessor):
     def __init__(self, group: str, order_type: T.StructType, length: int, stride: int, idle: int | None):
         self.group, self.order_type = group, order_type
         self.length, self.stride, self.idle = length, stride, idle
+        self.names = [*order_type.names, "message"]
+        self.piece = Row(group, "_first", "_last", "late_messages", "_messages")
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -47,12 +48,11 @@ class _Cutter(StatefulProcessor):
         tail = T.StructType([*self.order_type.fields, T.StructField("message", T.StringType())])
         self.tail = handle.getListState("tail", tail)
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        seen, late = self.counts.get() if self.counts.exists() else (0, 0)
-        tail = [tuple(t) for t in self.tail.get()] if self.tail.exists() else []
-        frame = pd.concat(list(rows))
-        names = [*self.order_type.names, "message"]
-        arrived = sorted(zip(*(frame[c].tolist() for c in names)), key=lambda m: m[:-1])
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        # Each call of the state is a message to the JVM: a group that is new has no tail to ask for.
+        seen, late = self.counts.get() or (0, 0)
+        tail = [tuple(t) for t in self.tail.get()] if seen else []
+        arrived = sorted((tuple(row[c] for c in self.names) for row in rows), key=lambda m: m[:-1])
         # In order, the late messages come first.
         n_late = bisect_right([m[:-1] for m in arrived], tail[-1][:-1]) if tail else 0
         offset = seen - len(tail)  # place of messages[0] in the group
@@ -72,17 +72,9 @@ class _Cutter(StatefulProcessor):
         out = [(p[0], p[-1], messages[p[0] - offset : p[-1] - offset + self.length]) for p in pieces]
         out += [(None, None, too_late[i : i + _PIECE]) for i in range(0, n_late, _PIECE)]
         for one, last, held in out:
-            yield pd.DataFrame(
-                {
-                    self.group: [key[0]],
-                    "_first": pd.array([one], dtype="Int64"),
-                    "_last": pd.array([last], dtype="Int64"),
-                    "late_messages": [late],
-                    "_messages": ["[" + ",".join(m[-1] for m in held) + "]"],
-                }
-            )
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+            yield self.piece(key[0], one, last, late, "[" + ",".join(m[-1] for m in held) + "]")
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         self.counts.clear()
         self.tail.clear()
         return iter(())
@@ -162,7 +154,8 @@ def stream_pieces(
         ]
     )
     cutter = _Cutter(group, order_type, length, min(step, length), idle)
-    return plain.groupBy("_group").transformWithStateInPandas(
+    # Rows, not pandas: groups are many and small, and each frame costs more than its messages.
+    return plain.groupBy("_group").transformWithState(
         cutter, out, "append", "none" if idle is None else "processingTime"
     )
 
