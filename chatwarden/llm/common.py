@@ -15,6 +15,7 @@ from chatwarden.llm.words import blocks
 #: Bits of a table that is sent to every task; its size does not follow the data.
 BIT_TABLE_BITS = 1 << 25
 _BUCKET = 1 << 15  # bits of one bitmap of bitmap_construct_agg
+_TEXTS = 128  # texts that are taken from a batch at a time
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,15 +37,18 @@ def fresh(rows: DataFrame, name: str) -> str:
     return name
 
 
-def as_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
-    """UTF-8 bytes of a text column; NULL is an empty text."""
-    return [b"" if t is None else t for t in column.cast(pa.binary()).to_pylist()]
+def as_bytes(column: pa.Array | pa.ChunkedArray) -> Iterator[bytes]:
+    """UTF-8 bytes of a text column; NULL is an empty text. Only a few texts are held at a time."""
+    for at in range(0, len(column), _TEXTS):
+        for text in column.slice(at, _TEXTS).cast(pa.binary()).to_pylist():
+            yield b"" if text is None else text
 
 
-def expanded(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
+def expanded(column: pa.Array | pa.ChunkedArray) -> Iterator[bytes]:
     """UTF-8 bytes of the compressed texts of :func:`labelled_texts`."""
     expand = zstandard.ZstdDecompressor()
-    return [expand.decompress(z) for z in column.to_pylist()]
+    for text in as_bytes(column):
+        yield expand.decompress(text)
 
 
 def map_texts(

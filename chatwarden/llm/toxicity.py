@@ -28,14 +28,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from chatwarden.session import small_batches
 from chatwarden.llm.common import expanded, fields, labelled_texts, map_texts, platt, sample_per_class, sigmoid
-from chatwarden.llm.words import ALNUM, Words, blocks, find_words, mix
+from chatwarden.llm.words import ALNUM, Words, blocks, find_words, mix, release
 
 SAMPLE = 1500
 #: The strongest features that a field can have, 16 bytes each; the only ones that reach the driver.
 FEATURES = 1 << 20
 _PRECISION = 0.92
 _STRENGTH = 30.0  # least log-likelihood ratio
+_TOGETHER = 4  # blocks whose counts are added up before they leave a task
 _PREFIXES = (0, 4, 5)  # 0: the whole word
 _STEPS, _RATE, _DECAY = 120, 0.3, 1e-3
 #: Weights that all tokens share; their slopes are taken by a difference of this size.
@@ -63,6 +65,17 @@ def _distinct_per_text(found: Words) -> tuple[np.ndarray, np.ndarray]:
     return text[new], features[new]
 
 
+def _summed(keys: np.ndarray, *numbers: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Each key once, with the sums of its numbers."""
+    distinct, place = np.unique(keys, return_inverse=True)
+    return distinct, *(np.bincount(place, n, len(distinct)).astype(np.int64) for n in numbers)
+
+
+def _counts(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    keys, n0, n1 = _summed(*map(np.concatenate, zip(*held)))
+    return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n0), pa.array(n1)], names=["f", "n0", "n1"])
+
+
 def _places(features: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places of features in a sorted table, and which are there."""
     if not len(table):
@@ -78,16 +91,19 @@ def toxic_features(rows: DataFrame, n_toxic: int, n_clean: int) -> np.ndarray:
     that stand out reach the driver, the ``FEATURES`` strongest of them at most."""
 
     def by_class(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for batch in batches:
             labels = batch.column(1).to_numpy()
-            for at, texts in blocks(expanded(batch.column(0)), 4 << 20):
+            for at, texts in blocks(expanded(batch.column(0))):
                 text, features = _distinct_per_text(find_words(texts, ALNUM, lower=True))
-                keys, place = np.unique(features, return_inverse=True)
-                n_all = np.bincount(place, minlength=len(keys))
-                n1 = np.bincount(place[labels[at + text] == 1], minlength=len(keys))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys.view(np.int64)), pa.array(n_all - n1), pa.array(n1)], names=["f", "n0", "n1"]
-                )
+                toxic = (labels[at + text] == 1).astype(np.int64)
+                held.append(_summed(features, 1 - toxic, toxic))
+                if len(held) == _TOGETHER:
+                    yield _counts(held)
+                    held = []
+        if held:
+            yield _counts(held)
+        release()
 
     counted = rows.select("text", "label").mapInArrow(by_class, fields(f=T.LongType(), n0=T.LongType(), n1=T.LongType()))
     clean, toxic = F.col("n0"), F.col("n1")
@@ -238,7 +254,7 @@ def fit(texts: list[bytes], labels: np.ndarray, features: np.ndarray) -> Field:
     """Gradient ascent on the likelihood of the token labels; the curve of the score last."""
     field = Field(features, np.zeros(len(features)))
     parts = []
-    for at, block in blocks(texts, 4 << 20):
+    for at, block in blocks(texts):
         found = find_words(block, ALNUM, lower=True)
         c = field.chains(found)
         toxic = labels[at + c.text] == 1
@@ -274,6 +290,7 @@ def fit(texts: list[bytes], labels: np.ndarray, features: np.ndarray) -> Field:
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", doc_id: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> Field:
+    small_batches(docs.sparkSession)
     rows = labelled_texts(docs, labels, label, doc_id, text)
     shares = {r.label: r["count"] for r in rows.groupBy("label").count().collect()}
     if len(shares) < 2:
@@ -287,6 +304,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", doc_id: str
             texts.extend(expanded(batch.column(0)))
             marks.append(batch.column(1).to_numpy())
         field = fit(texts, np.concatenate(marks) if marks else np.zeros(0, int), sent.value)
+        release()
         shared = [field.bias, field.into, field.out, field.stay, field.a, field.b]
         data = np.concatenate([shared, field.weights]).tobytes()
         yield pa.RecordBatch.from_arrays([pa.array([data], pa.binary())], names=["model"])
@@ -299,6 +317,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", doc_id: str
 
 def score(docs: DataFrame, field: Field, text: str = "text", threshold: float = 0.5) -> DataFrame:
     """Adds ``score``, ``predicted`` and ``toxic_spans`` (start:end in code points, comma-joined)."""
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(vars(field))
 
     def work(texts: list[bytes]):

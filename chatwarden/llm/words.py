@@ -8,16 +8,20 @@ modulo 2^64. Work and memory are linear in the block.
 
 from __future__ import annotations
 
+import ctypes
 import sys
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from types import ModuleType
 
 import numpy as np
+import pyarrow as pa
 
 #: Bytes of text that are handled as one block; a longer text is a block of its own.
 BLOCK_BYTES = 1_000_000
 
+_POWERS_STEP = 1 << 18  # tables of powers grow by so many
+
 _BYTE_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _WINDOW_BASES = (np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F))
 
@@ -39,6 +43,15 @@ def worker_cache() -> dict:
     return sys.modules.setdefault("_corpus_worker_cache", ModuleType("_corpus_worker_cache")).__dict__
 
 
+def release() -> None:
+    """Gives memory that is no longer used back to the machine. A worker keeps it else, and
+    other workers and the JVM of its executor share one limit."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only some C libraries have it
+    if trim:
+        trim(0)
+
+
 def _powers(base: int, size: int) -> tuple[np.ndarray, np.ndarray]:
     """``base`` to the powers 0, 1, ... and the inverses of those, modulo 2^64."""
     inverse = pow(base, -1, 1 << 64)
@@ -53,7 +66,7 @@ def _powers(base: int, size: int) -> tuple[np.ndarray, np.ndarray]:
 def powers(base: np.uint64, size: int) -> tuple[np.ndarray, np.ndarray]:
     key, cache = f"powers {base}", worker_cache()
     if key not in cache or len(cache[key][0]) < size:
-        cache[key] = _powers(int(base), 1 << max(size, 1 << 16).bit_length())
+        cache[key] = _powers(int(base), -(-size // _POWERS_STEP) * _POWERS_STEP)
     up, down = cache[key]
     return up[:size], down[:size]
 

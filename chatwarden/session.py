@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 _local_scratch: dict[str, str] = {}
 
 
@@ -47,6 +48,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/chatwarden/{name}-{uuid.uuid4().hex}"
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Cuts what goes to Python workers by bytes, unless the session says how.
+
+    A batch of wide texts is held by the JVM outside its heap, more than once,
+    and by the worker. The default of 64 MB a batch is a tenth of a small executor.
+    """
+    if _BATCH not in spark.conf.getAll:
+        spark.conf.set(_BATCH, "4m")
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Deals out the rows of a scan that has fewer splits than there are cores.
 
