@@ -32,28 +32,33 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
-from chatwarden.session import scratch_path
+from chatwarden.session import scratch_path, small_batches
 from chatwarden.llm.common import as_bytes, fields
-from chatwarden.llm.words import Words, blocks, find_words, mix, worker_cache
+from chatwarden.llm.words import Words, blocks, find_words, mix, release, worker_cache
 
 SHARD_TOKENS = 1 << 21
 END_ID = 0
 ROUNDS = 6
 MIN_PAIR = 24  # rarer pairs get no rule
 _SHORT = 1 << 16  # symbols below this take two bytes; rules stop there if the vocabulary leaves room
-_BLOCK = 3 << 20
+_BLOCK = 1 << 20
 _SLOT_BITS = 20
 _SLOTS = 1 << _SLOT_BITS  # counters of a round
+_STEP = 1 << 19  # pairs that are looked at together
 _MAX_WORDS = 1_500_000  # words that a worker remembers; then it starts anew
+_NEAR_BITS = 20
 _UNEVEN = re.compile(r"\s |^ | $")  # spaces that may not start a piece
 #: Bytes that are, or may end, a character of white space.
 _MAY_BE_SPACE = np.zeros(256, bool)
-_MAY_BE_SPACE[[c.encode()[-1] for c in map(chr, range(0x110000)) if c.isspace()]] = True
+_SPACES = [c.encode() for c in map(chr, range(0x3001)) if c.isspace()]
+_MAY_BE_SPACE[[c[-1] for c in _SPACES]] = True
+_WIDE_SPACES = np.array([int.from_bytes(c) for c in _SPACES if len(c) > 1])
 
 
 def _piece_class(byte: int) -> int:
@@ -120,9 +125,12 @@ class WordEncoder:
 
     def _forget(self) -> None:
         self.keys = np.zeros(0, np.uint64)
-        self.slots = np.zeros(0, np.int64)
-        self.start = np.zeros(1, np.int64)
-        self.ids = np.zeros(0, np.uint32)
+        self.slots = np.zeros(0, np.int32)
+        self.start = np.zeros(1, np.int32)
+        self.ids = np.zeros(0, np.uint16 if self.tokenizer.get_vocab_size() <= _SHORT else np.uint32)
+        # One word for each value of a key's first bits is found without a search.
+        self.near_key = np.zeros(1 << _NEAR_BITS, np.uint64)
+        self.near_slot = np.full(1 << _NEAR_BITS, -1, np.int32)
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray] | tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, bounds per text)."""
@@ -137,7 +145,7 @@ class WordEncoder:
         slots = self._slots(found, keys, bare)
         sizes = np.diff(self.start)[slots]
         ends = np.concatenate([[0], np.cumsum(sizes)])
-        ids = self.ids[np.repeat(self.start[slots] - ends[:-1], sizes) + np.arange(ends[-1])]
+        ids = self.ids[_ranges(self.start[slots], sizes)].astype(np.uint32)
         bounds = ends[found.first]
         if any(uneven):
             parts = [ids[s:e] for s, e in zip(bounds[:-1], bounds[1:])]
@@ -156,6 +164,11 @@ class WordEncoder:
         behind[1:] = _MAY_BE_SPACE[raw[:-1]]
         at = np.flatnonzero((raw == 0x20) & behind)
         ends = np.cumsum(np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts)))
+        # Most bytes that may end a character of white space end another one.
+        wide = raw[at - 1] >= 0x80
+        code = (raw[at - 2].astype(np.int32) << 8) | raw[at - 1]
+        code = np.where(raw[at - 2] == 0xC2, code, (raw[at - 3].astype(np.int32) << 16) | code)
+        at = at[~wide | np.isin(code, _WIDE_SPACES)]
         maybe = np.zeros(len(texts), bool)
         # The space itself or, where it only parts two texts, the byte before it.
         maybe[np.searchsorted(ends, at, "right")] = True
@@ -169,50 +182,89 @@ class WordEncoder:
         made = self.tokenizer.encode_batch([t.decode() for t in texts], add_special_tokens=False)
         return [np.array(e.ids, np.uint32) for e in made]
 
-    def _slots(self, found, keys: np.ndarray, bare: np.ndarray) -> np.ndarray:
+    def _slots(self, found: Words, keys: np.ndarray, bare: np.ndarray) -> np.ndarray:
+        place = (keys >> np.uint64(64 - _NEAR_BITS)).astype(np.intp)
+        slots = self.near_slot.take(place).astype(np.int64)
+        rest = np.flatnonzero((self.near_key.take(place) != keys) | (slots < 0))
+        if len(rest):
+            far = self._search(found, keys[rest], bare[rest], rest)
+            if far is None:  # all is forgotten
+                return self._slots(found, keys, bare)
+            slots[rest] = far
+        return slots
+
+    def _search(self, found: Words, keys: np.ndarray, bare: np.ndarray, at: np.ndarray) -> np.ndarray | None:
+        """Slots of the words ``at``; new ones are encoded. None if there is no room for these."""
         distinct, first_at, inverse = np.unique(keys, return_index=True, return_inverse=True)
-        slot = self._lookup(distinct)
+        place = np.searchsorted(self.keys, distinct)
+        slot = np.full(len(distinct), -1)
+        known = np.flatnonzero(place < len(self.keys))
+        known = known[self.keys[place[known]] == distinct[known]]
+        slot[known] = self.slots[place[known]]
         new = np.flatnonzero(slot < 0)
         if len(new):
             if len(self.keys) + len(new) > _MAX_WORDS and len(self.keys):
                 self._forget()
-                return self._slots(found, keys, bare)
-            at = first_at[new]
-            words = [found.data[found.start[i] : found.end[i]].decode() for i in at.tolist()]
-            ids = self._encode_pieces(words, bare[at])
-            self.start = np.concatenate([self.start, self.start[-1] + np.cumsum([len(x) for x in ids])])
-            self.ids = np.concatenate([self.ids, *ids])
+                return None
+            ids, sizes = self._encode_pieces(found, at[first_at[new]], bare[first_at[new]])
             slot[new] = len(self.keys) + np.arange(len(new))
-            all_keys = np.concatenate([self.keys, distinct[new]])
-            all_slots = np.concatenate([self.slots, slot[new]])
-            order = np.argsort(all_keys, kind="stable")  # merges two sorted runs
-            self.keys, self.slots = all_keys[order], all_slots[order]
+            self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(sizes, dtype=np.int32)])
+            self.ids = np.concatenate([self.ids, ids.astype(self.ids.dtype)])
+            self.slots = np.insert(self.slots, place[new], slot[new])
+            self.keys = np.insert(self.keys, place[new], distinct[new])
+            near = (distinct[new] >> np.uint64(64 - _NEAR_BITS)).astype(np.intp)
+            near, chosen = np.unique(near, return_index=True)
+            free = self.near_slot[near] < 0
+            self.near_key[near[free]] = distinct[new[chosen[free]]]
+            self.near_slot[near[free]] = slot[new[chosen[free]]]
         return slot[inverse]
 
-    def _lookup(self, keys: np.ndarray) -> np.ndarray:
-        if not len(self.keys):
-            return np.full(len(keys), -1)
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return np.where(self.keys[at] == keys, self.slots[at], -1)
-
-    def _encode_pieces(self, pieces: list[str], bare: np.ndarray, together: int = 256) -> list[np.ndarray]:
-        """Ids of each piece. Pieces behind a space are encoded as lines: the end of a line
-        is an id of its own in front of a space, and the ids are cut there."""
-        out: list = [None] * len(pieces)
-        alone = bare | np.fromiter(("\n" in p or p[-1].isspace() for p in pieces), bool, len(pieces))
-        plain = np.flatnonzero(~alone).tolist()
-        parts = [plain[i : i + together] for i in range(0, len(plain), together)]
-        texts = ["".join(f" {pieces[i]}\n" for i in part) + " " for part in parts]
-        for part, encoded in zip(parts, self.tokenizer.encode_batch(texts, add_special_tokens=False)):
-            ids = np.array(encoded.ids, np.uint32)
-            ends = np.flatnonzero(ids == self.line_end)
-            for i, s, e in zip(part, np.concatenate([[0], ends[:-1] + 1]).tolist(), ends.tolist()):
-                out[i] = ids[s:e]
-        rest = np.flatnonzero(alone).tolist()
-        texts = [pieces[i] if bare[i] else " " + pieces[i] for i in rest]
-        for i, encoded in zip(rest, self.tokenizer.encode_batch(texts, add_special_tokens=False)):
-            out[i] = np.array(encoded.ids, np.uint32)
-        return out
+    def _encode_pieces(self, found: Words, at: np.ndarray, bare: np.ndarray, together: int = 48) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of the pieces ``at``, one piece after the other; how many each has). Pieces behind a
+        space are encoded as lines: the end of a line is an id of its own in front of a space, and
+        the ids are cut there."""
+        raw = np.frombuffer(found.data, np.uint8)
+        start, end = found.start[at], found.end[at]
+        line_ends = np.flatnonzero(raw == 0x0A)
+        alone = bare | (np.searchsorted(line_ends, start) < np.searchsorted(line_ends, end))
+        for i in np.flatnonzero(~alone & _MAY_BE_SPACE[raw[end - 1]]).tolist():
+            alone[i] = found.data[start[i] : end[i]].decode()[-1].isspace()
+        plain, rest = np.flatnonzero(~alone), np.flatnonzero(alone)
+        long = end[plain] - start[plain]
+        line = np.concatenate([[0], np.cumsum(long + 2)])
+        data = np.full(line[-1], 0x20, np.uint8)
+        data[line[1:] - 1] = 0x0A
+        data[_ranges(line[:-1] + 1, long)] = raw[_ranges(start[plain], long)]
+        data = data.tobytes()
+        first = np.arange(0, len(plain), together)
+        bounds = [*line[first].tolist(), len(data)]
+        lines, sizes = self._all([data[a:b].decode() + " " for a, b in zip(bounds[:-1], bounds[1:])])
+        cut = np.flatnonzero(lines == self.line_end)
+        begin = np.concatenate([[0], cut[:-1] + 1]) if len(cut) else cut
+        begin[first] = np.cumsum(sizes) - sizes
+        spaces = np.where(bare[rest], 0, 1).tolist()
+        others, sizes = self._all(
+            [" " * n + found.data[a:b].decode() for n, a, b in zip(spaces, start[rest].tolist(), end[rest].tolist())]
+        )
+        counts = np.zeros(len(at), np.int64)
+        counts[plain], counts[rest] = cut - begin, sizes
+        to = np.cumsum(counts) - counts
+        ids = np.zeros(int(counts.sum()), np.uint32)
+        ids[_ranges(to[plain], counts[plain])] = lines[_ranges(begin, cut - begin)]
+        ids[_ranges(to[rest], sizes)] = others
+        return ids, counts
+
+    def _all(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of the texts, one text after the other; how many each has)."""
+        made = [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        sizes = np.fromiter(map(len, made), np.int64, len(made))
+        return np.fromiter(chain.from_iterable(made), np.uint32, int(sizes.sum())), sizes
+
+
+def _ranges(start: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """``start[0], start[0] + 1, ...``: as many numbers from each start as its size."""
+    ends = np.cumsum(sizes)
+    return np.repeat(start - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
 
 
 def encoder(tokenizer_file: str) -> WordEncoder:
@@ -278,17 +330,19 @@ def repair(ids: np.ndarray, end: int, rounds: int = ROUNDS, min_pair: int = MIN_
     owner, rule_of = np.zeros(_SLOTS, np.uint64), np.zeros(_SLOTS, np.int32)
     for _ in range(rounds):
         n_symbols = len(size)
-        left, right = symbols[:-1], symbols[1:]
-        slot = (left * np.uint32(0x9E3779B1) + right * np.uint32(0x85EBCA77)) >> np.uint32(32 - _SLOT_BITS)
-        slot = slot.astype(np.intp)  # as an index is used, once for all uses
-        code = left.astype(np.uint64)
-        code <<= np.uint64(32)
-        code |= right
+        n = max(len(symbols) - 1, 0)
+        slot = np.empty(n, np.int32)
+        steps = [slice(i, min(i + _STEP, n)) for i in range(0, n, _STEP)]
         # A slot counts the pair that owns it; pairs that lose theirs wait for the next round.
-        owner[slot] = code
+        for step in steps:
+            slot[step] = here = _slot(symbols, step)
+            owner[here] = _code(symbols, step)
         plain = symbols != end
-        owned = (owner.take(slot) == code) & plain[:-1] & plain[1:]
-        counts = np.bincount(slot.compress(owned), minlength=_SLOTS)
+        owned, counts = plain[:-1] & plain[1:], np.zeros(_SLOTS, np.int64)
+        for step in steps:
+            here = slot[step].astype(np.intp)
+            owned[step] &= owner.take(here) == _code(symbols, step)
+            counts += np.bincount(here.compress(owned[step]), minlength=_SLOTS)
         often = np.flatnonzero(counts >= min_pair)
         room = _SHORT - n_symbols if end < _SHORT // 8 * 7 else len(often)
         chosen = _sides(owner[often], counts[often], often, room)
@@ -296,9 +350,10 @@ def repair(ids: np.ndarray, end: int, rounds: int = ROUNDS, min_pair: int = MIN_
             break
         rule_of[:] = -1
         rule_of[chosen] = np.arange(len(chosen))
-        place = rule_of.take(slot)
-        at = np.flatnonzero(owned & (place >= 0))
-        place = place.take(at)
+        for step in steps:
+            owned[step] &= rule_of.take(slot[step]) >= 0
+        at = np.flatnonzero(owned)
+        place = rule_of.take(slot.take(at))
         pairs = owner[chosen]
         fresh = np.stack([pairs >> np.uint64(32), pairs & np.uint64(0xFFFFFFFF)], axis=1).astype(np.int64)
         # Only pairs of one symbol twice can follow each other closely: every second one counts.
@@ -316,6 +371,20 @@ def repair(ids: np.ndarray, end: int, rounds: int = ROUNDS, min_pair: int = MIN_
     return symbols, table.astype(np.uint32), size[end + 1 :].astype(np.uint32)
 
 
+def _code(symbols: np.ndarray, step: slice) -> np.ndarray:
+    """The pairs that begin in a step, each as one number."""
+    code = symbols[step].astype(np.uint64)
+    code <<= np.uint64(32)
+    code |= symbols[step.start + 1 : step.stop + 1]
+    return code
+
+
+def _slot(symbols: np.ndarray, step: slice) -> np.ndarray:
+    left, right = symbols[step], symbols[step.start + 1 : step.stop + 1]
+    slot = (left * np.uint32(0x9E3779B1) + right * np.uint32(0x85EBCA77)) >> np.uint32(32 - _SLOT_BITS)
+    return slot.astype(np.intp)
+
+
 def _sides(pairs: np.ndarray, counts: np.ndarray, slots: np.ndarray, room: int) -> np.ndarray:
     """Slots of the pairs of a round, the most frequent first; a symbol stays on the side
     that it got first, so no two of the pairs can overlap."""
@@ -359,6 +428,7 @@ def write_token_files(
     shard_tokens: int = SHARD_TOKENS,
 ) -> None:
     """Writes the ids of all texts, with ``END_ID`` behind each, in ascending order of ids."""
+    small_batches(docs.sparkSession)
     ordered = (
         docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"), F.xxhash64(text).alias("tie"))
         .repartitionByRange("id", "tie")
@@ -388,8 +458,10 @@ def write_token_files(
                 if total >= shard_tokens:
                     yield _shard(part, shard, held_ids, held_docs, held_sizes, end)
                     held_ids, held_docs, held_sizes, total, shard = [], [], [], 0, shard + 1
+                    release()
         if held_docs:
             yield _shard(part, shard, held_ids, held_docs, held_sizes, end)
+        release()
 
     ordered.mapInArrow(run, _SHARD).write.parquet(path)
 
