@@ -17,7 +17,9 @@ starts a new piece of the vocabulary's pattern, and so does a change between
 ASCII letters, digits and signs (but not behind an apostrophe). The ids of a text
 are those of its pieces, one after the other. Pieces are found and looked up by
 64-bit hashes in blocks; only pieces that a worker has not met yet go through
-the tokenizer. Texts with other runs of white space or with a special token's
+the tokenizer. Of these, pieces of ASCII letters, digits or signs alone are what
+the vocabulary's pattern would leave whole, so they go to its BPE model without
+the pattern. Texts with other runs of white space or with a special token's
 string are encoded whole.
 
 Defined cases: a NULL or empty text is the end id alone; documents of one id
@@ -32,6 +34,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import chain
 
 import numpy as np
@@ -40,7 +43,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types a
 
 from chatwarden.session import scratch_path, small_batches
 from chatwarden.llm.common import as_bytes, fields
-from chatwarden.llm.words import Words, blocks, find_words, mix, release, worker_cache
+from chatwarden.llm.words import blocks, mix, release, worker_cache
 
 SHARD_TOKENS = 1 << 21
 END_ID = 0
@@ -50,9 +53,10 @@ _SHORT = 1 << 16  # symbols below this take two bytes; rules stop there if the v
 _BLOCK = 1 << 20
 _SLOT_BITS = 20
 _SLOTS = 1 << _SLOT_BITS  # counters of a round
-_STEP = 1 << 19  # pairs that are looked at together
 _MAX_WORDS = 1_500_000  # words that a worker remembers; then it starts anew
 _NEAR_BITS = 20
+_TOGETHER = 48  # new pieces that go through the tokenizer as one text
+_SPACE_LETTER = "\u0120".encode()  # a space in tokens of a byte vocabulary
 _UNEVEN = re.compile(r"\s |^ | $")  # spaces that may not start a piece
 #: Bytes that are, or may end, a character of white space.
 _MAY_BE_SPACE = np.zeros(256, bool)
@@ -62,10 +66,12 @@ _WIDE_SPACES = np.array([int.from_bytes(c) for c in _SPACES if len(c) > 1])
 
 
 def _piece_class(byte: int) -> int:
-    """0 space, 1 letter, 2 digit, 3 sign, 4 no piece starts here or behind, 5 white space."""
+    """0 space, 1 letter, 2 digit, 3 sign, 4 no piece starts here or behind, 5 white space, 6 apostrophe."""
     char = chr(byte)
     if byte == 0x20:
         return 0
+    if byte == 0x27:
+        return 6
     if 0x09 <= byte <= 0x0D:
         return 5
     if byte < 0x20 or byte >= 0x7F:
@@ -73,25 +79,61 @@ def _piece_class(byte: int) -> int:
     return 1 if char.isalpha() else 2 if char.isdigit() else 3
 
 
-_CLASS = np.array([_piece_class(b) for b in range(256)], dtype=np.int8)
-#: Whether a new piece starts between a byte of the first class and one of the second.
-_CUT = np.zeros((6, 6), bool)
-for _a in (1, 2, 3):
-    for _b in (1, 2, 3, 5):
-        _CUT[_a, _b] = _a != _b
+_CLASSES = 7
+_CLASS = bytes(_piece_class(b) for b in range(256))
+_CUTS = {(a, b) for a in (1, 2, 3) for b in (1, 2, 3, 5, 6) if a != b} - {(3, 6)}
 
 
-def find_pieces(texts: list[bytes]) -> Words:
-    """Runs without spaces, cut where the class of their bytes changes."""
-    data = np.frombuffer(b" ".join(texts), np.uint8)
-    kind = _CLASS[data]
-    cut = np.zeros(len(data), bool)
-    if len(data):
-        cut[1:] = _CUT[kind[:-1], kind[1:]] & (data[:-1] != 0x27)
-    return find_words(texts, _NOT_SPACE, lower=False, cut=cut)
+def _edge(before: int, here: int) -> int:
+    """1 where a piece starts, 2 where one ends, 3 where one ends and the next starts."""
+    if before and here:
+        return 3 if (before, here) in _CUTS else 0
+    return 1 if here else 2 if before else 0
+
+
+#: For the classes of two neighboring bytes, as one number: what is between them.
+_EDGE = bytes(_edge(*divmod(i, _CLASSES)) if i < _CLASSES**2 else 0 for i in range(256))
+#: Bytes of pieces that may hold more than one match of the vocabulary's pattern.
+_ODD = bytes(c in (4, 5, 6) for c in _CLASS)
+_MASK = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
+
+
+@dataclass
+class Pieces:
+    """Pieces of a block. ``first[d]`` to ``first[d + 1]`` are the pieces of text ``d``."""
+
+    data: bytes
+    start: np.ndarray
+    end: np.ndarray
+    first: np.ndarray
+    hash: np.ndarray
 
 
-_NOT_SPACE = (_CLASS != 0).astype(np.int8)
+def find_pieces(texts: list[bytes]) -> Pieces:
+    """Runs without spaces, cut where the class of their bytes changes."""
+    data = b" ".join([b"", *texts, b""])  # with a space before and behind
+    kind = np.frombuffer(data.translate(_CLASS), np.uint8)
+    pair = kind[:-1] * np.uint8(_CLASSES)
+    pair += kind[1:]
+    edge = np.frombuffer(pair.tobytes().translate(_EDGE), np.uint8)
+    start, end = np.flatnonzero((edge & 1).view(bool)) + 1, np.flatnonzero((edge >> 1).view(bool)) + 1
+    offset = np.cumsum(np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))) + 1
+    first = np.searchsorted(start, np.concatenate([[1], offset]))
+    return Pieces(data, start, end, first, _hash(data, start, end - start))
+
+
+def _hash(data: bytes, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Hashes of parts of ``data``, eight bytes at a time."""
+    eight = np.ndarray((len(data),), "<u8", data + bytes(8), strides=(1,))
+    out = size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    out = mix(out + (eight[start] & _MASK.take(np.minimum(size, 8))))
+    at, done = np.flatnonzero(size > 8), 8
+    while len(at):
+        left = size[at] - done
+        out[at] = mix(out[at] + (eight[start[at] + done] & _MASK.take(np.minimum(left, 8))))
+        at, done = at[left > 8], done + 8
+    return out
+
 
 _SHARD = fields(
     part=T.LongType(),
@@ -116,10 +158,19 @@ class WordEncoder:
 
     def __init__(self, tokenizer_file: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, models, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
         (self.line_end,) = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        pattern = self.tokenizer.pre_tokenizer
+        self.model = None  # the vocabulary without its pattern
+        if isinstance(pattern, pre_tokenizers.ByteLevel) and pattern.use_regex and isinstance(self.tokenizer.model, models.BPE):
+            self.model = Tokenizer(self.tokenizer.model)
+            self.model.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
+            vocabulary = self.tokenizer.get_vocab()
+            self.length = np.zeros(max(vocabulary.values()) + 1, np.int32)  # bytes of a token
+            for token, i in vocabulary.items():
+                self.length[i] = len(token)
         self.special = [str(t.content).encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self._forget()
 
@@ -182,7 +233,7 @@ class WordEncoder:
         made = self.tokenizer.encode_batch([t.decode() for t in texts], add_special_tokens=False)
         return [np.array(e.ids, np.uint32) for e in made]
 
-    def _slots(self, found: Words, keys: np.ndarray, bare: np.ndarray) -> np.ndarray:
+    def _slots(self, found: Pieces, keys: np.ndarray, bare: np.ndarray) -> np.ndarray:
         place = (keys >> np.uint64(64 - _NEAR_BITS)).astype(np.intp)
         slots = self.near_slot.take(place).astype(np.int64)
         rest = np.flatnonzero((self.near_key.take(place) != keys) | (slots < 0))
@@ -193,7 +244,7 @@ class WordEncoder:
             slots[rest] = far
         return slots
 
-    def _search(self, found: Words, keys: np.ndarray, bare: np.ndarray, at: np.ndarray) -> np.ndarray | None:
+    def _search(self, found: Pieces, keys: np.ndarray, bare: np.ndarray, at: np.ndarray) -> np.ndarray | None:
         """Slots of the words ``at``; new ones are encoded. None if there is no room for these."""
         distinct, first_at, inverse = np.unique(keys, return_index=True, return_inverse=True)
         place = np.searchsorted(self.keys, distinct)
@@ -219,44 +270,80 @@ class WordEncoder:
             self.near_slot[near[free]] = slot[new[chosen[free]]]
         return slot[inverse]
 
-    def _encode_pieces(self, found: Words, at: np.ndarray, bare: np.ndarray, together: int = 48) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of the pieces ``at``, one piece after the other; how many each has). Pieces behind a
-        space are encoded as lines: the end of a line is an id of its own in front of a space, and
-        the ids are cut there."""
+    def _encode_pieces(self, found: Pieces, at: np.ndarray, bare: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of the pieces ``at``, one piece after the other; how many each has)."""
         raw = np.frombuffer(found.data, np.uint8)
         start, end = found.start[at], found.end[at]
+        odd = np.flatnonzero(np.frombuffer(found.data.translate(_ODD), bool))
+        alike = np.searchsorted(odd, start) == np.searchsorted(odd, end)
+        groups = []
+        part = np.flatnonzero(alike)
+        made = self._alike(raw, start[part], end[part], bare[part])
+        if made is None:
+            alike[:] = False
+        else:
+            groups.append((part, *made))
         line_ends = np.flatnonzero(raw == 0x0A)
-        alone = bare | (np.searchsorted(line_ends, start) < np.searchsorted(line_ends, end))
-        for i in np.flatnonzero(~alone & _MAY_BE_SPACE[raw[end - 1]]).tolist():
+        alone = ~alike & (bare | (np.searchsorted(line_ends, start) < np.searchsorted(line_ends, end)))
+        for i in np.flatnonzero(~alike & ~alone & _MAY_BE_SPACE[raw[end - 1]]).tolist():
             alone[i] = found.data[start[i] : end[i]].decode()[-1].isspace()
-        plain, rest = np.flatnonzero(~alone), np.flatnonzero(alone)
-        long = end[plain] - start[plain]
-        line = np.concatenate([[0], np.cumsum(long + 2)])
+        part = np.flatnonzero(~alike & ~alone)
+        groups.append((part, *self._lines(raw, start[part], end[part])))
+        part = np.flatnonzero(alone)
+        spaces = np.where(bare[part], 0, 1).tolist()
+        texts = [" " * n + found.data[a:b].decode() for n, a, b in zip(spaces, start[part].tolist(), end[part].tolist())]
+        groups.append((part, *self._all(self.tokenizer, texts)))
+        counts = np.zeros(len(at), np.int64)
+        for part, _, sizes in groups:
+            counts[part] = sizes
+        to = np.cumsum(counts) - counts
+        ids = np.zeros(int(counts.sum()), np.uint32)
+        for part, made, sizes in groups:
+            ids[_ranges(to[part], sizes)] = made
+        return ids, counts
+
+    def _alike(self, raw: np.ndarray, start: np.ndarray, end: np.ndarray, bare: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+        """Ids of pieces of ASCII letters, digits or signs alone by the model without its pattern,
+        which would leave them whole. Where a piece ends is told by the lengths of its tokens. None
+        if the model does not spell out the pieces byte by byte."""
+        if self.model is None:
+            return None
+        size, marks = end - start, np.where(bare, 0, 2)  # a space is a letter of two bytes here
+        line = np.concatenate([[0], np.cumsum(size + marks + 1)])
+        data = np.full(line[-1], 0x20, np.uint8)
+        spaced = line[:-1][~bare]
+        data[spaced], data[spaced + 1] = _SPACE_LETTER
+        data[_ranges(line[:-1] + marks, size)] = raw[_ranges(start, size)]
+        data = data.tobytes()
+        bounds = [*line[:-1:_TOGETHER].tolist(), len(data)]
+        ids, _ = self._all(self.model, [data[a:b].decode() for a, b in zip(bounds[:-1], bounds[1:])])
+        ends, wanted = np.cumsum(self.length.take(ids)), np.cumsum(size + ~bare)
+        last = np.searchsorted(ends, wanted)
+        if not len(ids) or last[-1] != len(ids) - 1 or (ends[last] != wanted).any():
+            self.model = None if len(start) else self.model
+            return None
+        return ids, np.diff(last, prepend=-1)
+
+    def _lines(self, raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces behind a space, encoded as lines: the end of a line is an id of its own in
+        front of a space, and the ids are cut there."""
+        size = end - start
+        line = np.concatenate([[0], np.cumsum(size + 2)])
         data = np.full(line[-1], 0x20, np.uint8)
         data[line[1:] - 1] = 0x0A
-        data[_ranges(line[:-1] + 1, long)] = raw[_ranges(start[plain], long)]
+        data[_ranges(line[:-1] + 1, size)] = raw[_ranges(start, size)]
         data = data.tobytes()
-        first = np.arange(0, len(plain), together)
+        first = np.arange(0, len(start), _TOGETHER)
         bounds = [*line[first].tolist(), len(data)]
-        lines, sizes = self._all([data[a:b].decode() + " " for a, b in zip(bounds[:-1], bounds[1:])])
+        lines, sizes = self._all(self.tokenizer, [data[a:b].decode() + " " for a, b in zip(bounds[:-1], bounds[1:])])
         cut = np.flatnonzero(lines == self.line_end)
         begin = np.concatenate([[0], cut[:-1] + 1]) if len(cut) else cut
         begin[first] = np.cumsum(sizes) - sizes
-        spaces = np.where(bare[rest], 0, 1).tolist()
-        others, sizes = self._all(
-            [" " * n + found.data[a:b].decode() for n, a, b in zip(spaces, start[rest].tolist(), end[rest].tolist())]
-        )
-        counts = np.zeros(len(at), np.int64)
-        counts[plain], counts[rest] = cut - begin, sizes
-        to = np.cumsum(counts) - counts
-        ids = np.zeros(int(counts.sum()), np.uint32)
-        ids[_ranges(to[plain], counts[plain])] = lines[_ranges(begin, cut - begin)]
-        ids[_ranges(to[rest], sizes)] = others
-        return ids, counts
+        return lines[_ranges(begin, cut - begin)], cut - begin
 
-    def _all(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _all(self, tokenizer, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of the texts, one text after the other; how many each has)."""
-        made = [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        made = [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         sizes = np.fromiter(map(len, made), np.int64, len(made))
         return np.fromiter(chain.from_iterable(made), np.uint32, int(sizes.sum())), sizes
 
@@ -323,85 +410,92 @@ def _copy(flat: np.ndarray, to: np.ndarray, source: np.ndarray, sizes: np.ndarra
 
 def repair(ids: np.ndarray, end: int, rounds: int = ROUNDS, min_pair: int = MIN_PAIR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(symbols, rules, lengths) of ``ids``; the symbol ``end`` is in no rule and is the
-    largest terminal."""
+    largest terminal.
+
+    Pairs of old symbols only get rarer from round to round, as new ones stand between them. So a
+    pair that was counted as too rare is not looked at again, unless one of its sides is new."""
+    short = end < _SHORT // 8 * 7
     symbols = ids.astype(np.uint32)
+    bits, kind = (16, np.uint32) if short else (32, np.uint64)
     rules: list[np.ndarray] = []
     size = np.ones(end + 1, np.int64)
-    owner, rule_of = np.zeros(_SLOTS, np.uint64), np.zeros(_SLOTS, np.int32)
+    wait = np.ones(len(symbols), bool)
     for _ in range(rounds):
         n_symbols = len(size)
-        n = max(len(symbols) - 1, 0)
-        slot = np.empty(n, np.int32)
-        steps = [slice(i, min(i + _STEP, n)) for i in range(0, n, _STEP)]
-        # A slot counts the pair that owns it; pairs that lose theirs wait for the next round.
-        for step in steps:
-            slot[step] = here = _slot(symbols, step)
-            owner[here] = _code(symbols, step)
         plain = symbols != end
-        owned, counts = plain[:-1] & plain[1:], np.zeros(_SLOTS, np.int64)
-        for step in steps:
-            here = slot[step].astype(np.intp)
-            owned[step] &= owner.take(here) == _code(symbols, step)
-            counts += np.bincount(here.compress(owned[step]), minlength=_SLOTS)
+        wait[-1:] = False
+        wait[:-1] &= plain[:-1] & plain[1:]
+        live = np.flatnonzero(wait).astype(np.int32)  # where pairs begin that may be frequent
+        live, group, n_groups = _groups(symbols, live, min_pair)
+        # A group counts the pair that owns it; pairs that lose theirs wait for the next round.
+        code = (symbols.take(live).astype(kind) << kind(bits)) | symbols.take(live + 1)
+        owner = np.zeros(n_groups, kind)
+        owner[group] = code
+        owned = owner.take(group) == code
+        counts = np.bincount(group.compress(owned), minlength=n_groups)
         often = np.flatnonzero(counts >= min_pair)
-        room = _SHORT - n_symbols if end < _SHORT // 8 * 7 else len(often)
-        chosen = _sides(owner[often], counts[often], often, room)
+        room = _SHORT - n_symbols if short else len(often)
+        chosen = _sides(owner[often], counts[often], often, room, bits, n_symbols)
         if not len(chosen):
             break
-        rule_of[:] = -1
+        rule_of = np.full(n_groups, -2, np.int32)
+        rule_of[often] = -1
         rule_of[chosen] = np.arange(len(chosen))
-        for step in steps:
-            owned[step] &= rule_of.take(slot[step]) >= 0
-        at = np.flatnonzero(owned)
-        place = rule_of.take(slot.take(at))
+        rule = rule_of.take(group)
+        rule[~owned] = -1
+        taken = np.flatnonzero(rule >= 0)
+        at, place = live.take(taken), rule.take(taken)
         pairs = owner[chosen]
-        fresh = np.stack([pairs >> np.uint64(32), pairs & np.uint64(0xFFFFFFFF)], axis=1).astype(np.int64)
+        fresh = np.stack([pairs >> kind(bits), pairs & kind((1 << bits) - 1)], axis=1).astype(np.int64)
         # Only pairs of one symbol twice can follow each other closely: every second one counts.
         new_run = np.diff(at, prepend=-2) != 1
         first_of_run = np.flatnonzero(new_run)[np.cumsum(new_run) - 1]
         even = (np.arange(len(at)) - first_of_run) % 2 == 0
-        at, place = at[even], place[even]
+        at, place = at.compress(even), place.compress(even)
         symbols[at] = n_symbols + place
+        wait[:] = False
+        wait[live.compress(rule > -2)] = True
+        wait[at] = wait[at - 1] = True  # the pairs of a new symbol; -1 is the last one, which begins none
         keep = np.ones(len(symbols), bool)
         keep[at + 1] = False
-        symbols = symbols.compress(keep)
+        symbols, wait = symbols.compress(keep), wait.compress(keep)
         rules.append(fresh)
         size = np.concatenate([size, size[fresh[:, 0]] + size[fresh[:, 1]]])
     table = np.concatenate(rules) if rules else np.zeros((0, 2), np.int64)
     return symbols, table.astype(np.uint32), size[end + 1 :].astype(np.uint32)
 
 
-def _code(symbols: np.ndarray, step: slice) -> np.ndarray:
-    """The pairs that begin in a step, each as one number."""
-    code = symbols[step].astype(np.uint64)
-    code <<= np.uint64(32)
-    code |= symbols[step.start + 1 : step.stop + 1]
-    return code
-
+def _groups(symbols: np.ndarray, live: np.ndarray, min_pair: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """(places of ``live`` whose pair may be there ``min_pair`` times, the number of its group, how
+    many groups there are). A group is all pairs of one slot; most slots have too few of them."""
+    slot = symbols[:-1] * np.uint32(0x9E3779B1)
+    slot += symbols[1:] * np.uint32(0x85EBCA77)
+    slot >>= np.uint32(32 - _SLOT_BITS)
+    slot = slot.take(live).astype(np.intp)
+    full = np.flatnonzero(np.bincount(slot, minlength=_SLOTS) >= min_pair)
+    number = np.full(_SLOTS, -1, np.int32)
+    number[full] = np.arange(len(full))
+    group = number.take(slot)
+    stay = group >= 0
+    return live.compress(stay), group.compress(stay), len(full)
 
-def _slot(symbols: np.ndarray, step: slice) -> np.ndarray:
-    left, right = symbols[step], symbols[step.start + 1 : step.stop + 1]
-    slot = (left * np.uint32(0x9E3779B1) + right * np.uint32(0x85EBCA77)) >> np.uint32(32 - _SLOT_BITS)
-    return slot.astype(np.intp)
 
-
-def _sides(pairs: np.ndarray, counts: np.ndarray, slots: np.ndarray, room: int) -> np.ndarray:
+def _sides(pairs: np.ndarray, counts: np.ndarray, slots: np.ndarray, room: int, bits: int, n_symbols: int) -> np.ndarray:
     """Slots of the pairs of a round, the most frequent first; a symbol stays on the side
     that it got first, so no two of the pairs can overlap."""
-    side: dict[int, int] = {}
+    side = bytearray(n_symbols)  # 0 none yet, 1 left, 2 right, 3 both of one pair
     chosen = []
     order = np.lexsort((pairs, -counts))
-    for slot, a, b in zip(slots[order].tolist(), (pairs[order] >> np.uint64(32)).tolist(), (pairs[order] & np.uint64(0xFFFFFFFF)).tolist()):
-        if len(chosen) >= room:
-            break
+    left, right = pairs[order] >> pairs.dtype.type(bits), pairs[order] & pairs.dtype.type((1 << bits) - 1)
+    for slot, a, b in zip(slots[order].tolist(), left.tolist(), right.tolist()):
         if a == b:
-            if a not in side:
+            if not side[a]:
                 side[a] = 3
                 chosen.append(slot)
-        elif side.get(a, 1) == 1 and side.get(b, 2) == 2:
+        elif side[a] < 2 and not side[b] & 1:
             side[a], side[b] = 1, 2
             chosen.append(slot)
-    return np.array(chosen, np.int64)
+    return np.array(chosen[:room], np.int64)
 
 
 # --- files --------------------------------------------------------------------------
