@@ -10,7 +10,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from chatwarden.session import materialize
-from chatwarden.llm.words import blocks
+from chatwarden.llm.words import blocks, release
 
 #: Bits of a table that is sent to every task; its size does not follow the data.
 BIT_TABLE_BITS = 1 << 25
@@ -51,6 +51,19 @@ def expanded(column: pa.Array | pa.ChunkedArray) -> Iterator[bytes]:
         yield expand.decompress(text)
 
 
+def map_batches(
+    rows: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType
+) -> DataFrame:
+    """``mapInArrow`` by workers that give memory back at the end of a task. They wait for the
+    next one else with all that their largest block took, beside the JVM of their executor."""
+
+    def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        release()
+
+    return rows.mapInArrow(released, schema)
+
+
 def map_texts(
     docs: DataFrame,
     text: str,
@@ -80,7 +93,7 @@ def map_texts(
                 made = [pa.array(v, t) for v, t in zip(work(texts), types)]
                 yield pa.RecordBatch.from_arrays(columns + made, names=names)
 
-    return source.mapInArrow(run, schema)
+    return map_batches(source, run, schema)
 
 
 def _arrow_type(kind: T.DataType) -> pa.DataType:
@@ -160,7 +173,7 @@ def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, doc_id: str =
     source = docs.where(~held_out(doc_id)).select(
         F.col(doc_id).alias("id"), F.col(text).alias("text"), F.xxhash64(doc_id).alias("k")
     )
-    maybe = source.mapInArrow(run, T.StructType([source.schema["id"], T.StructField("text", T.BinaryType())]))
+    maybe = map_batches(source, run, T.StructType([source.schema["id"], T.StructField("text", T.BinaryType())]))
     return materialize(maybe.join(known, "id"), "labelled")
 
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from chatwarden.session import materialize
-from chatwarden.llm.common import as_bytes, bit_table, fields, fresh, in_bit_table, map_texts, row_key
+from chatwarden.llm.common import as_bytes, bit_table, fields, fresh, in_bit_table, map_batches, map_texts, row_key
 from chatwarden.llm.words import ALNUM, blocks, find_words
 
 WINDOW_WORDS = 13
@@ -57,7 +57,7 @@ def item_windows(
     schema = fields(item=T.StringType(), words=T.IntegerType(), hash=T.LongType(), window=T.BinaryType())
     source = items.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("item"), F.col(text))
     return (
-        source.mapInArrow(run, schema)
+        map_batches(source, run, schema)
         .groupBy("words", "hash", "window")
         .agg(F.collect_set("item").alias("items"))
     )

@@ -41,7 +41,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from chatwarden.session import materialize
-from chatwarden.llm.common import as_bytes, fields, fresh, in_bit_table, map_texts, row_key
+from chatwarden.llm.common import as_bytes, fields, fresh, in_bit_table, map_batches, map_texts, row_key
 from chatwarden.llm.words import SPACED, Words, blocks, find_words, mix
 
 SHINGLE_WORDS = 5
@@ -185,8 +185,8 @@ def frequent_cells(docs: DataFrame, text: str) -> np.ndarray:
             yield made()
 
     schema = fields(bucket=T.LongType(), cells=T.BinaryType())
-    counted = docs.select(F.col(text).alias("t")).mapInArrow(count, schema)
-    added = counted.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(add, schema)
+    counted = map_batches(docs.select(F.col(text).alias("t")), count, schema)
+    added = map_batches(counted.repartition("bucket").sortWithinPartitions("bucket"), add, schema)
     out = np.zeros(CELLS // 8, np.uint8)
     size = (inside + 1) // 8
     for row in added.collect():  # one bit per cell, in one job
@@ -293,7 +293,7 @@ def _shared_groups(rows: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(node[maybe]), pa.array(h[maybe])], names=["node", "h"])
 
     source = rows.where("n > 0").select("node", "low")
-    maybe = source.mapInArrow(run, fields(node=T.LongType(), h=T.LongType()))
+    maybe = map_batches(source, run, fields(node=T.LongType(), h=T.LongType()))
     return maybe.distinct().join(groups, "h").groupBy("node", "lead").agg(F.count("*").alias("common"))
 
 
@@ -336,7 +336,7 @@ def _near_pairs(pairs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
 
     rows = pairs.select("a", "b", "n_a", "n_b", "bitmap_a", "bitmap_b")
-    return rows.mapInArrow(run, fields(a=T.LongType(), b=T.LongType()))
+    return map_batches(rows, run, fields(a=T.LongType(), b=T.LongType()))
 
 
 def _group_pairs(shared: DataFrame, nodes: DataFrame, labels: DataFrame) -> DataFrame:
@@ -374,9 +374,8 @@ def _group_pairs(shared: DataFrame, nodes: DataFrame, labels: DataFrame) -> Data
 
 def _without_far(rows: DataFrame) -> DataFrame:
     """The pairs of each task that sizes and bitmaps do not rule out."""
-    return rows.repartition("task").sortWithinPartitions("task", "component", "n").mapInArrow(
-        _traverse_groups, fields(a=T.LongType(), b=T.LongType())
-    )
+    rows = rows.repartition("task").sortWithinPartitions("task", "component", "n")
+    return map_batches(rows, _traverse_groups, fields(a=T.LongType(), b=T.LongType()))
 
 
 def _traverse_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -548,7 +547,7 @@ def verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, doc_id: str, t
                 )
 
     source = docs.select(F.xxhash64(doc_id).alias("k"), F.col(text).alias("t"))
-    sets = source.mapInArrow(run, fields(node=T.LongType(), set=T.ArrayType(T.LongType())))
+    sets = map_batches(source, run, fields(node=T.LongType(), set=T.ArrayType(T.LongType())))
     sets = sets.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"])
     sets = materialize(sets, "sets")
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(

@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 from chatwarden.session import scratch_path, small_batches
-from chatwarden.llm.common import as_bytes, fields
+from chatwarden.llm.common import as_bytes, fields, map_batches
 from chatwarden.llm.words import blocks, mix, release, worker_cache
 
 SHARD_TOKENS = 1 << 21
@@ -550,18 +550,24 @@ def write_token_files(
                 held_docs.extend(doc_ids[at : at + len(texts)])
                 total += int(sizes.sum())
                 if total >= shard_tokens:
+                    del texts, ids, bounds, sizes
                     yield _shard(part, shard, held_ids, held_docs, held_sizes, end)
-                    held_ids, held_docs, held_sizes, total, shard = [], [], [], 0, shard + 1
-                    release()
+                    held_docs, held_sizes, total, shard = [], [], 0, shard + 1
         if held_docs:
             yield _shard(part, shard, held_ids, held_docs, held_sizes, end)
-        release()
 
-    ordered.mapInArrow(run, _SHARD).write.parquet(path)
+    map_batches(ordered, run, _SHARD).write.parquet(path)
 
 
 def _shard(part, shard, held_ids, held_docs, held_sizes, end) -> pa.RecordBatch:
-    symbols, rules, lengths = repair(np.concatenate(held_ids), end)
+    """Takes the ids out of ``held_ids``. What encoding took is given back before the grammar
+    is built, and what that took before the shard leaves."""
+    ids = np.concatenate(held_ids)
+    held_ids.clear()
+    release()
+    symbols, rules, lengths = repair(ids, end)
+    del ids
+    release()
     ends = np.flatnonzero(symbols == end) + 1
     row = {
         "part": part,
@@ -642,7 +648,7 @@ def _read(spark: SparkSession, path: str, what, kind: T.DataType, name: str) ->
                     names=schema.names,
                 )
 
-    rows = shards.mapInArrow(run, schema).join(places, ["part", "shard"])
+    rows = map_batches(shards, run, schema).join(places, ["part", "shard"])
     return rows.select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", F.col("value").alias(name))
 
 

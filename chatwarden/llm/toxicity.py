@@ -29,8 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from chatwarden.session import small_batches
-from chatwarden.llm.common import expanded, fields, labelled_texts, map_texts, platt, sample_per_class, sigmoid
-from chatwarden.llm.words import ALNUM, Words, blocks, find_words, mix, release
+from chatwarden.llm.common import expanded, fields, labelled_texts, map_batches, map_texts, platt, sample_per_class, sigmoid
+from chatwarden.llm.words import ALNUM, Words, blocks, find_words, mix
 
 SAMPLE = 1500
 #: The strongest features that a field can have, 16 bytes each; the only ones that reach the driver.
@@ -103,9 +103,8 @@ def toxic_features(rows: DataFrame, n_toxic: int, n_clean: int) -> np.ndarray:
                     held = []
         if held:
             yield _counts(held)
-        release()
 
-    counted = rows.select("text", "label").mapInArrow(by_class, fields(f=T.LongType(), n0=T.LongType(), n1=T.LongType()))
+    counted = map_batches(rows.select("text", "label"), by_class, fields(f=T.LongType(), n0=T.LongType(), n1=T.LongType()))
     clean, toxic = F.col("n0"), F.col("n1")
     # Shares of the classes are set against each other, as the classes differ in size.
     precise = toxic / n_toxic >= _PRECISION / (1 - _PRECISION) * (clean / n_clean)
@@ -304,13 +303,13 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", doc_id: str
             texts.extend(expanded(batch.column(0)))
             marks.append(batch.column(1).to_numpy())
         field = fit(texts, np.concatenate(marks) if marks else np.zeros(0, int), sent.value)
-        release()
         shared = [field.bias, field.into, field.out, field.stay, field.a, field.b]
         data = np.concatenate([shared, field.weights]).tobytes()
         yield pa.RecordBatch.from_arrays([pa.array([data], pa.binary())], names=["model"])
 
     chosen = sample_per_class(rows, sample).select("text", "label", "id")
-    fitted = chosen.repartition(1).sortWithinPartitions(F.xxhash64("id"), "id").mapInArrow(run, fields(model=T.BinaryType()))
+    chosen = chosen.repartition(1).sortWithinPartitions(F.xxhash64("id"), "id")
+    fitted = map_batches(chosen, run, fields(model=T.BinaryType()))
     data = np.frombuffer(fitted.first().model)
     return Field(features, data[6:], *(float(x) for x in data[:6]))
 

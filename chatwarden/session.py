@@ -55,7 +55,7 @@ def small_batches(spark: SparkSession) -> None:
     and by the worker. The default of 64 MB a batch is a tenth of a small executor.
     """
     if _BATCH not in spark.conf.getAll:
-        spark.conf.set(_BATCH, "4m")
+        spark.conf.set(_BATCH, "900k")
 
 
 def spread(df: DataFrame) -> DataFrame:
