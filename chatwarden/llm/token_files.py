@@ -425,6 +425,7 @@ def repair(ids: np.ndarray, end: int, rounds: int = ROUNDS, min_pair: int = MIN_
         plain = symbols != end
         wait[-1:] = False
         wait[:-1] &= plain[:-1] & plain[1:]
+        del plain  # arrays of a shard's size go as soon as they are done with
         live = np.flatnonzero(wait).astype(np.int32)  # where pairs begin that may be frequent
         live, group, n_groups = _groups(symbols, live, min_pair)
         # A group counts the pair that owns it; pairs that lose theirs wait for the next round.
@@ -432,6 +433,7 @@ def repair(ids: np.ndarray, end: int, rounds: int = ROUNDS, min_pair: int = MIN_
         owner = np.zeros(n_groups, kind)
         owner[group] = code
         owned = owner.take(group) == code
+        del code
         counts = np.bincount(group.compress(owned), minlength=n_groups)
         often = np.flatnonzero(counts >= min_pair)
         room = _SHORT - n_symbols if short else len(often)
@@ -443,8 +445,10 @@ def repair(ids: np.ndarray, end: int, rounds: int = ROUNDS, min_pair: int = MIN_
         rule_of[chosen] = np.arange(len(chosen))
         rule = rule_of.take(group)
         rule[~owned] = -1
+        del group, owned
         taken = np.flatnonzero(rule >= 0)
         at, place = live.take(taken), rule.take(taken)
+        del taken
         pairs = owner[chosen]
         fresh = np.stack([pairs >> kind(bits), pairs & kind((1 << bits) - 1)], axis=1).astype(np.int64)
         # Only pairs of one symbol twice can follow each other closely: every second one counts.
@@ -452,13 +456,16 @@ def repair(ids: np.ndarray, end: int, rounds: int = ROUNDS, min_pair: int = MIN_
         first_of_run = np.flatnonzero(new_run)[np.cumsum(new_run) - 1]
         even = (np.arange(len(at)) - first_of_run) % 2 == 0
         at, place = at.compress(even), place.compress(even)
+        del new_run, first_of_run, even
         symbols[at] = n_symbols + place
         wait[:] = False
         wait[live.compress(rule > -2)] = True
+        del live, rule
         wait[at] = wait[at - 1] = True  # the pairs of a new symbol; -1 is the last one, which begins none
         keep = np.ones(len(symbols), bool)
         keep[at + 1] = False
         symbols, wait = symbols.compress(keep), wait.compress(keep)
+        del keep, at, place
         rules.append(fresh)
         size = np.concatenate([size, size[fresh[:, 0]] + size[fresh[:, 1]]])
     table = np.concatenate(rules) if rules else np.zeros((0, 2), np.int64)
@@ -476,6 +483,7 @@ def _groups(symbols: np.ndarray, live: np.ndarray, min_pair: int) -> tuple[np.nd
     number = np.full(_SLOTS, -1, np.int32)
     number[full] = np.arange(len(full))
     group = number.take(slot)
+    del slot
     stay = group >= 0
     return live.compress(stay), group.compress(stay), len(full)
 

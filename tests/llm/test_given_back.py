@@ -1,6 +1,7 @@
 """What workers keep when a task has ended, and what they hold while a shard's grammar is built."""
 
 import re
+import tracemalloc
 from pathlib import Path
 
 import numpy as np
@@ -74,6 +75,16 @@ def test_encoding_gives_memory_back_before_the_grammar(monkeypatch):
     assert token_files.decode_document(row, 0).tolist() == [0, 1, 2, 3, 4, 5, token_files.END_ID]
 
 
+def test_rounds_of_a_grammar_hold_nothing_of_the_round_before():
+    ids = (np.random.default_rng(0).zipf(1.3, 1 << 20) % 50_000).astype(np.uint32)
+    tracemalloc.start()
+    _, rules, _ = token_files.repair(ids, 50_000)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(rules) > 1000
+    assert peak < 34 * len(ids)
+
+
 def test_a_batch_is_about_one_block(spark):
     before = spark.conf.getAll.get(BATCH)
     try:
